@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, token_store
+from . import language, packing, quality, token_store
 
-QUERIES = {f.__name__: f for f in (packing.op5_sum_of_squares_packing, token_store.op7_seekable_token_store)}
+QUERIES = {f.__name__: f for f in (language.op3_language_mixture, packing.op5_sum_of_squares_packing, token_store.op7_seekable_token_store, quality.op8_quality_trees)}
 ORACLE_SQL: dict[str, str] = {}

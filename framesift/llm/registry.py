@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html_text, language, packing, quality, token_store
+from . import fingerprints, html_text, language, mixing, packing, pii, quality, token_store
 
 QUERIES = {
     f.__name__: f
     for f in (
         fingerprints.op2_prefix_fingerprints,
         language.op3_language_mixture,
+        mixing.op4_pfair_mixing,
         packing.op5_sum_of_squares_packing,
+        pii.op6_weak_supervision_pii,
         token_store.op7_seekable_token_store,
         quality.op8_quality_trees,
         html_text.op10_text_to_tag_ratio,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html_text, language, mixing, packing, pii, quality, token_store
+from . import fingerprints, html_text, jaccard_join, language, mixing, packing, pii, quality, token_store
 
 QUERIES = {
     f.__name__: f
@@ -14,6 +14,7 @@ QUERIES = {
         pii.op6_weak_supervision_pii,
         token_store.op7_seekable_token_store,
         quality.op8_quality_trees,
+        jaccard_join.op9_vertical_jaccard,
         html_text.op10_text_to_tag_ratio,
     )
 }

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-KEPT = 250_000
+KEPT = 500_000
+#: Bytes of the longest piece that is kept.
+LONGEST = 48
 #: Texts of these are single words between single blanks or newlines, where the byte-level pattern always cuts.
 PLAIN = "!-~¡-ɏ"
 PLAIN_TEXT = re.compile(f"[{PLAIN}]++(?:[ \n][{PLAIN}]++)*+")
@@ -28,30 +31,45 @@ class Encoder:
         self.by_space = '"end_of_word_suffix":"</w>"' in self.tokenizer.to_str()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[bytes, bytes] = {}
+        self.mark = b"\x01" if self.by_space else b"\n"
+        self.joint = b" \x01 " if self.by_space else b"\n"
+        (self.mark_id,) = self.tokenizer.encode(self.mark.decode(), add_special_tokens=False).ids
 
     def pieces(self, text: bytes) -> list[bytes]:
         s = text.decode()
         if any(t in s for t in self.special):
-            return [text]
+            return [text]  # the library finds special tokens in the whole
         if self.by_space:
             return text.split()
         return PLAIN_PIECE.findall(text) if PLAIN_TEXT.fullmatch(s) else [text]
 
+    def encode_pieces(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new pieces. Short ones are joined by a mark that both vocabularies hold apart, and the ids cut at its id."""
+        short = [p for p in new if len(p) <= LONGEST and self.mark not in p]
+        out = {p: array("I", self.tokenizer.encode(p.decode(), add_special_tokens=False).ids).tobytes() for p in new if len(p) > LONGEST or self.mark in p}
+        if short:
+            text = self.joint.join(short) + self.joint
+            ids = np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.mark_id) * 4
+            if len(ends) != len(short):
+                raise ValueError("pieces and ids don't match")
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(short, ends.tolist(), strict=True):
+                out[p] = raw[at:end]
+                at = end + 4
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(t) if t else [] for t in texts]
         known = self.kept
-        new = list({p for ps in cut for p in ps if p not in known})
-        if new:
-            got = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            fresh = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(new, got, strict=True)}
-            if len(known) < KEPT:
-                known.update((p, i) for p, i in fresh.items() if len(p) <= 48)
-            else:
-                missing = {p for p in fresh}
-                return [b"".join([fresh[p] if p in missing else known[p] for p in ps]) for ps in cut]
-            return [b"".join([known[p] if p in known else fresh[p] for p in ps]) for ps in cut]
-        return [b"".join([known[p] for p in ps]) for ps in cut]
+        new = set().union(*cut).difference(known)
+        if not new:
+            return [b"".join([known[p] for p in ps]) for ps in cut]
+        fresh = self.encode_pieces(list(new))
+        if len(known) < KEPT:
+            known.update((p, i) for p, i in fresh.items() if len(p) <= LONGEST)
+        return [b"".join([known[p] if p in known else fresh[p] for p in ps]) for ps in cut]
 
 
 def encoder(path: str) -> Encoder:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html_text, jaccard_join, language, mixing, packing, pii, quality, token_store
+from . import context_mixing, fingerprints, html_text, jaccard_join, language, mixing, packing, pii, quality, token_store
 
 QUERIES = {
     f.__name__: f
     for f in (
+        context_mixing.op1_context_mixing,
         fingerprints.op2_prefix_fingerprints,
         language.op3_language_mixture,
         mixing.op4_pfair_mixing,

@@ -178,7 +178,8 @@ def read(manifest: DataFrame) -> DataFrame:
                             ["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
-    return manifest.repartition("shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a task for each shard: the manifest is too small for Spark to see the work behind it
+    return manifest.repartition(max(1, manifest.count()), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_seekable_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

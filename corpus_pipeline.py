@@ -1,8 +1,64 @@
-"""Corpus pipeline over documents; its stages are added below."""
+"""From raw documents to packed training sequences. Each stage works on all that the one before it kept.
 
-STAGES = []
+Null texts go at the first stage, which finds no letters in them; null values of other columns pass through all stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framesift.llm import jaccard_join, language, mixing, packing, pii
+from framesift.llm.common import cut, table
+
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which some language has a share of half or more."""
+    model = language.learn(spark, docs)
+    scored = language.predict(spark, docs.withColumn("_text", F.col("text")), *model, *[c for c in docs.columns if c != "text"], "_text")
+    kept = scored.where((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return kept.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return jaccard_join.one_of_each(spark, docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind; n_chars follows the text."""
+    out = pii.redact(docs, pii.accepted(docs))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mixture: files and their rows follow the slots."""
+    mixed = mixing.mix(docs)
+    return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in windows of 1024 ids."""
+    import public_tokenizers
+
+    return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("source_mixing", source_mixing),
+    ("sequence_packing", sequence_packing),
+]
+#: The stages hold trained models, which SQL can't express; tests/llm compares them with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

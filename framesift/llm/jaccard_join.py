@@ -293,3 +293,16 @@ def linked_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent:
 
 def op9_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(spark, table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs without near-duplicates: of each component the document with the least doc_id stays (a null id comes last; of equal ids the
+    text with the least hash; of equal rows one). Documents without words stay."""
+    of_docs, labels = link(spark, docs, n, percent, "doc_id")
+    named = of_docs.where("node is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    best = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("w"))
+    best = best.select(F.col("w.doc_id").alias("_id"), F.col("w.text_hash").alias("_hash"))
+    words = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    hashed = docs.where(words).withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = hashed.join(best, (F.col("_h") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_h", "doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where(~words))

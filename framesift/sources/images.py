@@ -26,13 +26,15 @@ def rgb_of_image(image: pd.DataFrame) -> pd.DataFrame:
 
 
 def _jvm_decode(spark: SparkSession, origin: str, data: bytes) -> imaging.np.ndarray:
-    got = spark._jvm.org.apache.spark.ml.image.ImageSchema.decode(origin, bytearray(data))
-    if not got.isDefined():
+    """RGB of an encoded picture by the JVM's readers; alpha is dropped."""
+    jvm = spark._jvm
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data))
+    if image is None:
         raise ValueError(f"Could not load image from {origin}")
-    row = got.get().getStruct(0)
-    h, w, n = row.getInt(1), row.getInt(2), row.getInt(3)
-    a = imaging.np.frombuffer(bytes(row.get(5)), imaging.np.uint8).reshape(h, w, n)
-    return imaging.to_rgb(a[:, :, [2, 1, 0]] if n >= 3 else a)
+    h, w = image.getHeight(), image.getWidth()
+    buffer = jvm.java.nio.ByteBuffer.allocate(4 * h * w)
+    buffer.asIntBuffer().put(image.getRGB(0, 0, w, h, None, 0, w))
+    return imaging.np.frombuffer(buffer.array(), imaging.np.uint8).reshape(h, w, 4)[:, :, 1:]
 
 
 def load_frame(spark: SparkSession, source) -> imaging.np.ndarray:

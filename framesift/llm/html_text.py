@@ -36,6 +36,7 @@ NEVER_NAME = re.compile(
     r"pagination|pager|toolbar|widget|skip-link|copyright|legal|alert|search|form)s?(?:$|[-_ \d])",
     re.I,
 )
+TAG_START = set("/!?abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 SPACE = re.compile(r"\s+")
 WHOLE_TITLES = set("article main body html h1 h2 h3 h4 h5 h6 p".split())
 
@@ -147,6 +148,9 @@ def threshold(values: np.ndarray) -> float:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
+    last = html.rfind("<")
+    if last > html.rfind(">") and html[last + 1 : last + 2] in TAG_START:
+        html = html[:last]  # a tag cut off by the end of the page
     parser = Lines()
     parser.feed(html)
     lines = parser.done()

@@ -51,7 +51,9 @@ def regions_of(flags: np.ndarray, block: int) -> list[tuple[int, int, int, int]]
 
 def block_diff(a: np.ndarray, b: np.ndarray, block: int, threshold: float = 10.0) -> np.ndarray:
     """Which blocks differ by more than threshold on the mean of pixels and channels."""
-    return _blocks(np.abs(a.astype(np.float32) - b.astype(np.float32)), block).mean(axis=(1, 3, 4), dtype=np.float64).astype(np.float32) > threshold
+    diff = _blocks(np.abs(a.astype(np.int16) - b), block)
+    total = diff.sum(axis=(3, 4), dtype=np.int32).sum(axis=1, dtype=np.int64)
+    return (total / (3 * block * block)).astype(np.float32) > threshold
 
 
 def blank(frame: np.ndarray, regions: list[tuple[int, int, int, int]]) -> np.ndarray:
@@ -73,13 +75,16 @@ LUMA = (19595, 38470, 7471)
 RESAMPLE_BITS = 22
 
 
+_GRAY = [w * np.arange(256.0) for w in GRAY]
+
+
 def gray(frame: np.ndarray) -> np.ndarray:
-    f = frame.astype(np.float64)
-    return (GRAY[0] * f[..., 0] + GRAY[1] * f[..., 1] + GRAY[2] * f[..., 2]).astype(np.uint8)
+    r, g, b = (t[frame[..., i]] for i, t in enumerate(_GRAY))
+    return (r + g + b).astype(np.uint8)
 
 
 def luma(frame: np.ndarray) -> np.ndarray:
-    f = frame.astype(np.int64)
+    f = frame.astype(np.int32)
     return ((LUMA[0] * f[..., 0] + LUMA[1] * f[..., 1] + LUMA[2] * f[..., 2] + 32768) >> 16).astype(np.uint8)
 
 
@@ -133,7 +138,8 @@ def hamming(a: str, b: str) -> int:
 
 
 def channel_means(frame: np.ndarray) -> list[float]:
-    return [float(v) for v in frame.reshape(-1, 3).mean(axis=0)]
+    h, w = frame.shape[:2]
+    return [float(v) / (h * w) for v in frame.reshape(h, w * 3).sum(axis=0, dtype=np.int64).reshape(w, 3).sum(axis=0)]
 
 
 def ssim(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
@@ -141,12 +147,17 @@ def ssim(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
     if min(a.shape) < window:
         raise ValueError(f"a side is shorter than the window of {window}")
     n = window * window
+    kind = np.int32 if max(a.shape) < 4096 else np.int64  # sums along one side at a time stay below 2^31
 
     def mean(v: np.ndarray) -> np.ndarray:
-        s = np.pad(v.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-        return (s[window:, window:] - s[:-window, window:] - s[window:, :-window] + s[:-window, :-window]) / n
-
-    p, q = a.astype(np.int64), b.astype(np.int64)
+        for axis in (1, 0):
+            c = np.moveaxis(np.cumsum(v, axis=axis, dtype=kind), axis, 0)
+            s = c[window - 1 :].copy()
+            s[1:] -= c[:-window]
+            v = np.moveaxis(s, 0, axis)
+        return v / n
+
+    p, q = a.astype(np.int32), b.astype(np.int32)
     up, uq = mean(p), mean(q)
     fix = n / (n - 1)
     vp, vq, vpq = fix * (mean(p * p) - up * up), fix * (mean(q * q) - uq * uq), fix * (mean(p * q) - up * uq)

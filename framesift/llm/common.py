@@ -35,7 +35,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes what cut() wrote, once nothing reads it any more, and lets Spark drop the shuffles of finished jobs."""
+    drop_dir(df.sparkSession, df._cut_path)
+    df.sparkSession._jvm.System.gc()
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:

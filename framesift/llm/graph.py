@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_dir
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,7 +20,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.withColumn("m", F.least(least, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.withColumn("m", least)
         small = small.select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = cut(small.where("a <> b").distinct(), "links")
+        old, edges = edges, cut(small.where("a <> b").distinct(), "links")
+        drop_dir(links.sparkSession, old._cut_path)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -6,9 +6,9 @@ an n-gram; partial overlaps there are counted over an inverted list, and summed
 sets of their sizes must share in their prefixes is no link, and is dropped. The overlaps of the other pairs are counted fragment by
 fragment and summed per pair, which gives the exact similarity.
 
-Components need no pair within a component that is known already: pairs with the least partner are counted first, and then those
-between different components. A list of more than SHORT sets is not spread into all its pairs: its sets are tried against a few of
-them, and then those outside its largest component against all in other components. So no link between different components is lost.
+Components need no pair within a component that is known already. In two rounds each set is tried against one that stands in the middle of
+most of its lists; the links found so join most of a group. Then the pairs of sets that share a list and are in different components
+yet are counted, all of them, so no link between different components is lost, and none is counted within a large group.
 
 Hashes of n-grams and of sets have 64 bits. Null or empty text, or one without words: empty set, linked with nothing. Fewer words
 than n: the whole sequence is one n-gram. Null doc_id: such documents take part and link others; a component of none but such has a
@@ -19,16 +19,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, cut, small_batches, table
+from .common import batches, cut, drop, small_batches, table
 from .graph import components
 
-SHORT = 128
-HUBS = 3
 FRAGMENTS = 4
-COUNTED = 1 << 22
+COUNTED = 3 << 20
 KEPT_WORDS = 200_000
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _words: dict[bytes, int] = {}
@@ -66,7 +64,7 @@ def must_share(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return both + 1 - -(-percent * np.maximum(na, nb) // 100)
 
 
-def frequent(spark: SparkSession, docs: DataFrame, n: int, share: int = 2000, least: int = 64) -> np.ndarray:
+def frequent(spark: SparkSession, docs: DataFrame, n: int, share: int = 8000, least: int = 32) -> np.ndarray:
     """Hashes of n-grams that occur often: in about 1/share of the documents and `least` at least, so at most share times the mean
     set size of them, at any number of documents. An n-gram is counted where it is found twice or more among COUNTED; its rank only
     decides how much work there is."""
@@ -75,8 +73,8 @@ def frequent(spark: SparkSession, docs: DataFrame, n: int, share: int = 2000, le
         held, size = [], 0
         for b in batches(it):
             got = [shingles(t, n) for t in b["text"]]
-            held += [s[s < LOW] for s in got]
-            size += sum(map(len, got)) // 3
+            held += got
+            size += sum(map(len, got))
             if size >= COUNTED:
                 yield counted(held)
                 held, size = [], 0
@@ -92,10 +90,6 @@ def frequent(spark: SparkSession, docs: DataFrame, n: int, share: int = 2000, le
     return np.sort(rows.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
-#: Only n-grams below are ranked by frequency; prefixes lie there, nearly all.
-LOW = np.uint64(6 << 60)
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
@@ -130,53 +124,28 @@ def nodes_of(spark: SparkSession, docs: DataFrame, n: int, percent: int, *keep:
     return rows.mapInArrow(run, f"{schema}, n_shingles long, node long, prefix array<long>")
 
 
-def _lists(percent: int):
-    """mapInArrow over rows sorted by token and size: pairs of short lists, and of long lists the tries and the rows (kind 2)."""
-    names = ["kind", "a", "b", "na", "nb"]
-
-    def pairs(token: int, node: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-        m = len(node)
-        reach = np.searchsorted(n, n * 100 // percent, "right")  # sizes up to here may be linked
-        if m <= SHORT:
-            i = np.repeat(np.arange(m), reach - np.arange(m) - 1)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(reach - np.arange(m) - 1) - (reach - np.arange(m) - 1), reach - np.arange(m) - 1) + i + 1
-            return [np.zeros(len(i), np.int64), node[i], node[j], n[i], n[j]]
-        i, j = [], []
-        hubs: list[int] = []
-        for k in range(m):
-            hubs = [h for h in hubs if n[k] * percent <= 100 * n[h]]
-            i += hubs
-            j += [k] * len(hubs)
-            if len(hubs) < HUBS and (not hubs or k - hubs[-1] >= 16):
-                hubs.append(k)
-        i, j = np.array(i, int), np.array(j, int)
-        rows = [np.full(m, 2, np.int64), np.full(m, token, np.int64), node, n, n]
-        return [np.concatenate([a, b]) for a, b in zip([np.ones(len(i), np.int64), node[i], node[j], n[i], n[j]], rows, strict=True)]
+def _by_list(emit, names: list[str], width: int):
+    """mapInArrow over rows (token, node, n, ..) sorted by token and n: emit(columns of a list of two or more) gives columns of output."""
 
     def run(it):
         rest = None
         out: list[list[np.ndarray]] = []
 
-        def emit():
+        def batch() -> pa.RecordBatch:
             cols = [np.concatenate(c) for c in zip(*out, strict=True)]
             out.clear()
-            swap = (cols[0] < 2) & (cols[1] > cols[2])
-            for x, y in ((1, 2), (3, 4)):
-                cols[x], cols[y] = np.where(swap, cols[y], cols[x]), np.where(swap, cols[x], cols[y])
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-        def groups(token, node, n):
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            size = np.diff(np.r_[starts, len(token)])
-            two = starts[size == 2]
-            two = two[n[two] * 100 >= percent * n[two + 1]]
-            if len(two):
-                out.append([np.zeros(len(two), np.int64), node[two], node[two + 1], n[two], n[two + 1]])
-            for s, m in zip(starts[size > 2], size[size > 2], strict=True):
-                out.append(pairs(int(token[s]), node[s : s + m], n[s : s + m]))
+        def lists(cols: list[np.ndarray]) -> None:
+            starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+            size = np.diff(np.r_[starts, len(cols[0])])
+            for s, m in zip(starts[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+                got = emit([c[s : s + m] for c in cols])
+                if len(got[0]):
+                    out.append(got)
 
         for b in it:
-            cols = [b.column(i).to_numpy() for i in range(3)]
+            cols = [b.column(i).to_numpy() for i in range(width)]
             if rest is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
             if not len(cols[0]):
@@ -184,17 +153,69 @@ def _lists(percent: int):
             last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
             rest = [c[last:] for c in cols]
             if last:
-                groups(*(c[:last] for c in cols))
+                lists([c[:last] for c in cols])
             if sum(len(o[0]) for o in out) > 50_000:
-                yield emit()
+                yield batch()
         if rest is not None and len(rest[0]):
-            groups(*rest)
+            lists(rest)
         if out:
-            yield emit()
+            yield batch()
 
     return run
 
 
+def _listed(cols: list[np.ndarray]) -> list[np.ndarray]:
+    return cols
+
+
+def _tries(percent: int):
+    """Pairs of a list's sets with the sets of highest rank in reach of them, where their labels differ: a, b, na, nb."""
+
+    def emit(cols: list[np.ndarray]) -> list[np.ndarray]:
+        _, node, n, label, rank, most = cols
+        lo, hi = np.searchsorted(n, -(-n * percent // 100), "left"), np.searchsorted(n, n * 100 // percent, "right")
+        free = np.ones(len(n), bool)
+        i, j = [], []
+        for at in np.lexsort((node, -rank)).tolist():
+            if not free[at]:
+                continue
+            reached = np.arange(lo[at], hi[at])
+            reached = reached[free[reached]]
+            free[reached] = False
+            reached = reached[(label[reached] != label[at]) & (np.minimum(most[reached], most[at]) >= must_share(n[reached], n[at], percent))]
+            i.append(np.full(len(reached), at))
+            j.append(reached)
+        i, j = np.concatenate(i), np.concatenate(j)
+        return [node[i], node[j], n[i], n[j]]
+
+    return emit
+
+
+def _across(percent: int):
+    """All pairs of a list's sets in reach of each other with different labels, where both have as many n-grams in lists as linked sets
+    of their sizes share: a < b, na, nb."""
+
+    def emit(cols: list[np.ndarray]) -> list[np.ndarray]:
+        _, node, n, label, _, most = cols
+        if label.min() == label.max():
+            return [node[:0]] * 4
+        names, of, size = np.unique(label, return_inverse=True, return_counts=True)
+        main = of == int(size.argmax())
+        reach = np.searchsorted(n, n * 100 // percent, "right")
+        rows = [[], []]
+        for k in range(len(n)):  # from each set upward; from those of the main label only to the others
+            j = np.arange(k + 1, reach[k])
+            j = j[((~main[j]) if main[k] else (of[j] != of[k])) & (np.minimum(most[j], most[k]) >= must_share(n[j], n[k], percent))]
+            rows[0].append(np.full(len(j), k))
+            rows[1].append(j)
+        i, j = np.concatenate(rows[0]), np.concatenate(rows[1])
+        swap = node[i] > node[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return [node[i], node[j], n[i], n[j]]
+
+    return emit
+
+
 def overlaps(spark: SparkSession, docs: DataFrame, hashes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of pairs (a, b, na, nb) that are links. hashes: (node, text_hash) of a text of each node.
 
@@ -235,51 +256,54 @@ def overlaps(spark: SparkSession, docs: DataFrame, hashes: DataFrame, pairs: Dat
     others = pairs.select("a", F.col("b").alias("node")).join(sets, "node").select("a", "fragment", F.col("node").alias("b"), "part")
     ordered = hubs.unionByName(others).repartition("a", "fragment").sortWithinPartitions("a", "fragment", F.col("b").asc_nulls_first())
     summed = ordered.mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return summed.join(pairs, ["a", "b"]).where(100 * F.col("n") >= percent * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
+    out = cut(summed.join(pairs, ["a", "b"]).where(100 * F.col("n") >= percent * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b"), "links")
+    drop(sets)
+    return out
 
 
 def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, *keep: str) -> tuple[DataFrame, DataFrame]:
-    """(columns kept with n_shingles and node) of every document, and (node, label) of every node that is linked to another."""
+    """(columns kept with n_shingles, node and text_hash) of every document, and (node, label) of every node that is linked to another."""
     small_batches(spark)
     of_docs = cut(nodes_of(spark, docs, n, percent, *keep), "nodes")
     distinct = of_docs.where("node is not null").dropDuplicates(["node"])
     small_batches(spark, rows=20_000)
     rows = distinct.select(F.explode("prefix").alias("token"), "node", F.col("n_shingles").alias("n")).repartition("token").sortWithinPartitions("token", "n", "node")
-    listed = cut(rows.mapInArrow(_lists(percent), "kind long, a long, b long, na long, nb long"), "pairs")
-    small_batches(spark)
-    share = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)) + 1 - F.ceil(percent * F.greatest("na", "nb") / 100)
-    tries = listed.where("kind < 2").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("kind").alias("kind"), F.count("*").alias("shared"))
-    pairs = cut(tries.where((F.col("kind") == 1) | (F.col("shared") >= share)).select("a", "b", "na", "nb"), "pairs")
+    lists = cut(rows.mapInArrow(_by_list(_listed, ["token", "node", "n"], 3), "token long, node long, n long"), "lists")
     hashes = of_docs.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
-    first = pairs.withColumn("least", F.min("a").over(Window.partitionBy("b"))).where("a = least").drop("least")
-    links = cut(overlaps(spark, docs, hashes, cut(first, "pairs"), n, percent), "links")
-    labels = components(links)
-
-    def apart(more: DataFrame) -> DataFrame:
-        """Pairs whose ends are not in one component yet."""
-        la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-        kept = more.join(la, "a", "left").join(lb, "b", "left")
-        return kept.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "na", "nb")
-
-    rest = cut(apart(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")), "pairs")
-    if not rest.isEmpty():
-        links = cut(links.unionByName(overlaps(spark, docs, hashes, rest, n, percent)), "links")
-        labels = components(links)
-
-    # long lists: what lies outside a list's largest component, against all of the list in other components
-    long = listed.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("na").alias("n"))
-    if not long.isEmpty():
-        named = long.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        largest = named.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        named = cut(named.join(largest, "token"), "lists")
-        x = named.where("label <> main").select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-        y = named.select("token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-        far = x.join(y, "token").where((F.col("lx") != F.col("ly")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
-        low = F.col("x") < F.col("y")
-        far = far.select(*[F.when(low, F.col(p)).otherwise(F.col(q)).alias(r) for p, q, r in (("x", "y", "a"), ("y", "x", "b"), ("nx", "ny", "na"), ("ny", "nx", "nb"))]).distinct()
-        far = cut(far.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if not far.isEmpty():
-            labels = components(cut(links.unionByName(overlaps(spark, docs, hashes, far, n, percent)), "links"))
+    least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)) + 1 - F.ceil(percent * F.greatest("na", "nb") / 100)
+    most = lists.groupBy("node").agg(F.count("*").alias("most"))  # prefix n-grams that another set has too
+    links = labels = None
+
+    def pairs(emit, rank: DataFrame | None) -> DataFrame:
+        """Pairs that emit gives from the lists, with as many shared n-grams as links of their sizes have at least."""
+        small_batches(spark, rows=20_000)
+        named = lists.withColumn("label", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = named.withColumn("rank", F.lit(0)) if rank is None else named.join(rank, "node", "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
+        named = named.join(most, "node")
+        ordered = named.select("token", "node", "n", "label", F.col("rank").cast("long").alias("rank"), "most").repartition("token").sortWithinPartitions("token", "n", "node")
+        found = ordered.mapInArrow(_by_list(emit, ["a", "b", "na", "nb"], 6), "a long, b long, na long, nb long")
+        return found.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").alias("shared")).where(F.col("shared") >= least)
+
+    for step in ("central", "linked", "all"):
+        if step == "all":
+            found = pairs(_across(percent), None).drop("shared")
+        else:
+            # first by the share of a set's prefix that others have, which is most in the middle of a group; then by links found
+            rank = lists.groupBy("node").agg(F.floor(1000 * F.count("*") / (F.max("n") - F.ceil(percent * F.max("n") / 100) + 1)).alias("rank"))
+            if step == "linked" and links is not None:
+                ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+                rank = ends.groupBy("node").agg(F.count("*").alias("rank"))
+            best = pairs(_tries(percent), rank).groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("shared", "a")).alias("x"))
+            found = best.select("x.a", "b", "x.na", "x.nb")
+        found = cut(found, "pairs")
+        if not found.isEmpty():
+            more = overlaps(spark, docs, hashes, found, n, percent)
+            links = more if links is None else links.unionByName(more)
+            labels = components(links)
+        drop(found)
+    drop(lists)
+    if labels is None:
+        labels = spark.createDataFrame([], "node long, label long")
     return of_docs.select(*keep, "n_shingles", "node", "text_hash"), labels
 
 

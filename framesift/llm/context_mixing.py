@@ -1,10 +1,10 @@
 """Language-model scores by online logistic context mixing, and a smoothed unigram base.
 
 A text is its words, A-Z as a-z, each ended by a blank, with an end flag before each word and after the last. A byte is a few
-binary decisions along a fixed prefix code. Four predictors give each decision a probability from counts in hashed contexts: the
-last two bytes, the last four, the whole of the word so far, and that with the last letter outside ASCII. A predictor's slot is a
+binary decisions along a prefix code of the corpus's bytes. Three predictors give each decision a probability from counts in hashed contexts: the
+last three bytes, the whole of the word so far, and that with the last letter outside ASCII. A predictor's slot is a
 one-byte state, exact for small counts. Their logits are mixed with weights that a gate selects by how well the two longest contexts
-are known. These weights are trained by online gradient steps on one tenth of the training documents, each decision's own count
+are known. These weights are trained by online gradient steps on those of the training documents whose crc32 is 1 modulo 20, each decision's own count
 taken out. Within a document two more weights, on the mixed logit and on the longest context's, are refined after every block of
 words by an online gradient step, so what is predicted depends on the text before alone, and probabilities of all texts sum to 1.
 
@@ -17,7 +17,7 @@ each counted. Empty table: no rows. Without training documents the base is unifo
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,37 +29,54 @@ from .common import batches, crc_mod, cut, small_batches, table
 
 BITS = 22
 SLOTS = 1 << BITS
-CONTEXTS = 4
+CONTEXTS = 3
 PART = 1 << 15
 CHUNK_BYTES = 6 << 20
 CLASSES = 64
 BLOCK = 32
+#: Words whose decisions are laid out at a time.
+SLICE = 6000
 GATES = 16
-#: Bytes from frequent to rare, for the lengths of the code alone.
-RANKED = b" etaoinrshdlcumfpgbvwy,.\xc3kzjqx\xa9" + bytes(range(128, 192))
 LN10 = float(np.log(10.0))
 
 
-def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A prefix code for all bytes by merging least weights: offset and length of each byte's decisions, their nodes and bits."""
-    rank = {b: i for i, b in reversed(list(enumerate(RANKED)))}
-    heap = [(1.0 / (rank.get(b, 200) + 3) ** 1.3, b, (b,)) for b in range(256)]
-    path: list[list[tuple[int, int]]] = [[] for _ in range(256)]
-    heapq.heapify(heap)
-    node = 256
-    while len(heap) > 1:
-        (wa, _, a), (wb, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-        for side, symbols in ((0, a), (1, b)):
-            for s in symbols:
-                path[s].append((node, side))
-        heapq.heappush(heap, (wa + wb, node, a + b))
-        node += 1
-    length = np.array([len(p) for p in path])
-    flat = [x for p in path for x in reversed(p)]
-    return np.cumsum(length) - length, length, np.array([n for n, _ in flat], np.uint64), np.array([b for _, b in flat], np.int64)
+class Code:
+    """A prefix code for all bytes, short for frequent ones: offset and length of each byte's decisions, their nodes and bits."""
 
+    def __init__(self, counts: np.ndarray):
+        path: list[list[tuple[int, int]]] = [[] for _ in range(256)]
+        heap = [(int(n) + 1, b, (b,)) for b, n in enumerate(counts)]
+        heapq.heapify(heap)
+        node = 256
+        while len(heap) > 1:
+            (na, _, a), (nb, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+            for side, symbols in ((0, a), (1, b)):
+                for s in symbols:
+                    path[s].append((node, side))
+            heapq.heappush(heap, (na + nb, node, a + b))
+            node += 1
+        self.length = np.array([len(p) for p in path])
+        self.offset = np.cumsum(self.length) - self.length
+        flat = [x for p in path for x in reversed(p)]
+        self.node = np.array([n * 0x9E3779B1 % (1 << 32) for n, _ in flat], np.uint32)
+        self.side = np.array([b for _, b in flat], np.uint8)
+
+
+def byte_counts(texts: DataFrame) -> np.ndarray:
+    """How often each byte occurs in all texts, A-Z as a-z; 256 rows reach the driver."""
+
+    def run(it):
+        n = np.zeros(256, np.int64)
+        for b in batches(it):
+            for t in b["text"]:
+                n += np.bincount(np.frombuffer(t.lower(), np.uint8), minlength=256)
+        yield pa.RecordBatch.from_pydict({"b": np.arange(256), "n": n})
+
+    out = np.zeros(256, np.int64)
+    for r in texts.select("text").mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
+        out[r["b"]] = r["n"]
+    return out
 
-OFFSET, LENGTH, NODE, SIDE = _code()
 
 # States: (n0, n1) for n0 + n1 <= 8, then levels of the logit for more.
 _SMALL = [(a, n - a) for n in range(9) for a in range(n + 1)]
@@ -70,7 +87,7 @@ KNOWN = np.array([0 if not a + b else 1 if a + b < 3 else 2 for a, b in _SMALL]
 _INDEX = {s: i for i, s in enumerate(_SMALL)}
 #: The state without one count of the bit.
 LESS = np.array([[_INDEX.get((a - (bit == 0), b - (bit == 1)), _INDEX[a, b]) for a, b in _SMALL] + list(range(len(_SMALL), 256)) for bit in (0, 1)], np.uint8)
-START = np.array([[0.1, 0.2, 0.3, 0.5, 0.0] if g else [0.3, 0.9, 0.0, 0.0, 0.0] for g in range(GATES)])
+START = np.array([[0.25, 0.3, 0.5, 0.0] if g else [1.0, 0.0, 0.0, 0.0] for g in range(GATES)])
 
 
 def states(n: np.ndarray) -> np.ndarray:
@@ -86,7 +103,7 @@ def states(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def decisions(keys: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+def decisions(code: Code, keys: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Of all (class, word): decisions a word, the word's position of each decision, its bit and its slot in each table."""
     text = np.frombuffer(b" ".join([w for _, w in keys]) + b" ", np.uint8)
     sizes = np.fromiter((len(w) + 1 for _, w in keys), np.int64, len(keys))
@@ -100,44 +117,52 @@ def decisions(keys: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np
     before = np.cumsum(value) - value
     whole = before - before[starts][of]
     back = np.zeros(len(text), np.uint64)
-    for i in range(1, 5):
+    for i in range(1, 4):
         prev = np.zeros(len(text), np.uint64)
         prev[i:] = text[:-i]
         prev[at < i] = 1 if i == 1 else 0
         back |= prev << np.uint64(8 * i)
     cls = np.fromiter((c for c, _ in keys), np.uint64, len(keys))[of]
-    contexts = (back & np.uint64(0xFFFFFF), back, whole * np.uint64(0xD6E8FEB86659FD93) + np.uint64(7), whole * np.uint64(0xA0761D6478BD642F) + (cls + np.uint64(11)) * np.uint64(0xE7037ED1A0B428DB))
-    n = LENGTH[text]
+    contexts = (back, whole * np.uint64(0xD6E8FEB86659FD93) + np.uint64(7), whole * np.uint64(0xA0761D6478BD642F) + (cls + np.uint64(11)) * np.uint64(0xE7037ED1A0B428DB))
+    n = code.length[text]
     rep = np.repeat(np.arange(len(text)), n)
-    which = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n - OFFSET[text], n)
-    node, bit = NODE[which] * np.uint64(0xC2B2AE3D27D4EB4F), SIDE[which]
+    which = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n - code.offset[text], n)
+    node, bit = code.node[which], code.side[which]
     slots = []
     for c in contexts:
         c = (c ^ (c >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        h = c[rep] ^ node
-        slots.append(((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).astype(np.int64))
+        h = (c >> np.uint64(32)).astype(np.uint32)[rep] ^ node
+        slots.append(((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)).astype(np.int64))
     return np.add.reduceat(n, starts), of[rep], bit, slots
 
 
-def keyed(words: list[bytes], ascii_only: bool) -> list[tuple[int, bytes]]:
-    """Each word with the class of the last letter outside ASCII before it; 0: none yet."""
+class Numbers(dict):
+    """Numbers of words of one class, given as they come; keys lists (class, word) by number."""
+
+    def __init__(self, cls: int, keys: list[tuple[int, bytes]]):
+        super().__init__()
+        self.cls, self.keys_ = cls, keys
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self.keys_)
+        self.keys_.append((self.cls, word))
+        return k
+
+
+def by_class(words: list[bytes], ascii_only: bool, tables: list[dict]):
+    """tables[class][word] of each word; the class is that of the last letter outside ASCII before it, 0: none yet."""
     if ascii_only:
-        return [(0, w) for w in words]
-    out, cls = [], 0
+        return map(tables[0].__getitem__, words)
+    out = []
+    put, get = out.append, tables[0].__getitem__
     for w in words:
-        out.append((cls, w))
+        put(get(w))
         if not w.isascii():
-            tail = [c for c in w.decode() if ord(c) > 127]
-            cls = 1 + ord(tail[-1]) % (CLASSES - 1)
+            last = next(c for c in reversed(w.decode()) if c > "\x7f")
+            get = tables[1 + ord(last) % (CLASSES - 1)].__getitem__
     return out
 
 
-def length_bucket(n: np.ndarray) -> np.ndarray:
-    """Of a number of words: 0, 1, 2, 3, then four for each doubling."""
-    n = np.asarray(n)
-    return np.where(n < 4, n, (4 * np.log2(np.maximum(n, 1))).astype(np.int64) - 4)
-
-
 def _edges() -> np.ndarray:
     """First number of words in each bucket."""
     return np.array([0, 1, 2, 3] + sorted({int(np.ceil(2 ** ((b + 4) / 4) - 1e-9)) for b in range(4, 160)}))
@@ -187,7 +212,7 @@ def _chunks(it):
         yield key, held
 
 
-def count(rows: DataFrame, parts: int) -> DataFrame:
+def count(code: Code, rows: DataFrame, parts: int) -> DataFrame:
     """(kind, part, chunk, blob): kind 0: hashes and training counts of a chunk's words in a part of the hashes; kind 1: counts in a
     part of a table; kind 2: numbers of training texts by length."""
 
@@ -198,22 +223,25 @@ def count(rows: DataFrame, parts: int) -> DataFrame:
         tables = None
         ends, seen = np.zeros(len(EDGES), np.int64), np.zeros(len(EDGES), np.int64)
         for chunk, rows in _chunks(it):
-            pairs: Counter = Counter()
             others: set[bytes] = set()
-            lengths = []
+            keys: list[tuple[int, bytes]] = []
+            number = [Numbers(c, keys) for c in range(CLASSES)]
+            lists = []
             for text, held_out in zip(rows["text"], rows["held_out"], strict=True):
                 words = _words(text)
                 if held_out:
                     others.update(words)
                 else:
-                    pairs.update(keyed(words, text.isascii()))
-                    lengths.append(len(words))
+                    lists.append(np.fromiter(by_class(words, text.isascii(), number), np.int32))
+            lengths = [len(x) for x in lists]
+            times = np.bincount(np.concatenate(lists), minlength=len(keys)) if lists else np.zeros(0, np.int64)
+            del lists, number
             if lengths:
                 n = np.array(lengths)
                 ends += np.bincount(np.searchsorted(EDGES, n, "right") - 1, minlength=len(EDGES))
                 seen += exposures(n).sum(axis=0)
             plain: Counter = Counter(dict.fromkeys(others, 0))
-            for (_, w), c in pairs.items():
+            for (_, w), c in zip(keys, times.tolist(), strict=True):
                 plain[w] += c
             if plain:
                 h, c = _hashes(list(plain)), np.fromiter(plain.values(), np.uint64, len(plain)).astype(np.uint32)
@@ -223,13 +251,13 @@ def count(rows: DataFrame, parts: int) -> DataFrame:
                     a, b = bounds[p], bounds[p + 1]
                     if b > a:
                         yield _row(0, p, chunk, pack(h[a:b].tobytes() + c[a:b].tobytes()))
-            if pairs:
+            if keys:
                 if tables is None:
                     tables = [np.zeros(2 * SLOTS, np.uint32) for _ in range(CONTEXTS)]
-                keys, times = list(pairs), np.fromiter(pairs.values(), np.int64, len(pairs)).astype(np.uint32)
-                for lo in range(0, len(keys), 20_000):
-                    _, of, bit, slots = decisions(keys[lo : lo + 20_000])
-                    w = times[lo : lo + 20_000][of]
+                times = times.astype(np.uint32)
+                for lo in range(0, len(keys), SLICE):
+                    _, of, bit, slots = decisions(code, keys[lo : lo + SLICE])
+                    w = times[lo : lo + SLICE][of]
                     for t, s in zip(tables, slots, strict=True):
                         np.add.at(t, 2 * s + bit, w)
         task = TaskContext.get().partitionId()
@@ -299,35 +327,51 @@ def merged_tables(counted: DataFrame) -> np.ndarray:
     return out
 
 
-def inputs(tables: np.ndarray, keys: list[tuple[int, bytes]], own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Decisions a word, of which word, sign of the bit, logits (decisions x contexts) and gate. own: take out one count of it."""
-    n, of, bit, slots = decisions(keys)
-    x, gate = np.empty((len(bit), CONTEXTS), np.float32), np.zeros(len(bit), np.int64)
-    for k, s in enumerate(slots):
-        state = tables[k][s]
-        if own:
-            state = LESS[bit, state]
-        x[:, k] = STRETCH[state]
-        if k > 1:
-            gate = 4 * gate + KNOWN[state]
-    return n, of, (2 * bit - 1).astype(np.float32), x, gate
+def known(state: list[np.ndarray]) -> np.ndarray:
+    """The gate: how well the two longest contexts are known."""
+    return 4 * KNOWN[state[-2]] + KNOWN[state[-1]]
+
+
+def mixed(code: Code, tables: np.ndarray, weights: np.ndarray, keys: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words: decisions a word, and the signed mixed logit and signed longest-context logit of each decision."""
+    product = [np.concatenate([w * STRETCH for w in weights[:, k].astype(np.float32)]) for k in range(CONTEXTS)]
+    bias = weights[:, CONTEXTS].astype(np.float32)
+    sizes, zs, xs = [], [], []
+    for lo in range(0, len(keys), SLICE):
+        n, _, bit, slots = decisions(code, keys[lo : lo + SLICE])
+        state = [t[s] for t, s in zip(tables, slots, strict=True)]
+        gate = known(state)
+        z = bias[gate]
+        gate <<= 8
+        for p, st in zip(product, state, strict=True):
+            z += p[gate + st]
+        sign = SIGN[bit]
+        sizes.append(n)
+        zs.append(z * sign)
+        xs.append((STRETCH[state[-1]] * sign).astype(np.float16))
+    return tuple(np.concatenate(a) if a else np.zeros(0, np.int64) for a in (sizes, zs, xs))
+
+
+SIGN = np.array([-1, 1], np.float32)
 
 
-def train_gates(rows: DataFrame, tables) -> np.ndarray:
+def train_gates(code: Code, rows: DataFrame, tables) -> np.ndarray:
     """Weights (gates x contexts and a bias): online steps in each task from the same start, averaged by the decisions of each gate."""
 
     def run(it):
         w, used = START.copy(), np.zeros(GATES)
         for b in batches(it):
-            pairs: Counter = Counter()
-            for text in b["text"]:
-                pairs.update(keyed(_words(text), text.isascii()))
-            keys = sorted(pairs)
+            keys: list[tuple[int, bytes]] = []
+            number = [Numbers(c, keys) for c in range(CLASSES)]
+            lists = [np.fromiter(by_class(_words(t), t.isascii(), number), np.int64) for t in b["text"]]
+            count_of = np.bincount(np.concatenate(lists), minlength=len(keys))
             for lo in range(0, len(keys), 1000):
                 part = keys[lo : lo + 1000]
-                _, of, sign, x, gate = inputs(tables.value, part, own=True)
-                times = np.array([pairs[k] for k in part], float)[of]
-                x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+                _, of, bit, slots = decisions(code, part)
+                state = [LESS[bit, t[s]] for t, s in zip(tables.value, slots, strict=True)]  # without the decision's own count
+                gate, sign = known(state), SIGN[bit]
+                times = count_of[lo : lo + 1000].astype(float)[of]
+                x = np.stack([*(STRETCH[st] for st in state), np.ones(len(bit), np.float32)], axis=1)
                 miss = times * sign / (1 + np.exp(np.clip(sign * (w[gate] * x).sum(axis=1), -30, 30)))
                 weight = np.bincount(gate, times, GATES)
                 step = np.stack([np.bincount(gate, miss * x[:, k], GATES) for k in range(CONTEXTS + 1)], axis=1)
@@ -361,7 +405,7 @@ def refine(z: np.ndarray, x: np.ndarray, first: np.ndarray, n: np.ndarray, docs:
         lane_ends = ends[counts - 1]
         starts = np.r_[0, lane_ends[:-1]]
         bits = lane_ends - starts
-        zz, xx = z[at], x[at]
+        zz, xx = z[at], x[at].astype(np.float32)
         d = delta[order]
         p = 1 / (1 + np.exp(-((1 + np.repeat(d[:, 0], bits)) * zz + np.repeat(d[:, 1], bits) * xx)))
         out[order] += np.add.reduceat(np.log(p, dtype=np.float32), starts, dtype=np.float64)
@@ -375,14 +419,18 @@ def refine(z: np.ndarray, x: np.ndarray, first: np.ndarray, n: np.ndarray, docs:
 def score(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:
     """Contract columns and bits_per_byte of every document; held_out: a condition on docs that leaves a document out of training."""
     small_batches(spark)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), held_out.alias("held_out"), crc_mod(docs["doc_id"], 10).alias("_m"))
-    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), held_out.alias("held_out"), crc_mod(docs["doc_id"], 20).alias("_m"))
+    by_byte = byte_counts(texts)
+    size = int(by_byte.sum())
+    by_byte[32] += by_byte[9:14].sum()
+    by_byte[9:14] = 0
+    code = Code(by_byte)
     n_chunks = int(size // CHUNK_BYTES) + 1
     parts = n_chunks
     tasks = max(1, n_chunks // 8)
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks))
     rows = texts.withColumn("chunk", chunk)
-    counted = cut(count(rows.select("chunk", "text", "held_out").repartition(tasks, "chunk").sortWithinPartitions("chunk"), parts), "counted")
+    counted = cut(count(code, rows.select("chunk", "text", "held_out").repartition(tasks, "chunk").sortWithinPartitions("chunk"), parts), "counted")
     told = answers(counted)
     totals = [np.frombuffer(r["blob"], np.int64) for r in told.where("chunk = -1").select("blob").collect()]  # two numbers a part
     lengths = [np.frombuffer(r["blob"], np.int64).reshape(2, -1) for r in counted.where("kind = 2").select("blob").collect()]  # a row a task
@@ -392,7 +440,7 @@ def score(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:
     n_types = int(sum(t[1] for t in totals)) + (n_end > 0)
     hazard = (ends + 0.05) / (seen + 0.1)
     tables = spark.sparkContext.broadcast(merged_tables(counted))
-    weights = train_gates(texts.where(~F.col("held_out") & (F.col("_m") == 1)).select("text"), tables)
+    weights = train_gates(code, texts.where(~F.col("held_out") & (F.col("_m") == 1)).select("text"), tables)
     log_stay, log_end = np.log1p(-hazard), np.log(hazard)
     floor = np.log10(n_train + 0.1 * (n_types + 1)) if n_train else 0.0
 
@@ -403,38 +451,33 @@ def score(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:
         for chunk, rows in _chunks(it):
             blobs = [(p, unpack(b)) for p, b in zip(rows["part"], rows["blob"], strict=True) if b is not None]
             held = [i for i, p in enumerate(rows["part"]) if p is None]
-            lists = [_words(rows["text"][i]) for i in held]
-            plain = list(set().union(*lists))
+            keys: list[tuple[int, bytes]] = []
+            number = [Numbers(c, keys) for c in range(CLASSES)]
+            ids = [np.fromiter(by_class(_words(rows["text"][i]), rows["text"][i].isascii(), number), np.int64) for i in held]
+            plain = list({w for _, w in keys})
             c = np.zeros(len(plain), np.int64)
             if plain:
                 order, _ = _by_part(_hashes(plain), parts)
                 c[order] = np.concatenate([np.frombuffer(b, np.int64) for _, b in sorted(blobs, key=lambda x: x[0])])
-            log_c = dict(zip(plain, np.log10(c + 0.1).tolist(), strict=True))
-            known = {w for w, k in zip(plain, c.tolist(), strict=True) if k}
-            number: dict = defaultdict(lambda: len(number))
-            ids = [np.fromiter((number[k] for k in keyed(w, rows["text"][i].isascii())), np.int64, len(w)) for i, w in zip(held, lists, strict=True)]
-            keys = list(number)
-            n, z, x = [], [], []
-            for lo in range(0, len(keys), 10_000):
-                size, _, sign, v, gate = inputs(tables.value, keys[lo : lo + 10_000])
-                g = weights.astype(np.float32)[gate]
-                n.append(size)
-                z.append(sign * ((g[:, :CONTEXTS] * v).sum(axis=1) + g[:, CONTEXTS]))
-                x.append(sign * v[:, CONTEXTS - 1])
-            n, z, x = (np.concatenate(a) if a else np.zeros(0) for a in (n, z, x))
+            count_of = dict(zip(plain, c.tolist(), strict=True))
+            times = np.fromiter((count_of[w] for _, w in keys), np.int64, len(keys))
+            width = np.fromiter((len(w) + 1 for _, w in keys), np.int64, len(keys))
+            log_c, is_known = np.log10(times + 0.1), (times > 0).astype(np.int64)
+            n, z, x = mixed(code, tables.value, weights, keys)
+            del number, count_of, plain
             first = np.cumsum(n) - n
             for lo in range(0, len(held), 128):
-                part, words, of = held[lo : lo + 128], lists[lo : lo + 128], ids[lo : lo + 128]
+                part, of = held[lo : lo + 128], ids[lo : lo + 128]
                 ln = refine(z, x, first, n, of)
-                m = np.array([len(w) for w in words])
+                m = np.array([len(w) for w in of])
                 flags = exposures(m)
                 last = np.searchsorted(EDGES, m, "right") - 1
                 stay = flags.copy()
                 stay[np.arange(len(m)), last] -= 1
                 ln += stay @ log_stay + log_end[last]
-                base = [sum(map(log_c.__getitem__, w)) + float(np.log10(n_end + 0.1)) - (len(w) + 1) * floor for w in words]
-                n_known = [sum(map(known.__contains__, w)) + (n_end > 0) for w in words]
-                size = np.array([max(1, sum(map(len, w)) + len(w)) for w in words])
+                base = [float(log_c[w].sum()) + float(np.log10(n_end + 0.1)) - (len(w) + 1) * floor for w in of]
+                n_known = [int(is_known[w].sum()) + (n_end > 0) for w in of]
+                size = np.array([max(1, int(width[w].sum())) for w in of])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([rows["doc_id"][i] for i in part], pa.int64()),

@@ -4,8 +4,8 @@ A text is its words, A-Z as a-z, each ended by a blank, with an end flag before
 binary decisions along a prefix code of the corpus's bytes. Three predictors give each decision a probability from counts in hashed contexts: the
 last three bytes, the whole of the word so far, and that with the last letter outside ASCII. A predictor's slot is a
 one-byte state, exact for small counts. Their logits are mixed with weights that a gate selects by how well the two longest contexts
-are known. These weights are trained by online gradient steps on those of the training documents whose crc32 is 1 modulo 20, each decision's own count
-taken out. Within a document two more weights, on the mixed logit and on the longest context's, are refined after every block of
+are known. These weights are trained by online gradient steps on all training documents, a chunk's distinct words and their counts at a time,
+each decision's own count taken out. Within a document two more weights, on the mixed logit and on the longest context's, are refined after every block of
 words by an online gradient step, so what is predicted depends on the text before alone, and probabilities of all texts sum to 1.
 
 All training words are counted: by chunk of documents, then by partitions of the words' hashes; a chunk is answered with the counts of
@@ -214,7 +214,7 @@ def _chunks(it):
 
 def count(code: Code, rows: DataFrame, parts: int) -> DataFrame:
     """(kind, part, chunk, blob): kind 0: hashes and training counts of a chunk's words in a part of the hashes; kind 1: counts in a
-    part of a table; kind 2: numbers of training texts by length."""
+    part of a table; kind 2: numbers of training texts by length; kind 3: a chunk's distinct training words with class and count."""
 
     def run(it):
         import zstandard
@@ -255,6 +255,7 @@ def count(code: Code, rows: DataFrame, parts: int) -> DataFrame:
                 if tables is None:
                     tables = [np.zeros(2 * SLOTS, np.uint32) for _ in range(CONTEXTS)]
                 times = times.astype(np.uint32)
+                yield _row(3, 0, chunk, pack(_listing(keys, times)))
                 for lo in range(0, len(keys), SLICE):
                     _, of, bit, slots = decisions(code, keys[lo : lo + SLICE])
                     w = times[lo : lo + SLICE][of]
@@ -277,6 +278,16 @@ def _row(kind: int, part: int, chunk: int, blob: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], ["kind", "part", "chunk", "blob"])
 
 
+def _listing(keys: list[tuple[int, bytes]], times: np.ndarray) -> bytes:
+    return np.int64(len(keys)).tobytes() + times.tobytes() + bytes(c for c, _ in keys) + b" ".join([w for _, w in keys])
+
+
+def _listed(blob: bytes) -> tuple[list[tuple[int, bytes]], np.ndarray]:
+    """(class, word) and counts that _listing() put down; words hold no blanks."""
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    return list(zip(blob[8 + 4 * n : 8 + 5 * n], blob[8 + 5 * n :].split(b" "), strict=True)), np.frombuffer(blob, np.uint32, n, 8)
+
+
 def answers(counted: DataFrame) -> DataFrame:
     """(chunk, part, blob): counts over all chunks of the chunk's words in this part, in their order; chunk -1: the part's totals."""
 
@@ -355,16 +366,18 @@ def mixed(code: Code, tables: np.ndarray, weights: np.ndarray, keys: list[tuple[
 SIGN = np.array([-1, 1], np.float32)
 
 
-def train_gates(code: Code, rows: DataFrame, tables) -> np.ndarray:
-    """Weights (gates x contexts and a bias): online steps in each task from the same start, averaged by the decisions of each gate."""
+def train_gates(code: Code, counted: DataFrame, tables, tasks: int) -> np.ndarray:
+    """Weights (gates x contexts and a bias): online steps in each task from the same start, averaged by the decisions of each gate.
+    A step has words from all of its chunk, as early ones are frequent and late ones rare."""
 
     def run(it):
+        import zstandard
+
         w, used = START.copy(), np.zeros(GATES)
-        for b in batches(it):
-            keys: list[tuple[int, bytes]] = []
-            number = [Numbers(c, keys) for c in range(CLASSES)]
-            lists = [np.fromiter(by_class(_words(t), t.isascii(), number), np.int64) for t in b["text"]]
-            count_of = np.bincount(np.concatenate(lists), minlength=len(keys))
+        for blob in (x for b in batches(it) for x in b["blob"]):
+            keys, count_of = _listed(zstandard.ZstdDecompressor().decompress(blob))
+            order = np.random.default_rng(0).permutation(len(keys))
+            keys, count_of = [keys[i] for i in order.tolist()], count_of[order]
             for lo in range(0, len(keys), 1000):
                 part = keys[lo : lo + 1000]
                 _, of, bit, slots = decisions(code, part)
@@ -380,6 +393,7 @@ def train_gates(code: Code, rows: DataFrame, tables) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"gate": np.repeat(np.arange(GATES), CONTEXTS + 1), "k": np.tile(np.arange(CONTEXTS + 1), GATES), "w": (w * used[:, None]).ravel(), "n": np.repeat(used, CONTEXTS + 1)})
 
     out = START.copy()
+    rows = counted.where("kind = 3").select("chunk", "blob").repartition(tasks, "chunk").sortWithinPartitions("chunk")
     for r in rows.mapInArrow(run, "gate long, k long, w double, n double").groupBy("gate", "k").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect():
         if r["n"]:
             out[r["gate"], r["k"]] = r["w"] / r["n"]
@@ -419,7 +433,7 @@ def refine(z: np.ndarray, x: np.ndarray, first: np.ndarray, n: np.ndarray, docs:
 def score(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:
     """Contract columns and bits_per_byte of every document; held_out: a condition on docs that leaves a document out of training."""
     small_batches(spark)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), held_out.alias("held_out"), crc_mod(docs["doc_id"], 20).alias("_m"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), held_out.alias("held_out"))
     by_byte = byte_counts(texts)
     size = int(by_byte.sum())
     by_byte[32] += by_byte[9:14].sum()
@@ -440,7 +454,7 @@ def score(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:
     n_types = int(sum(t[1] for t in totals)) + (n_end > 0)
     hazard = (ends + 0.05) / (seen + 0.1)
     tables = spark.sparkContext.broadcast(merged_tables(counted))
-    weights = train_gates(code, texts.where(~F.col("held_out") & (F.col("_m") == 1)).select("text"), tables)
+    weights = train_gates(code, counted, tables, tasks)
     log_stay, log_end = np.log1p(-hazard), np.log(hazard)
     floor = np.log10(n_train + 0.1 * (n_types + 1)) if n_train else 0.0
 

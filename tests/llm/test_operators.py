@@ -56,6 +56,14 @@ def test_score_without_rows_or_training(spark, none, docs):
     assert context_mixing.score(spark, none, F.lit(False)).count() == 0
     assert all(math.isfinite(r.score) for r in context_mixing.score(spark, docs.limit(5), F.lit(True)).collect())
 
+def test_weights_are_trained_on_all_documents(spark, docs, monkeypatch):
+    """Also on those whose crc32 isn't 1 modulo 20."""
+    got, train = [], context_mixing.train_gates
+    monkeypatch.setattr(context_mixing, "train_gates", lambda *a: got.append(train(*a)) or got[-1])
+    some = docs.where(common.crc_mod(docs["doc_id"], 20) != 1)
+    context_mixing.score(spark, some, common.crc_mod(some["doc_id"], 10) == 0)
+    assert np.abs(got[0] - context_mixing.START).max() > 0.01
+
 
 # 2
 

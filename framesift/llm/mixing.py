@@ -1,13 +1,13 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions alone.
 
 A source's documents, in the order of a hash, are cut into blocks. A source with weight w may start its block k at slot
-floor(k/w) and must have it by ceil((k+1)/w); among what may start, the earliest deadline is placed. With integer quotas in place
-of weights the schedule repeats, so one period, of a bounded length, is laid out on the driver, and each block finds its slot by
-a join with it. When a source runs out, the others go on in the same proportion: a phase ends there, and there are at most as many
-as sources. Within a phase no source is ever a whole block ahead of its share or behind it. No document is left out or repeated.
+floor(k/w) and must have it by ceil((k+1)/w); among what may start, the earliest deadline is placed. When a source runs out, the
+others go on in the same proportion, so releases and deadlines are in units of virtual time, which passes faster with fewer
+sources left. The weights are used as they are, for every slot: no source is ever a whole block ahead of its share or behind it,
+however many slots there are. Every source is scheduled by itself. No document is left out or repeated.
 
-Sources past the largest `max_sources - 1` are one source together. A source's place in the order of documents is counted by
-ranges of the hash, so that no source has to lie in one task.
+The driver lays out the slots, a number for each block, and each block finds its slot by a join with them; documents stay where
+they are. A source's place in the order of documents is counted by ranges of the hash, so that no source has to lie in one task.
 
 Null source: a source of its own. Null doc_id: all have one hash. Repeated rows: each has its place. Empty table: no rows.
 Columns of the input named as those that are added are replaced.
@@ -24,6 +24,8 @@ from .common import table
 
 NO_SOURCE = "\u0000none"
 OTHERS = "\u0000others"
+#: Blocks of a source whose slots are one row of the join.
+RUN = 1024
 
 
 def period(quotas: dict[str, int]) -> list[tuple[str, int]]:
@@ -45,14 +47,34 @@ def period(quotas: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def quotas(weights: dict[str, float], resolution: int) -> dict[str, int]:
-    """Integers in proportion to the weights, each at least 1, summing to about resolution (largest remainders)."""
-    total = sum(weights.values())
-    exact = {s: w / total * resolution for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: max(0, resolution - sum(out.values()))]:
-        out[s] += 1
-    return out
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, list[int]]:
+    """Slots of each source's blocks, for any positive weights; sources of no weight come after all others, in equal parts."""
+    some = {s: n for s, n in blocks.items() if n and weights[s] > 0}
+    names = sorted(some)
+    w, size = [float(weights[s]) for s in names], [some[s] for s in names]
+    ends = sorted((n / x, x) for n, x in zip(size, w, strict=True))
+    active = [0.0] * (len(ends) + 1)  # weight of the sources that end last
+    for i in range(len(ends) - 1, -1, -1):
+        active[i] = active[i + 1] + ends[i][1]
+    out: list[list[int]] = [[] for _ in names]
+    waiting = [(0.0, i) for i in range(len(names))]
+    ready: list[tuple[float, int]] = []
+    ended, since, at = 0, 0.0, 0.0  # sources that have ended by the share, and slot and virtual time at which the last one did
+    for t in range(sum(size)):
+        while ended < len(ends) and since + (ends[ended][0] - at) * active[ended] <= t + 1:
+            since, at = since + (ends[ended][0] - at) * active[ended], ends[ended][0]
+            ended += 1
+        now = at + (t + 1 - since) / active[ended] if ended < len(ends) else float("inf")
+        while waiting and (waiting[0][0] < now * (1 - 1e-12) or not ready):
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, ((len(out[i]) + 1) / w[i], i))
+        i = heapq.heappop(ready)[1]
+        out[i].append(t)
+        if len(out[i]) < size[i]:
+            heapq.heappush(waiting, (len(out[i]) / w[i], i))
+    rest = {s: n for s, n in blocks.items() if n and s not in some}
+    last = schedule(rest, dict.fromkeys(rest, 1.0)) if rest else {}
+    return dict(zip(names, out, strict=True)) | {s: [sum(size) + t for t in x] for s, x in last.items()}
 
 
 def phases(blocks: dict[str, int], quota: dict[str, int]) -> list[tuple[int, int, dict[str, int], dict[str, int]]]:
@@ -72,23 +94,24 @@ def phases(blocks: dict[str, int], quota: dict[str, int]) -> list[tuple[int, int
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_docs: int = 16, resolution: int = 1000, max_sources: int = 256, group_rows: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_docs: int = 16, max_sources: int | None = None, group_rows: int = 4096) -> DataFrame:
     """docs with source_weight, block (of the source), slot (of the block in the mixture) and place (in the block).
 
-    weights: by source; a source without one has that of the least. None: in proportion to documents ** temperature."""
+    weights: by source; a source without one has that of the least. None: in proportion to documents ** temperature.
+    max_sources: if given, sources past the largest max_sources - 1 are one source together."""
     spark = docs.sparkSession
     named = docs.withColumn("_s", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)))
     sizes = named.groupBy("_s").count()
-    top = {r["_s"]: r["count"] for r in sizes.orderBy(F.desc("count"), "_s").limit(max_sources - 1).collect()}
-    rest = sizes.where(~F.col("_s").isin(list(top))).agg(F.sum("count").alias("n")).first()["n"] if len(top) == max_sources - 1 else None
+    largest = sizes if max_sources is None else sizes.orderBy(F.desc("count"), "_s").limit(max_sources - 1)
+    top = {r["_s"]: r["count"] for r in largest.collect()}
+    rest = sizes.where(~F.col("_s").isin(list(top))).agg(F.sum("count").alias("n")).first()["n"] if max_sources and len(top) == max_sources - 1 else None
     n_docs = sum(top.values()) + (rest or 0)
     if rest:
         named = named.withColumn("_s", F.when(F.col("_s").isin(list(top)), F.col("_s")).otherwise(OTHERS))
         top[OTHERS] = rest
     least = min(weights.values(), default=1.0) if weights else 1.0
     share = {s: float(weights.get(s, least)) if weights else n**temperature for s, n in top.items()}
-    quota = quotas(share, max(resolution, 4 * len(share))) if share else {}
-    plan = phases({s: -(-n // block_docs) for s, n in top.items()}, quota)
+    slots_of = schedule({s: -(-n // block_docs) for s, n in top.items()}, share)
 
     # place of each document in its source: by ranges of the hash, then within the range
     n_groups = max(1, n_docs // group_rows)
@@ -102,18 +125,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     at = F.col("_off") + F.col("_rn") - 1
     placed = placed.withColumn("block", F.floor(at / block_docs).cast("long")).withColumn("place", (at % block_docs).cast("int"))
 
-    total = sum(quota.values()) or 1
-    ranges, slots = [], []
-    for p, (slot, times, now, first) in enumerate(plan):
-        ranges += [(s, p, slot, sum(now.values()), first[s], first[s] + times * q, q, quota[s] / total) for s, q in now.items()]
-        slots += [(p, s, k, t) for t, (s, k) in enumerate(period(now))]
-    # at most 2 * max_sources ** 2 rows, and 2 * max_sources periods
-    ranges_df = spark.createDataFrame(ranges, "_rs string, _p int, _slot0 long, _len long, _from long, _to long, _q long, source_weight double")
-    slots_df = spark.createDataFrame(slots, "_sp int, _ss string, _k long, _t long")
-    out = placed.drop("source_weight").join(F.broadcast(ranges_df), (F.col("_s") == F.col("_rs")) & (F.col("block") >= F.col("_from")) & (F.col("block") < F.col("_to")))
-    k = F.col("block") - F.col("_from")
-    out = out.withColumn("_in", k % F.col("_q")).join(F.broadcast(slots_df), (F.col("_p") == F.col("_sp")) & (F.col("_s") == F.col("_ss")) & (F.col("_in") == F.col("_k")))
-    slot = F.col("_slot0") + F.floor(k / F.col("_q")) * F.col("_len") + F.col("_t")
+    total = sum(share.values()) or 1.0
+    runs = [(s, i // RUN, x[i : i + RUN], share[s] / total) for s, x in slots_of.items() for i in range(0, len(x), RUN)]
+    runs_df = spark.createDataFrame(runs, "_rs string, _run long, _slots array<long>, source_weight double")
+    run = F.floor(F.col("block") / RUN)
+    out = placed.drop("source_weight").join(F.broadcast(runs_df), (F.col("_s") == F.col("_rs")) & (run == F.col("_run")))
+    slot = F.element_at("_slots", (F.col("block") % RUN + 1).cast("int"))
     return out.select(*[c for c in docs.columns if c not in ("source_weight", "block", "slot", "place")], "source_weight", "block", slot.cast("long").alias("slot"), "place")
 
 

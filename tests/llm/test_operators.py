@@ -56,6 +56,7 @@ def test_score_without_rows_or_training(spark, none, docs):
     assert context_mixing.score(spark, none, F.lit(False)).count() == 0
     assert all(math.isfinite(r.score) for r in context_mixing.score(spark, docs.limit(5), F.lit(True)).collect())
 
+
 def test_weights_are_trained_on_all_documents(spark, docs, monkeypatch):
     """Also on those whose crc32 isn't 1 modulo 20."""
     got, train = [], context_mixing.train_gates
@@ -149,6 +150,51 @@ def test_mix(spark, docs, none, corpus):
     assert "source_weight" in mixing.mix(none).columns
 
 
+def shares(blocks, weights, t):
+    """Blocks of each source by slot t if all sources with blocks left were placed at once, in proportion to their weights."""
+    left, done = dict(blocks), dict.fromkeys(blocks, 0.0)
+    while t > 1e-9 and left:
+        w = math.fsum(weights[s] for s in left)
+        step = min(t, min(left[s] / weights[s] for s in left) * w)
+        for s in list(left):
+            done[s] += step * weights[s] / w
+            left[s] -= step * weights[s] / w
+            if left[s] < 1e-9:
+                del left[s]
+        t -= step
+    return done
+
+
+def test_mix_keeps_to_the_real_weights(spark):
+    """300 sources, none of them lumped or rounded, are within a block of their shares at every slot."""
+    rng = random.Random(44)
+    n = {f"s{i:03}": 1 + i % 7 for i in range(299)} | {"hot": 900}
+    weights = {s: rng.uniform(0.001, 1) for s in n} | {"hot": 40.0}
+    rows = [(i, s) for i, s in enumerate(s for s, k in n.items() for _ in range(k))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights=weights, block_docs=1).collect()
+    assert len(got) == len(rows)
+    total, seen = math.fsum(weights.values()), Counter()
+    for r in got:
+        assert r.source_weight == pytest.approx(weights[r.source] / total, rel=1e-12)
+    for r in sorted(got, key=lambda r: r.slot):
+        seen[r.source] += 1
+        if r.slot % 10 == 0:
+            want = shares(n, weights, r.slot + 1)
+            assert all(abs(seen[s] - want[s]) < 1 + 1e-6 for s in n)
+
+
+def test_long_schedule_has_no_drift():
+    blocks = {f"s{i}": 10_000 for i in range(19)} | {"hot": 12_000}
+    weights = {s: k**0.5 for s, k in blocks.items()}
+    total, seen = sum(weights.values()), Counter()
+    order = sorted((t, s) for s, x in mixing.schedule(blocks, weights).items() for t in x)
+    assert [t for t, _ in order] == list(range(sum(blocks.values())))
+    for t, s in order[:180_000]:
+        seen[s] += 1
+        assert abs(seen[s] - (t + 1) * weights[s] / total) < 1
+        assert t % 500 or all(abs(seen[x] - (t + 1) * weights[x] / total) < 1 for x in blocks)
+
+
 def test_phases_end_with_the_sources():
     blocks, quota = {"a": 100, "b": 7, "c": 40}, {"a": 2, "b": 3, "c": 5}
     total = Counter()

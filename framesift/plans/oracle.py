@@ -146,6 +146,7 @@ ORACLE_SQL = {
     "pii_redact_text": f"SELECT doc_id, md5({_redacted('text')}) AS redacted_md5 FROM documents",
     "pii_custom_patterns": "SELECT doc_id, pattern, count(*) AS n FROM (" + _each("documents", "doc_id", "text", [(n, r) for n, r in BUILTIN if n != "ip_address"] + [("license", r"\b(?:MIT|Apache|GPL)\b")]) + ") GROUP BY ALL",
     "image_scan": f"WITH {PX} SELECT vec_id, 'png' AS source_format, CAST(rn - 1 AS INTEGER) AS seq_pos, round(avg(p), 4) AS mean FROM px WHERE label = 0 GROUP BY vec_id, rn",
+    "image_scan_all": f"WITH {PX} SELECT label, vec_id, 'png' AS source_format, CAST(rn - 1 AS INTEGER) AS seq_pos, round(avg(p), 4) AS mean FROM px GROUP BY label, vec_id, rn",
     "ocr_redaction": CASCADE.rstrip()
     + """, lf AS (SELECT vec_id, avg(p) FILTER (WHERE x < 4) < 120 AS dark, avg(p) AS m, avg(CASE WHEN x < 4 THEN 0 ELSE p END) AS md FROM px GROUP BY vec_id)
  SELECT ca.vec_id, is_kf AS is_keyframe, CASE WHEN is_kf THEN dark END AS pii_detected, round(CASE WHEN is_kf AND dark THEN md ELSE m END, 4) AS mean FROM ca JOIN lf ON lf.vec_id = ca.vec_id""",

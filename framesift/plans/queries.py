@@ -462,6 +462,30 @@ def image_scan(spark: SparkSession, sf: str) -> DataFrame:
     return f.select(F.regexp_extract("frame_id", "_0*([0-9]+)$", 1).cast("long").alias("vec_id"), "source_format", F.col("seq_pos").cast("int").alias("seq_pos"), F.round(F.col("m")[0], 4).alias("mean"))
 
 
+@query
+def image_scan_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Pictures of all frames, a directory for each label, written by the sink and read by the directory source."""
+    import uuid
+    from functools import reduce
+
+    from ..sources import images, sinks
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/framesift"
+    out = f"{root}/pictures-{uuid.uuid4().hex}"
+    f = V.frames(spark, sf)
+    folder = F.concat(F.lit(f"{out}/label_"), F.coalesce(F.col("label").cast("string"), F.lit("none")), F.lit("/"))
+    asset = F.concat(folder, F.format_string("frame_%012d.png", "vec_id"))
+    sinks.save_keyframes(f.select("frame", F.lit(True).alias("is_keyframe"), asset.alias("asset_path"))).count()
+
+    def scanned(label) -> DataFrame:
+        d = images.frames_from_dir(spark, f"{out}/label_{'none' if label is None else label}")
+        return d.withColumn("label", F.lit(label).cast(f.schema["label"].dataType))
+
+    labels = [r["label"] for r in f.select("label").distinct().collect()]
+    found = reduce(DataFrame.unionByName, map(scanned, labels)).withColumn("m", C.channel_means(F.col("frame")))
+    return found.select("label", F.regexp_extract("frame_id", "_0*([0-9]+)$", 1).cast("long").alias("vec_id"), "source_format", F.col("seq_pos").cast("int").alias("seq_pos"), F.round(F.col("m")[0], 4).alias("mean"))
+
+
 def fake_engine():
     """Stands in for text recognition: reads an address in the left half of any picture that is dark there."""
 

@@ -24,3 +24,9 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 500
+
+
+def test_all_frames_are_written_and_scanned(spark):
+    """Of every label, not of the first alone."""
+    got = QUERIES["image_scan_all"](spark, SF)
+    assert got.count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()

@@ -9,6 +9,7 @@ fragment and summed per pair, which gives the exact similarity.
 Components need no pair within a component that is known already. In two rounds each set is tried against one that stands in the middle of
 most of its lists; the links found so join most of a group. Then the pairs of sets that share a list and are in different components
 yet are counted, all of them, so no link between different components is lost, and none is counted within a large group.
+The query also gives each document's number of links, for which all pairs of sets that share a list are counted, in one round.
 
 Hashes of n-grams and of sets have 64 bits. Null or empty text, or one without words: empty set, linked with nothing. Fewer words
 than n: the whole sequence is one n-gram. Null doc_id: such documents take part and link others; a component of none but such has a
@@ -125,7 +126,7 @@ def nodes_of(spark: SparkSession, docs: DataFrame, n: int, percent: int, *keep:
 
 
 def _by_list(emit, names: list[str], width: int):
-    """mapInArrow over rows (token, node, n, ..) sorted by token and n: emit(columns of a list of two or more) gives columns of output."""
+    """mapInArrow over rows (token, node, n, ..) sorted by token and n: emit(columns of a list of two or more) gives columns of output, in pieces."""
 
     def run(it):
         rest = None
@@ -136,13 +137,15 @@ def _by_list(emit, names: list[str], width: int):
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-        def lists(cols: list[np.ndarray]) -> None:
+        def lists(cols: list[np.ndarray]):
             starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
             size = np.diff(np.r_[starts, len(cols[0])])
             for s, m in zip(starts[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-                got = emit([c[s : s + m] for c in cols])
-                if len(got[0]):
-                    out.append(got)
+                for got in emit([c[s : s + m] for c in cols]):
+                    if len(got[0]):
+                        out.append(got)
+                    if sum(len(o[0]) for o in out) > 50_000:
+                        yield batch()
 
         for b in it:
             cols = [b.column(i).to_numpy() for i in range(width)]
@@ -153,25 +156,23 @@ def _by_list(emit, names: list[str], width: int):
             last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
             rest = [c[last:] for c in cols]
             if last:
-                lists([c[:last] for c in cols])
-            if sum(len(o[0]) for o in out) > 50_000:
-                yield batch()
+                yield from lists([c[:last] for c in cols])
         if rest is not None and len(rest[0]):
-            lists(rest)
+            yield from lists(rest)
         if out:
             yield batch()
 
     return run
 
 
-def _listed(cols: list[np.ndarray]) -> list[np.ndarray]:
-    return cols
+def _listed(cols: list[np.ndarray]) -> list[list[np.ndarray]]:
+    return [cols]
 
 
 def _tries(percent: int):
     """Pairs of a list's sets with the sets of highest rank in reach of them, where their labels differ: a, b, na, nb."""
 
-    def emit(cols: list[np.ndarray]) -> list[np.ndarray]:
+    def emit(cols: list[np.ndarray]) -> list[list[np.ndarray]]:
         _, node, n, label, rank, most = cols
         lo, hi = np.searchsorted(n, -(-n * percent // 100), "left"), np.searchsorted(n, n * 100 // percent, "right")
         free = np.ones(len(n), bool)
@@ -186,7 +187,7 @@ def _tries(percent: int):
             i.append(np.full(len(reached), at))
             j.append(reached)
         i, j = np.concatenate(i), np.concatenate(j)
-        return [node[i], node[j], n[i], n[j]]
+        return [[node[i], node[j], n[i], n[j]]]
 
     return emit
 
@@ -195,20 +196,27 @@ def _across(percent: int):
     """All pairs of a list's sets in reach of each other with different labels, where both have as many n-grams in lists as linked sets
     of their sizes share: a < b, na, nb."""
 
-    def emit(cols: list[np.ndarray]) -> list[np.ndarray]:
+    def emit(cols: list[np.ndarray]):
         _, node, n, label, _, most = cols
         if label.min() == label.max():
-            return [node[:0]] * 4
+            return
         names, of, size = np.unique(label, return_inverse=True, return_counts=True)
         main = of == int(size.argmax())
         reach = np.searchsorted(n, n * 100 // percent, "right")
-        rows = [[], []]
+        rows, held = [[], []], 0
         for k in range(len(n)):  # from each set upward; from those of the main label only to the others
             j = np.arange(k + 1, reach[k])
             j = j[((~main[j]) if main[k] else (of[j] != of[k])) & (np.minimum(most[j], most[k]) >= must_share(n[j], n[k], percent))]
             rows[0].append(np.full(len(j), k))
             rows[1].append(j)
-        i, j = np.concatenate(rows[0]), np.concatenate(rows[1])
+            held += len(j)
+            if held > 50_000:
+                yield ordered(node, n, *map(np.concatenate, rows))
+                rows, held = [[], []], 0
+        if held:
+            yield ordered(node, n, *map(np.concatenate, rows))
+
+    def ordered(node: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
         swap = node[i] > node[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         return [node[i], node[j], n[i], n[j]]
@@ -261,8 +269,9 @@ def overlaps(spark: SparkSession, docs: DataFrame, hashes: DataFrame, pairs: Dat
     return out
 
 
-def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, *keep: str) -> tuple[DataFrame, DataFrame]:
-    """(columns kept with n_shingles, node and text_hash) of every document, and (node, label) of every node that is linked to another."""
+def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, *keep: str, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(columns kept with n_shingles, node and text_hash) of every document, (node, label) of every node that is linked to another, and
+    the links (a, b) found, if any: all there are with `every`, else as many as tell the components."""
     small_batches(spark)
     of_docs = cut(nodes_of(spark, docs, n, percent, *keep), "nodes")
     distinct = of_docs.where("node is not null").dropDuplicates(["node"])
@@ -284,7 +293,7 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, *k
         found = ordered.mapInArrow(_by_list(emit, ["a", "b", "na", "nb"], 6), "a long, b long, na long, nb long")
         return found.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").alias("shared")).where(F.col("shared") >= least)
 
-    for step in ("central", "linked", "all"):
+    for step in ("all",) if every else ("central", "linked", "all"):
         if step == "all":
             found = pairs(_across(percent), None).drop("shared")
         else:
@@ -304,15 +313,21 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, *k
     drop(lists)
     if labels is None:
         labels = spark.createDataFrame([], "node long, label long")
-    return of_docs.select(*keep, "n_shingles", "node", "text_hash"), labels
+    return of_docs.select(*keep, "n_shingles", "node", "text_hash"), labels, links
 
 
 def linked_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id, a row for each document."""
-    of_docs, labels = link(spark, docs, n, percent, "doc_id")
+    """doc_id, n_shingles, component_id and n_links, a row for each document. n_links: of its set, with other sets."""
+    of_docs, labels, links = link(spark, docs, n, percent, "doc_id", every=True)
     named = of_docs.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if links is None:
+        named = named.withColumn("n_links", F.lit(0).cast("long"))
+    else:
+        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+        named = named.join(ends.groupBy("node").agg(F.count("*").alias("n_links")), "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     ids = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(ids, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return named.join(ids, "label", "left").select("doc_id", "n_shingles", component.alias("component_id"), "n_links")
 
 
 def op9_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,7 +337,7 @@ def op9_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs without near-duplicates: of each component the document with the least doc_id stays (a null id comes last; of equal ids the
     text with the least hash; of equal rows one). Documents without words stay."""
-    of_docs, labels = link(spark, docs, n, percent, "doc_id")
+    of_docs, labels, _ = link(spark, docs, n, percent, "doc_id")
     named = of_docs.where("node is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("w"))
     best = best.select(F.col("w.doc_id").alias("_id"), F.col("w.text_hash").alias("_hash"))

@@ -382,6 +382,15 @@ def test_links(spark, docs, corpus, n, percent):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
+def test_all_links_are_counted(spark, docs, corpus):
+    """Also those between sets that other links put in one component."""
+    sets = {brute.shingle_set(r[1], 3) for r in corpus} - {frozenset()}
+    linked = {x: sum(x != y and 100 * len(x & y) >= 90 * len(x | y) for y in sets) for x in sets} | {frozenset(): 0}
+    got = jaccard_join.linked_components(spark, docs, 3, 90).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == Counter((r[0], linked[brute.shingle_set(r[1], 3)]) for r in corpus)
+    assert max(linked.values()) > 5
+
+
 def test_one_of_each(spark, docs, none, corpus):
     kept = jaccard_join.one_of_each(spark, docs, 3, 90)
     assert kept.columns == docs.columns

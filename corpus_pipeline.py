@@ -34,15 +34,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture: files and their rows follow the slots."""
+    """All documents with their slot and place in the mixture; files and their rows follow them, but readers may not."""
     mixed = mixing.mix(docs)
-    return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+    return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns, "slot", "place")
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 1024 ids."""
+    """Pieces of the documents in windows of 1024 ids. Each task packs a range of the mixture's slots, and sequences are numbered in their order."""
     import public_tokenizers
 
+    docs = docs.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
     return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -14,16 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 500, size: str = "8m") -> None:
-    """Bounds what one Arrow batch holds, so that a worker's memory follows the batch, not the partition."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which the cluster shares; a local one only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which the cluster shares. Where that is unset, a session in one process has a local
+    folder of its own; a cluster is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         root = "/tmp/checkpoints/framesift"
         spark.sparkContext.setCheckpointDir(root)
     if "://" not in root and root.startswith("/"):
@@ -41,9 +39,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(df: DataFrame) -> None:
-    """Deletes what cut() wrote, once nothing reads it any more, and lets Spark drop the shuffles of finished jobs."""
+    """Deletes what cut() wrote, once nothing reads it any more."""
     drop_dir(df.sparkSession, df._cut_path)
-    df.sparkSession._jvm.System.gc()
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
@@ -61,10 +58,18 @@ def text_bytes(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.coalesce(df["text"], F.lit("")).cast("binary").alias("text"))
 
 
-def batches(it: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+def sliced(it: Iterator[pa.RecordBatch], rows: int = 500, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows and about `size` bytes (one row at least), none empty. A worker's memory follows
+    the slice, whatever the session's batch size is; Spark itself bounds the bytes of a batch."""
     for b in it:
-        if b.num_rows:
-            yield {n: c.to_pylist() for n, c in zip(b.schema.names, b.columns, strict=True)}
+        step = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
+        for lo in range(0, b.num_rows, step):
+            yield b.slice(lo, step)
+
+
+def batches(it: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[dict[str, list]]:
+    for b in sliced(it, rows):
+        yield {n: c.to_pylist() for n, c in zip(b.schema.names, b.columns, strict=True)}
 
 
 def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, crc_mod, cut, small_batches, table
+from .common import batches, crc_mod, cut, table
 
 BITS = 22
 SLOTS = 1 << BITS
@@ -432,7 +432,6 @@ def refine(z: np.ndarray, x: np.ndarray, first: np.ndarray, n: np.ndarray, docs:
 
 def score(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:
     """Contract columns and bits_per_byte of every document; held_out: a condition on docs that leaves a document out of training."""
-    small_batches(spark)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), held_out.alias("held_out"))
     by_byte = byte_counts(texts)
     size = int(by_byte.sum())

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, range_bounds, range_bucket, small_batches, table, text_bytes
+from .common import batches, range_bounds, range_bucket, table, text_bytes
 
 P = (1 << 31) - 1
 BASES = (1_000_003_243, 1_500_450_271)
@@ -140,7 +140,6 @@ def edited(text: str, following: str) -> str:
 def fingerprints(spark: SparkSession, docs: DataFrame, rows_a_task: int = 1024) -> DataFrame:
     """Contract columns of every document. The texts are shuffled once, by ranges of doc_id; the first document of each range is
     also sent to the range before it, as what follows its last."""
-    small_batches(spark)
     texts = text_bytes(docs, "doc_id")
     n = min(1 << 16, texts.count() // rows_a_task + 1)
     bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(range_bucket(F.col("doc_id"), range_bounds(docs.select("doc_id"), "doc_id", n)))

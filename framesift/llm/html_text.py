@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, small_batches, table
+from .common import batches, table
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
@@ -164,7 +164,6 @@ def main_text(html: str | None) -> str:
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page; pages are parsed where they are read."""
-    small_batches(spark)
 
     def run(it):
         for b in batches(it):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, crc_mod, small_batches, table, text_bytes
+from .common import batches, crc_mod, table, text_bytes
 
 CELL_BITS = 16
 MOST_LANGUAGES = 4
@@ -112,7 +112,6 @@ def infer(texts: list[bytes], p: np.ndarray, penalty: float, rounds: int = 12) -
 
 def predict(spark: SparkSession, docs: DataFrame, names: list[str], p: np.ndarray, *keep: str, penalty: float = 3.0) -> DataFrame:
     """The columns kept, lang_pred, score and the proportions (language to share) of each document."""
-    small_batches(spark)
     model = spark.sparkContext.broadcast((names, p))  # 2^16 cells a language
 
     def run(it):
@@ -137,7 +136,6 @@ def held_out(docs: DataFrame):
 
 
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = learn(spark, docs.where(~held_out(docs)))
     marked = docs.withColumn("held_out", held_out(docs))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batches, small_batches, table, text_bytes
+from .common import batches, table, text_bytes
 from .tokens import encode_sliced, encoder
 
 WINDOW = 1024
@@ -103,7 +103,6 @@ class SquaresPacker:
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WINDOW) -> DataFrame:
     """One row per piece. Each input partition is packed alone, so nothing is shuffled and no state outgrows a partition."""
-    small_batches(spark)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(it):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, small_batches, table, text_bytes
+from .common import batches, table, text_bytes
 
 SPACES = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -162,7 +162,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np
 
 def verdicts(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_score: float = 0.5) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the trees' score, a row for each document."""
-    small_batches(spark)
     trees = fit(*training_rows(docs, labels, max_rows))
 
     def run(it):

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut, shared_dir, small_batches, table, text_bytes
+from .common import batches, cut, shared_dir, table, text_bytes
 from .tokens import encode_sliced, encoder
 
 # Fixed values of the seekable zstandard format.
@@ -131,7 +131,6 @@ class ShardReader:
 
 def write(spark: SparkSession, docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Writes the shards; returns their manifest (shard, path, n_docs, n_ids, start), start: ids of all shards before."""
-    small_batches(spark)
 
     def run(it):
         enc, task = encoder(tokenizer_path), TaskContext.get()

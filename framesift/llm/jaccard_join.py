@@ -1,68 +1,135 @@
 """Links between documents whose sets of word n-grams have a Jaccard similarity of a threshold or more, and their components.
 
 The n-grams have one global order: those that are frequent in the corpus last, else by their hash. Equal sets are one node. The
-order is cut into fragments (vertical partitioning). The first fragment of a set is its prefix, by which any two linked sets share
-an n-gram; partial overlaps there are counted over an inverted list, and summed per pair. A pair whose sum is under what linked
-sets of their sizes must share in their prefixes is no link, and is dropped. The overlaps of the other pairs are counted fragment by
-fragment and summed per pair, which gives the exact similarity.
+order is cut into fragments (vertical partitioning). The first fragment of a set is its prefix, of which any two linked sets share an
+n-gram. Partial overlaps are counted a fragment at a time and summed per pair; a set that can reach no partner any more, even if all that
+is left of it were shared, is dropped before the next fragment.
 
-Components need no pair within a component that is known already. In two rounds each set is tried against one that stands in the middle of
-most of its lists; the links found so join most of a group. Then the pairs of sets that share a list and are in different components
-yet are counted, all of them, so no link between different components is lost, and none is counted within a large group.
-The query also gives each document's number of links, for which all pairs of sets that share a list are counted, in one round.
+Neither candidates nor links are made as rows of pairs. Sets that share prefix n-grams with the same set of high rank are a cluster, by
+their sizes; clusters that share too few prefix n-grams for any link between them are left apart. What remains is compared in blocks:
+a task holds one block of a cluster, and the sets of its other blocks and of the clusters beside it stream past. Overlaps of two blocks
+are a matrix, the sum of one product a fragment. A task gives, for each set with links, their number and one set of the same component,
+so rows grow with sets and blocks, and no link is lost. Blocks and streams are cut to a fixed size, so a large cluster is many tasks.
 
-Hashes of n-grams and of sets have 64 bits. Null or empty text, or one without words: empty set, linked with nothing. Fewer words
+Hashes of words, n-grams and sets have 64 bits. Null or empty text, or one without words: empty set, linked with nothing. Fewer words
 than n: the whole sequence is one n-gram. Null doc_id: such documents take part and link others; a component of none but such has a
 null id. Repeated rows: equal sets. Empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, cut, drop, small_batches, table
+from .common import cut, drop, sliced, table
 from .graph import components
 
 FRAGMENTS = 4
+#: Columns of a fragment's matrices at most; more n-grams are cut into more fragments.
+COLUMNS = 4096
+#: Sets and bytes of a block, and sets that stream past it in one task.
+BLOCK_SETS, BLOCK_BYTES, STREAM_SETS = 512, 4 << 20, 1024
+#: Size classes of a cluster's sets for each step by the threshold.
+CLASSES = 4
 COUNTED = 3 << 20
-KEPT_WORDS = 200_000
+PIECE = 1 << 20
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
-_words: dict[bytes, int] = {}
-
-
-def shingles(text: bytes, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams; A-Z count as a-z."""
-    import xxhash
-
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_words) > KEPT_WORDS:
-        _words.clear()
-    get, put, digest = _words.get, _words.setdefault, xxhash.xxh3_64_intdigest
-    h = np.array([get(w) or put(w, digest(w)) for w in words], np.uint64)
-    k = min(n, len(h))
-    size = len(h) - k + 1
-    out = np.full(size, k, np.uint64)
-    for i in range(k):
-        v = (h[i : i + size] ^ out) * _MIX[i % len(_MIX)]
-        out = (v ^ (v >> np.uint64(29))) + (out << np.uint64(7))
-    out *= _MIX[0]
-    out ^= out >> np.uint64(32)
-    return np.unique(out)
-
-
-def prefix_size(n: np.ndarray | int, percent: int):
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Value of a byte in the hash of a word, A-Z as a-z; blanks have none.
+_VALUE = np.where(_SPACE, 0, np.arange(256) + 1 + 32 * ((np.arange(256) > 64) & (np.arange(256) < 91))).astype(np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(n, _MIX[0], np.uint64)])
+
+
+_POWERS = _powers(1 << 12)
+
+
+def _hashed(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie end to end and begin at starts; and where the words begin."""
+    word = ~_SPACE[text]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    starts = starts[starts < len(text)]
+    first[starts] = word[starts]
+    at = np.flatnonzero(first)
+    if not len(at):
+        return np.zeros(0, np.uint64), at
+    size = np.diff(np.r_[at, len(text)])
+    powers = _POWERS if size.max() <= len(_POWERS) else _powers(int(size.max()))
+    place = np.arange(at[0], len(text)) - np.repeat(at, size)
+    h = np.add.reduceat(_VALUE[text[at[0] :]] * powers[place], at - at[0])
+    h = (h ^ (h >> np.uint64(29))) * _MIX[1]
+    return h ^ (h >> np.uint64(32)), at
+
+
+def word_hashes(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of texts that lie end to end, and the bounds of each text's words. About PIECE bytes are worked on at a time."""
+    out, counts = [], np.zeros(len(offsets), np.int64)
+    i, last = 0, len(offsets) - 1
+    while i < last:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
+        lo, hi = int(offsets[i]), int(offsets[j])
+        while hi - lo > PIECE:  # one long text: cut at a blank
+            blank = np.flatnonzero(_SPACE[text[lo : lo + PIECE]])
+            end = lo + int(blank[-1]) + 1 if len(blank) else hi
+            if not len(blank):
+                more = np.flatnonzero(_SPACE[text[lo + PIECE : hi]])
+                end = lo + PIECE + int(more[0]) if len(more) else hi
+            h, _ = _hashed(text[lo:end], np.zeros(1, np.int64))
+            out.append(h)
+            counts[j] += len(h)
+            lo = end
+        if hi > lo:
+            starts = offsets[i:j] - lo if j > i + 1 else np.zeros(1, np.int64)
+            h, at = _hashed(text[lo:hi], starts)
+            out.append(h)
+            counts[i + 1 : j + 1] += np.diff(np.searchsorted(at, np.r_[starts, hi - lo]))
+        i = j
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.cumsum(counts)
+
+
+def _combined(parts: list[np.ndarray]) -> np.ndarray:
+    x = np.full(len(parts[0]), len(parts), np.uint64)
+    for i, h in enumerate(parts):
+        v = (h ^ x) * _MIX[i % len(_MIX)]
+        x = (v ^ (v >> np.uint64(29))) + (x << np.uint64(7))
+    x *= _MIX[0]
+    return x ^ (x >> np.uint64(32))
+
+
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Of each text (binary, not null): the sorted distinct 64-bit hashes of its word n-grams; A-Z count as a-z."""
+    a = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
+    text = np.frombuffer(a.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    h, at = word_hashes(text, offsets - offsets[0])
+    size = len(h) - n + 1
+    grams = _combined([h[i : i + size] for i in range(n)]) if size > 0 else h[:0]
+    out = []
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if hi - lo >= n:
+            s = grams[lo : hi - n + 1]
+            s.sort()
+            if hi - lo > n:
+                s = s[np.r_[True, s[1:] != s[:-1]]]
+        else:
+            s = _combined([h[i : i + 1] for i in range(lo, hi)]) if hi > lo else h[:0]
+        out.append(s)
+    return out
+
+
+def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def must_share(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """N-grams that linked sets of these sizes share within their prefixes, at least."""
-    both = -(-percent * (na + nb) // (100 + percent))
-    return both + 1 - -(-percent * np.maximum(na, nb) // 100)
+def _texts(docs: DataFrame, *columns) -> DataFrame:
+    return docs.select(*columns, F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
 
 def frequent(spark: SparkSession, docs: DataFrame, n: int, share: int = 8000, least: int = 32) -> np.ndarray:
@@ -72,8 +139,8 @@ def frequent(spark: SparkSession, docs: DataFrame, n: int, share: int = 8000, le
 
     def run(it):
         held, size = [], 0
-        for b in batches(it):
-            got = [shingles(t, n) for t in b["text"]]
+        for b in sliced(it):
+            got = shingle_sets(b.column(0), n)
             held += got
             size += sum(map(len, got))
             if size >= COUNTED:
@@ -91,10 +158,6 @@ def frequent(spark: SparkSession, docs: DataFrame, n: int, share: int = 8000, le
     return np.sort(rows.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-
-
 def nodes_of(spark: SparkSession, docs: DataFrame, n: int, percent: int, *keep: str) -> DataFrame:
     """Columns kept, n_shingles, node (hash of the set; null if empty), text_hash and the prefix in the global order."""
     hot = spark.sparkContext.broadcast(frequent(spark, docs, n))  # bounded: see frequent()
@@ -102,229 +165,242 @@ def nodes_of(spark: SparkSession, docs: DataFrame, n: int, percent: int, *keep:
     def run(it):
         import xxhash
 
-        often = hot.value
-        for batch in it:
-            if not batch.num_rows:
-                continue
-            sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
-            out = []
+        often, low = hot.value, np.uint64((1 << 22) - 1)
+        maybe = np.zeros(1 << 22, bool)
+        maybe[often & low] = True
+        for batch in sliced(it):
+            sets = shingle_sets(batch.column("text"), n)
+            h = np.concatenate(sets)
+            at = np.flatnonzero(maybe[h & low])
+            late = np.zeros(len(h), bool)
+            if len(at):
+                late[at] = often[np.minimum(np.searchsorted(often, h[at]), len(often) - 1)] == h[at]
+            out, lo = [], 0
             for s in sets:
-                p = prefix_size(len(s), percent) if len(s) else 0
-                if len(often) and p:
-                    at = np.searchsorted(often, s)
-                    late = often[np.minimum(at, len(often) - 1)] == s
-                    s = np.concatenate([s[~late][:p], s[late][:p]])
-                out.append(s[:p].view(np.int64))
-            cols = [batch.column(c) for c in (*keep, "text_hash")]
-            node = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
-            cols += [pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(out, pa.list_(pa.int64()))]
+                p, its = prefix_size(len(s), percent) if len(s) else 0, late[lo : lo + len(s)]
+                lo += len(s)
+                out.append((np.concatenate([s[~its][:p], s[its][:p]]) if its.any() else s)[:p])
+            node = [xxhash.xxh3_64_intdigest(s) - (1 << 63) if len(s) else None for s in sets]
+            prefix = pa.ListArray.from_arrays(np.cumsum([0] + [len(x) for x in out]).astype(np.int32), np.concatenate(out).view(np.int64))
+            cols = [batch.column(c) for c in (*keep, "text_hash")] + [pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), prefix]
             yield pa.RecordBatch.from_arrays(cols, [*keep, "text_hash", "n_shingles", "node", "prefix"])
 
-    rows = docs.select(*keep, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = _texts(docs, *keep, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*keep, "text_hash"))
     return rows.mapInArrow(run, f"{schema}, n_shingles long, node long, prefix array<long>")
 
 
-def _by_list(emit, names: list[str], width: int):
-    """mapInArrow over rows (token, node, n, ..) sorted by token and n: emit(columns of a list of two or more) gives columns of output, in pieces."""
+def clusters(lists: DataFrame, percent: int) -> DataFrame:
+    """(node, n, most, key, class) of every node in lists (token, node, n, df): the key stands for the set of highest rank with which it shares
+    an n-gram, and for the class of its size. The rank is the sum of the lists' lengths; most: its n-grams in lists."""
+    rank = lists.groupBy("node").agg(F.sum("df").alias("rank"))
+    named = lists.join(rank, "node")
+    tops = named.groupBy("token").agg(F.max(F.struct("rank", "node")).alias("top"))
+    homes = lists.join(tops, "token").groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("most"), F.max("top").alias("top"))
+    step = math.log(100 / percent) / CLASSES * (1 + 1e-9) if percent < 100 else 1e-9
+    sized = homes.withColumn("class", F.floor(F.log("n") / step))
+    return sized.select("node", "n", "most", F.xxhash64("top.node", "class").alias("key"), "class")
+
+
+def _floor_shared(lo, hi, percent: int):
+    """Linked sets of lo and hi n-grams or of sizes between share more prefix n-grams than this."""
+    t = percent / 100
+    return t / (1 + t) * (lo - t * F.least(hi, lo / t)) - 1e-6
+
+
+def neighbours(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(key, cnt, bytes, other, floor): pairs of clusters, and clusters of two or more sets with themselves, that may hold links. The one with
+    more bytes comes first; a set with links there has more prefix n-grams in lists than floor."""
+    keys = members.groupBy("key").agg(F.count("*").alias("cnt"), F.sum("n").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    found = lists.select("token", "node").join(members.select("node", "key", "class"), "node").select("token", "key", "class").distinct()
+    beside = found.select("token", F.col("key").alias("other"), F.col("class").alias("class2"))
+    near = found.join(beside, "token").where((F.col("key") < F.col("other")) & (F.abs(F.col("class") - F.col("class2")) <= CLASSES))
+    shared = near.groupBy("key", "other").agg(F.count("*").alias("shared"))
+    right = keys.select(F.col("key").alias("other"), *[F.col(c).alias(f"{c}2") for c in ("cnt", "size", "lo", "hi")])
+    both = shared.join(keys, "key").join(right, "other").withColumn("floor", _floor_shared(F.least("lo", "lo2"), F.greatest("hi", "hi2"), percent))
+    both = both.where(F.col("shared") > F.col("floor"))
+    first = F.col("size") >= F.col("size2")
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    pairs = both.select(pick("key", "other").alias("key"), pick("cnt", "cnt2").alias("cnt"), pick("size", "size2").alias("size"), pick("other", "key").alias("other"), "floor", pick("cnt2", "cnt").alias("load"))
+    own = keys.where("cnt > 1").select("key", "cnt", "size", F.col("key").alias("other"), _floor_shared(F.col("lo"), F.col("hi"), percent).alias("floor"), F.col("cnt").alias("load"))
+    return pairs.unionByName(own)
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> np.ndarray:
+    """Which sets of a and b (None: a itself) are links: partial overlaps, a matrix product a fragment, summed per pair."""
+    own = b is None
+    sides = [a] if own else [a, b]
+    tokens = [np.concatenate(s) for s in sides]
+    owners = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in sides]
+    sizes = [np.array([len(x) for x in s]) for s in sides]
+    if own:
+        u, c = np.unique(tokens[0], return_counts=True)
+        u = u[c > 1]
+    else:
+        u = np.intersect1d(np.unique(tokens[0]), np.unique(tokens[1]), assume_unique=True)
+    link = np.zeros((len(a), len(a if own else b)), bool)
+    if not len(u):
+        return link
+    columns = []
+    for k, t in enumerate(tokens):
+        at = np.minimum(np.searchsorted(u, t), len(u) - 1)
+        hit = u[at] == t
+        owners[k], at = owners[k][hit], at[hit]
+        columns.append(at)
+    if own:
+        columns, owners, sizes = columns * 2, owners * 2, sizes * 2
+    left = [np.bincount(o, minlength=len(s)).astype(np.float32) for o, s in zip(owners, sizes, strict=True)]
+    need = -(-percent * (sizes[0][:, None] + sizes[1]) // (100 + percent)).astype(np.float32)
+    need[np.minimum(sizes[0][:, None], sizes[1]) * 100 < percent * np.maximum(sizes[0][:, None], sizes[1])] = np.inf
+    if own:
+        np.fill_diagonal(need, np.inf)
+    rows = [np.arange(len(s)) for s in sizes]
+    total = np.zeros(need.shape, np.float32)
+    parts = max(FRAGMENTS, -(-len(u) // COLUMNS))
+    for f in range(parts):
+        can = total + np.minimum(left[0][rows[0]][:, None], left[1][rows[1]]) >= need
+        keep = [can.any(axis=1), can.any(axis=0)]
+        if not keep[0].any():
+            return link
+        if not (keep[0].all() and keep[1].all()):
+            rows = [r[k] for r, k in zip(rows, keep, strict=True)]
+            total, need = total[keep[0]][:, keep[1]], need[keep[0]][:, keep[1]]
+        lo, hi = len(u) * f // parts, len(u) * (f + 1) // parts
+        held = []
+        for k in (0, 1):
+            place = np.full(len(sizes[k]), -1)
+            place[rows[k]] = np.arange(len(rows[k]))
+            x = np.zeros((len(rows[k]), hi - lo), np.float32)
+            at = (columns[k] >= lo) & (columns[k] < hi) & (place[owners[k]] >= 0)
+            x[place[owners[k][at]], columns[k][at] - lo] = 1
+            left[k][rows[k]] -= x.sum(axis=1)
+            held.append(x)
+        total += held[0] @ held[1].T
+    link[np.ix_(*rows)] = total >= need
+    return link
+
+
+def rooted(link: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column with links, the label of a row in the same component of this matrix."""
+    most = len(labels)
+    row = np.arange(most)
+    while True:
+        col = np.where(link, row[:, None], most).min(axis=0, initial=most)
+        least = np.minimum(row, np.where(link, col, most).min(axis=1, initial=most))
+        if (least == row).all():
+            break
+        row = least
+    return labels[row], labels[np.minimum(col, most - 1)]
+
+
+def compared(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, root, links) from rows (key, block, part, side, node, grams), sorted: side 0 is the block, the others stream past."""
+
+    def found(nodes: list[int], a: list, others: list[int] | None, b: list | None):
+        link = overlaps(a, b, percent)
+        if not link.any():
+            return None
+        na = np.array(nodes)
+        root, root_b = rooted(link, na)
+        n = link.sum(axis=1)
+        got = [(na[n > 0], root[n > 0], n[n > 0])]
+        if b is not None:
+            n = link.sum(axis=0)
+            got.append((np.array(others)[n > 0], root_b[n > 0], n[n > 0]))
+        return [np.concatenate(c) for c in zip(*got, strict=True)]
 
     def run(it):
-        rest = None
-        out: list[list[np.ndarray]] = []
-
-        def batch() -> pa.RecordBatch:
-            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+        task, nodes, own, others, streamed, out, size = None, [], [], [], [], [], 0
+
+        def finish(last: bool):
+            if last and task is not None and task[2] == 0 and len(own) > 1:
+                out.append(found(nodes, own, None, None))
+            if streamed and own:
+                out.append(found(nodes, own, others, streamed))
+            others.clear()
+            streamed.clear()
+
+        def batch():
+            got = [x for x in out if x is not None]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
-
-        def lists(cols: list[np.ndarray]):
-            starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
-            size = np.diff(np.r_[starts, len(cols[0])])
-            for s, m in zip(starts[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-                for got in emit([c[s : s + m] for c in cols]):
-                    if len(got[0]):
-                        out.append(got)
-                    if sum(len(o[0]) for o in out) > 50_000:
-                        yield batch()
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*got, strict=True)], ["node", "root", "links"]) if got else None
 
         for b in it:
-            cols = [b.column(i).to_numpy() for i in range(width)]
-            if rest is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-            rest = [c[last:] for c in cols]
-            if last:
-                yield from lists([c[:last] for c in cols])
-        if rest is not None and len(rest[0]):
-            yield from lists(rest)
-        if out:
-            yield batch()
-
-    return run
-
-
-def _listed(cols: list[np.ndarray]) -> list[list[np.ndarray]]:
-    return [cols]
-
-
-def _tries(percent: int):
-    """Pairs of a list's sets with the sets of highest rank in reach of them, where their labels differ: a, b, na, nb."""
-
-    def emit(cols: list[np.ndarray]) -> list[list[np.ndarray]]:
-        _, node, n, label, rank, most = cols
-        lo, hi = np.searchsorted(n, -(-n * percent // 100), "left"), np.searchsorted(n, n * 100 // percent, "right")
-        free = np.ones(len(n), bool)
-        i, j = [], []
-        for at in np.lexsort((node, -rank)).tolist():
-            if not free[at]:
-                continue
-            reached = np.arange(lo[at], hi[at])
-            reached = reached[free[reached]]
-            free[reached] = False
-            reached = reached[(label[reached] != label[at]) & (np.minimum(most[reached], most[at]) >= must_share(n[reached], n[at], percent))]
-            i.append(np.full(len(reached), at))
-            j.append(reached)
-        i, j = np.concatenate(i), np.concatenate(j)
-        return [[node[i], node[j], n[i], n[j]]]
-
-    return emit
-
-
-def _across(percent: int):
-    """All pairs of a list's sets in reach of each other with different labels, where both have as many n-grams in lists as linked sets
-    of their sizes share: a < b, na, nb."""
-
-    def emit(cols: list[np.ndarray]):
-        _, node, n, label, _, most = cols
-        if label.min() == label.max():
-            return
-        names, of, size = np.unique(label, return_inverse=True, return_counts=True)
-        main = of == int(size.argmax())
-        reach = np.searchsorted(n, n * 100 // percent, "right")
-        rows, held = [[], []], 0
-        for k in range(len(n)):  # from each set upward; from those of the main label only to the others
-            j = np.arange(k + 1, reach[k])
-            j = j[((~main[j]) if main[k] else (of[j] != of[k])) & (np.minimum(most[j], most[k]) >= must_share(n[j], n[k], percent))]
-            rows[0].append(np.full(len(j), k))
-            rows[1].append(j)
-            held += len(j)
-            if held > 50_000:
-                yield ordered(node, n, *map(np.concatenate, rows))
-                rows, held = [[], []], 0
-        if held:
-            yield ordered(node, n, *map(np.concatenate, rows))
-
-    def ordered(node: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
-        swap = node[i] > node[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return [node[i], node[j], n[i], n[j]]
-
-    return emit
-
-
-def overlaps(spark: SparkSession, docs: DataFrame, hashes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b, na, nb) that are links. hashes: (node, text_hash) of a text of each node.
-
-    The set of b is sent to each of its pairs by fragments, that of a once for a fragment; rows of a fragment are read in a stream."""
-    small_batches(spark)
-
-    def cut_sets(it):
-        for b in batches(it):
-            nodes, frags, segs = [], [], []
-            for node, text in zip(b["node"], b["text"], strict=True):
-                s = shingles(text, n)
-                edge = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS))
-                for f, part in enumerate(np.split(s, edge)):
+            for *key, side, node, grams in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if key != task:
+                    finish(True)
+                    task = key
+                    nodes.clear()
+                    own.clear()
+                s = np.frombuffer(grams, np.uint64)
+                if not side:
                     nodes.append(node)
-                    frags.append(f)
-                    segs.append(part.tobytes())
-            yield pa.RecordBatch.from_pydict({"node": nodes, "fragment": pa.array(frags, pa.int32()), "part": segs})
-
-    def count(it):
-        hub = None
-        for b in batches(it):
-            out = []
-            for a, f, other, part in zip(b["a"], b["fragment"], b["b"], b["part"], strict=True):
-                s = np.frombuffer(part, np.uint64)
-                if other is None:
-                    hub = s
-                elif len(hub) and len(s):
-                    at = np.searchsorted(hub, s)
-                    out.append((a, other, int((hub[np.minimum(at, len(hub) - 1)] == s).sum())))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "n"])
-
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(hashes, "node")
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    found = wanted.join(texts, "text_hash").select("node", "text").mapInArrow(cut_sets, "node long, fragment int, part binary")
-    sets = cut(found.dropDuplicates(["node", "fragment"]), "sets")
-    hubs = pairs.select(F.col("a").alias("node")).distinct().join(sets, "node").select(F.col("node").alias("a"), "fragment", F.lit(None).cast("long").alias("b"), "part")
-    others = pairs.select("a", F.col("b").alias("node")).join(sets, "node").select("a", "fragment", F.col("node").alias("b"), "part")
-    ordered = hubs.unionByName(others).repartition("a", "fragment").sortWithinPartitions("a", "fragment", F.col("b").asc_nulls_first())
-    summed = ordered.mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    out = cut(summed.join(pairs, ["a", "b"]).where(100 * F.col("n") >= percent * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b"), "links")
-    drop(sets)
-    return out
-
-
-def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, *keep: str, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+                    own.append(s)
+                else:
+                    others.append(node)
+                    streamed.append(s)
+                    size += len(grams)
+                    if len(streamed) >= BLOCK_SETS or size > BLOCK_BYTES:
+                        finish(False)
+                        size = 0
+            if out and (got := batch()) is not None:
+                yield got
+        finish(True)
+        if (got := batch()) is not None:
+            yield got
+
+    return rows.mapInArrow(run, "node long, root long, links long")
+
+
+def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, *keep: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(columns kept with n_shingles, node and text_hash) of every document, (node, label) of every node that is linked to another, and
-    the links (a, b) found, if any: all there are with `every`, else as many as tell the components."""
-    small_batches(spark)
+    (node, n_links), its number of links."""
     of_docs = cut(nodes_of(spark, docs, n, percent, *keep), "nodes")
-    distinct = of_docs.where("node is not null").dropDuplicates(["node"])
-    small_batches(spark, rows=20_000)
-    rows = distinct.select(F.explode("prefix").alias("token"), "node", F.col("n_shingles").alias("n")).repartition("token").sortWithinPartitions("token", "n", "node")
-    lists = cut(rows.mapInArrow(_by_list(_listed, ["token", "node", "n"], 3), "token long, node long, n long"), "lists")
-    hashes = of_docs.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
-    least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)) + 1 - F.ceil(percent * F.greatest("na", "nb") / 100)
-    most = lists.groupBy("node").agg(F.count("*").alias("most"))  # prefix n-grams that another set has too
-    links = labels = None
-
-    def pairs(emit, rank: DataFrame | None) -> DataFrame:
-        """Pairs that emit gives from the lists, with as many shared n-grams as links of their sizes have at least."""
-        small_batches(spark, rows=20_000)
-        named = lists.withColumn("label", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        named = named.withColumn("rank", F.lit(0)) if rank is None else named.join(rank, "node", "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
-        named = named.join(most, "node")
-        ordered = named.select("token", "node", "n", "label", F.col("rank").cast("long").alias("rank"), "most").repartition("token").sortWithinPartitions("token", "n", "node")
-        found = ordered.mapInArrow(_by_list(emit, ["a", "b", "na", "nb"], 6), "a long, b long, na long, nb long")
-        return found.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").alias("shared")).where(F.col("shared") >= least)
-
-    for step in ("all",) if every else ("central", "linked", "all"):
-        if step == "all":
-            found = pairs(_across(percent), None).drop("shared")
-        else:
-            # first by the share of a set's prefix that others have, which is most in the middle of a group; then by links found
-            rank = lists.groupBy("node").agg(F.floor(1000 * F.count("*") / (F.max("n") - F.ceil(percent * F.max("n") / 100) + 1)).alias("rank"))
-            if step == "linked" and links is not None:
-                ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-                rank = ends.groupBy("node").agg(F.count("*").alias("rank"))
-            best = pairs(_tries(percent), rank).groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("shared", "a")).alias("x"))
-            found = best.select("x.a", "b", "x.na", "x.nb")
-        found = cut(found, "pairs")
-        if not found.isEmpty():
-            more = overlaps(spark, docs, hashes, found, n, percent)
-            links = more if links is None else links.unionByName(more)
-            labels = components(links)
-        drop(found)
+    distinct = of_docs.where("node is not null").groupBy("node").agg(F.first("prefix").alias("prefix"), F.max("n_shingles").alias("n"), F.min("text_hash").alias("text_hash"))
+    rows = distinct.select(F.explode("prefix").alias("token"), "node", "n")
+    shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    lists = cut(rows.join(shared, "token"), "lists")
+    members = cut(clusters(lists, percent), "members")
+    pairs = cut(neighbours(lists, members, percent), "clusters")
     drop(lists)
-    if labels is None:
-        labels = spark.createDataFrame([], "node long, label long")
-    return of_docs.select(*keep, "n_shingles", "node", "text_hash"), labels, links
+
+    blocks = F.ceil(F.greatest(F.col("cnt") / BLOCK_SETS, F.col("size") * 8 / BLOCK_BYTES)).cast("int")
+    hubs = pairs.groupBy("key").agg(F.max("cnt").alias("cnt"), F.max("size").alias("size"), F.sum("load").alias("load"))
+    hubs = hubs.select("key", blocks.alias("blocks"), F.ceil(F.col("load") / STREAM_SETS).cast("int").alias("parts"))
+    hubs = cut(hubs, "hubs")
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int")
+
+    # the sets of nodes that may have links in some pair of clusters; floor: the least of these pairs
+    asked = pairs.select("key", "floor").unionByName(pairs.select(F.col("other").alias("key"), "floor")).groupBy("key").agg(F.min("floor").alias("floor"))
+    wanted = members.join(asked, "key").where(F.col("most") > F.col("floor")).select("node", "key", "most")
+    hashes = of_docs.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+    texts = _texts(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    found = wanted.join(hashes, "node").join(texts, "text_hash").select("node", "key", "most", "text")
+
+    def grams(it):
+        for b in sliced(it):
+            sets = [s.tobytes() for s in shingle_sets(b.column("text"), n)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "key", "most")), pa.array(sets, pa.binary())], ["node", "key", "most", "grams"])
+
+    sets = cut(found.mapInArrow(grams, "node long, key long, most long, grams binary").dropDuplicates(["node"]), "sets")
+    own = sets.join(hubs, "key").select("key", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "node", "grams")
+    beside = sets.withColumnRenamed("key", "other").join(pairs.where("key <> other").select("key", "other", "floor"), "other").where(F.col("most") > F.col("floor")).join(hubs, "key")
+    beside = beside.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), F.lit(1).alias("side"), "node", "grams")
+    later = sets.join(hubs.where("blocks > 1"), "key").where(block > 0)
+    later = later.select("key", F.explode(F.sequence(F.lit(0), block - 1)).alias("block"), part.alias("part"), F.lit(1).alias("side"), "node", "grams")
+    tasks = own.unionByName(beside).unionByName(later).repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", "side", "node")
+    got = cut(compared(tasks, percent), "links")
+    for x in (sets, pairs, hubs, members):
+        drop(x)
+    labels = components(got.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return of_docs.select(*keep, "n_shingles", "node", "text_hash"), labels, got.groupBy("node").agg(F.sum("links").alias("n_links"))
 
 
 def linked_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links, a row for each document. n_links: of its set, with other sets."""
-    of_docs, labels, links = link(spark, docs, n, percent, "doc_id", every=True)
-    named = of_docs.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    if links is None:
-        named = named.withColumn("n_links", F.lit(0).cast("long"))
-    else:
-        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-        named = named.join(ends.groupBy("node").agg(F.count("*").alias("n_links")), "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    of_docs, labels, counts = link(spark, docs, n, percent, "doc_id")
+    named = of_docs.join(labels.join(counts, "node"), "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     ids = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return named.join(ids, "label", "left").select("doc_id", "n_shingles", component.alias("component_id"), "n_links")
@@ -336,12 +412,12 @@ def op9_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs without near-duplicates: of each component the document with the least doc_id stays (a null id comes last; of equal ids the
-    text with the least hash; of equal rows one). Documents without words stay."""
+    text with the least hash; of equal rows one). Documents without words stay. Columns of any name pass through."""
     of_docs, labels, _ = link(spark, docs, n, percent, "doc_id")
     named = of_docs.where("node is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("w"))
-    best = best.select(F.col("w.doc_id").alias("_id"), F.col("w.text_hash").alias("_hash"))
+    best = best.select(F.col("w.doc_id").alias("id"), F.col("w.text_hash").alias("hash"))
     words = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    hashed = docs.where(words).withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = hashed.join(best, (F.col("_h") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_h", "doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where(~words))
+    whole = docs.where(words).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("text").alias("doc_hash"))
+    kept = whole.join(best, (F.col("doc_hash") == F.col("hash")) & F.col("doc.doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["hash", "id"])
+    return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns]).unionByName(docs.where(~words))

@@ -1,10 +1,14 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The standard library's parser feeds events as they come. Block elements end a line; a line keeps its text, the tags met in it
-and the container that it stands in. Lines in elements that are never content (navigation, forms, scripts, adverts, comments)
-are left out at once. The text-to-tag ratios of the other lines, in page order, are smoothed with a Gaussian; a threshold found
-by two-means on the smoothed ratios splits them in two clusters. A container is a content region if one of its lines lies in the
-upper cluster; all its lines are kept, short ones too.
+and the container that it stands in. What HTML itself says to be no text of the page (scripts, styles, templates, controls, hidden
+elements) makes no line; what it says to stand beside the content (navigation, headers, footers, asides, forms, or such a role)
+makes lines that count for the ratios but are never kept. No names of classes or ids are looked at.
+
+The text-to-tag ratios of the lines, in page order, are smoothed with a Gaussian. A threshold found by two-means on their logarithms
+splits them in two clusters. A container is a content region if its own ratio, all its text by all its tags, and the smoothed ratio
+of one of its lines lie in the upper cluster, or if none has more text; all its lines are kept then, short ones too. Where a page marks its content by `article` or
+`main`, as HTML defines them, the text outside them stands beside the content; containers in them are looked at like all others.
 
 Null html, or no content: empty text. Broken markup is read as far as the parser goes; an element left open ends with its
 page. Repeated rows: a row each. Null page_id or url: kept null. Empty table: no rows. Other columns are not read.
@@ -27,40 +31,39 @@ BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = set("aside button canvas datalist dialog footer form head header iframe input menu nav noscript object option script search select style svg template textarea title video audio".split())
-CONTAINER = set("article body div main section td".split())
-NEVER_ROLE = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form status note".split())
-NEVER_NAME = re.compile(
-    r"(?:^|[-_ ])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side-bar|aside|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|"
-    r"notices?|cookies?|consent|gdpr|newsletter|subscribe|signup|sign-up|login|popup|modal|overlay|share|sharing|social|related|recommended|comments?|commentlist|replies|reply|disqus|respond|"
-    r"pagination|pager|toolbar|widget|skip-link|copyright|legal|alert|search|form)s?(?:$|[-_ \d])",
-    re.I,
-)
+#: No text of the page, by HTML: nothing in them is a line.
+SILENT = set("audio button canvas datalist head iframe input noscript object option script select style svg template textarea title video".split())
+#: Beside the content, by HTML or ARIA.
+BESIDE = set("aside dialog footer form header menu nav search".split())
+BESIDE_ROLE = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form status note".split())
+CONTAINER = set("article blockquote body div figure main section td".split())
+MARK = set("article main".split())
 TAG_START = set("/!?abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 SPACE = re.compile(r"\s+")
-WHOLE_TITLES = set("article main body html h1 h2 h3 h4 h5 h6 p".split())
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: What an element does to its text, the strongest of it and its ancestors: 0 nothing, 1 beside the content, 2 silent.
+PLAIN, ASIDE, MUTE = 0, 1, 2
 
 
-def never_content(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in NEVER:
-        return True
+def effect(tag: str, attrs: list[tuple[str, str | None]], marked: bool) -> int:
+    """A header in article or main belongs to the content."""
+    if tag in SILENT:
+        return MUTE
     for name, value in attrs:
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and (value or "").lower() in NEVER_ROLE:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value or "", re.I):
-            return True
-        if name in ("class", "id") and value and tag not in WHOLE_TITLES and NEVER_NAME.search(value):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value or ""):
+            return MUTE
+        if name == "role" and (value or "").lower() in BESIDE_ROLE:
+            return ASIDE
+    return ASIDE if tag in BESIDE and not (tag == "header" and marked) else PLAIN
 
 
 class Lines(HTMLParser):
-    """lines: [text, tags, container] of what may be content."""
+    """lines: (text, tags, container, beside the content, in article or main) of each line."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, in what is never content, container
-        self.lines: list[tuple[str, int, int]] = []
+        self.stack: list[tuple[str, int, int, bool]] = []  # tag, effect, container, in article or main
+        self.lines: list[tuple[str, int, int, bool, bool]] = []
         self.text: list[str] = []
         self.tags, self.containers = 0, 0
 
@@ -68,12 +71,12 @@ class Lines(HTMLParser):
         if self.text:
             s = SPACE.sub(" ", "".join(self.text)).strip()
             if s:
-                self.lines.append((s, self.tags, self.stack[-1][2] if self.stack else 0))
+                _, out, container, marked = self.stack[-1] if self.stack else ("", PLAIN, 0, False)
+                self.lines.append((s, self.tags, container, out == ASIDE, marked))
                 self.tags = 0
             self.text.clear()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.tags += 1
         if tag in BLOCK:
             self._end_line()
             if tag in ("p", "li", "tr", "td", "dt", "dd", "option"):
@@ -81,12 +84,16 @@ class Lines(HTMLParser):
         if tag == "br":
             self.text.append(" ")
         if tag in VOID:
+            self.tags += 1
             return
-        _, out, container = self.stack[-1] if self.stack else ("", False, 0)
-        if tag in CONTAINER and not any(t in ("article", "main") for t, _, _ in self.stack):
+        _, out, container, marked = self.stack[-1] if self.stack else ("", PLAIN, 0, False)
+        mine = effect(tag, attrs, marked)
+        self.tags += max(out, mine) != MUTE
+        marked = marked or tag in MARK
+        if tag in CONTAINER or mine > out:
             self.containers += 1
             container = self.containers
-        self.stack.append((tag, out or never_content(tag, attrs), container))
+        self.stack.append((tag, max(out, mine), container, marked))
 
     def _close_same(self, tag: str) -> None:
         """An element of this kind that is open since the nearest container ends here."""
@@ -104,7 +111,7 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
+        self.tags += not self.stack or self.stack[-1][1] != MUTE
         if tag in BLOCK:
             self._end_line()
         for i in range(len(self.stack) - 1, -1, -1):
@@ -115,10 +122,10 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self.stack or not self.stack[-1][1]:
+        if not self.stack or self.stack[-1][1] != MUTE:
             self.text.append(data)
 
-    def done(self) -> list[tuple[str, int, int]]:
+    def done(self) -> list[tuple[str, int, int, bool, bool]]:
         self.close()
         self._end_line()
         return self.lines
@@ -131,18 +138,34 @@ def smooth(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(ratio, kernel)[reach : reach + len(ratio)] / weight
 
 
-def threshold(values: np.ndarray) -> float:
-    """Middle of the two means; the least value where there is one cluster."""
+def threshold(values: np.ndarray, apart: float = 0.7) -> float:
+    """Middle of the two means of the logarithms of ratios; the least value where the means are less than `apart` from each other."""
     lo, hi = float(values.min()), float(values.max())
-    if hi < 2 * lo + 1e-9:
-        return lo
+    least = lo
     for _ in range(20):
         mid = (lo + hi) / 2
         a, b = values[values < mid], values[values >= mid]
         if not len(a) or not len(b):
-            break
+            return least
         lo, hi = float(a.mean()), float(b.mean())
-    return (lo + hi) / 2
+    return (lo + hi) / 2 if hi - lo >= apart else least
+
+
+def regions(lines: list[tuple[str, int, int, bool, bool]]) -> set[int]:
+    """The containers whose lines are content."""
+    size, tags = np.array([len(x[0]) for x in lines], float), np.array([max(1, x[1]) for x in lines], float)
+    names, of = np.unique([x[2] for x in lines], return_inverse=True)
+    own = np.log(np.bincount(of, size) / np.bincount(of, tags))
+    line = np.log(smooth(size / tags))
+    least = threshold(line)
+    marked = any(m and not beside for *_, beside, m in lines)
+    content = np.isin(names, [c for _, _, c, beside, m in lines if not beside and m >= marked])
+    top = np.full(len(names), -np.inf)
+    np.maximum.at(top, of, line)
+    kept = content & (own >= least) & (top >= least)
+    if content.any():  # the one with the most text is content, whatever the clusters are
+        kept[np.where(content, np.bincount(of, size), -1).argmax()] = True
+    return set(names[kept].tolist())
 
 
 def main_text(html: str | None) -> str:
@@ -156,10 +179,8 @@ def main_text(html: str | None) -> str:
     lines = parser.done()
     if not lines:
         return ""
-    ratio = smooth(np.array([len(t) / max(1, n) for t, n, _ in lines]))
-    least = threshold(ratio)
-    regions = {c for (_, _, c), r in zip(lines, ratio, strict=True) if r >= least}
-    return "\n".join(t for t, _, c in lines if c in regions)
+    content = regions(lines)
+    return "\n".join(t for t, _, c, beside, _ in lines if c in content and not beside)
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:

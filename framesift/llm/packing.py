@@ -1,9 +1,10 @@
 """Sum-of-squares packing of tokenized documents into windows.
 
 A document's ids, with an end id, are cut into full windows and a rest. The rest goes to the fill level that makes the sum of
-the squared counts of partly filled windows least; the counts are held in an array by level. What is partly filled at the end
-of a partition is joined and cut anew into full windows, and its last ids into windows whose lengths are powers of two, which
-need no padding.
+the squared counts of partly filled windows least; the counts are held in an array by level. At the end of a partition the fullest
+of the open windows are filled up with the pieces of the emptiest, and the last ids go into windows whose lengths are powers of
+two, which need no padding; all other placements stay. What flush() places so is a smaller share the more documents a task packs:
+the open windows are at most a few hundred, however many documents came before.
 
 Null text: only the end id. Null doc_id: stays null. Repeated rows are packed each. Empty table: no rows. Other columns of the
 input are not read.
@@ -44,6 +45,7 @@ class SquaresPacker:
 
     def __init__(self, window: int = WINDOW):
         self.window, self.counts, self.open, self.made = window, np.zeros(window + 1, np.int64), [[] for _ in range(window + 1)], 0
+        self.moved = 0  # ids that flush() placed
 
     def _new(self) -> int:
         self.made += 1
@@ -84,18 +86,44 @@ class SquaresPacker:
             self.open[h].append((seq, pieces))
 
     def flush(self) -> Iterator[tuple[int, list[Piece]]]:
-        left = [p for h in range(self.window, 0, -1) for _, ps in self.open[h] for p in ps]
-        free = [s for level in self.open for s, _ in level]
-        rest = sum(map(len, left))
+        """Closes the open windows. The fullest stay as they are and are filled up with pieces of the emptiest, cut where need be; what
+        is left in the end goes into windows of a power of two."""
+        windows = [x for h in range(self.window, 0, -1) for x in self.open[h]]
+        at, end = 0, len(windows)
+        spare: list[Piece] = []
+        free: list[int] = []
+        while at < end:
+            seq, pieces = windows[at]
+            at += 1
+            gap = self.window - sum(map(len, pieces))
+            while gap and (spare or at < end):
+                if not spare:
+                    end -= 1
+                    spare = windows[end][1]
+                    free.append(windows[end][0])
+                p = spare.pop()
+                if len(p) > gap:
+                    p, q = p.split(gap)
+                    spare.append(q)
+                pieces.append(p)
+                gap -= len(p)
+                self.moved += len(p)
+            if gap:
+                free.append(seq)
+                spare = pieces
+            else:
+                yield seq, pieces
+        rest = sum(map(len, spare))
+        self.moved += rest
         while rest:
-            size = self.window if rest >= self.window else 1 << (rest.bit_length() - 1)
+            size = 1 << (rest.bit_length() - 1)
             rest -= size
-            pieces: list[Piece] = []
+            pieces = []
             while size:
-                p = left.pop()
+                p = spare.pop()
                 if len(p) > size:
                     p, q = p.split(size)
-                    left.append(q)
+                    spare.append(q)
                 pieces.append(p)
                 size -= len(p)
             yield free.pop() if free else self._new(), pieces

@@ -12,16 +12,41 @@ from array import array
 
 import numpy as np
 
-KEPT = 500_000
+KEPT = 1_000_000
 #: Bytes of the longest piece that is kept.
 LONGEST = 48
 #: Texts of these are single words between single blanks or newlines, where the byte-level pattern always cuts.
 PLAIN = "!-~¡-ɏ"
 PLAIN_TEXT = re.compile(f"[{PLAIN}]++(?:[ \n][{PLAIN}]++)*+")
 PLAIN_PIECE = re.compile(rb"\n| ?[^ \n]+")
+#: A word of Latin letters, each one code point in both normal forms and cases, and a full stop or comma that both patterns hold apart from it.
+_LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])"
+WORD = re.compile(rb"( ?" + _LETTER + rb"++)([.,]?)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: visible Latin-1 characters as themselves, the others by letters from U+0100 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
 _encoders: dict[str, Encoder] = {}
 
 
+class Places(dict):
+    """Places of pieces in a list, given as they come; new pieces are noted."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        k = self[piece] = len(self)
+        self.new.append(piece)
+        return k
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -30,9 +55,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_space = '"end_of_word_suffix":"</w>"' in self.tokenizer.to_str()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept: dict[bytes, bytes] = {}
+        self.places, self.ids = Places(), []
         self.mark = b"\x01" if self.by_space else b"\n"
         self.joint = b" \x01 " if self.by_space else b"\n"
+        self.after = {m: array("I", self.tokenizer.encode(m.decode(), add_special_tokens=False).ids).tobytes() for m in (b"", b".", b",")}
         (self.mark_id,) = self.tokenizer.encode(self.mark.decode(), add_special_tokens=False).ids
 
     def pieces(self, text: bytes) -> list[bytes]:
@@ -44,9 +70,20 @@ class Encoder:
         return PLAIN_PIECE.findall(text) if PLAIN_TEXT.fullmatch(s) else [text]
 
     def encode_pieces(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new pieces. Short ones are joined by a mark that both vocabularies hold apart, and the ids cut at its id."""
+        """Ids of new pieces. Words of Latin letters go straight to the model, which is all that the library does to them. Other short pieces
+        are joined by a mark that both vocabularies hold apart, and the ids cut at its id."""
+        out, others, tokenize = {}, [], self.tokenizer.model.tokenize
+        for p in new:
+            m = WORD.fullmatch(p)
+            if m is None:
+                others.append(p)
+                continue
+            w = m[1].decode().lower().encode() if self.by_space else m[1]
+            w = w.decode().replace(" ", BYTE_LETTERS[32]) if w.isascii() else w.decode("latin-1").translate(BYTE_LETTERS)
+            out[p] = array("I", [t.id for t in tokenize(w)]).tobytes() + self.after[m[2]]
+        new = others
         short = [p for p in new if len(p) <= LONGEST and self.mark not in p]
-        out = {p: array("I", self.tokenizer.encode(p.decode(), add_special_tokens=False).ids).tobytes() for p in new if len(p) > LONGEST or self.mark in p}
+        out |= {p: array("I", self.tokenizer.encode(p.decode(), add_special_tokens=False).ids).tobytes() for p in new if len(p) > LONGEST or self.mark in p}
         if short:
             text = self.joint.join(short) + self.joint
             ids = np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -60,16 +97,23 @@ class Encoder:
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        known = self.kept
-        new = set().union(*cut).difference(known)
-        if not new:
-            return [b"".join([known[p] for p in ps]) for ps in cut]
-        fresh = self.encode_pieces(list(new))
-        if len(known) < KEPT:
-            known.update((p, i) for p, i in fresh.items() if len(p) <= LONGEST)
-        return [b"".join([known[p] if p in known else fresh[p] for p in ps]) for ps in cut]
+        """Each text's ids as little-endian unsigned 32-bit integers. Short pieces that came among the first KEPT stay known."""
+        places, ids, before = self.places, self.ids, len(self.places)
+        at = [list(map(places.__getitem__, self.pieces(t))) if t else [] for t in texts]
+        if new := places.new:
+            fresh = self.encode_pieces(new)
+            ids += map(fresh.__getitem__, new)
+            places.new = []
+        out = [b"".join(map(ids.__getitem__, x)) for x in at]
+        if len(ids) > KEPT or any(len(p) > LONGEST for p in new):
+            for p in new:
+                del places[p]
+            del ids[before:]
+            for p in new:
+                if len(p) <= LONGEST and len(ids) < KEPT:
+                    places[p] = len(ids)
+                    ids.append(fresh[p])
+        return out
 
 
 def encoder(path: str) -> Encoder:

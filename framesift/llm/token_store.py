@@ -5,7 +5,7 @@ skippable frame with the seek table (compressed size, decompressed size and low
 number of frames, a descriptor byte and the seekable magic number). A reader takes the tail, then only the frames it needs.
 
 Shards are written under the shared folder by the tasks, each to a name of its own that is moved in place when whole; a task
-that runs again writes the same bytes. Null text: only the end id. Null doc_id: sorts first. Equal ids: by text. Empty table: no
+that runs again writes the same bytes. Null text: only the end id. Null doc_id: sorts first. Equal ids: by a hash of the text, then the text. Empty table: no
 shards and no rows. Other columns of the input are not read.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ CHECKSUMS = 0x80
 INDEX_SKIPPABLE = 0x184D2A50
 FRAME_BYTES = 1 << 18
 NULL_ID = -(1 << 63)
+#: Bytes of text of a shard; a table has as many shards as it needs, and the session's number of partitions at least.
+SHARD_BYTES = 128 << 20
 
 
 def _fs(path: str):
@@ -46,7 +49,7 @@ class ShardWriter:
 
         self.out, self.dtype, self.frame_bytes = out, "<u4" if wide else "<u2", frame_bytes
         self.compress, self.sum = zstandard.ZstdCompressor(level=3, write_checksum=True).compress, xxhash.xxh64_intdigest
-        self.buffer, self.frames, self.docs, self.lengths, self.n_ids = bytearray(), [], [], [], 0
+        self.buffer, self.frames, self.docs, self.lengths, self.n_ids = bytearray(), [], array("q"), array("I"), 0
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         self.docs.append(NULL_ID if doc_id is None else doc_id)
@@ -66,7 +69,7 @@ class ShardWriter:
     def close(self) -> None:
         if self.buffer:
             self._frame(len(self.buffer))
-        index = self.compress(np.array(self.docs, "<i8").tobytes() + np.array(self.lengths, "<u4").tobytes())
+        index = self.compress(np.asarray(self.docs, "<i8").tobytes() + np.asarray(self.lengths, "<u4").tobytes())
         head = struct.pack("<BI", int(self.dtype == "<u4"), len(self.docs))
         self.out.write(struct.pack("<II", INDEX_SKIPPABLE, len(head) + len(index)) + head + index)
         seek = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), CHECKSUMS, SEEKABLE)
@@ -132,6 +135,8 @@ class ShardReader:
 def write(spark: SparkSession, docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Writes the shards; returns their manifest (shard, path, n_docs, n_ids, start), start: ids of all shards before."""
 
+    end = np.array([end_id], "<u4").tobytes()
+
     def run(it):
         enc, task = encoder(tokenizer_path), TaskContext.get()
         fs, root = _fs(out_dir)
@@ -143,14 +148,17 @@ def write(spark: SparkSession, docs: DataFrame, out_dir: str, tokenizer_path: st
                 out = fs.open_output_stream(tmp)
                 writer = ShardWriter(out, enc.tokenizer.get_vocab_size() > 1 << 16)
             for doc, ids in zip(b["doc_id"], encode_sliced(enc, b["text"]), strict=True):
-                writer.add(doc, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)))
+                writer.add(doc, np.frombuffer(ids + end, "<u4"))
         if writer is not None:
             writer.close()
             out.close()
             fs.move(tmp, final)
             yield pa.RecordBatch.from_pydict({"shard": [k], "path": [f"{out_dir}/shard-{k:06d}.zst"], "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids]})
 
-    ordered = text_bytes(docs, "doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES + 1)
+    texts = text_bytes(docs, "doc_id").withColumn("tie", F.xxhash64("text"))
+    ordered = texts.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     made = cut(ordered.mapInArrow(run, "shard long, path string, n_docs long, n_ids long"), "manifest")
     before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row a shard
     return made.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))

@@ -72,22 +72,12 @@ def batches(it: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[dict[str,
         yield {n: c.to_pylist() for n, c in zip(b.schema.names, b.columns, strict=True)}
 
 
-def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
-    """Up to n - 1 rising values that cut the rows into ranges of about equal counts; n is a number of tasks, not of rows."""
-    if n < 2:
-        return []
-    at = [i / n for i in range(1, n)]
-    got = df.select(F.percentile_approx(key, at, max(10_000, 4 * n)).alias("b")).first()["b"]
-    return sorted(set(got or []))
-
-
-def range_bucket(col, bounds: list[int]):
-    """The number of bounds at most col, found in two steps of about the root of their number."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, round(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    heads = F.array(*[F.lit(g[0]).cast("long") for g in groups])
-    coarse = F.size(F.filter(heads, lambda x: x <= col))
-    fine = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in groups])
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(F.element_at(fine, F.greatest(coarse, F.lit(1))), lambda x: x <= col)))
+def whole(df: DataFrame) -> F.Column:
+    """All columns in one, under names that clash with none; see parts()."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc")
+
+
+def parts(df: DataFrame, **new) -> list:
+    """The columns of df from whole(df), those in `new` replaced, in their order; new ones last."""
+    old = [new[c].alias(c) if c in new else F.col(f"doc.`{c}`").alias(c) for c in df.columns]
+    return old + [v.alias(c) for c, v in new.items() if c not in df.columns]

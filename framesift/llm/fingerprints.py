@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, range_bounds, range_bucket, table, text_bytes
+from .common import batches, sliced, table, text_bytes
 
 P = (1 << 31) - 1
 BASES = (1_000_003_243, 1_500_450_271)
@@ -137,15 +137,25 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def fingerprints(spark: SparkSession, docs: DataFrame, rows_a_task: int = 1024) -> DataFrame:
+def fingerprints(spark: SparkSession, docs: DataFrame, rows_a_task: int = 4096) -> DataFrame:
     """Contract columns of every document. The texts are shuffled once, by ranges of doc_id; the first document of each range is
-    also sent to the range before it, as what follows its last."""
+    also sent to the range before it, as what follows its last. There are as many ranges as the rows need."""
     texts = text_bytes(docs, "doc_id")
-    n = min(1 << 16, texts.count() // rows_a_task + 1)
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(range_bucket(F.col("doc_id"), range_bounds(docs.select("doc_id"), "doc_id", n)))
-    # a row a range, at most 2^16
-    ranges = docs.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("top")).orderBy(F.desc("bucket")).collect()
-    keyed = texts.withColumn("bucket", bucket)
+    n = max(2, texts.count() // rows_a_task + 1)
+    ids = docs.where("doc_id is not null").select("doc_id").repartitionByRange(n, "doc_id")
+    least = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("b")).collect()  # a number a range
+    bounds = spark.sparkContext.broadcast(np.array(sorted(r["b"] for r in least)[1:], np.int64))
+
+    def placed(it):
+        for b in sliced(it):
+            doc = b.column("doc_id")
+            at = np.searchsorted(bounds.value, doc.fill_null(0).to_numpy(zero_copy_only=False), "right")
+            at[doc.is_null().to_numpy(zero_copy_only=False)] = -1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], [*b.schema.names, "bucket"])
+
+    named = docs.select("doc_id").mapInArrow(placed, "doc_id long, bucket int")
+    ranges = named.groupBy("bucket").agg(F.max("doc_id").alias("top")).orderBy(F.desc("bucket")).collect()  # a row a range
+    keyed = texts.mapInArrow(placed, "doc_id long, text binary, bucket int")
     if ranges:
         to = [(r["bucket"], r["top"], ranges[i - 1]["bucket"]) for i, r in enumerate(ranges)]
         heads = spark.createDataFrame(to, "b int, top long, dest int")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop, sliced, table
+from .common import cut, drop, parts, sliced, table, whole
 from .graph import components
 
 FRAGMENTS = 4
@@ -418,6 +418,6 @@ def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int =
     best = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("w"))
     best = best.select(F.col("w.doc_id").alias("id"), F.col("w.text_hash").alias("hash"))
     words = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    whole = docs.where(words).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("text").alias("doc_hash"))
-    kept = whole.join(best, (F.col("doc_hash") == F.col("hash")) & F.col("doc.doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["hash", "id"])
-    return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns]).unionByName(docs.where(~words))
+    hashed = docs.where(words).select(whole(docs), F.xxhash64("text").alias("doc_hash"))
+    kept = hashed.join(best, (F.col("doc_hash") == F.col("hash")) & F.col("doc.doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["hash", "id"])
+    return kept.select(*parts(docs)).unionByName(docs.where(~words))

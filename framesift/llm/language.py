@@ -1,8 +1,8 @@
 """Language of documents as a mixture: expectation-maximisation over n-gram likelihoods, and a penalised choice of the languages.
 
 Letter trigrams are hashed to a fixed number of cells; each language's cell probabilities are counted over all training documents.
-For a document, EM estimates the proportions of all languages; then, among the sets of its likeliest 1, 2, .. languages, the one
-with the greatest likelihood less a penalty a language is kept, and the language with the greatest share in it is predicted.
+For a document, EM estimates the proportions of all languages; then the set of its likeliest languages grows by one as long as the likelihood
+less a penalty a language grows too, to all languages at most, and the language with the greatest share in it is predicted.
 
 Null text, or one without letters: `und`, score 0. Null lang: not learned from. Null doc_id: its crc32 is that of the empty text.
 No training rows: `und`. Repeated rows: a row each. Empty table: no rows.
@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 from .common import batches, crc_mod, table, text_bytes
 
 CELL_BITS = 16
-MOST_LANGUAGES = 4
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UND = "und"
 
@@ -95,14 +94,16 @@ def infer(texts: list[bytes], p: np.ndarray, penalty: float, rounds: int = 12) -
     best_pi = np.zeros_like(full)
     best_pi[np.arange(len(has)), first] = 1
     best = alone.max(axis=1)
-    for m in range(2, min(n_lang, MOST_LANGUAGES) + 1):
-        pi = full.copy()
-        np.put_along_axis(pi, order[:, m:], 0, axis=1)
-        pi = np.maximum(pi, 1e-12) * (np.argsort(order, axis=1) < m)
+    going = np.ones(len(has), bool)  # texts whose set still grew at the last step
+    for m in range(2, n_lang + 1):
+        pi = np.maximum(full, 1e-12) * (np.argsort(order, axis=1) < m)
         pi, fit = em(pi / pi.sum(axis=1, keepdims=True), 4)
-        better = fit - penalty * (m - 1) * np.log(total + 1) > best
-        best_pi[better] = pi[better]
-        best = np.where(better, fit - penalty * (m - 1) * np.log(total + 1), best)
+        fit = fit - penalty * (m - 1) * np.log(total + 1)
+        going &= fit > best
+        best_pi[going] = pi[going]
+        best = np.where(going, fit, best)
+        if not going.any():
+            break
     sure = 1 / np.exp(np.maximum(alone - alone.max(axis=1, keepdims=True), -700)).sum(axis=1)
     share[has] = best_pi
     one = (best_pi > 0).sum(axis=1) == 1

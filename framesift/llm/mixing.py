@@ -9,7 +9,7 @@ however many slots there are. Every source is scheduled by itself. No document i
 The driver lays out the slots, a number for each block, and each block finds its slot by a join with them; documents stay where
 they are. A source's place in the order of documents is counted by ranges of the hash, so that no source has to lie in one task.
 
-Null source: a source of its own. Null doc_id: all have one hash. Repeated rows: each has its place. Empty table: no rows.
+Null source: a source of its own. Null doc_id: ordered by the other columns. Repeated rows: each has its place. Empty table: no rows.
 Columns of the input named as those that are added are replaced.
 """
 
@@ -20,12 +20,14 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import parts, table, whole
 
 NO_SOURCE = "\u0000none"
 OTHERS = "\u0000others"
 #: Blocks of a source whose slots are one row of the join.
 RUN = 1024
+#: Blocks of the whole mixture, about; larger mixtures have larger blocks.
+MOST_BLOCKS = 1_000_000
 
 
 def period(quotas: dict[str, int]) -> list[tuple[str, int]]:
@@ -94,13 +96,16 @@ def phases(blocks: dict[str, int], quota: dict[str, int]) -> list[tuple[int, int
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_docs: int = 16, max_sources: int | None = None, group_rows: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_docs: int | None = None, max_sources: int | None = None, group_rows: int = 4096) -> DataFrame:
     """docs with source_weight, block (of the source), slot (of the block in the mixture) and place (in the block).
 
     weights: by source; a source without one has that of the least. None: in proportion to documents ** temperature.
+    block_docs: None: 16, and more from MOST_BLOCKS blocks of 16 on, so that the driver's list of slots is bounded.
     max_sources: if given, sources past the largest max_sources - 1 are one source together."""
     spark = docs.sparkSession
-    named = docs.withColumn("_s", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)))
+    ties = [F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.simpleString() in ("string", "bigint", "int")]
+    h = F.when(F.col("doc_id").isNull(), F.xxhash64(*ties)).otherwise(F.xxhash64("doc_id"))
+    named = docs.select(whole(docs), F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("_s"), h.alias("_h"))
     sizes = named.groupBy("_s").count()
     largest = sizes if max_sources is None else sizes.orderBy(F.desc("count"), "_s").limit(max_sources - 1)
     top = {r["_s"]: r["count"] for r in largest.collect()}
@@ -111,15 +116,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
         top[OTHERS] = rest
     least = min(weights.values(), default=1.0) if weights else 1.0
     share = {s: float(weights.get(s, least)) if weights else n**temperature for s, n in top.items()}
+    block_docs = block_docs or max(16, -(-n_docs // MOST_BLOCKS))
     slots_of = schedule({s: -(-n // block_docs) for s, n in top.items()}, share)
 
     # place of each document in its source: by ranges of the hash, then within the range
     n_groups = max(1, n_docs // group_rows)
-    h = F.xxhash64("doc_id")
-    named = named.withColumn("_h", h).withColumn("_g", F.floor((F.shiftright("_h", 40) + (1 << 23)) * n_groups / (1 << 24)).cast("int"))
+    named = named.withColumn("_g", F.floor((F.shiftright("_h", 40) + (1 << 23)) * n_groups / (1 << 24)).cast("int"))
     before = Window.partitionBy("_s").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     offsets = named.groupBy("_s", "_g").count().select(F.col("_s").alias("_s2"), F.col("_g").alias("_g2"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
-    ties = [c for c in docs.columns if docs.schema[c].dataType.simpleString() in ("string", "bigint", "int")]
+    ties = [F.col(f"doc.`{c}`") for c in docs.columns if docs.schema[c].dataType.simpleString() in ("string", "bigint", "int")]
     within = F.row_number().over(Window.partitionBy("_s", "_g").orderBy("_h", *ties))
     placed = named.withColumn("_rn", within).join(offsets, (F.col("_s") == F.col("_s2")) & (F.col("_g") == F.col("_g2")))
     at = F.col("_off") + F.col("_rn") - 1
@@ -129,9 +134,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     runs = [(s, i // RUN, x[i : i + RUN], share[s] / total) for s, x in slots_of.items() for i in range(0, len(x), RUN)]
     runs_df = spark.createDataFrame(runs, "_rs string, _run long, _slots array<long>, source_weight double")
     run = F.floor(F.col("block") / RUN)
-    out = placed.drop("source_weight").join(F.broadcast(runs_df), (F.col("_s") == F.col("_rs")) & (run == F.col("_run")))
+    out = placed.join(F.broadcast(runs_df), (F.col("_s") == F.col("_rs")) & (run == F.col("_run")))
     slot = F.element_at("_slots", (F.col("block") % RUN + 1).cast("int"))
-    return out.select(*[c for c in docs.columns if c not in ("source_weight", "block", "slot", "place")], "source_weight", "block", slot.cast("long").alias("slot"), "place")
+    added = {"source_weight": F.col("source_weight"), "block": F.col("block"), "slot": slot.cast("long"), "place": F.col("place")}
+    return out.select(*parts(docs.drop(*added)), *[v.alias(c) for c, v in added.items()])
 
 
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,9 +23,10 @@ from .common import batches, table, text_bytes
 SPACES = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FEATURES = ("words", "word_length", "symbols", "dup_lines", "repeats", "distinct", "upper", "digits", "marks", "bare", "line_words", "top_word")
+FEATURES = ("words", "word_length", "symbols", "dup_lines", "repeats", "distinct", "upper", "digits", "marks", "bare", "line_words", "top_word", "raised")
 #: Direction in which the score may move with a feature; 0: either.
-MONOTONE = {"symbols": -1, "dup_lines": -1, "repeats": -1}
+MONOTONE = {"symbols": -1, "dup_lines": -1, "repeats": -1, "raised": -1}
+EDGE = b".,;:!?\"'()"
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -42,7 +43,7 @@ def repeated_words(words: list[bytes]) -> int:
     return total
 
 
-def statistics(b: bytes) -> tuple[list[int], list[float]]:
+def statistics(b: bytes, raised: frozenset[bytes] = frozenset()) -> tuple[list[int], list[float]]:
     """The base counts and the features of one text."""
     words = b.split()
     n = len(words)
@@ -61,7 +62,7 @@ def statistics(b: bytes) -> tuple[list[int], list[float]]:
     return base, [
         float(np.log1p(n)), chars / n, symbols / n, dup / len(lines), repeat / n, len(counts) / n,
         (size - len(bare.translate(None, UPPER))) / size, (size - len(bare.translate(None, DIGITS))) / size, (size - len(bare.translate(None, MARKS))) / n,
-        no_letters / n, n / len(lines), max(counts.values()) / n,
+        no_letters / n, n / len(lines), max(counts.values()) / n, sum(c for w, c in counts.items() if w.lower().strip(EDGE) in raised) / n if raised else 0.0,
     ]
 
 
@@ -145,28 +146,57 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: flo
     return packed()
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the sample, in the order of the ids."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+def sample_of(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """(doc_id, text, good, toxic) of at most max_rows labelled ids, by a hash of the id. good: quality is 1 and toxic is not."""
+    toxic = F.max(F.coalesce(F.col("toxic").cast("int"), F.lit(0))) if "toxic" in labels.columns else F.lit(0)
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"), toxic.alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = text_bytes(docs, "doc_id").join(F.broadcast(sample), "doc_id")  # at most max_rows ids
+    return rows.select("doc_id", "text", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+
+
+def raised_words(sample: DataFrame, share: float = 0.08, times: float = 8.0, least: int = 5) -> frozenset[bytes]:
+    """Words that mark toxic texts: in `share` of the sample's toxic texts and in `least` of them at least, and `times` as often as in the others.
+    A-Z count as a-z, marks around a word are left out. No more than texts / share words can be so."""
+
+    def run(it):
+        for b in batches(it):
+            seen = {k: Counter() for k in (0, 1)}
+            for t, k in zip(b["text"], b["toxic"], strict=True):
+                seen[k].update({w.strip(EDGE) for w in t.lower().split()})
+            words = list(seen[0] | seen[1])
+            yield pa.RecordBatch.from_pydict({"w": pa.array(words, pa.binary()), "bad": pa.array([seen[1][w] for w in words], pa.int64()), "fine": pa.array([seen[0][w] for w in words], pa.int64())})
+
+    n = sample.agg(F.sum("toxic").alias("bad"), F.count("*").alias("all")).first()
+    if not n["bad"]:
+        return frozenset()
+    found = sample.mapInArrow(run, "w binary, bad long, fine long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
+    found = found.where((F.length("w") > 0) & (F.col("bad") >= max(least, share * n["bad"])) & (F.col("bad") * (n["all"] - n["bad"]) >= times * n["bad"] * F.greatest("fine", F.lit(0.5))))
+    return frozenset(bytes(r["w"]) for r in found.select("w").collect())
+
+
+def training_rows(sample: DataFrame, raised: frozenset[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the sample, in the order of the ids."""
 
     def run(it):
         for b in batches(it):
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "y": pa.array(b["quality"], pa.int32()), "x": [statistics(t)[1] for t in b["text"]]})
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "y": pa.array(b["good"], pa.int32()), "x": [statistics(t, raised)[1] for t in b["text"]]})
 
-    got = rows.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(run, "doc_id long, y int, x array<double>").toPandas()
+    got = sample.mapInArrow(run, "doc_id long, y int, x array<double>").toPandas()
     got = got.sort_values("doc_id", kind="stable")
     return np.array(got.x.tolist(), dtype=float).reshape(-1, len(FEATURES)), got.y.to_numpy(dtype=float)
 
 
 def verdicts(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_score: float = 0.5) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept and the trees' score, a row for each document."""
-    trees = fit(*training_rows(docs, labels, max_rows))
+    """doc_id, the base counts, base_failed, kept and the trees' score, a row for each document. The trees tell texts whose label is good and
+    not toxic from the others."""
+    sample = sample_of(docs, labels, max_rows)
+    raised = raised_words(sample)
+    trees = fit(*training_rows(sample, raised))
 
     def run(it):
         for b in batches(it):
-            got = [statistics(t) for t in b["text"]]
+            got = [statistics(t, raised) for t in b["text"]]
             base, x = (np.array(c, dtype=t) for c, t in zip(zip(*got, strict=True), (np.int64, float), strict=True))
             failed = (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
             score = trees.score(x) if trees else np.ones(len(x))

@@ -1,6 +1,7 @@
 """Personal data by weak supervision, with DataFrame functions alone.
 
-Candidates are what the base patterns match and what looser patterns match beside them. Four labelers vote yes, no or nothing on
+Candidates are what the base patterns match, what a failing match has swallowed (a phone number before an address, a card between other
+numbers), and what looser patterns match beside them. Four labelers vote yes, no or nothing on
 each: format (is the strict form met), gazetteer (top-level domains, card issuers, country codes, address ranges), context (words
 before the candidate) and shape (how its digits are grouped). The votes are counted over all documents; expectation-maximisation
 on these counts estimates each labeler's reliability for each kind, and the posteriors train the final classifier, a logistic
@@ -20,7 +21,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import parts, table, whole
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "A-Za-z0-9._%+-"
@@ -33,16 +34,26 @@ BASE = {
 }
 #: What might be personal data beside that: spelled-out addresses, IPv6, cards grouped by dots, numbers without a country code.
 LOOSE = {
-    "email": f"(?<![{LOCAL}])[A-Za-z0-9][{LOCAL}]{{0,63}}+ ?[\\[(](?:at|AT)[\\])] ?[A-Za-z0-9-]{{1,63}}+(?: ?(?:\\.|[\\[(](?:dot|DOT)[\\])]) ?[A-Za-z0-9-]{{1,63}}+){{1,5}}+",
-    "ip": "(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
+    "email": f"(?<![{LOCAL}])[A-Za-z0-9][{LOCAL}]{{0,63}}+ ?(?:[\\[(](?:at|AT)[\\])]| (?:at|AT) (?=[A-Za-z0-9-]{{1,63}}(?: dot | DOT |[\\[( ]))) ?[A-Za-z0-9-]{{1,63}}+(?: ?(?:\\.|[\\[(](?:dot|DOT)[\\])]|(?<= )(?:dot|DOT)(?= )) ?[A-Za-z0-9-]{{1,63}}+){{1,5}}+",
+    "ip": "(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Fa-f:])",
     "card": "(?<![0-9.])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9.])",
-    "phone": "(?<![0-9A-Za-z+().-])(?:\\([0-9]{3}\\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z.-]*[0-9])",
+    "phone": "(?<![0-9A-Za-z+().-])(?:\\([0-9]{3}\\) ?|[0-9]{3}[.-]|00[1-9][0-9]{0,2}[ .-]\\(?[0-9]{2,4}\\)?[ .-])[0-9]{3}[ .-][0-9]{3,4}(?![0-9A-Za-z.-]*[0-9])",
+}
+#: What a failing base match may hold.
+INNER = {
+    "card": "(?<![0-9])(?:[0-9]{4}([ -]?)[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}|3[47][0-9]{2}([ -]?)[0-9]{6}\\2[0-9]{5})(?![0-9])",
+    "phone": "\\+[0-9]{1,3}[ .-]?(?:\\([0-9]{2,4}\\)|[0-9]{2,4})[ .-]?[0-9]{3}[ .-]?[0-9]{3,4}(?![0-9])",
 }
 NEEDS = {"email": ("@", None), "phone": ("+", None)}  # a base match holds this
 # Fixed lists of the gazetteer labeler.
-TOP_DOMAINS = ["com", "org", "net", "edu", "gov", "io", "co", "info", "biz", "uk", "us", "de", "fr", "es", "it", "eu", "ch", "at", "nl", "be"]
-ISSUERS = "^(?:4|5[1-5]|2[2-7]|3[47]|6)"
-COUNTRY = "^\\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+TOP_DOMAINS = (
+    "com org net edu gov mil int info biz name pro mobi app dev io ai co me tv cc xyz online site tech store shop blog cloud example test local "
+    "ac ad ae af al am ar at au az ba bd be bg bh bo br by ca ch cl cn cr cu cy cz de dk do dz ec ee eg es et eu fi fr ge gh gr gt hk hn hr hu id ie il in iq ir is it "
+    "jm jo jp ke kr kw kz lb lk lt lu lv ma md mk mm mt mx my ng ni nl no np nz om pa pe ph pk pl pr ps pt py qa ro rs ru sa se sg si sk su sv sy th tn tr tw ua ug uk us uy uz ve vn za"
+).split()
+ISSUERS = "^(?:4|5[0-8]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|30[0-5]|3[689]|352[89]|35[3-8]|6011|62|64[4-9]|65|67)"
+COUNTRY = "^(?:\\+|00)(?:1|7|2[07]|2[1-689][0-9]|3[0-469]|3[578][0-9]|4[013-9]|42[0-9]|5[1-8]|5[09][0-9]|6[0-6]|6[789][0-9]|8[1246]|8[0578][0-9]|9[0-58]|9[679][0-9])"
+RESERVED = "^(?:0|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\\."
 CONTEXT_YES = "(?i)(?:e-?mail|mail to|contact|write|reach|phone|tel|call|mobile|fax|card|visa|credit|payment|ip|host|server|address|from|user)\\W*(?:\\w+\\W*){0,2}$"
 CONTEXT_NO = "(?i)(?:version|release|build|isbn|issn|order|invoice|serial|chapter|section|page|figure|doi)\\W*$"
 LABELERS = 4
@@ -100,8 +111,7 @@ def _gazetteer(kind: str, s: Column) -> Column:
     if kind == "email":
         return F.lower(F.regexp_extract(s, "([A-Za-z0-9-]+)$", 1)).isin(TOP_DOMAINS)
     if kind == "ip":
-        first = F.regexp_extract(s, "^0*([0-9]{1,3})\\.", 1).try_cast("int")
-        return F.contains(s, F.lit(":")) | F.coalesce((first >= 1) & (first <= 223) & (first != 127), F.lit(False))
+        return F.contains(s, F.lit(":")) | ~s.rlike(RESERVED)
     if kind == "card":
         return d.rlike(ISSUERS)
     return s.rlike(COUNTRY) | (~s.startswith("+") & d.rlike("^[2-9]"))
@@ -130,7 +140,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     for kind in KINDS:
         out = out.withColumn(f"_b_{kind}", found(text, BASE[kind], NEEDS.get(kind, (None,))[0])).withColumn(f"_l_{kind}", found(text, LOOSE[kind]))
 
-    def coded(k: int, base: bool):
+    def inner(kind: str):
+        """What a failing match has swallowed; its text is empty if that is nothing."""
+        at = lambda x: x["start"] + F.length(F.element_at(F.split(x["s"], INNER[kind], 2), 1))
+        got = lambda x: F.regexp_extract(x["s"], INNER[kind], 0)
+        failing = F.filter(F.col(f"_b_{kind}"), lambda x: (F.length(digits(x["s"])) >= 10) & ~strict(kind, x["s"]) & x["s"].rlike(INNER[kind]))
+        return F.transform(failing, lambda x: F.struct(at(x).alias("start"), (at(x) + F.length(got(x))).alias("end"), got(x).alias("s")))
+
+    def coded(k: int, base: bool, swallowed: bool = False):
         kind = KINDS[k]
 
         def one(x: Column) -> Column:
@@ -141,7 +158,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             digit = [
                 F.lit(k),
                 F.lit(int(base)),
-                F.when(ok, 2).otherwise(0) if base else F.lit(1),
+                F.when(ok, 2).otherwise(0) if base else F.when(strict(kind, s), 2).otherwise(0) if swallowed or kind == "card" else F.lit(1),
                 F.when(_gazetteer(kind, s), 2).otherwise(0),
                 F.when(before.rlike(CONTEXT_YES), 2).when(before.rlike(CONTEXT_NO), 0).otherwise(1),
                 F.when(_shape(kind, s), 2).otherwise(0),
@@ -157,6 +174,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         return one
 
     lists = [F.transform(F.col(f"_b_{kind}"), coded(k, True)) for k, kind in enumerate(KINDS)] + [F.transform(F.col(f"_l_{kind}"), coded(k, False)) for k, kind in enumerate(KINDS)]
+    lists += [F.transform(inner(kind), coded(k, False, True)) for k, kind in enumerate(KINDS) if kind in INNER]
     return out.withColumn("cands", F.concat(*lists)).drop(*[f"_{x}_{kind}" for x in "bl" for kind in KINDS])
 
 
@@ -236,7 +254,8 @@ def spans(docs: DataFrame, codes: list[int]) -> DataFrame:
     more = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     if codes:
         added = F.filter("cands", lambda x: ~x["base"] & x["code"].isin(codes) & ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-        more = F.transform(added, _plain)
+        wider = lambda x: F.exists(added, lambda y: (y["kind"] == x["kind"]) & (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"]))
+        more = F.transform(F.filter(added, lambda x: ~wider(x)), _plain)
     return out.withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", more)))).drop("cands")
 
 
@@ -250,7 +269,8 @@ def joined(column: str) -> Column:
 
 
 def redact(docs: DataFrame, codes: list[int]) -> DataFrame:
-    """docs with each span in text replaced by its kind in angle brackets; overlapping spans by that of the first."""
+    """docs with each span in text replaced by its kind in angle brackets; overlapping spans by that of the first. Columns of any name pass
+    through."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     text = F.col("text")
     built = F.aggregate(
@@ -262,7 +282,8 @@ def redact(docs: DataFrame, codes: list[int]) -> DataFrame:
         ).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    return spans(docs, codes).withColumn("text", F.when(F.size("spans") > 0, built).otherwise(text)).drop("base", "spans")
+    found_ = spans(docs.select(whole(docs), "text"), codes)
+    return found_.select(*parts(docs, text=F.when(F.size("spans") > 0, built).otherwise(text)))
 
 
 def op6_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

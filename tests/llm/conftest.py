@@ -36,8 +36,8 @@ def corpus():
 
 @pytest.fixture(scope="session")
 def docs(spark, corpus):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, node long, a long, bucket string, token string"
-    return spark.createDataFrame([(*r, 1, 2, "x", "y") for r in corpus], schema).repartition(3).cache()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node long, a long, bucket string, token string, score string, shares string, _text string, base string, spans string, cands string, _s long, _h long, doc long, place long"
+    return spark.createDataFrame([(*r, 1, 2, "x", "y", "s", "t", "u", "v", "w", "x", 5, 6, 7, 8) for r in corpus], schema).repartition(3).cache()
 
 
 @pytest.fixture(scope="session")

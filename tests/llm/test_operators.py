@@ -2,6 +2,7 @@ import hashlib
 import json
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import brute
@@ -323,6 +324,91 @@ def test_redaction(spark):
     assert got == {1: "é <EMAIL>, <IP>", 2: None, 3: "none"}
 
 
+def test_columns_with_clashing_names(spark, docs):
+    """The stages and operators that pass columns through keep all of them."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns, name
+        row = got.where("doc_id = 7").first()
+        assert (row["score"], row["base"], row["_h"], row["doc"], row["place"]) == ("s", "v", 6, 7, 8)
+    got = mixing.mix(docs).where("doc_id = 7").first()
+    assert (got["score"], got["_s"], got["_h"], got["doc"]) == ("s", 5, 6, 7) and got["place"] is not None
+
+
+def planted(rng, n):
+    """Texts with personal data that the base patterns miss and with the like that is none: (text, spans to add)."""
+    digit = lambda k: "".join(rng.choices("0123456789", k=k))
+
+    def card():
+        d = "4" + digit(14)
+        total = sum(int(c) if i % 2 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(d))
+        d += str(-total % 10)
+        return [d[i : i + 4] for i in range(0, 16, 4)]
+
+    out = []
+    for i in range(n):
+        before, after = "pay by card", "today"
+        if i % 8 == 0:
+            s, kind = ".".join(card()), "card"
+        elif i % 8 == 1:
+            before, s, kind, after = "please call", f"+49 ({digit(3)}) 555-{digit(4)}", "phone", f"{digit(3)}.10.4.20 later"
+        elif i % 8 == 2:
+            before, s, kind, after = "write to e-mail", f"john{i} (at) mail{i}.example.com", "email", ""
+        elif i % 8 == 3:
+            before, s, kind, after = "server", ":".join(f"{rng.randrange(1, 65536):x}" for _ in range(8)), "ip", ""
+        elif i % 8 == 4:  # none: a version, a serial number
+            before, s, kind, after = "serial", f"{digit(4)}.{digit(4)}.{digit(4)}.9999", None, ""
+        elif i % 8 == 5:
+            before, s, kind, after = "order", f"111.111-{digit(4)}", None, ""
+        elif i % 8 == 6:  # base spans, which teach the labelers
+            before, s, kind, after = "phone", f"+1 ({digit(3)}) 555-{digit(4)}, mail a{i}@b.example.com, host 10.2.3.{i % 250}, card {' '.join(card())}", None, ""
+        else:
+            before, s, kind, after = "the", f"{digit(16)} and {digit(2)}", None, ""
+        text = f"é {before} {s} {after}"
+        at = text.index(s)
+        out.append((text, {f"{kind}:{at}:{at + len(s)}"} if kind else set()))
+    return out
+
+
+def test_added_spans_are_right(spark):
+    """On planted spans of other texts than those that the model was fitted on: precision and recall of what is added to the base."""
+    rng = random.Random(66)
+    fit, held = planted(rng, 800), planted(rng, 800)
+    frame = lambda rows: spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    codes = pii.accepted(frame(fit))
+    got = {r.doc_id: set(r.s.split(",")) - set(r.b.split(",")) for r in pii.spans(frame(held), codes).select("doc_id", pii.joined("spans").alias("s"), pii.joined("base").alias("b")).collect()}
+    right = sum(len(got[i] & want) for i, (_, want) in enumerate(held))
+    added, wanted = sum(map(len, got.values())), sum(len(w) for _, w in held)
+    kinds = {x.split(":")[0] for i, (_, want) in enumerate(held) for x in got[i] & want}
+    wrong = [(held[i][0], got[i] - want) for i, (_, want) in enumerate(held) if got[i] - want]
+    print("precision", right / max(1, added), "recall", right / wanted, kinds, len(wrong), wrong[:4])
+    assert right / added > 0.95 and right / wanted > 0.7 and len(kinds) >= 3
+
+
+def test_em_against_a_plain_one():
+    """The EM over counted codes against one over single rows, with the same priors."""
+    rng = random.Random(67)
+    rows = []
+    for _ in range(300):
+        truth = rng.random() < 0.4
+        votes = [2 * (truth if rng.random() < p else not truth) if rng.random() < 0.9 else 1 for p in (0.9, 0.8, 0.7, 0.85)]
+        c = 0
+        for d, radix in zip([1, 1, *map(int, votes), 0, 0, 0], pii.RADIX, strict=True):
+            c = c * radix + d
+        rows.append((c, truth))
+    post, _ = pii.reliabilities(Counter(c for c, _ in rows), rounds=20)
+    x = [pii.decode(c)[2:6] for c, _ in rows]
+    q = [(sum(v == 2 for v in r) + 0.5) / (sum(v != 1 for v in r) + 1) for r in x]
+    for _ in range(20):
+        prior = [1 + sum(q), 1 + sum(1 - p for p in q)]
+        like = [[[s[v] + sum((p if t else 1 - p) for p, r in zip(q, x) if r[j] == v) for v in range(3)] for t, s in ((1, (0.5, 1, 2)), (0, (2, 1, 0.5)))] for j in range(4)]
+        q = [1 / (1 + prior[1] / prior[0] * math.prod(like[j][1][r[j]] / sum(like[j][1]) * sum(like[j][0]) / like[j][0][r[j]] for j in range(4))) for r in x]
+    assert all(post[c] == pytest.approx(p, abs=1e-6) for (c, _), p in zip(rows, q))
+    assert sum((post[c] > 0.5) == t for c, t in rows) / len(rows) > 0.85
+
+
 def test_reliabilities():
     def code(votes):
         c = 0
@@ -353,6 +439,25 @@ def test_quality(spark, docs, none, corpus):
     assert all(r.kept != r.base_failed for r in quality.verdicts(spark, docs, labels.limit(0)).collect())
 
 
+def test_toxic_texts_go(spark):
+    """Learned on some labelled texts, held to others."""
+    rng = random.Random(88)
+    from conftest import sentence
+
+    rows = []
+    for i in range(900):
+        w = sentence(rng, 120).split()
+        if i % 5 == 0:
+            for _ in range(3):
+                w[rng.randrange(len(w))] = rng.choice(["badword", "Worse,", "nasty."])
+        rows.append((i, " ".join(w), int(i % 5 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = docs.where("doc_id < 600").selectExpr("doc_id", "1 as quality", "toxic")
+    got = {r.doc_id: r.kept for r in quality.verdicts(spark, docs.drop("toxic"), labels).collect()}
+    held = [(i, t) for i, _, t in rows if i >= 600]
+    assert sum(not got[i] for i, t in held if t) >= 0.9 * sum(t for _, t in held) and sum(got[i] for i, t in held if not t) >= 0.95 * sum(1 - t for _, t in held)
+
+
 def test_trees_keep_their_constraints():
     rng = np.random.default_rng(8)
     x = rng.random((4000, len(quality.FEATURES)))
@@ -436,6 +541,43 @@ def test_main_text(spark):
     assert html_text.extract(spark, df.limit(0)).count() == 0
 
 
+def test_the_ratio_chooses_regions():
+    """Containers of the same kind and name: their lines' ratios alone tell them apart, in an article and without one."""
+    rng = random.Random(10)
+    from conftest import sentence
+
+    for _ in range(60):
+        blocks = [(kind, " ".join(sentence(rng, rng.randint(40, 90)) for _ in range(2)) if kind else None) for kind in [1, 1, *rng.choices([0, 1], k=3)]]
+        rng.shuffle(blocks)
+        links = "".join(f"<a href=x{i}>go {i}</a> " for i in range(4))
+        html = "".join(f"<div><p>{t}</p></div>" if k else f"<div>{links}</div>" for k, t in blocks)
+        want = "\n".join(t for k, t in blocks if k)
+        for outer in ("<article>%s</article>", "<body>%s</body>"):
+            assert html_text.main_text("<nav><ul>" + "<li><a href=a>Menu</a></li>" * 5 + "</ul></nav>" + outer % html) == want
+
+
+def plain_text(html):
+    """All text of a page by a plain reading of its tags, for pages whose blocks are all content."""
+    import html as names
+
+    html = re.sub(r"(?s)<(script|style)\b.*?</\1>", "", html)
+    blocks = re.split(r"</?(?:p|div|h1|ul|li|article|body|br_)\b[^>]*>", html)
+    lines = [" ".join(names.unescape(re.sub(r"<br[^>]*>", " ", b).replace("<b>", "").replace("</b>", "")).split()) for b in blocks]
+    return "\n".join(x for x in lines if x)
+
+
+def test_articles_against_a_plain_reading():
+    rng = random.Random(11)
+    from conftest import sentence
+
+    for _ in range(60):
+        parts = [f"<p>{sentence(rng, rng.randint(1, 60))} &amp; <b>{sentence(rng, 2)}</b><br>{sentence(rng, 3)}" + rng.choice(["</p>", ""]) for _ in range(rng.randint(1, 12))]
+        parts.insert(rng.randrange(len(parts) + 1), f"<ul><li>{sentence(rng, 3)}</li><li>{sentence(rng, 9)}</li></ul>")
+        article = f"<h1>{sentence(rng, 6)}</h1>" + "".join(parts) + "<script>x='</p>'</script>"
+        page = f"<html><head><title>t</title></head><body><nav><a href=x>Menu</a></nav><div>Buy this</div><article>{article}</article><footer>F</footer></body></html>"
+        assert html_text.main_text(page) == plain_text(article)
+
+
 def test_smoothing():
     v = np.array([0.0, 0, 10, 0, 0])
     s = html_text.smooth(v)

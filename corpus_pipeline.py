@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesift.llm import jaccard_join, language, mixing, packing, pii
-from framesift.llm.common import cut, table
+from framesift.llm.common import cut, parts, table, whole
 
 LEAST_LANGUAGE_SCORE = 0.5
 
@@ -17,9 +17,9 @@ LEAST_LANGUAGE_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which some language has a share of half or more."""
     model = language.learn(spark, docs)
-    scored = language.predict(spark, docs.withColumn("_text", F.col("text")), *model, *[c for c in docs.columns if c != "text"], "_text")
+    scored = language.predict(spark, docs.select(whole(docs), "text"), *model, "doc")
     kept = scored.where((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return kept.select(*parts(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; n_chars follows the text."""
-    out = pii.redact(docs, pii.accepted(docs))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.redact(docs, pii.accepted(docs)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

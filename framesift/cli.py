@@ -51,6 +51,13 @@ def settings_of(args: argparse.Namespace) -> Settings:
     return dc.replace(s)
 
 
+def patterns_of(s: Settings):
+    from .operators import pii
+
+    file = s.redactor.custom_patterns_file
+    return pii.pattern_set(s.redactor.pii_types, pii.load_patterns(file) if file and Path(file).exists() else [])
+
+
 def run_images(spark, path: Path, s: Settings, report: str | None = None) -> tuple[int, int]:
     """Writes pictures and manifest; keyframes and frames."""
     from .operators import cascade, numbering, pii
@@ -59,9 +66,7 @@ def run_images(spark, path: Path, s: Settings, report: str | None = None) -> tup
     frames = images.frames_from_dir(spark, str(path), s.input.supported_formats).cache()
     rows = cascade.cascade(frames, s)
     if s.redactor.enabled:
-        custom = pii.load_patterns(s.redactor.custom_patterns_file) if s.redactor.custom_patterns_file and Path(s.redactor.custom_patterns_file).exists() else []
-        patterns = pii.pattern_set(s.redactor.pii_types, custom)
-        pictures = pii.redact_keyframes(rows.drop("pii_detected").join(frames.select("seq_id", "seq_pos", "frame"), ["seq_id", "seq_pos"]), patterns, scope=s.redactor.scope)
+        pictures = pii.redact_keyframes(rows.drop("pii_detected").join(frames.select("seq_id", "seq_pos", "frame"), ["seq_id", "seq_pos"]), patterns_of(s), scope=s.redactor.scope)
     else:
         pictures = rows.join(frames.select("seq_id", "seq_pos", "frame"), ["seq_id", "seq_pos"])
     pictures = pictures.cache()
@@ -76,15 +81,38 @@ def run_images(spark, path: Path, s: Settings, report: str | None = None) -> tup
     return total.num_keyframes, total.num_frames
 
 
-def run_videos(spark, path: Path, s: Settings) -> int:
-    """Keyframes of all videos, each numbered by itself; pictures go to a folder of the video's name."""
-    from .operators import video
+def speech_of(spark, files: list[Path]):
+    """Speech in the sound of videos, from WAV files beside them that have their names; None where there are none."""
+    from pyspark.sql import functions as F
+
+    from .operators import align
+    from .sources import media
+
+    beside = {f.with_suffix(".wav"): f.name for f in files if f.with_suffix(".wav").exists()}
+    if not beside:
+        return None
+    chunks = media.sound_chunks(spark, [str(p) for p in beside])
+    names = spark.createDataFrame([(p.name, name) for p, name in beside.items()], "_wav string, source_video string")  # a row a file
+    chunks = chunks.withColumn("_wav", F.url_decode(F.element_at(F.split("source", "/"), -1))).join(F.broadcast(names), "_wav").drop("source", "_wav")
+    return align.speech_segments(chunks, "source_video")
+
+
+def run_videos(spark, path: Path, s: Settings, frames=None, make_engine=None) -> int:
+    """Keyframes of all videos, each numbered by itself; pictures go to a folder of the video's name, redacted unless that is switched off.
+
+    frames: decoded frames, if they don't come from the files; make_engine: text recognition other than easyocr's."""
+    from .operators import pii, video
     from .sources import media, sinks
 
     files = [path] if path.is_file() else sorted(f for f in path.iterdir() if f.suffix.lower() in VIDEO)
-    frames = media.video_frames(spark, [str(f) for f in files])
+    if frames is None:
+        frames = media.video_frames(spark, [str(f) for f in files])
     segments = media.transcripts(spark, s.video.transcript_path) if s.video.transcript_path else None
-    rows = video.process(frames, s, segments).cache()
+    speech = speech_of(spark, files) if segments is None and s.video.audio_detection else None
+    rows = video.process(frames, s, segments, speech, [f.name for f in files])
+    if s.redactor.enabled:
+        rows = pii.redact_keyframes(rows.drop("pii_detected"), patterns_of(s), make_engine or pii.easyocr_engine, scope=s.redactor.scope)
+    rows = rows.cache()
     sinks.save_keyframes(rows).count()
     sinks.write_manifest(rows, f"{s.exporter.output_dir.rstrip('/')}/manifest.parquet", s.exporter.parquet_compression)
     return rows.where("is_keyframe").count()

@@ -41,7 +41,9 @@ def _blocks(a: np.ndarray, block: int) -> np.ndarray:
 
 def block_means(frame: np.ndarray, block: int) -> np.ndarray:
     """float32 (rows, cols, 3)."""
-    return _blocks(frame, block).astype(np.float32).mean(axis=(1, 3), dtype=np.float64).astype(np.float32)
+    rows, cols = grid(*frame.shape[:2], block)
+    lines = frame[: rows * block, : cols * block].reshape(rows, block, cols * block * 3).sum(axis=1, dtype=np.uint32)
+    return (lines.reshape(rows, cols, block, 3).sum(axis=2, dtype=np.uint64) / (block * block)).astype(np.float32)
 
 
 def regions_of(flags: np.ndarray, block: int) -> list[tuple[int, int, int, int]]:

@@ -26,10 +26,12 @@ def segments(df: DataFrame, height: str = "height", width: str = "width", block:
 
 
 def block_changes(means: Column, before: Column, threshold: float = BLOCK_CHANGE) -> Column:
-    """array<int>, 1 where the mean over three channels of the difference is above threshold; single precision as the means."""
-    diff = F.zip_with(means, before, lambda a, b: F.abs(a - b))
-    n = F.floor(F.size(diff) / 3).cast("int")
-    mean = lambda i: ((F.get(diff, 3 * i) + F.get(diff, 3 * i + 1) + F.get(diff, 3 * i + 2)) / 3).cast("float")
+    """array<int>, 1 where the mean over three channels of the difference is above threshold; single precision as the means.
+
+    means and before are plain columns, so that each block's values are looked up and nothing is built anew for each block."""
+    diff = lambda i: F.abs(F.get(means, i) - F.get(before, i))
+    n = F.floor(F.least(F.size(means), F.size(before)) / 3).cast("int")
+    mean = lambda i: ((diff(3 * i) + diff(3 * i + 1) + diff(3 * i + 2)) / 3).cast("float")
     return F.when(before.isNotNull() & (n > 0), F.transform(F.sequence(F.lit(0), n - 1), lambda i: (mean(i) > threshold).cast("int")))
 
 
@@ -47,7 +49,8 @@ def adaptive_mask(df: DataFrame, block: int = 32, window: int = 15, threshold: f
     """df (height, width, means: flat block means) with segment and adaptive_mask, in one shuffle by sequence."""
     df = segments(df, block=block, seq=seq, pos=pos)
     w = Window.partitionBy(seq, "segment").orderBy(pos)
-    df = df.withColumn("_changes", F.when(F.col("segment").isNotNull(), block_changes(F.col("means"), F.lag("means").over(w))))
+    df = df.withColumn("_before", F.lag("means").over(w))
+    df = df.withColumn("_changes", F.when(F.col("segment").isNotNull(), block_changes(F.col("means"), F.col("_before")))).drop("_before")
     recent = F.collect_list("_changes").over(w.rowsBetween(1 - window, 0))
     mask = F.when(F.col("segment").isNotNull(), noisy_regions(F.col("_recent"), F.col("cols_"), block, threshold))
     return df.withColumn("_recent", recent).withColumn("adaptive_mask", mask).drop("_recent", "_changes", "rows_", "cols_")

@@ -19,10 +19,14 @@ def transitions(df: DataFrame, seq: str, pos: str, frame_no: str) -> DataFrame:
     return marked.where(F.col("is_keyframe") & ~F.col("_kf")).select(seq, "prev_no", F.col(frame_no).alias("frame_no"))
 
 
-def backfill(frames: DataFrame, gaps: DataFrame, seq: str, frame_no: str) -> DataFrame:
-    """Frames strictly within the gaps; gaps of a sequence don't meet, so a frame is found once at most."""
-    g = gaps.select(F.col(seq).alias("_seq"), F.col("prev_no").alias("_lo"), F.col("frame_no").alias("_hi"))
-    return frames.join(g, (F.col(seq) == F.col("_seq")) & (F.col(frame_no) > F.col("_lo")) & (F.col(frame_no) < F.col("_hi"))).select(*frames.columns)
+def backfill(frames: DataFrame, gaps: DataFrame, seq: str, frame_no: str, bucket: int = 256) -> DataFrame:
+    """Frames strictly within the gaps; gaps of a sequence don't meet, so a frame is found once at most. A frame meets only the gaps in its
+    bucket of frame numbers."""
+    g = gaps.where("frame_no - prev_no > 1").select(F.col(seq).alias("_seq"), F.col("prev_no").alias("_lo"), F.col("frame_no").alias("_hi"))
+    at = lambda c: F.floor(c / bucket)
+    g = g.withColumn("_b", F.explode(F.sequence(at(F.col("_lo") + 1), at(F.col("_hi") - 1))))
+    within = (F.col(seq) == F.col("_seq")) & (at(F.col(frame_no)) == F.col("_b")) & (F.col(frame_no) > F.col("_lo")) & (F.col(frame_no) < F.col("_hi"))
+    return frames.join(g, within).select(*frames.columns)
 
 
 def number_keyframes(df: DataFrame, seq: str, pos: str) -> DataFrame:

@@ -19,10 +19,10 @@ def second_pass(frames: DataFrame, s: Settings) -> DataFrame:
     return sampled.unionByName(numbering.backfill(frames, gaps, "seq_id", "seq_pos"))
 
 
-def process(frames: DataFrame, settings: Settings | None = None, segments: DataFrame | None = None, speech: DataFrame | None = None) -> DataFrame:
+def process(frames: DataFrame, settings: Settings | None = None, segments: DataFrame | None = None, speech: DataFrame | None = None, videos: list[str] | None = None) -> DataFrame:
     """Manifest rows, with seq_id, seq_pos and frame, of frames (seq_id: the video, seq_pos: frame number, fps, duration, frame).
 
-    segments: transcript cues for all videos; speech: (source_video, seg_pos, start, end, text). Keyframes are named step_001 and on
+    segments: transcript cues, of all videos where they name none; videos: the names of these, if known; speech: (source_video, seg_pos, start, end, text). Keyframes are named step_001 and on
     by video, and their pictures lie in a folder of the video, so that videos don't overwrite each other's."""
     s = settings or Settings()
     chosen = second_pass(frames, s)
@@ -40,7 +40,7 @@ def process(frames: DataFrame, settings: Settings | None = None, segments: DataF
     word = spoken = None
     if segments is not None:
         if "source_video" not in segments.columns:  # one transcript for all
-            of = rows.agg(F.collect_set("seq_id").alias("_v")).first()["_v"]  # the files of a run, as they were given
+            of = videos if videos is not None else [r["seq_id"] for r in frames.select("seq_id").distinct().collect()]  # a name a file of the run
             segments = segments.withColumn("source_video", F.explode(F.array(*map(F.lit, of)).cast("array<string>")))
         rows = align.align_transcript(rows, segments, "source_video", "video_timestamp", ["seq_id", "seq_pos"])
         word = F.col("transcript_segment")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import align, cascade, masking, numbering, pii
+from ..shared import shared_dir
 from ..sources import media
 from ..streaming import keyframes as streaming
 from . import virtual as V
@@ -258,10 +259,7 @@ def scalar_keyframes(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_keyframes(spark: SparkSession, sf: str) -> DataFrame:
     """The same fold as a stream that reads what is there and ends; its rows go to the shared folder."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/framesift"
-    out = f"{root}/stream-{uuid.uuid4().hex}"
+    out = shared_dir(spark, "stream")
     source = V.table(spark, sf, "events")
     events = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
     rows = streaming.stream_scalar_keyframes(events, "user_id", ["ts", "event_id"], "value", SCALAR_STEP)
@@ -442,12 +440,9 @@ def pii_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 def _picture_dir(spark: SparkSession, sf: str) -> str:
     """PNG files of the first label's frames, in a new shared folder."""
-    import uuid
-
     from ..sources import sinks
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/framesift"
-    out = f"{root}/pictures-{uuid.uuid4().hex}"
+    out = shared_dir(spark, "pictures")
     f = V.frames(spark, sf).where("label = 0").select("frame", F.lit(True).alias("is_keyframe"), F.concat(F.lit(out + "/"), F.format_string("frame_%06d.png", "vec_id")).alias("asset_path"))
     sinks.save_keyframes(f).count()
     return out
@@ -465,13 +460,11 @@ def image_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def image_scan_all(spark: SparkSession, sf: str) -> DataFrame:
     """Pictures of all frames, a directory for each label, written by the sink and read by the directory source."""
-    import uuid
     from functools import reduce
 
     from ..sources import images, sinks
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/framesift"
-    out = f"{root}/pictures-{uuid.uuid4().hex}"
+    out = shared_dir(spark, "pictures")
     f = V.frames(spark, sf)
     folder = F.concat(F.lit(f"{out}/label_"), F.coalesce(F.col("label").cast("string"), F.lit("none")), F.lit("/"))
     asset = F.concat(folder, F.format_string("frame_%012d.png", "vec_id"))
@@ -509,12 +502,9 @@ def ocr_redaction(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """The frame cascade as a stream with keyed state."""
-    import uuid
-
     from ..sources.images import frames_from_gray
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/framesift"
-    out = f"{root}/stream-{uuid.uuid4().hex}"
+    out = shared_dir(spark, "stream")
     source = V.table(spark, sf, "embeddings")
     live = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/embeddings.parquet*")
     f = frames_from_gray(live, V.pixels(F.col("embedding")), V.SIDE, V.SIDE, "label", "vec_id").select("seq_id", "seq_pos", "frame.height", "frame.width", "frame.data")

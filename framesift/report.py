@@ -5,7 +5,8 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from .operators import numbering
 
@@ -15,12 +16,14 @@ STYLE = "body{font-family:sans-serif;margin:2em}table{border-collapse:collapse}t
 def render(manifest: DataFrame, task: str = "seq_id", frames_a_task: int = 200) -> str:
     """HTML of a manifest; the summaries are made by Spark, and at most frames_a_task lines of each task are shown."""
     total = numbering.summary(manifest).first()
-    tasks = numbering.summary(manifest, task).orderBy(task).toLocalIterator()
+    first = F.row_number().over(Window.partitionBy(task).orderBy("seq_pos"))
+    shown = manifest.select(task, "seq_pos", "frame_id", "is_keyframe", "visual_reason", first.alias("_n")).where(F.col("_n") <= frames_a_task)
+    shown = shown.groupBy(task).agg(F.array_sort(F.collect_list(F.struct("_n", "frame_id", "is_keyframe", "visual_reason"))).alias("shown"))
+    tasks = numbering.summary(manifest, task).join(shown, task).orderBy(task).toLocalIterator()
     rows, lines = [], []
     for t in tasks:
         rows.append(f"<tr><td>{html.escape(str(t[task]))}</td><td>{t.num_frames}</td><td>{t.num_keyframes}</td><td>{t.skip_rate:.1%}</td></tr>")
-        shown = manifest.where(manifest[task] == t[task]).orderBy("seq_pos").limit(frames_a_task).select("frame_id", "is_keyframe", "visual_reason").collect()
-        items = "".join(f'<li class="{"k" if f.is_keyframe else "s"}">{html.escape(f.frame_id or "")}: {html.escape(f.visual_reason or "")}</li>' for f in shown)
+        items = "".join(f'<li class="{"k" if f.is_keyframe else "s"}">{html.escape(f.frame_id or "")}: {html.escape(f.visual_reason or "")}</li>' for f in t.shown)
         lines.append(f"<h2>{html.escape(str(t[task]))}</h2><ol>{items}</ol>")
     data = json.dumps({"total_frames": total.num_frames, "total_keyframes": total.num_keyframes, "skip_rate": total.skip_rate}).replace("</", "<\\/")
     return (

@@ -58,13 +58,16 @@ def frames_from_dir(spark: SparkSession, path: str, formats: list[str] | None =
 
     A file that can't be decoded fails the run, as it would leave a gap in the sequence."""
     suffixes = "|".join(formats or ["png", "jpg", "jpeg", "bmp", "tiff", "webp"])
-    files = spark.read.format("image").load(path)
-    name = F.element_at(F.split(F.col("image.origin"), "/"), -1)
-    files = files.withColumn("_name", F.url_decode(name)).where(F.lower("_name").rlike(f"\\.({suffixes})$"))
+    named = lambda df, origin: df.withColumn("_name", F.url_decode(F.element_at(F.split(origin, "/"), -1))).where(F.lower("_name").rlike(f"\\.({suffixes})$"))
+    files = named(spark.read.format("image").load(path), F.col("image.origin"))
+    # the names alone are ranked; pictures stay in the tasks that read them as long as the names can be broadcast
+    names = named(spark.read.format("binaryFile").load(path).select("path"), F.col("path")).select("_name")
+    ranked = names.select("_name", (F.row_number().over(Window.orderBy("_name")) - 1).cast("long").alias("seq_pos"))
+    files = files.join(ranked, "_name")
     good = F.when(F.col("image.height") > 0, F.col("image")).otherwise(F.raise_error(F.concat(F.lit("Could not load image from "), F.col("image.origin"))))
     return files.select(
         F.lit(path).alias("seq_id"),
-        (F.row_number().over(Window.partitionBy(F.lit(path)).orderBy("_name")) - 1).cast("long").alias("seq_pos"),
+        "seq_pos",
         F.regexp_replace("_name", "\\.[^.]*$", "").alias("frame_id"),
         F.regexp_extract("_name", "\\.([^.]*)$", 1).alias("source_format"),
         rgb_of_image(good).alias("frame"),

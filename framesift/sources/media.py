@@ -52,7 +52,7 @@ def dbfs(samples: np.ndarray, width: int) -> float:
     return 20 * math.log10(rms / (1 << (8 * width - 1))) if rms else -math.inf
 
 
-def sound_chunks(spark: SparkSession, path: str, chunk_s: float = 0.5) -> DataFrame:
+def sound_chunks(spark: SparkSession, path: str | list[str], chunk_s: float = 0.5) -> DataFrame:
     """(source, chunk, dbfs, duration) of WAV files."""
 
     def run(it):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 
 import pyarrow as pa
@@ -21,8 +22,24 @@ def write_manifest(df: DataFrame, path: str, compression: str = "snappy", *extra
     return True
 
 
+def encoded(frame, path: str) -> bytes:
+    """The picture in the format of the path's suffix. PNG is written here; JPEG needs Pillow, and is refused without it."""
+    kind = path.rpartition(".")[2].lower()
+    if kind == "png":
+        return imaging.png(frame)
+    if kind not in ("jpg", "jpeg"):
+        raise ValueError(f"pictures are written as png or jpg, not {kind}")
+    try:
+        from PIL import Image
+    except ImportError as e:
+        raise ImportError("keyframes as jpg need Pillow; or set keyframe_format to png") from e
+    out = io.BytesIO()
+    Image.fromarray(frame).save(out, "JPEG", quality=95)
+    return out.getvalue()
+
+
 def save_keyframes(df: DataFrame) -> DataFrame:
-    """Writes frame to asset_path on keyframes, as PNG, from the tasks; returns (asset_path, n_bytes). Paths are of a shared folder.
+    """Writes frame to asset_path on keyframes, in its format, from the tasks; returns (asset_path, n_bytes). Paths are of a shared folder.
 
     A picture is written under another name and moved, so that a task that runs again leaves whole files."""
 
@@ -30,7 +47,7 @@ def save_keyframes(df: DataFrame) -> DataFrame:
         for b in it:
             done, sizes = [], []
             for path, f in zip(b.column("asset_path").to_pylist(), b.column("frame").to_pylist(), strict=True):
-                data = imaging.png(imaging.from_bytes(f["data"], f["height"], f["width"]))
+                data = encoded(imaging.from_bytes(f["data"], f["height"], f["width"]), path)
                 fs, name = pa.fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
                 fs.create_dir(name.rpartition("/")[0], recursive=True)
                 with fs.open_output_stream(f"{name}.tmp") as out:

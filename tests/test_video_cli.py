@@ -46,3 +46,75 @@ def test_run_images(spark, tmp_path, capsys):
     assert sorted(p.name for p in (tmp_path / "out").glob("*.png")) == ["frame_000.png", "frame_002.png"]
     m = spark.read.parquet(str(tmp_path / "out" / "manifest.parquet"))
     assert m.count() == 3 and len(m.columns) == 30 and "2 keyframes of 3 frames" in (tmp_path / "r.html").read_text()
+
+
+def wav(path, loud, rate=8000):
+    """Seconds of silence or of a tone, by the flags."""
+    import wave
+
+    with wave.open(str(path), "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        for flag in loud:
+            w.writeframes((np.sin(np.arange(rate) / 3) * 20000 * flag).astype("<i2").tobytes())
+
+
+def run_of_videos(spark, tmp_path, **kw):
+    src = tmp_path / "in"
+    src.mkdir(exist_ok=True)
+    for name in ("a.mp4", "b.mp4"):
+        (src / name).touch()
+    wav(src / "a.wav", [0, 1, 1])
+    s = Settings.of({"masking": {"block_size": 8}, "exporter": {"output_dir": str(tmp_path / "out")}} | kw)
+    f = decoded(spark, "a.mp4", [0] * 45 + [255] * 45).unionByName(decoded(spark, "b.mp4", [9] * 60))
+
+    def engine():
+        return lambda a: [([[0, 0], [16, 0], [16, 24], [0, 24]], "mail a@b.example.com" if a.mean() > 100 else "nothing", 0.9)]
+
+    n = cli.run_videos(spark, src, s, f, engine)
+    return n, {(r.source_video, r.frame_id): r for r in spark.read.parquet(str(tmp_path / "out" / "manifest.parquet")).where("is_keyframe").collect()}
+
+
+def test_keyframes_of_videos_are_redacted_and_speech_is_found(spark, tmp_path):
+    from framesift.sources.images import load_frame
+
+    n, kf = run_of_videos(spark, tmp_path, redactor={"scope": "full"})
+    assert n == 3 and {k: r.pii_detected for k, r in kf.items()} == {("a.mp4", "step_001"): False, ("a.mp4", "step_002"): True, ("b.mp4", "step_001"): False}
+    picture = load_frame(spark, tmp_path / "out" / "a.mp4" / "step_002.png")
+    assert not picture[:, :16].any() and (picture[:, 16:] == 255).all()
+    assert {k: r.audio_activity for k, r in kf.items()} == {("a.mp4", "step_001"): "silence", ("a.mp4", "step_002"): "speech", ("b.mp4", "step_001"): "silence"}
+
+
+def test_keyframes_have_the_format_of_their_name(tmp_path):
+    import importlib.util
+
+    from framesift.sources.sinks import encoded
+
+    a = np.zeros((8, 8, 3), np.uint8)
+    assert encoded(a, "x/y.png")[:4] == b"\x89PNG"
+    with pytest.raises(ValueError, match="bmp"):
+        encoded(a, "x/y.bmp")
+    if importlib.util.find_spec("PIL"):
+        assert encoded(a, "x/y.jpg")[:2] == b"\xff\xd8"
+    else:
+        with pytest.raises(ImportError, match="Pillow"):
+            encoded(a, "x/y.jpg")
+
+
+def test_pictures_with_odd_names_keep_their_order(spark, tmp_path):
+    from framesift.sources.images import frames_from_dir
+
+    for i, name in enumerate(["a b.png", "a%20c.png", "é.png", "z+1.PNG"]):
+        (tmp_path / name).write_bytes(imaging.png(np.full((4, 4, 3), i, np.uint8)))
+    got = sorted((r.seq_pos, r.frame_id, r.frame.data[0]) for r in frames_from_dir(spark, str(tmp_path)).collect())
+    assert [g[0] for g in got] == [0, 1, 2, 3] and [g[1] for g in got] == sorted(g[1] for g in got) and sorted(g[2] for g in got) == [0, 1, 2, 3]
+
+
+def test_backfill_over_many_buckets(spark):
+    from framesift.operators import numbering
+
+    frames = spark.range(3000).selectExpr("'v' as seq_id", "id as seq_pos")
+    gaps = spark.createDataFrame([("v", 10, 900), ("v", 900, 901), ("v", 2000, 2002)], "seq_id string, prev_no long, frame_no long")
+    got = sorted(r.seq_pos for r in numbering.backfill(frames, gaps, "seq_id", "seq_pos").collect())
+    assert got == [*range(11, 900), 2001]

@@ -93,7 +93,7 @@ def speech_of(spark, files: list[Path]):
         return None
     chunks = media.sound_chunks(spark, [str(p) for p in beside])
     names = spark.createDataFrame([(p.name, name) for p, name in beside.items()], "_wav string, source_video string")  # a row a file
-    chunks = chunks.withColumn("_wav", F.url_decode(F.element_at(F.split("source", "/"), -1))).join(F.broadcast(names), "_wav").drop("source", "_wav")
+    chunks = chunks.withColumn("_wav", F.element_at(F.split("source", "/"), -1)).join(F.broadcast(names), "_wav").drop("source", "_wav")
     return align.speech_segments(chunks, "source_video")
 
 

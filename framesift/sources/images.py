@@ -58,10 +58,12 @@ def frames_from_dir(spark: SparkSession, path: str, formats: list[str] | None =
 
     A file that can't be decoded fails the run, as it would leave a gap in the sequence."""
     suffixes = "|".join(formats or ["png", "jpg", "jpeg", "bmp", "tiff", "webp"])
-    named = lambda df, origin: df.withColumn("_name", F.url_decode(F.element_at(F.split(origin, "/"), -1))).where(F.lower("_name").rlike(f"\\.({suffixes})$"))
-    files = named(spark.read.format("image").load(path), F.col("image.origin"))
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    kept = F.lower("_name").rlike(f"\\.({suffixes})$")
+    plain = F.url_decode(F.replace(last(F.col("image.origin")), F.lit("+"), F.lit("%2B")))  # an origin is a URI, in which a plus is itself
+    files = spark.read.format("image").load(path).withColumn("_name", plain).where(kept)
     # the names alone are ranked; pictures stay in the tasks that read them as long as the names can be broadcast
-    names = named(spark.read.format("binaryFile").load(path).select("path"), F.col("path")).select("_name")
+    names = spark.read.format("binaryFile").load(path).select(last(F.col("path")).alias("_name")).where(kept)
     ranked = names.select("_name", (F.row_number().over(Window.orderBy("_name")) - 1).cast("long").alias("seq_pos"))
     files = files.join(ranked, "_name")
     good = F.when(F.col("image.height") > 0, F.col("image")).otherwise(F.raise_error(F.concat(F.lit("Could not load image from "), F.col("image.origin"))))

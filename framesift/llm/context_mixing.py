@@ -1,23 +1,29 @@
 """Language-model scores by online logistic context mixing, and a smoothed unigram base.
 
 A text is its words, A-Z as a-z, each ended by a blank, with an end flag before each word and after the last. A byte is a few
-binary decisions along a prefix code of the corpus's bytes. Three predictors give each decision a probability from counts in hashed contexts: the
-last three bytes, the whole of the word so far, and that with the last letter outside ASCII. A predictor's slot is a
-one-byte state, exact for small counts. Their logits are mixed with weights that a gate selects by how well the two longest contexts
-are known. These weights are trained by online gradient steps on all training documents, a chunk's distinct words and their counts at a time,
-each decision's own count taken out. Within a document two more weights, on the mixed logit and on the longest context's, are refined after every block of
-words by an online gradient step, so what is predicted depends on the text before alone, and probabilities of all texts sum to 1.
-
-All training words are counted: by chunk of documents, then by partitions of the words' hashes; a chunk is answered with the counts of
-just its own words. The tables of the predictors have a fixed size, so they can be broadcast; what is counted and sent grows with the
-corpus. Null text: empty, which has an end and a score. Null doc_id: its crc32 is that of the empty text. Repeated rows: a row each,
-each counted. Empty table: no rows. Without training documents the base is uniform. Other columns are not read.
+binary decisions along a prefix code of the corpus's bytes. Four predictors give each decision a probability from counts in hashed contexts: the
+last three bytes, the last two with the last letter outside ASCII, the whole of the word so far, and that with that letter. A predictor's
+slot is a one-byte state, exact for small counts. Their logits are mixed with weights that a gate selects by how well the two longest
+contexts are known. These weights are trained by online gradient steps on all training documents, that is on all distinct words and their
+counts, each decision's own count taken out. Within a document two more weights, on the mixed logit and on the longest context's, are
+refined after every block of words by an online gradient step.
+
+Over words there is a fifth predictor, a match model with a memory of all training documents: three words in a row, where their hash says
+so, are an anchor, and what followed the same anchor in another training document is predicted for the next words. Whether the
+word is the predicted one is one decision, whose probability is counted within the document; only if it isn't, the word is spelled.
+So what is predicted depends on the text before alone, and probabilities of all texts sum to 1 at most.
+
+Words are counted by chunk of documents, then merged by partitions of their hashes; tables and weights are made of the merged
+words, and a chunk is answered with the counts of just its own words and the anchors that it shares with others. The tables of the
+predictors have a fixed size, so they can be broadcast; counts and anchors grow with the corpus. Null text: empty, which has an end and a
+score. Null doc_id: its crc32 is that of the empty text. Repeated rows: a row each, each counted. Empty table: no rows. Without training
+documents the base is uniform. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +31,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, crc_mod, cut, table
+from .common import batches, crc_mod, cut, drop, table
+from .jaccard_join import word_hashes
 
 BITS = 22
 SLOTS = 1 << BITS
-CONTEXTS = 3
+CONTEXTS = 4
 PART = 1 << 15
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 12 << 20
 CLASSES = 64
 BLOCK = 32
 #: Words whose decisions are laid out at a time.
 SLICE = 6000
 GATES = 16
+#: Words of an anchor, how many of them are one in so many, and words that are predicted after it.
+ANCHOR, ANCHOR_EVERY, AHEAD = 3, 16, 6
 LN10 = float(np.log(10.0))
 
 
@@ -87,7 +96,7 @@ KNOWN = np.array([0 if not a + b else 1 if a + b < 3 else 2 for a, b in _SMALL]
 _INDEX = {s: i for i, s in enumerate(_SMALL)}
 #: The state without one count of the bit.
 LESS = np.array([[_INDEX.get((a - (bit == 0), b - (bit == 1)), _INDEX[a, b]) for a, b in _SMALL] + list(range(len(_SMALL), 256)) for bit in (0, 1)], np.uint8)
-START = np.array([[0.25, 0.3, 0.5, 0.0] if g else [1.0, 0.0, 0.0, 0.0] for g in range(GATES)])
+START = np.array([[0.15, 0.15, 0.25, 0.5, 0.0] if g else [0.5, 0.5, 0.0, 0.0, 0.0] for g in range(GATES)])
 
 
 def states(n: np.ndarray) -> np.ndarray:
@@ -123,7 +132,8 @@ def decisions(code: Code, keys: list[tuple[int, bytes]]) -> tuple[np.ndarray, np
         prev[at < i] = 1 if i == 1 else 0
         back |= prev << np.uint64(8 * i)
     cls = np.fromiter((c for c, _ in keys), np.uint64, len(keys))[of]
-    contexts = (back, whole * np.uint64(0xD6E8FEB86659FD93) + np.uint64(7), whole * np.uint64(0xA0761D6478BD642F) + (cls + np.uint64(11)) * np.uint64(0xE7037ED1A0B428DB))
+    near = (back & np.uint64(0xFFFF00)) * np.uint64(0x165667B19E3779F9) + (cls + np.uint64(3)) * np.uint64(0x8EBC6AF09C88C6E3)
+    contexts = (back, near, whole * np.uint64(0xD6E8FEB86659FD93) + np.uint64(7), whole * np.uint64(0xA0761D6478BD642F) + (cls + np.uint64(11)) * np.uint64(0xE7037ED1A0B428DB))
     n = code.length[text]
     rep = np.repeat(np.arange(len(text)), n)
     which = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n - code.offset[text], n)
@@ -197,11 +207,16 @@ def _by_part(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _chunks(it):
     """(chunk, rows) of sorted batches; rows are lists of columns of one chunk."""
+    return ((k, rows) for (k,), rows in _keyed(it, 1))
+
+
+def _keyed(it, width: int):
+    """(key, rows) of batches sorted by the key, the first columns; rows are lists of columns."""
     key, held = None, None
     for b in batches(it):
         names = list(b)
         for row in zip(*b.values(), strict=True):
-            k = row[0]
+            k = row[:width]
             if k != key:
                 if held:
                     yield key, held
@@ -212,64 +227,81 @@ def _chunks(it):
         yield key, held
 
 
-def count(code: Code, rows: DataFrame, parts: int) -> DataFrame:
-    """(kind, part, chunk, blob): kind 0: hashes and training counts of a chunk's words in a part of the hashes; kind 1: counts in a
-    part of a table; kind 2: numbers of training texts by length; kind 3: a chunk's distinct training words with class and count."""
+def anchors(texts: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts, in the order of (part, anchor): the anchor's hash, its text, and the place of the word after it; the bounds of the parts; and the low
+    32 bits of the hashes of all words, AHEAD zeros after each text."""
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    h, at = word_hashes(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    n = np.diff(at)
+    of = np.repeat(np.arange(len(texts)), n)
+    low = np.zeros(len(h) + AHEAD * len(texts), np.uint32)
+    place = np.arange(len(h)) + AHEAD * of
+    low[place] = h | np.uint64(1)
+    last = len(h) - ANCHOR
+    if last <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(parts + 1, np.int64), low
+    x = h[:last] * np.uint64(0x9E3779B97F4A7C15) + h[1 : last + 1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2 : last + 2] * np.uint64(0x165667B19E3779F9)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    hit = np.flatnonzero((x & np.uint64(ANCHOR_EVERY - 1) == 0) & (of[:last] == of[ANCHOR:]))
+    order, bounds = _by_part(x[hit], parts)
+    hit = hit[order]
+    return x[hit], of[hit], place[hit + ANCHOR], bounds, low
+
+
+def count(rows: DataFrame, parts: int) -> DataFrame:
+    """(kind, part, chunk, blob): kind 0: the words of a chunk in a part of their hashes, with classes and training counts; kind 1: its anchors in a
+    part; kind 2: numbers of training texts by length."""
 
     def run(it):
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
-        tables = None
         ends, seen = np.zeros(len(EDGES), np.int64), np.zeros(len(EDGES), np.int64)
         for chunk, rows in _chunks(it):
             others: set[bytes] = set()
             keys: list[tuple[int, bytes]] = []
             number = [Numbers(c, keys) for c in range(CLASSES)]
-            lists = []
+            times = np.zeros(0, np.int64)
+            lengths = []
             for text, held_out in zip(rows["text"], rows["held_out"], strict=True):
                 words = _words(text)
                 if held_out:
                     others.update(words)
-                else:
-                    lists.append(np.fromiter(by_class(words, text.isascii(), number), np.int32))
-            lengths = [len(x) for x in lists]
-            times = np.bincount(np.concatenate(lists), minlength=len(keys)) if lists else np.zeros(0, np.int64)
-            del lists, number
+                    continue
+                lengths.append(len(words))
+                got = np.fromiter(by_class(words, text.isascii(), number), np.int32)
+                if len(times) < len(keys):
+                    times = np.concatenate([times, np.zeros(len(keys) + len(keys) // 2 - len(times), np.int64)])
+                np.add.at(times, got, 1)
             if lengths:
                 n = np.array(lengths)
                 ends += np.bincount(np.searchsorted(EDGES, n, "right") - 1, minlength=len(EDGES))
                 seen += exposures(n).sum(axis=0)
-            plain: Counter = Counter(dict.fromkeys(others, 0))
-            for (_, w), c in zip(keys, times.tolist(), strict=True):
-                plain[w] += c
+            plain = list(others.union(w for _, w in keys))
             if plain:
-                h, c = _hashes(list(plain)), np.fromiter(plain.values(), np.uint64, len(plain)).astype(np.uint32)
-                order, bounds = _by_part(h, parts)
-                h, c = h[order], c[order]
+                order, bounds = _by_part(_hashes(plain), parts)
+                plain = [plain[i] for i in order.tolist()]
+                place = {w: i for i, w in enumerate(plain)}
+                at = np.fromiter((place[w] for _, w in keys), np.int64, len(keys))
+                cls, n = np.fromiter((c for c, _ in keys), np.uint8, len(keys)), times[: len(keys)].astype(np.uint32)
+                by = np.argsort(at, kind="stable")
+                at, cls, n = at[by], cls[by], n[by]
+                cuts = np.searchsorted(at, bounds)
                 for p in range(parts):
-                    a, b = bounds[p], bounds[p + 1]
-                    if b > a:
-                        yield _row(0, p, chunk, pack(h[a:b].tobytes() + c[a:b].tobytes()))
-            if keys:
-                if tables is None:
-                    tables = [np.zeros(2 * SLOTS, np.uint32) for _ in range(CONTEXTS)]
-                times = times.astype(np.uint32)
-                yield _row(3, 0, chunk, pack(_listing(keys, times)))
-                for lo in range(0, len(keys), SLICE):
-                    _, of, bit, slots = decisions(code, keys[lo : lo + SLICE])
-                    w = times[lo : lo + SLICE][of]
-                    for t, s in zip(tables, slots, strict=True):
-                        np.add.at(t, 2 * s + bit, w)
-        task = TaskContext.get().partitionId()
-        if tables is not None:
-            for k, t in enumerate(tables):
-                for p in range(SLOTS // PART):
-                    x = t[2 * p * PART : 2 * (p + 1) * PART]
-                    if x.any():
-                        yield _row(1, k * (SLOTS // PART) + p, task, pack(x.tobytes()))
+                    if bounds[p + 1] > bounds[p]:
+                        k = slice(cuts[p], cuts[p + 1])
+                        head = np.array([bounds[p + 1] - bounds[p], cuts[p + 1] - cuts[p]], np.int64)
+                        yield _row(0, p, chunk, pack(head.tobytes() + (at[k] - bounds[p]).astype(np.uint32).tobytes() + n[k].tobytes() + cls[k].tobytes() + b" ".join(plain[bounds[p] : bounds[p + 1]])))
+            x, of, place, bounds, low = anchors(rows["text"], parts)
+            train = ~np.array(rows["held_out"], bool)
+            for p in range(parts):
+                k = slice(bounds[p], bounds[p + 1])
+                if bounds[p + 1] > bounds[p]:
+                    ahead = low[place[k][:, None] + np.arange(AHEAD)]
+                    yield _row(1, p, chunk, pack(x[k].tobytes() + of[k].astype(np.uint32).tobytes() + ahead.tobytes() + train[of[k]].tobytes()))
         if seen.any():
-            yield _row(2, 0, task, np.stack([ends, seen]).tobytes())
+            yield _row(2, 0, TaskContext.get().partitionId(), np.stack([ends, seen]).tobytes())
 
     return rows.mapInArrow(run, "kind int, part int, chunk long, blob binary")
 
@@ -288,31 +320,87 @@ def _listed(blob: bytes) -> tuple[list[tuple[int, bytes]], np.ndarray]:
     return list(zip(blob[8 + 4 * n : 8 + 5 * n], blob[8 + 5 * n :].split(b" "), strict=True)), np.frombuffer(blob, np.uint32, n, 8)
 
 
-def answers(counted: DataFrame) -> DataFrame:
-    """(chunk, part, blob): counts over all chunks of the chunk's words in this part, in their order; chunk -1: the part's totals."""
+def recalled(x: np.ndarray, doc: np.ndarray, train: np.ndarray) -> np.ndarray:
+    """For each anchor the row whose following words are predicted, -1: none. That is the first in training with the same hash in another document."""
+    order = np.lexsort((doc, ~train, x))
+    xs, ds, ts = x[order], doc[order], train[order]
+    starts = np.flatnonzero(np.r_[True, xs[1:] != xs[:-1]])
+    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(xs)]))
+    first = starts[group]
+    other = np.where(ts & (ds != ds[first]), np.arange(len(xs)), len(xs))
+    second = np.minimum.reduceat(other, starts)[group]
+    got = np.where(~ts[first], len(xs), np.where(ds != ds[first], first, second))
+    out = np.full(len(x), -1)
+    has = got < len(xs)
+    out[order[has]] = order[got[has]]
+    return out
+
+
+def merged(code: Code, counted: DataFrame, tasks: int) -> DataFrame:
+    """(kind, part, chunk, blob): kind 0: counts over all chunks of a chunk's words in this part, in their order; kind 1: the chunk's anchors
+    that are recalled, and the words after them; kind 2: the part's totals; kind 3: all classes, words and counts of the part; kind 4: counts of
+    them in a part of a predictor's table."""
 
     def run(it):
         import zstandard
 
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-
-        for part, rows in _chunks(it):
+        tables = None
+        for (part, kind), rows in _keyed(it, 2):
             got = [unpack(b) for b in rows["blob"]]
-            hs = [np.frombuffer(g[: len(g) // 12 * 8], np.uint64) for g in got]
-            cs = [np.frombuffer(g[len(g) // 12 * 8 :], np.uint32) for g in got]
-            u, at = np.unique(np.concatenate(hs), return_inverse=True)
-            total = np.bincount(at, np.concatenate(cs), len(u)).astype(np.int64)
-            lo = 0
-            for chunk, h in zip(rows["chunk"], hs, strict=True):
-                yield _row(0, part, chunk, pack(total[at[lo : lo + len(h)]].tobytes()))
-                lo += len(h)
-            yield _row(0, part, -1, np.array([total.sum(), (total > 0).sum()]).tobytes())
+            if kind == 1:
+                size = np.array([len(g) // (13 + 4 * AHEAD) for g in got])
+                x = np.concatenate([np.frombuffer(g, np.uint64, n) for g, n in zip(got, size, strict=True)])
+                doc = np.concatenate([np.frombuffer(g, np.uint32, n, 8 * n) + (np.uint64(c) << np.uint64(32)) for g, n, c in zip(got, size, rows["chunk"], strict=True)])
+                ahead = np.concatenate([np.frombuffer(g, np.uint32, AHEAD * n, 12 * n) for g, n in zip(got, size, strict=True)]).reshape(-1, AHEAD)
+                train = np.concatenate([np.frombuffer(g, bool, n, (12 + 4 * AHEAD) * n) for g, n in zip(got, size, strict=True)])
+                source = recalled(x, doc, train)
+                lo = 0
+                for chunk, n in zip(rows["chunk"], size.tolist(), strict=True):
+                    at = np.flatnonzero(source[lo : lo + n] >= 0)
+                    if len(at):
+                        yield _row(1, part, chunk, pack(at.astype(np.uint32).tobytes() + ahead[source[lo + at]].tobytes()))
+                    lo += n
+                continue
+            heads = [np.frombuffer(g, np.int64, 2) for g in got]
+            words = [g[16 + 9 * int(k) :].split(b" ") for g, (_, k) in zip(got, heads, strict=True)]
+            number: dict[bytes, int] = {}
+            at = [np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws)) for ws in words]
+            plain = list(number)
+            types, n = [], []
+            for g, (_, k), mine in zip(got, heads, at, strict=True):
+                types.append((mine[np.frombuffer(g, np.uint32, k, 16)] << 6) + np.frombuffer(g, np.uint8, k, 16 + 8 * k))
+                n.append(np.frombuffer(g, np.uint32, k, 16 + 4 * k))
+            types, back = np.unique(np.concatenate(types), return_inverse=True)
+            n = np.bincount(back, np.concatenate(n), len(types)).astype(np.int64)
+            total = np.bincount(types >> 6, n, len(plain)).astype(np.int64)
+            for chunk, mine in zip(rows["chunk"], at, strict=True):
+                yield _row(0, part, chunk, pack(total[mine].tobytes()))
+            yield _row(2, part, -1, np.array([total.sum(), (total > 0).sum()]).tobytes())
+            del got, words, at, number, back
+            for lo in range(0, len(types), 20 * SLICE):
+                keys = [(int(t) & 63, plain[int(t) >> 6]) for t in types[lo : lo + 20 * SLICE]]
+                times = np.minimum(n[lo : lo + 20 * SLICE], (1 << 32) - 1).astype(np.uint32)
+                yield _row(3, part, lo, pack(_listing(keys, times)))
+                if tables is None:
+                    tables = [np.zeros(2 * SLOTS, np.uint32) for _ in range(CONTEXTS)]
+                for i in range(0, len(keys), SLICE):
+                    _, of, bit, slots = decisions(code, keys[i : i + SLICE])
+                    w = times[i : i + SLICE][of]
+                    for t, s in zip(tables, slots, strict=True):
+                        np.add.at(t, 2 * s + bit, w)
+        task = TaskContext.get().partitionId()
+        for k, t in enumerate(tables or []):
+            for p in range(SLOTS // PART):
+                x = t[2 * p * PART : 2 * (p + 1) * PART]
+                if x.any():
+                    yield _row(4, k * (SLOTS // PART) + p, task, pack(x.tobytes()))
 
-    rows = counted.where("kind = 0").select("part", "chunk", "blob").repartition("part").sortWithinPartitions("part", "chunk")
-    return cut(rows.mapInArrow(run, "kind int, part int, chunk long, blob binary"), "answers")
+    rows = counted.where("kind < 2").select("part", "kind", "chunk", "blob").repartition(tasks, "part").sortWithinPartitions("part", "kind", "chunk")
+    return cut(rows.mapInArrow(run, "kind int, part int, chunk long, blob binary"), "merged")
 
 
-def merged_tables(counted: DataFrame) -> np.ndarray:
+def merged_tables(told: DataFrame) -> np.ndarray:
     """uint8 states, contexts x slots: the parts of all tasks added up in a stream; a fixed 2^BITS bytes a context."""
 
     def run(it):
@@ -320,7 +408,7 @@ def merged_tables(counted: DataFrame) -> np.ndarray:
 
         unpack = zstandard.ZstdDecompressor().decompress
         part, total = None, None
-        for b in batches(it):
+        for b in batches(it, 64):
             for p, blob in zip(b["part"], b["blob"], strict=True):
                 if p != part:
                     if total is not None:
@@ -330,7 +418,7 @@ def merged_tables(counted: DataFrame) -> np.ndarray:
         if total is not None:
             yield _row(1, part, 0, states(total.reshape(-1, 2)).tobytes())
 
-    rows = counted.where("kind = 1").select("part", "blob").repartition("part").sortWithinPartitions("part")
+    rows = told.where("kind = 4").select("part", "blob").repartition("part").sortWithinPartitions("part")
     out = np.zeros((CONTEXTS, SLOTS), np.uint8)
     flat = out.reshape(-1, PART)
     for r in rows.mapInArrow(run, "kind int, part int, chunk long, blob binary").select("part", "blob").toLocalIterator():
@@ -366,9 +454,9 @@ def mixed(code: Code, tables: np.ndarray, weights: np.ndarray, keys: list[tuple[
 SIGN = np.array([-1, 1], np.float32)
 
 
-def train_gates(code: Code, counted: DataFrame, tables, tasks: int) -> np.ndarray:
+def train_gates(code: Code, told: DataFrame, tables) -> np.ndarray:
     """Weights (gates x contexts and a bias): online steps in each task from the same start, averaged by the decisions of each gate.
-    A step has words from all of its chunk, as early ones are frequent and late ones rare."""
+    A step has words from all of its part, frequent and rare ones."""
 
     def run(it):
         import zstandard
@@ -393,7 +481,7 @@ def train_gates(code: Code, counted: DataFrame, tables, tasks: int) -> np.ndarra
         yield pa.RecordBatch.from_pydict({"gate": np.repeat(np.arange(GATES), CONTEXTS + 1), "k": np.tile(np.arange(CONTEXTS + 1), GATES), "w": (w * used[:, None]).ravel(), "n": np.repeat(used, CONTEXTS + 1)})
 
     out = START.copy()
-    rows = counted.where("kind = 3").select("chunk", "blob").repartition(tasks, "chunk").sortWithinPartitions("chunk")
+    rows = told.where("kind = 3").select("part", "chunk", "blob").repartition("part", "chunk").sortWithinPartitions("part", "chunk").select("blob")
     for r in rows.mapInArrow(run, "gate long, k long, w double, n double").groupBy("gate", "k").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect():
         if r["n"]:
             out[r["gate"], r["k"]] = r["w"] / r["n"]
@@ -430,6 +518,39 @@ def refine(z: np.ndarray, x: np.ndarray, first: np.ndarray, n: np.ndarray, docs:
     return out
 
 
+def foretold(texts: list[bytes], matches: list[tuple[int, bytes]], parts: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """By text with any: which of its words the match model foretells; and the ln probability of all decisions whether it does. A later anchor
+    counts before an earlier one."""
+    ln = np.zeros(len(texts))
+    if not matches:
+        return {}, ln
+    _, of, place, bounds, low = anchors(texts, parts)
+    at, ahead = [], []
+    for p, blob in matches:
+        n = len(blob) // (4 + 4 * AHEAD)
+        at.append(bounds[p] + np.frombuffer(blob, np.uint32, n))
+        ahead.append(np.frombuffer(blob, np.uint32, AHEAD * n, 4 * n).reshape(-1, AHEAD))
+    at, ahead = np.concatenate(at), np.concatenate(ahead)
+    by = np.argsort(place[at])
+    at, ahead = at[by], ahead[by]
+    want = np.zeros(len(low), np.uint32)
+    for k in range(AHEAD):  # nearer anchors are written last, word by word
+        want[place[at] + AHEAD - 1 - k] = ahead[:, AHEAD - 1 - k]
+    sizes = np.array([len(_words(t)) for t in texts])
+    begin = np.cumsum(sizes + AHEAD) - sizes - AHEAD
+    hits = {}
+    for k in np.unique(of[at]).tolist():
+        mine = slice(begin[k], begin[k] + sizes[k])
+        asked = want[mine] != 0
+        hit = asked & (want[mine] == low[mine])
+        h = hit[asked]
+        before = np.cumsum(h) - h
+        p = (before + 0.4) / (np.arange(len(h)) + 0.8)
+        ln[k] = np.log(np.where(h, p, 1 - p)).sum()
+        hits[k] = hit
+    return hits, ln
+
+
 def score(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:
     """Contract columns and bits_per_byte of every document; held_out: a condition on docs that leaves a document out of training."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), held_out.alias("held_out"))
@@ -439,21 +560,21 @@ def score(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:
     by_byte[9:14] = 0
     code = Code(by_byte)
     n_chunks = int(size // CHUNK_BYTES) + 1
-    parts = n_chunks
-    tasks = max(1, n_chunks // 8)
+    parts = 2 * math.isqrt(n_chunks) + 1  # so the blobs of (chunk, part) grow more slowly than the square of the corpus
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks))
     rows = texts.withColumn("chunk", chunk)
-    counted = cut(count(code, rows.select("chunk", "text", "held_out").repartition(tasks, "chunk").sortWithinPartitions("chunk"), parts), "counted")
-    told = answers(counted)
-    totals = [np.frombuffer(r["blob"], np.int64) for r in told.where("chunk = -1").select("blob").collect()]  # two numbers a part
+    counted = cut(count(rows.select("chunk", "text", "held_out").repartition(n_chunks, "chunk").sortWithinPartitions("chunk"), parts), "counted")
     lengths = [np.frombuffer(r["blob"], np.int64).reshape(2, -1) for r in counted.where("kind = 2").select("blob").collect()]  # a row a task
+    told = merged(code, counted, max(1, parts // 2))
+    drop(counted)
+    totals = [np.frombuffer(r["blob"], np.int64) for r in told.where("kind = 2").select("blob").collect()]  # two numbers a part
     ends, seen = sum(lengths, np.zeros((2, len(EDGES)), np.int64))
     n_end = int(ends.sum())
     n_train = int(sum(t[0] for t in totals)) + n_end
     n_types = int(sum(t[1] for t in totals)) + (n_end > 0)
     hazard = (ends + 0.05) / (seen + 0.1)
-    tables = spark.sparkContext.broadcast(merged_tables(counted))
-    weights = train_gates(code, counted, tables, tasks)
+    tables = spark.sparkContext.broadcast(merged_tables(told))
+    weights = train_gates(code, told, tables)
     log_stay, log_end = np.log1p(-hazard), np.log(hazard)
     floor = np.log10(n_train + 0.1 * (n_types + 1)) if n_train else 0.0
 
@@ -462,8 +583,9 @@ def score(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:
 
         unpack = zstandard.ZstdDecompressor().decompress
         for chunk, rows in _chunks(it):
-            blobs = [(p, unpack(b)) for p, b in zip(rows["part"], rows["blob"], strict=True) if b is not None]
-            held = [i for i, p in enumerate(rows["part"]) if p is None]
+            blobs = [(p, unpack(b)) for p, b, k in zip(rows["part"], rows["blob"], rows["kind"], strict=True) if k == 0]
+            matches = [(p, unpack(b)) for p, b, k in zip(rows["part"], rows["blob"], rows["kind"], strict=True) if k == 1]
+            held = [i for i, k in enumerate(rows["kind"]) if k is None]
             keys: list[tuple[int, bytes]] = []
             number = [Numbers(c, keys) for c in range(CLASSES)]
             ids = [np.fromiter(by_class(_words(rows["text"][i]), rows["text"][i].isascii(), number), np.int64) for i in held]
@@ -479,9 +601,11 @@ def score(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:
             n, z, x = mixed(code, tables.value, weights, keys)
             del number, count_of, plain
             first = np.cumsum(n) - n
+            hits, flags_ln = foretold([rows["text"][i] for i in held], matches, parts)
             for lo in range(0, len(held), 128):
                 part, of = held[lo : lo + 128], ids[lo : lo + 128]
-                ln = refine(z, x, first, n, of)
+                spelled = [w if k not in hits else w[~hits[k]] for k, w in enumerate(of, lo)]
+                ln = refine(z, x, first, n, spelled) + flags_ln[lo : lo + 128]
                 m = np.array([len(w) for w in of])
                 flags = exposures(m)
                 last = np.searchsorted(EDGES, m, "right") - 1
@@ -506,8 +630,8 @@ def score(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:
                 )
 
     none = F.lit(None)
-    ask = told.where("chunk >= 0").select("chunk", "part", "blob", none.cast("long").alias("doc_id"), none.cast("binary").alias("text"), none.cast("boolean").alias("held_out"))
-    asked = rows.select("chunk", none.cast("int").alias("part"), none.cast("binary").alias("blob"), "doc_id", "text", "held_out").unionByName(ask)
+    ask = told.where("kind < 2").select("chunk", "kind", "part", "blob", none.cast("long").alias("doc_id"), none.cast("binary").alias("text"), none.cast("boolean").alias("held_out"))
+    asked = rows.select("chunk", none.cast("int").alias("kind"), none.cast("int").alias("part"), none.cast("binary").alias("blob"), "doc_id", "text", "held_out").unionByName(ask)
     ordered = asked.repartition(n_chunks, "chunk").sortWithinPartitions("chunk")
     return ordered.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 

@@ -58,6 +58,43 @@ def test_score_without_rows_or_training(spark, none, docs):
     assert all(math.isfinite(r.score) for r in context_mixing.score(spark, docs.limit(5), F.lit(True)).collect())
 
 
+def test_known_words_and_counts(corpus, scores):
+    held = lambda i: brute.crc_mod(i, 10) == 0
+    counts = Counter(w for r in corpus if not held(r[0]) for w in [*brute.words(r[1]), None])
+    texts = by_id(corpus)
+    for r in scores:
+        w = brute.words(texts.get(r.doc_id, "no id at all in this row"))
+        assert r.train_tokens == sum(counts.values()) and r.n_known == sum(x in counts for x in w) + 1
+
+
+def test_recalled_against_a_plain_search():
+    rng = random.Random(12)
+    rows = [(rng.randrange(12), rng.randrange(9), rng.random() < 0.7) for _ in range(80)]
+    x, doc, train = (np.array(c) for c in zip(*rows))
+    got = context_mixing.recalled(x.astype(np.uint64), doc.astype(np.uint64), train)
+    for i, (h, d, _) in enumerate(rows):
+        others = [j for j, (g, e, t) in enumerate(rows) if g == h and e != d and t]
+        assert (got[i] in others) if others else got[i] == -1
+
+
+def test_repeated_texts_and_order_of_words_tell(spark):
+    """A held-out text that training has too costs much less than one that it hasn't, and less than with its words shuffled."""
+    rng = random.Random(13)
+    from conftest import sentence
+
+    texts = [sentence(rng, 300) for _ in range(60)]
+    ids = [i for i in range(4000) if brute.crc_mod(i, 10)][:60]
+    held = [i for i in range(4000) if not brute.crc_mod(i, 10)][:20]
+    mixed_up = texts[0].split()
+    rng.shuffle(mixed_up)
+    rows = [*zip(ids, texts), *zip(held[:10], texts[:10]), (held[10], " ".join(mixed_up)), *((i, sentence(rng, 300)) for i in held[11:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in context_mixing.score(spark, docs, common.crc_mod(docs["doc_id"], 10) == 0).collect()}
+    copies, new = [got[i].bits_per_byte for i in held[:10]], [got[i].bits_per_byte for i in held[11:]]
+    assert max(copies) < 0.85 * min(new) and got[held[0]].score > 0.85 * got[held[10]].score
+    assert all(got[i].score > got[i].base_score for i in held[:10])
+
+
 def test_weights_are_trained_on_all_documents(spark, docs, monkeypatch):
     """Also on those whose crc32 isn't 1 modulo 20."""
     got, train = [], context_mixing.train_gates

@@ -38,7 +38,7 @@ BITS = 22
 SLOTS = 1 << BITS
 CONTEXTS = 4
 PART = 1 << 15
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 CLASSES = 64
 BLOCK = 32
 #: Words whose decisions are laid out at a time.
@@ -163,16 +163,29 @@ def by_class(words: list[bytes], ascii_only: bool, tables: list[dict]):
     """tables[class][word] of each word; the class is that of the last letter outside ASCII before it, 0: none yet."""
     if ascii_only:
         return map(tables[0].__getitem__, words)
-    out = []
-    put, get = out.append, tables[0].__getitem__
-    for w in words:
-        put(get(w))
+    out, start, now, get = [], 0, 0, tables[0].__getitem__
+    for i, w in enumerate(words):
         if not w.isascii():
-            last = next(c for c in reversed(w.decode()) if c > "\x7f")
-            get = tables[1 + ord(last) % (CLASSES - 1)].__getitem__
+            c = _classes.get(w) or _class_of(w)
+            if c != now:
+                out.extend(map(get, words[start : i + 1]))
+                start, now, get = i + 1, c, tables[c].__getitem__
+    out.extend(map(get, words[start:]))
     return out
 
 
+_classes: dict[bytes, int] = {}
+
+
+def _class_of(word: bytes) -> int:
+    """The class of the last letter outside ASCII in a word; a bounded number of words is remembered."""
+    last = next(c for c in reversed(word.decode()) if c > "\x7f")
+    c = 1 + ord(last) % (CLASSES - 1)
+    if len(_classes) < 200_000:
+        _classes[word] = c
+    return c
+
+
 def _edges() -> np.ndarray:
     """First number of words in each bucket."""
     return np.array([0, 1, 2, 3] + sorted({int(np.ceil(2 ** ((b + 4) / 4) - 1e-9)) for b in range(4, 160)}))
@@ -471,11 +484,15 @@ def train_gates(code: Code, told: DataFrame, tables) -> np.ndarray:
                 _, of, bit, slots = decisions(code, part)
                 state = [LESS[bit, t[s]] for t, s in zip(tables.value, slots, strict=True)]  # without the decision's own count
                 gate, sign = known(state), SIGN[bit]
-                times = count_of[lo : lo + 1000].astype(float)[of]
-                x = np.stack([*(STRETCH[st] for st in state), np.ones(len(bit), np.float32)], axis=1)
-                miss = times * sign / (1 + np.exp(np.clip(sign * (w[gate] * x).sum(axis=1), -30, 30)))
+                times = count_of[lo : lo + 1000].astype(np.float32)[of]
+                x = [STRETCH[st] for st in state]
+                now = w.astype(np.float32)
+                z = now[gate, CONTEXTS]
+                for k, v in enumerate(x):
+                    z += now[gate, k] * v
+                miss = times * sign / (1 + np.exp(np.clip(sign * z, -30, 30)))
                 weight = np.bincount(gate, times, GATES)
-                step = np.stack([np.bincount(gate, miss * x[:, k], GATES) for k in range(CONTEXTS + 1)], axis=1)
+                step = np.stack([*(np.bincount(gate, miss * v, GATES) for v in x), np.bincount(gate, miss, GATES)], axis=1)
                 w += 0.05 * step / np.maximum(weight, 200.0)[:, None]
                 used += weight
         yield pa.RecordBatch.from_pydict({"gate": np.repeat(np.arange(GATES), CONTEXTS + 1), "k": np.tile(np.arange(CONTEXTS + 1), GATES), "w": (w * used[:, None]).ravel(), "n": np.repeat(used, CONTEXTS + 1)})
@@ -493,6 +510,10 @@ def refine(z: np.ndarray, x: np.ndarray, first: np.ndarray, n: np.ndarray, docs:
     All documents go through their blocks in step, each with weights of its own."""
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
     delta, out = np.zeros((len(docs), 2), np.float32), np.zeros(len(docs))
+    both = np.empty((len(z), 2), np.float32)
+    both[:, 0], both[:, 1] = z, x
+    pairs, first, n = both.reshape(-1).view(np.complex64), first.astype(np.int32), n.astype(np.int32)  # a pair is looked up at once
+    line = np.zeros(0, np.int32)
     step = 0
     while order and len(docs[order[0]]) > step * BLOCK:
         while len(docs[order[-1]]) <= step * BLOCK:
@@ -500,19 +521,28 @@ def refine(z: np.ndarray, x: np.ndarray, first: np.ndarray, n: np.ndarray, docs:
         t = [docs[i][step * BLOCK : (step + 1) * BLOCK] for i in order]
         words = np.concatenate(t)
         size = n[words]
-        ends = np.cumsum(size)
+        ends = np.cumsum(size, dtype=np.int32)
+        if len(line) < ends[-1]:
+            line = np.arange(2 * ends[-1], dtype=np.int32)
         at = np.repeat(first[words] - ends + size, size)
-        at += np.arange(len(at))
+        at += line[: len(at)]
         counts = np.cumsum([len(a) for a in t])
         lane_ends = ends[counts - 1]
         starts = np.r_[0, lane_ends[:-1]]
         bits = lane_ends - starts
-        zz, xx = z[at], x[at].astype(np.float32)
+        got = pairs[at].view(np.float32).reshape(-1, 2)
+        zz, xx = np.ascontiguousarray(got[:, 0]), np.ascontiguousarray(got[:, 1])
         d = delta[order]
-        p = 1 / (1 + np.exp(-((1 + np.repeat(d[:, 0], bits)) * zz + np.repeat(d[:, 1], bits) * xx)))
-        out[order] += np.add.reduceat(np.log(p, dtype=np.float32), starts, dtype=np.float64)
-        q = 1 - p
-        grad = np.stack([np.add.reduceat(q * zz, starts), np.add.reduceat(q * xx, starts)], axis=1)
+        e = np.repeat(-1 - d[:, 0], bits)
+        e *= zz
+        e -= np.repeat(d[:, 1], bits) * xx
+        np.exp(np.minimum(e, 60, out=e), out=e)
+        more = 1 + e
+        out[order] -= np.add.reduceat(np.log(more), starts)
+        e /= more  # the probability missed
+        zz *= e
+        xx *= e
+        grad = np.stack([np.add.reduceat(zz, starts), np.add.reduceat(xx, starts)], axis=1)
         delta[order] = np.clip(d + rate * grad / bits[:, None] ** 0.5, -0.5, 0.5)
         step += 1
     return out
@@ -559,7 +589,7 @@ def score(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:
     by_byte[32] += by_byte[9:14].sum()
     by_byte[9:14] = 0
     code = Code(by_byte)
-    n_chunks = int(size // CHUNK_BYTES) + 1
+    n_chunks = max(size // CHUNK_BYTES, min(8, size // (3 << 20))) + 1
     parts = 2 * math.isqrt(n_chunks) + 1  # so the blobs of (chunk, part) grow more slowly than the square of the corpus
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks))
     rows = texts.withColumn("chunk", chunk)

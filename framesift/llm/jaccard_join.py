@@ -301,7 +301,7 @@ def compared(rows: DataFrame, percent: int) -> DataFrame:
         if not link.any():
             return None
         na = np.array(nodes)
-        root, root_b = rooted(link, na)
+        root, root_b = rooted(link if b is not None else link | np.eye(len(a), dtype=bool), na)  # a set is the same as row and as column
         n = link.sum(axis=1)
         got = [(na[n > 0], root[n > 0], n[n > 0])]
         if b is not None:

@@ -524,6 +524,24 @@ def test_links(spark, docs, corpus, n, percent):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
+def test_pairs_and_paths(spark):
+    """Components without odd cycles: single pairs, and a path whose ends are no link."""
+    rng = random.Random(91)
+    from conftest import sentence
+
+    texts = []
+    for k in range(40):
+        w = sentence(rng, 100).split()
+        for step in range(2 if k % 2 else 4):
+            texts.append(" ".join([f"s{k}x{i}" for i in range(3 * step)] + w[3 * step :]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n, percent in ((3, 90), (5, 80), (1, 94)):
+        got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.linked_components(spark, docs, n, percent).collect()}
+        sets = [brute.shingle_set(t, n) for t in texts]
+        links = [sum(i != j and 100 * len(x & y) >= percent * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+        assert got == {i: (c, m) for i, (c, m) in enumerate(zip(brute.components(texts, n, percent)[1], links))} and max(links) < 4 and sum(links)
+
+
 def test_all_links_are_counted(spark, docs, corpus):
     """Also those between sets that other links put in one component."""
     sets = {brute.shingle_set(r[1], 3) for r in corpus} - {frozenset()}

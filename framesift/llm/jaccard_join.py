@@ -375,7 +375,7 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, *k
     asked = pairs.select("key", "floor").unionByName(pairs.select(F.col("other").alias("key"), "floor")).groupBy("key").agg(F.min("floor").alias("floor"))
     wanted = members.join(asked, "key").where(F.col("most") > F.col("floor")).select("node", "key", "most")
     hashes = of_docs.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
-    texts = _texts(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    texts = _texts(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).dropDuplicates(["text_hash"])
     found = wanted.join(hashes, "node").join(texts, "text_hash").select("node", "key", "most", "text")
 
     def grams(it):
@@ -383,7 +383,7 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, *k
             sets = [s.tobytes() for s in shingle_sets(b.column("text"), n)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "key", "most")), pa.array(sets, pa.binary())], ["node", "key", "most", "grams"])
 
-    sets = cut(found.mapInArrow(grams, "node long, key long, most long, grams binary").dropDuplicates(["node"]), "sets")
+    sets = cut(found.mapInArrow(grams, "node long, key long, most long, grams binary"), "sets")
     own = sets.join(hubs, "key").select("key", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "node", "grams")
     beside = sets.withColumnRenamed("key", "other").join(pairs.where("key <> other").select("key", "other", "floor"), "other").where(F.col("most") > F.col("floor")).join(hubs, "key")
     beside = beside.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), F.lit(1).alias("side"), "node", "grams")

@@ -293,8 +293,8 @@ def rooted(link: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return labels[row], labels[np.minimum(col, most - 1)]
 
 
-def compared(rows: DataFrame, percent: int) -> DataFrame:
-    """(node, root, links) from rows (key, block, part, side, node, grams), sorted: side 0 is the block, the others stream past."""
+def compared(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, root, links) from rows (key, block, part, side, node, text), sorted: side 0 is the block, the others stream past."""
 
     def found(nodes: list[int], a: list, others: list[int] | None, b: list | None):
         link = overlaps(a, b, percent)
@@ -302,11 +302,11 @@ def compared(rows: DataFrame, percent: int) -> DataFrame:
             return None
         na = np.array(nodes)
         root, root_b = rooted(link if b is not None else link | np.eye(len(a), dtype=bool), na)  # a set is the same as row and as column
-        n = link.sum(axis=1)
-        got = [(na[n > 0], root[n > 0], n[n > 0])]
+        c = link.sum(axis=1)
+        got = [(na[c > 0], root[c > 0], c[c > 0])]
         if b is not None:
-            n = link.sum(axis=0)
-            got.append((np.array(others)[n > 0], root_b[n > 0], n[n > 0]))
+            c = link.sum(axis=0)
+            got.append((np.array(others)[c > 0], root_b[c > 0], c[c > 0]))
         return [np.concatenate(c) for c in zip(*got, strict=True)]
 
     def run(it):
@@ -325,21 +325,21 @@ def compared(rows: DataFrame, percent: int) -> DataFrame:
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*got, strict=True)], ["node", "root", "links"]) if got else None
 
-        for b in it:
-            for *key, side, node, grams in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+        for b in sliced(it):
+            for *key, side, node, s in zip(*(b.column(i).to_pylist() for i in range(5)), shingle_sets(b.column(5), n), strict=True):
                 if key != task:
                     finish(True)
                     task = key
                     nodes.clear()
                     own.clear()
-                s = np.frombuffer(grams, np.uint64)
+                s = s.copy()  # a view would hold the whole slice
                 if not side:
                     nodes.append(node)
                     own.append(s)
                 else:
                     others.append(node)
                     streamed.append(s)
-                    size += len(grams)
+                    size += s.nbytes
                     if len(streamed) >= BLOCK_SETS or size > BLOCK_BYTES:
                         finish(False)
                         size = 0
@@ -374,24 +374,20 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, *k
     # the sets of nodes that may have links in some pair of clusters; floor: the least of these pairs
     asked = pairs.select("key", "floor").unionByName(pairs.select(F.col("other").alias("key"), "floor")).groupBy("key").agg(F.min("floor").alias("floor"))
     wanted = members.join(asked, "key").where(F.col("most") > F.col("floor")).select("node", "key", "most")
+    own = wanted.join(hubs, "key").select("key", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "node")
+    beside = wanted.withColumnRenamed("key", "other").join(pairs.where("key <> other").select("key", "other", "floor"), "other").where(F.col("most") > F.col("floor")).join(hubs, "key")
+    beside = beside.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), F.lit(1).alias("side"), "node")
+    later = wanted.join(hubs.where("blocks > 1"), "key").where(block > 0)
+    later = later.select("key", F.explode(F.sequence(F.lit(0), block - 1)).alias("block"), part.alias("part"), F.lit(1).alias("side"), "node")
+    placed = own.unionByName(beside).unionByName(later)
+
+    # narrow rows first; texts join them once and go to the tasks, where their sets are made: texts compress, hashes don't
     hashes = of_docs.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
     texts = _texts(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).dropDuplicates(["text_hash"])
-    found = wanted.join(hashes, "node").join(texts, "text_hash").select("node", "key", "most", "text")
-
-    def grams(it):
-        for b in sliced(it):
-            sets = [s.tobytes() for s in shingle_sets(b.column("text"), n)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "key", "most")), pa.array(sets, pa.binary())], ["node", "key", "most", "grams"])
-
-    sets = cut(found.mapInArrow(grams, "node long, key long, most long, grams binary"), "sets")
-    own = sets.join(hubs, "key").select("key", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "node", "grams")
-    beside = sets.withColumnRenamed("key", "other").join(pairs.where("key <> other").select("key", "other", "floor"), "other").where(F.col("most") > F.col("floor")).join(hubs, "key")
-    beside = beside.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), F.lit(1).alias("side"), "node", "grams")
-    later = sets.join(hubs.where("blocks > 1"), "key").where(block > 0)
-    later = later.select("key", F.explode(F.sequence(F.lit(0), block - 1)).alias("block"), part.alias("part"), F.lit(1).alias("side"), "node", "grams")
-    tasks = own.unionByName(beside).unionByName(later).repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", "side", "node")
-    got = cut(compared(tasks, percent), "links")
-    for x in (sets, pairs, hubs, members):
+    tasks = placed.join(hashes, "node").join(texts, "text_hash").select("key", "block", "part", "side", "node", "text")
+    tasks = tasks.repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", "side", "node")
+    got = cut(compared(tasks, n, percent), "links")
+    for x in (pairs, hubs, members):
         drop(x)
     labels = components(got.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return of_docs.select(*keep, "n_shingles", "node", "text_hash"), labels, got.groupBy("node").agg(F.sum("links").alias("n_links"))

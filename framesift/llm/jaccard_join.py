@@ -226,6 +226,20 @@ def neighbours(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return pairs.unionByName(own)
 
 
+def asking(lists: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, key, other, held): nodes of the cluster key that may have links in the cluster other (or their own), as they have more prefix n-grams
+    of that cluster, or of its other nodes, than the pair's floor. held: the pair's blocks are of key, so that other streams past."""
+    mine = lists.select("token", "node").join(members.select("node", "key", "class"), "node")
+    found = mine.groupBy("token", "key", "class").agg(F.count("*").alias("c"))
+    own = mine.join(found.where("c > 1").select("token", "key"), ["token", "key"]).select("node", "key", F.col("key").alias("other"))
+    near = mine.join(found.select("token", F.col("key").alias("other"), F.col("class").alias("class2")), "token")
+    near = near.where((F.col("key") != F.col("other")) & (F.abs(F.col("class") - F.col("class2")) <= CLASSES)).select("node", "key", "other")
+    shared = own.unionByName(near).groupBy("node", "key", "other").agg(F.count("*").alias("shared"))
+    back = pairs.where("key <> other").select(F.col("other").alias("key"), F.col("key").alias("other"), "floor", F.lit(False).alias("held"))
+    both = pairs.select("key", "other", "floor", F.lit(True).alias("held")).unionByName(back)
+    return shared.join(both, ["key", "other"]).where(F.col("shared") > F.col("floor")).select("node", "key", "other", "held")
+
+
 def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> np.ndarray:
     """Which sets of a and b (None: a itself) are links: partial overlaps, a matrix product a fragment, summed per pair."""
     own = b is None
@@ -362,22 +376,19 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, *k
     lists = cut(rows.join(shared, "token"), "lists")
     members = cut(clusters(lists, percent), "members")
     pairs = cut(neighbours(lists, members, percent), "clusters")
+    asked = cut(asking(lists, members, pairs), "asking")
     drop(lists)
 
-    blocks = F.ceil(F.greatest(F.col("cnt") / BLOCK_SETS, F.col("size") * 8 / BLOCK_BYTES)).cast("int")
-    hubs = pairs.groupBy("key").agg(F.max("cnt").alias("cnt"), F.max("size").alias("size"), F.sum("load").alias("load"))
-    hubs = hubs.select("key", blocks.alias("blocks"), F.ceil(F.col("load") / STREAM_SETS).cast("int").alias("parts"))
-    hubs = cut(hubs, "hubs")
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
     part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int")
-
-    # the sets of nodes that may have links in some pair of clusters; floor: the least of these pairs
-    asked = pairs.select("key", "floor").unionByName(pairs.select(F.col("other").alias("key"), "floor")).groupBy("key").agg(F.min("floor").alias("floor"))
-    wanted = members.join(asked, "key").where(F.col("most") > F.col("floor")).select("node", "key", "most")
-    own = wanted.join(hubs, "key").select("key", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "node")
-    beside = wanted.withColumnRenamed("key", "other").join(pairs.where("key <> other").select("key", "other", "floor"), "other").where(F.col("most") > F.col("floor")).join(hubs, "key")
+    held = asked.where("held").select("node", "key").distinct()
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    streams = asked.where("not held or key = other").groupBy(F.col("other").alias("key")).agg(F.ceil(F.count("*") / STREAM_SETS).cast("int").alias("parts"))
+    hubs = cut(held.join(members.select("node", "n"), "node").groupBy("key").agg(blocks.alias("blocks")).join(streams, "key"), "hubs")
+    own = held.join(hubs, "key").select("key", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "node")
+    beside = asked.where("not held").select(F.col("other").alias("key"), "node").join(hubs, "key")
     beside = beside.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), F.lit(1).alias("side"), "node")
-    later = wanted.join(hubs.where("blocks > 1"), "key").where(block > 0)
+    later = asked.where("key = other").select("key", "node").join(hubs.where("blocks > 1"), "key").where(block > 0)
     later = later.select("key", F.explode(F.sequence(F.lit(0), block - 1)).alias("block"), part.alias("part"), F.lit(1).alias("side"), "node")
     placed = own.unionByName(beside).unionByName(later)
 
@@ -387,7 +398,7 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, *k
     tasks = placed.join(hashes, "node").join(texts, "text_hash").select("key", "block", "part", "side", "node", "text")
     tasks = tasks.repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", "side", "node")
     got = cut(compared(tasks, n, percent), "links")
-    for x in (pairs, hubs, members):
+    for x in (pairs, asked, hubs, members):
         drop(x)
     labels = components(got.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return of_docs.select(*keep, "n_shingles", "node", "text_hash"), labels, got.groupBy("node").agg(F.sum("links").alias("n_links"))

@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, crc_mod, table, text_bytes
+from .common import batches, crc_mod, sliced, table, text_bytes
 
 CELL_BITS = 16
+#: Bytes of text that are worked on at a time: trigrams take some 200 times as much.
+SLICE_BYTES = 1 << 19
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UND = "und"
 
@@ -49,7 +51,7 @@ def learn(spark: SparkSession, docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def run(it):
         seen: dict[str, np.ndarray] = {}
-        for b in batches(it):
+        for b in batches(it, size=SLICE_BYTES):
             names = sorted(set(b["lang"]))
             of, h = cells([letters(t) for t in b["text"]])
             lang = np.searchsorted(names, b["lang"])
@@ -117,9 +119,7 @@ def predict(spark: SparkSession, docs: DataFrame, names: list[str], p: np.ndarra
 
     def run(it):
         names, p = model.value
-        for batch in it:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(it, size=SLICE_BYTES):
             texts = batch.column("text").to_pylist()
             share, score = infer(texts, p, penalty) if names else (np.zeros((len(texts), 1)), np.zeros(len(texts)))
             top, none = share.argmax(axis=1), share.sum(axis=1) == 0

@@ -3,12 +3,16 @@ import json
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from unittest.mock import MagicMock
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 import zlib
+from conftest import sentence
 from framesift.llm import common, context_mixing, fingerprints, graph, html_text, jaccard_join, language, mixing, packing, pii, quality, token_store
 from pyspark.sql import functions as F
 
@@ -153,6 +157,24 @@ def test_language(spark, docs, none, corpus):
     assert {r.lang_pred for r in language.predict(spark, docs, *language.learn(spark, none), "doc_id").collect()} == {language.UND}
 
 
+def test_language_memory_follows_the_slice(spark, monkeypatch):
+    """A large batch is worked on in slices, with the same result as its rows alone."""
+    rng = random.Random(5)
+    texts = [sentence(rng, 20 + 7 * (i % 60), i % 2 == 0).encode() for i in range(3000)]
+    p = np.random.default_rng(1).random((1 << language.CELL_BITS, 4)) + 0.1
+    frame = MagicMock()
+    monkeypatch.setattr(language, "text_bytes", lambda *a: frame)
+    language.predict(spark, None, list("abcd"), p / p.sum(axis=0))
+    run = frame.mapInArrow.call_args[0][0]
+    tracemalloc.start()
+    got = pa.Table.from_batches(run(iter([pa.RecordBatch.from_pydict({"text": texts})])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 3 << 20 and most < 100 << 20
+    share, score = language.infer(texts[2990:], p / p.sum(axis=0), 3.0)
+    assert got["score"].to_pylist()[2990:] == pytest.approx(score.tolist()) and got["lang_pred"].to_pylist()[2990:] == ["abcd"[i] for i in share.argmax(axis=1)]
+
+
 def test_mixture_of_two():
     rng = random.Random(2)
     text = {"a": lambda n: " ".join("".join(rng.choices("abcde", k=5)) for _ in range(n)), "b": lambda n: " ".join("".join(rng.choices("vwxyz", k=5)) for _ in range(n)), "c": lambda n: " ".join("".join(rng.choices("klmno", k=5)) for _ in range(n))}

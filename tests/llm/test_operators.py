@@ -573,6 +573,42 @@ def test_all_links_are_counted(spark, docs, corpus):
     assert max(linked.values()) > 5
 
 
+def test_texts_go_only_where_prefixes_overlap(spark, monkeypatch):
+    """Sets that share n-grams with many others by chance, and ten linked pairs among them."""
+    rng = random.Random(17)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(16)], k=300)) for _ in range(150)]
+    texts += [t + " end" for t in texts[:10]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sent, compared = [], jaccard_join.compared
+
+    def counted(rows, *a):
+        sent.append(rows.count())
+        return compared(rows, *a)
+
+    monkeypatch.setattr(jaccard_join, "compared", counted)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.linked_components(spark, docs, 3, 90).collect()}
+    assert got == {i: (i % 150, int(i % 150 < 10)) for i in range(160)}
+    assert 20 <= sent[0] <= 40
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (2, 50), (1, 100)])
+def test_prefixes_of_linked_sets_overlap(n, percent):
+    """Whatever the sizes and the shared part are, a pair that is a link is let through by its prefixes."""
+    rng = np.random.default_rng(percent)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 1 << 40, int(rng.integers(1, 80)))
+        for _ in range(4):
+            sets.append(np.unique(np.r_[base[rng.random(len(base)) > rng.choice([0, 0.02, 0.1, 0.3])], rng.integers(0, 1 << 40, int(rng.integers(0, 9)))]))
+    sets = [s for s in sets if len(s)]
+    prefixes, sizes = [s[: jaccard_join.prefix_size(len(s), percent)] for s in sets], np.array([len(s) for s in sets])
+    link, near = jaccard_join.overlaps(sets, None, percent), jaccard_join.overlaps(prefixes, None, percent, [sizes])
+    want = np.array([[i != j and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    assert (link == want).all() and near[link].all() and link.sum() <= near.sum() < len(sets) ** 2 // 10
+    half = len(sets) // 2
+    assert (jaccard_join.overlaps(prefixes[:half], prefixes[half:], percent, [sizes[:half], sizes[half:]]) == near[:half, half:]).all()
+
+
 def test_one_of_each(spark, docs, none, corpus):
     kept = jaccard_join.one_of_each(spark, docs, 3, 90)
     assert kept.columns == docs.columns

@@ -57,6 +57,33 @@ def test_states_and_ranges():
     assert context_mixing.exposures(lengths).sum(axis=1).tolist() == [1, 2, 6, 101, 7001]
 
 
+def test_scoring_in_groups_takes_less_memory():
+    """A chunk's documents are scored with the decisions of their own words, to the same result as all at once."""
+    rng = random.Random(4)
+    texts = [sentence(rng, 300, i % 2 == 0).encode() for i in range(1000)]
+    code = context_mixing.Code(np.arange(256) ** 2)
+    tables = np.random.default_rng(0).integers(0, 256, (context_mixing.CONTEXTS, context_mixing.SLOTS)).astype(np.uint8)
+    keys = []
+    number = [context_mixing.Numbers(c, keys) for c in range(context_mixing.CLASSES)]
+    docs = [np.fromiter(context_mixing.by_class(t.split(), t.isascii(), number), np.int64) for t in texts] + [np.zeros(0, np.int64)]
+
+    def at_once(docs):
+        n, z, x = context_mixing.mixed(code, tables, context_mixing.START, keys)
+        return context_mixing.refine(z, x, np.cumsum(n) - n, n, docs)
+
+    def in_groups(docs):
+        return np.concatenate([context_mixing.refined(code, tables, context_mixing.START, keys, docs[lo:hi]) for lo, hi in context_mixing.groups([len(d) for d in docs])])
+
+    got, most = [], []
+    for f in (at_once, in_groups):
+        tracemalloc.start()
+        got.append(f(docs))
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert got[0] == pytest.approx(got[1], rel=1e-6) and len(got[1]) == len(texts) + 1 and most[1] < most[0] / 2
+    assert list(context_mixing.groups([10, 200_000, 10, 10])) == [(0, 1), (1, 2), (2, 4)] and not list(context_mixing.groups([]))
+
+
 def test_score_without_rows_or_training(spark, none, docs):
     assert context_mixing.score(spark, none, F.lit(False)).count() == 0
     assert all(math.isfinite(r.score) for r in context_mixing.score(spark, docs.limit(5), F.lit(True)).collect())

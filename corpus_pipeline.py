@@ -12,6 +12,8 @@ from framesift.llm import jaccard_join, language, mixing, packing, pii
 from framesift.llm.common import cut, parts, table, whole
 
 LEAST_LANGUAGE_SCORE = 0.5
+#: Pieces whose ids a worker keeps: fewer than for packing alone, as workers live on through all stages.
+KEPT_PIECES = 400_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     import public_tokenizers
 
     docs = docs.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
-    return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), kept=KEPT_PIECES)
 
 
 STAGES = [

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, crc_mod, sliced, table, text_bytes
+from .common import batches, crc_mod, released, sliced, table, text_bytes
 
 CELL_BITS = 16
 #: Bytes of text that are worked on at a time: trigrams take some 200 times as much.
@@ -127,6 +127,7 @@ def predict(spark: SparkSession, docs: DataFrame, names: list[str], p: np.ndarra
             shares = [[(names[i], float(s[i])) for i in np.flatnonzero(s)] for s in share]
             kept = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(pred), pa.array(score), pa.array(shares, pa.map_(pa.string(), pa.float64()))], [*keep, "lang_pred", "score", "shares"])
+        released()
 
     schema = text_bytes(docs, *keep).drop("text").schema.add("lang_pred", "string").add("score", "double").add("shares", T.MapType(T.StringType(), T.DoubleType()))
     return text_bytes(docs, *keep).mapInArrow(run, schema)

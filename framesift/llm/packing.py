@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batches, table, text_bytes
-from .tokens import encode_sliced, encoder
+from .common import batches, released, table, text_bytes
+from .tokens import KEPT, encode_sliced, encoder
 
 WINDOW = 1024
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -129,12 +129,12 @@ class SquaresPacker:
             yield free.pop() if free else self._new(), pieces
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WINDOW) -> DataFrame:
-    """One row per piece. Each input partition is packed alone, so nothing is shuffled and no state outgrows a partition."""
+def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WINDOW, kept: int = KEPT) -> DataFrame:
+    """One row per piece; kept: pieces whose ids a worker keeps. Each input partition is packed alone, so nothing is shuffled and no state outgrows a partition."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(it):
-        enc, packer = encoder(tokenizer_path), SquaresPacker(window)
+        enc, packer = encoder(tokenizer_path, kept), SquaresPacker(window)
         base = TaskContext.get().partitionId() << 36
         cols: list[list] = [[] for _ in range(7)]
 
@@ -157,9 +157,12 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int
                     put(*done)
             if len(cols[0]) > 2000:
                 yield batch()
+                released()
         for done in packer.flush():
             put(*done)
         yield batch()
+        del packer
+        released()
 
     return text_bytes(docs, "doc_id").mapInArrow(run, SCHEMA)
 

@@ -31,7 +31,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
 class Places(dict):
@@ -48,7 +48,8 @@ class Places(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -97,7 +98,7 @@ class Encoder:
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers. Short pieces that came among the first KEPT stay known."""
+        """Each text's ids as little-endian unsigned 32-bit integers. Short pieces that came among the first `kept` stay known."""
         places, ids, before = self.places, self.ids, len(self.places)
         at = [list(map(places.__getitem__, self.pieces(t))) if t else [] for t in texts]
         if new := places.new:
@@ -105,22 +106,22 @@ class Encoder:
             ids += map(fresh.__getitem__, new)
             places.new = []
         out = [b"".join(map(ids.__getitem__, x)) for x in at]
-        if len(ids) > KEPT or any(len(p) > LONGEST for p in new):
+        if len(ids) > self.kept or any(len(p) > LONGEST for p in new):
             for p in new:
                 del places[p]
             del ids[before:]
             for p in new:
-                if len(p) <= LONGEST and len(ids) < KEPT:
+                if len(p) <= LONGEST and len(ids) < self.kept:
                     places[p] = len(ids)
                     ids.append(fresh[p])
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int = KEPT) -> Encoder:
     """The worker's encoder of this file: loaded once, with its pieces, for all tasks of the worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, kept) not in _encoders:
+        _encoders[path, kept] = Encoder(path, kept)
+    return _encoders[path, kept]
 
 
 def encode_sliced(enc: Encoder, texts: list[bytes], step: int = 1 << 20):

@@ -636,6 +636,18 @@ def test_prefixes_of_linked_sets_overlap(n, percent):
     assert (jaccard_join.overlaps(prefixes[:half], prefixes[half:], percent, [sizes[:half], sizes[half:]]) == near[:half, half:]).all()
 
 
+def test_repeated_values_are_counted_in_place():
+    h = np.random.default_rng(2).integers(0, 200_000, 300_000).astype(np.uint64)
+    for x in (h, h[:1], h[:0], np.zeros(5, np.uint64), np.arange(9, dtype=np.uint64), np.array([1, 1, 2, 3, 3], np.uint64)):
+        u, c = np.unique(x, return_counts=True)
+        got = jaccard_join.repeated(x.copy())
+        assert (got[0] == u[c > 1]).all() and (got[1] == c[c > 1]).all() and len(got[0]) == (c > 1).sum()
+    tracemalloc.start()
+    jaccard_join.repeated(h)
+    assert tracemalloc.get_traced_memory()[1] < 2 * h.nbytes
+    tracemalloc.stop()
+
+
 def test_one_of_each(spark, docs, none, corpus):
     kept = jaccard_join.one_of_each(spark, docs, 3, 90)
     assert kept.columns == docs.columns

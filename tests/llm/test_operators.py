@@ -84,6 +84,42 @@ def test_scoring_in_groups_takes_less_memory():
     assert list(context_mixing.groups([10, 200_000, 10, 10])) == [(0, 1), (1, 2), (2, 4)] and not list(context_mixing.groups([]))
 
 
+def test_beginnings_of_words_are_looked_up_once():
+    """What scoring costs follows the beginnings of words, not the words; several groups of documents share them."""
+    rng = random.Random(5)
+    keys = sorted({(0, w.encode()) for w in sentence(rng, 6000).split()})
+    docs = [np.array(rng.choices(range(len(keys)), k=40)) for _ in range(3 * context_mixing.GROUP)]
+    code, looked_up = context_mixing.Code(np.arange(256) ** 2), []
+
+    class Table:
+        def __getitem__(self, slots):
+            looked_up.append(len(slots))
+            return (slots % 256).astype(np.uint8)
+
+    ln = context_mixing.refined(code, [Table()] * context_mixing.CONTEXTS, context_mixing.START, keys, docs)
+    decisions = sum(int(code.length[list(w + b" ")].sum()) for _, w in keys)
+    assert np.isfinite(ln).all() and sum(looked_up) < 0.7 * context_mixing.CONTEXTS * decisions
+
+
+def test_numbers_of_words_against_a_plain_way(corpus, monkeypatch):
+    """(class, word) of every word, also where different words have the same hash."""
+    texts = [(r[1] or "").encode() for r in corpus] + ["q \u4e2d\u6587 R".encode(), b"", "\U0001f600 z Z".encode(), ("y" * 5000).encode(), ("y" * 4999 + "z").encode()]
+    keys = []
+    number = [context_mixing.Numbers(c, keys) for c in range(context_mixing.CLASSES)]
+    want = [[keys[i] for i in context_mixing.by_class(t.lower().split(), t.isascii(), number)] for t in texts]
+
+    def got():
+        words = context_mixing.Words(texts)
+        types, which = words.types()
+        assert sorted(words.plain) == sorted({w for t in want for _, w in t})
+        return [[(int(types[i]) & 63, words.plain[types[i] >> 6]) for i in d] for d in np.split(which, words.at[1:-1])]
+
+    assert got() == want
+    hashes = context_mixing.word_hashes
+    monkeypatch.setattr(context_mixing, "word_hashes", lambda *a: (hashes(*a)[0] & np.uint64(0xF00000000000000F), hashes(*a)[1]))
+    assert got() == want
+
+
 def test_score_without_rows_or_training(spark, none, docs):
     assert context_mixing.score(spark, none, F.lit(False)).count() == 0
     assert all(math.isfinite(r.score) for r in context_mixing.score(spark, docs.limit(5), F.lit(True)).collect())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import context_mixing, fingerprints, html_text, jaccard_join, language, mixing, packing, pii, quality, token_store
+from . import context_mixing, conversation_repair, filter_audit, fingerprints, html_text, jaccard_join, language, mixing, packing, pii, quality, token_store, url_rules
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,13 @@ QUERIES = {
         quality.op8_quality_trees,
         jaccard_join.op9_vertical_jaccard,
         html_text.op10_text_to_tag_ratio,
+        url_rules.op11_url_trie,
+        conversation_repair.op12_conversation_repair,
+        filter_audit.op13_filter_audit,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_url_trie": url_rules.ORACLE_SQL,
+    "op12_conversation_repair": conversation_repair.ORACLE_SQL,
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
+}

@@ -77,12 +77,16 @@ LUMA = (19595, 38470, 7471)
 RESAMPLE_BITS = 22
 
 
-_GRAY = [w * np.arange(256.0) for w in GRAY]
+#: Rows of a frame that are worked on at a time, so that they stay in the processor's cache.
+STRIP = 64
 
 
 def gray(frame: np.ndarray) -> np.ndarray:
-    r, g, b = (t[frame[..., i]] for i, t in enumerate(_GRAY))
-    return (r + g + b).astype(np.uint8)
+    out = np.empty(frame.shape[:2], np.uint8)
+    for y in range(0, len(out), STRIP):
+        r, g, b = (frame[y : y + STRIP, :, i] * w for i, w in enumerate(GRAY))
+        out[y : y + STRIP] = r + g + b
+    return out
 
 
 def luma(frame: np.ndarray) -> np.ndarray:
@@ -116,10 +120,21 @@ def resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
     return a
 
 
+def _top(frame: np.ndarray, side: int, rows: int) -> np.ndarray:
+    """The first rows of the frame's luma at side x side; only the part of the frame that they depend on is looked at."""
+    h = frame.shape[0]
+    if h == side:
+        return resize(luma(frame[:rows]), rows, side)
+    need = min(h, int((rows - 0.5) * h / side + 3 * max(h / side, 1.0) + 0.5))
+    a = resize(luma(frame[:need]), need, side)
+    s = _lanczos(h, side)[:rows, :need] @ a.astype(np.float64)
+    return np.clip(np.floor((s + (1 << (RESAMPLE_BITS - 1))) / (1 << RESAMPLE_BITS)), 0, 255).astype(np.uint8)
+
+
 def phash(frame: np.ndarray, size: int = 8) -> str:
     """Hex of size x size bits: row-wise cosine coefficients 1..size of the top rows, against their mean."""
     side = 4 * size
-    px = resize(luma(frame), side, side).astype(np.float64)[:size]
+    px = _top(frame, side, size).astype(np.float64)
     k, x = np.arange(1, size + 1), np.arange(side)
     d = px @ (2 * np.cos(np.pi * k[:, None] * (x + 0.5) / side)).T
     d = np.round(d, 6) + 0.0
@@ -144,32 +159,45 @@ def channel_means(frame: np.ndarray) -> list[float]:
     return [float(v) / (h * w) for v in frame.reshape(h, w * 3).sum(axis=0, dtype=np.int64).reshape(w, 3).sum(axis=0)]
 
 
+def _window_sums(v: np.ndarray, window: int) -> np.ndarray:
+    """Sums over all window x window squares, by doubling along each side; exact in int32 for squares of bytes."""
+    for axis in (1, 0):
+        v = np.moveaxis(v, axis, 0)
+        total, done, power, size = None, 0, v, 1
+        while True:
+            if window & size:
+                part = power[done : len(power) - (window - size - done)] if window - size - done else power[done:]
+                total = part if total is None else total[: len(part)] + part
+                done += size
+            if done == window:
+                break
+            power, size = power[:-size] + power[size:], 2 * size
+        v = np.moveaxis(total, 0, axis)
+    return v
+
+
 def ssim(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
-    """Mean structural similarity of two uint8 gray images: uniform windows, sample covariance, by integral images."""
+    """Mean structural similarity of two uint8 gray images: uniform windows, sample covariance. Sums are whole numbers; numerator and
+    denominator are both multiplied by the windows' sizes."""
     if min(a.shape) < window:
         raise ValueError(f"a side is shorter than the window of {window}")
     n = window * window
-    kind = np.int32 if max(a.shape) < 4096 else np.int64  # sums along one side at a time stay below 2^31
-
-    def mean(v: np.ndarray) -> np.ndarray:
-        for axis in (1, 0):
-            c = np.moveaxis(np.cumsum(v, axis=axis, dtype=kind), axis, 0)
-            s = c[window - 1 :].copy()
-            s[1:] -= c[:-window]
-            v = np.moveaxis(s, 0, axis)
-        return v / n
-
-    p, q = a.astype(np.int32), b.astype(np.int32)
-    up, uq = mean(p), mean(q)
-    fix = n / (n - 1)
-    vp, vq, vpq = fix * (mean(p * p) - up * up), fix * (mean(q * q) - uq * uq), fix * (mean(p * q) - up * uq)
-    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-    return float((((2 * up * uq + c1) * (2 * vpq + c2)) / ((up * up + uq * uq + c1) * (vp + vq + c2))).mean())
-
-
-def compare(current: np.ndarray, reference: np.ndarray, block: int) -> tuple[float, float, float, list[tuple[int, int, int, int]]]:
-    """ssim, change score, percent of blocks changed, changed regions."""
-    s = ssim(gray(reference), gray(current))
+    k1, k2 = (0.01 * 255) ** 2 * n * n, (0.03 * 255) ** 2 * n * (n - 1)
+    total, high = 0.0, a.shape[0] - window + 1
+    for y in range(0, high, STRIP):
+        p, q = (x[y : y + STRIP + window - 1].astype(np.int32) for x in (a, b))
+        sp, sq = _window_sums(p, window), _window_sums(q, window)
+        both, squares = sp * sq, sp * sp + sq * sq
+        cov = 2 * (n * _window_sums(p * q, window) - both) + k2
+        spread = n * _window_sums(p * p + q * q, window) - squares + k2
+        total += float((((2 * both + k1) * cov) / ((squares + k1) * spread)).sum())
+    return total / (high * (a.shape[1] - window + 1))
+
+
+def compare(current: np.ndarray, reference: np.ndarray, block: int, grays: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[float, float, float, list[tuple[int, int, int, int]]]:
+    """ssim, change score, percent of blocks changed, changed regions. grays: of both, where they are known."""
+    now, before = grays or (gray(current), gray(reference))
+    s = ssim(before, now)
     flags = block_diff(current, reference, block)
     return s, 1.0 - s, flags.sum() / max(flags.size, 1) * 100.0, regions_of(flags, block)
 

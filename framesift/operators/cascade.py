@@ -1,12 +1,14 @@
 """The keyframe cascade: an ordered fold of each sequence against its last keyframe.
 
-Block means and masks come ahead of it, in parallel over frames and by windows. The fold itself reads the rows of a partition in
-order, in a stream of small Arrow batches, and holds one keyframe, so memory doesn't grow with a sequence. A frame is kept if it is
-the first, has another size, or fails the hash gate and then differs enough; state moves on keyframes only.
+The fold reads the rows of a partition in order, in a stream of small Arrow batches, and holds one keyframe and the mask's state, so
+memory doesn't grow with a sequence, and pixels are dealt and sorted once. A frame is kept if it is the first, has another size, or
+fails the hash gate and then differs enough; the keyframe moves on keyframes only, the mask on every frame. See split_fold for
+sequences that are too long for a task.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import Settings
 from ..functions import columns as C
 from ..functions import imaging
 from ..schema import FRAME, KEYFRAME, MANIFEST, REGIONS, SKIPPED
-from .masking import adaptive_mask
+from .masking import RunningMask, adaptive_mask
 
 MEAN_GATE = 5.0
 FIRST = "First frame in sequence"
@@ -47,6 +50,10 @@ class Features:
         one = imaging.phash(pixels, s.hasher.hash_size)
         return cls(pixels, [one], whole, one, False)
 
+    @functools.cached_property
+    def gray(self) -> np.ndarray:
+        return imaging.gray(self.pixels)
+
     def same(self, other: Features) -> bool:
         """The hash gate: equal hashes, and channel means (of tiles, if tall) that hardly differ."""
         if self.hashes != other.hashes:
@@ -78,6 +85,8 @@ class Fold:
         now = Features.of(imaging.blank(frame, mask) if mask else frame, s)
         d = self._decide(now, s)
         if d.keyframe:
+            if now.pixels.base is not None:
+                now.pixels = now.pixels.copy()  # a view would keep its whole batch
             self.last = now
         return d
 
@@ -90,7 +99,7 @@ class Fold:
         if now.same(self.last):
             return Decision(False, SAME, now.hash)
         c = s.comparator
-        ssim, change, pct, regions = imaging.compare(now.pixels, self.last.pixels, s.masking.block_size)
+        ssim, change, pct, regions = imaging.compare(now.pixels, self.last.pixels, s.masking.block_size, (now.gray, self.last.gray))
         n = len(regions)
         if ssim <= c.ssim_threshold:
             why = f"Significant change — SSIM {ssim:.4f}, {pct:.1f}% of blocks changed"
@@ -101,40 +110,63 @@ class Fold:
         return Decision(ssim <= c.ssim_threshold or n > c.min_changed_blocks, why, now.hash, ssim, change, pct, regions)
 
 
+class Walk:
+    """One sequence in order: its mask, its fold, and the id of its last keyframe."""
+
+    def __init__(self, s: Settings):
+        self.block = s.masking.block_size
+        self.mask = RunningMask(self.block, s.masking.window_size, s.masking.noise_threshold)
+        self.fold = Fold(s)
+        self.kept: str | None = None
+
+    def step(self, frame: np.ndarray, frame_id: str | None, means: np.ndarray | None = None) -> dict:
+        """The frame's row of DECISION."""
+        masked = self.mask.step_means(imaging.block_means(frame, self.block) if means is None else means)
+        d = self.fold.step(frame, masked)
+        out = {
+            "adaptive_mask": named(masked), "is_keyframe": d.keyframe, "visual_reason": d.reason, "perceptual_hash": d.hash, "ssim_score": d.ssim, "change_score": d.change,
+            "changed_pct": d.pct, "changed_regions": named(d.regions), "prev_keyframe_id": self.kept,
+        }
+        if d.keyframe:
+            self.kept = frame_id
+        return out
+
+
+def named(regions: list) -> list[dict[str, int]] | None:
+    return [dict(zip("xywh", r, strict=True)) for r in regions] or None
+
+
 DECISION = T.StructType(
-    [T.StructField("is_keyframe", T.BooleanType()), T.StructField("visual_reason", T.StringType()), T.StructField("perceptual_hash", T.StringType())]
+    [T.StructField("adaptive_mask", REGIONS), T.StructField("is_keyframe", T.BooleanType()), T.StructField("visual_reason", T.StringType()), T.StructField("perceptual_hash", T.StringType())]
     + [T.StructField(c, T.DoubleType()) for c in ("ssim_score", "change_score", "changed_pct")]
-    + [T.StructField("changed_regions", REGIONS)]
+    + [T.StructField("changed_regions", REGIONS), T.StructField("prev_keyframe_id", T.StringType())]
 )
-_ARROW = {"is_keyframe": pa.bool_(), "visual_reason": pa.string(), "perceptual_hash": pa.string(), "ssim_score": pa.float64(), "change_score": pa.float64(), "changed_pct": pa.float64()}
-_ARROW["changed_regions"] = pa.list_(pa.struct([(c, pa.int32()) for c in "xywh"]))
 
 
-def decided(decisions: list[Decision]) -> dict[str, pa.Array]:
-    rows = [(d.keyframe, d.reason, d.hash, d.ssim, d.change, d.pct, [dict(zip("xywh", r, strict=True)) for r in d.regions] or None) for d in decisions]
-    return {n: pa.array(list(c), t) for (n, t), c in zip(_ARROW.items(), zip(*rows, strict=True), strict=True)}
+def pixels_of(b: pa.RecordBatch, column: str = "frame") -> Iterator[np.ndarray | None]:
+    """The frames of a batch, as views of it; None for null ones."""
+    frames = b.column(column)
+    height, width, data = (frames.field(c) for c in ("height", "width", "data"))
+    for i in range(b.num_rows):
+        yield imaging.from_bytes(data[i].as_buffer(), height[i].as_py(), width[i].as_py()) if frames[i].is_valid else None
 
 
 def decide(frames: DataFrame, settings: Settings, keep: list[str]) -> DataFrame:
-    """frames (seq_id, seq_pos, frame, adaptive_mask, columns kept) with the decision; rows of a sequence meet in one task, in order."""
+    """frames (seq_id, seq_pos, frame_id, frame, columns kept) with mask and decision; rows of a sequence meet in one task, in order."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq, fold = object(), Fold(settings)
+        seq, walk = object(), None
         for b in it:
-            if not b.num_rows:
-                continue
             out = []
-            ids, frames_, masks = b.column("seq_id").to_pylist(), b.column("frame"), b.column("adaptive_mask").to_pylist()
-            size = [frames_.field(c) for c in ("height", "width", "data")]
-            for i, s in enumerate(ids):
+            for s, name, frame in zip(b.column("seq_id").to_pylist(), b.column("frame_id").to_pylist(), pixels_of(b), strict=True):
                 if s != seq:
-                    seq, fold = s, Fold(settings)
-                h, w, data = (c[i].as_py() for c in size)
-                out.append(fold.step(imaging.from_bytes(data, h, w), [tuple(r.values()) for r in masks[i] or []]))
-            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in keep} | decided(out))
+                    seq, walk = s, Walk(settings)
+                out.append(walk.step(frame, name))
+            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in keep} | {f.name: pa.array([r[f.name] for r in out], f.type) for f in decision})
 
     schema = T.StructType([frames.schema[c] for c in keep] + DECISION.fields)
-    ordered = frames.select(*dict.fromkeys([*keep, "seq_id", "seq_pos", "frame", "adaptive_mask"])).repartition("seq_id").sortWithinPartitions("seq_id", "seq_pos")
+    decision = to_arrow_schema(DECISION)
+    ordered = frames.select(*dict.fromkeys([*keep, "seq_id", "seq_pos", "frame_id", "frame"])).repartition("seq_id").sortWithinPartitions("seq_id", "seq_pos")
     return ordered.mapInArrow(run, schema)
 
 
@@ -166,19 +198,25 @@ def prev_keyframes(df: DataFrame, seq: str = "seq_id", pos: str = "seq_pos") ->
     return df.withColumn("prev_keyframe_id", last("frame_id")).withColumn("prev_keyframe_path", last("asset_path"))
 
 
-def cascade(frames: DataFrame, settings: Settings | None = None) -> DataFrame:
+def cascade(frames: DataFrame, settings: Settings | None = None, split: int = 0) -> DataFrame:
     """Manifest rows of frames (seq_id, seq_pos, frame and, where given, frame_id, timestamp, app_name, window_title, source_format),
-    with seq_id and seq_pos before the 30 columns. Pictures aren't read, written or redacted here."""
+    with seq_id and seq_pos before the 30 columns. Pictures aren't read, written or redacted here. split: frames are dealt over
+    so many tasks, however long a sequence is, with the same result."""
     s = settings or Settings()
     given = {"frame_id": F.format_string("frame_%06d", "seq_pos"), "timestamp": F.lit(None), "app_name": F.lit(None), "window_title": F.lit(None), "source_format": F.lit(None)}
     for name, default in given.items():
         frames = frames.withColumn(name, (F.col(name) if name in frames.columns else default).cast(MANIFEST[name].dataType))
-    masked = with_masks(frames, s)
-    keep = ["seq_id", "seq_pos", *given, "height", "width", "adaptive_mask"]
-    out = decide(masked, s, keep).withColumnsRenamed({"height": "frame_height", "width": "frame_width"})
-    path = F.concat(F.lit(s.exporter.output_dir.rstrip("/") + "/"), F.col("frame_id"), F.lit(f".{s.exporter.keyframe_format}"))
-    out = out.withColumn("event_type", F.when(F.col("is_keyframe"), KEYFRAME).otherwise(SKIPPED)).withColumn("asset_path", F.when(F.col("is_keyframe"), path))
-    return to_manifest(prev_keyframes(out), "seq_id", "seq_pos")
+    frames = frames.withColumn("frame_height", F.col("frame.height")).withColumn("frame_width", F.col("frame.width"))
+    keep = ["seq_id", "seq_pos", *given, "frame_height", "frame_width"]
+    if split:
+        from .split_fold import decide_split
+
+        out = decide_split(frames, s, keep, split)
+    else:
+        out = decide(frames, s, keep)
+    path = lambda c: F.concat(F.lit(s.exporter.output_dir.rstrip("/") + "/"), F.col(c), F.lit(f".{s.exporter.keyframe_format}"))
+    out = out.withColumn("event_type", F.when(F.col("is_keyframe"), KEYFRAME).otherwise(SKIPPED)).withColumn("asset_path", F.when(F.col("is_keyframe"), path("frame_id")))
+    return to_manifest(out.withColumn("prev_keyframe_path", path("prev_keyframe_id")), "seq_id", "seq_pos")
 
 
 def to_manifest(df: DataFrame, *extra: str) -> DataFrame:

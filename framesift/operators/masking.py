@@ -7,9 +7,14 @@ a mask nor count. Only raw frames are looked at, so this runs ahead of the fold
 
 from __future__ import annotations
 
+import pickle
+from collections import deque
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import imaging
 from ..schema import REGIONS
 
 BLOCK_CHANGE = 5.0
@@ -54,3 +59,42 @@ def adaptive_mask(df: DataFrame, block: int = 32, window: int = 15, threshold: f
     recent = F.collect_list("_changes").over(w.rowsBetween(1 - window, 0))
     mask = F.when(F.col("segment").isNotNull(), noisy_regions(F.col("_recent"), F.col("cols_"), block, threshold))
     return df.withColumn("_recent", recent).withColumn("adaptive_mask", mask).drop("_recent", "_changes", "rows_", "cols_")
+
+
+class RunningMask:
+    """The same mask of one sequence, frame by frame: the last frame's block means and the last changes are its state."""
+
+    def __init__(self, block: int, window: int, threshold: float):
+        self.block, self.threshold = block, threshold
+        self.before: np.ndarray | None = None
+        self.changes: deque = deque(maxlen=window)
+
+    def step(self, frame: np.ndarray) -> list[tuple[int, int, int, int]]:
+        return self.step_means(imaging.block_means(frame, self.block))
+
+    def step_means(self, means: np.ndarray) -> list[tuple[int, int, int, int]]:
+        if not means.size:
+            return []
+        if self.before is not None and self.before.shape != means.shape:
+            self.before = None
+            self.changes.clear()
+        if self.before is not None:
+            self.changes.append(np.abs(means - self.before).mean(axis=2) > BLOCK_CHANGE)
+        self.before = means
+        if len(self.changes) < 2:
+            return []
+        return imaging.regions_of(np.mean(self.changes, axis=0) > self.threshold, self.block)
+
+    def same(self, other: RunningMask) -> bool:
+        """Both will mask all later frames alike."""
+        if self.before is None or other.before is None:
+            return self.before is other.before
+        return len(self.changes) == len(other.changes) and np.array_equal(self.before, other.before) and all(map(np.array_equal, self.changes, other.changes))
+
+    def dump(self) -> bytes:
+        return pickle.dumps((self.before, list(self.changes)))
+
+    def load(self, data: bytes) -> RunningMask:
+        self.before, changes = pickle.loads(data)
+        self.changes.extend(changes)
+        return self

@@ -250,6 +250,26 @@ def manifest_rows(spark: SparkSession, sf: str) -> DataFrame:
     return cascade.to_manifest(_cascade(spark, sf))
 
 
+def _with_regions(c: DataFrame) -> DataFrame:
+    """The columns of a cascade that masks reach, regions as text."""
+    text = lambda a: F.array_join(F.transform(a, lambda r: F.concat_ws(":", r["x"], r["y"], r["w"], r["h"])), ",").alias(a)
+    return c.select(F.col("seq_pos").alias("vec_id"), "is_keyframe", F.round("ssim_score", 4).alias("ssim_score"), text("changed_regions"), text("adaptive_mask"), "prev_keyframe_id", "visual_reason")
+
+
+@query
+def cascade_masked(spark: SparkSession, sf: str) -> DataFrame:
+    """With blocks masked, which hashes, gate and comparison then see."""
+    f = V.frames(spark, sf).withColumn("frame_id", F.col("vec_id").cast("string"))
+    return _with_regions(cascade.cascade(f, V.settings(noise_threshold=0.6)))
+
+
+@query
+def cascade_split(spark: SparkSession, sf: str) -> DataFrame:
+    """All frames as one sequence, dealt over eight tasks."""
+    f = V.frames(spark, sf).withColumn("frame_id", F.col("vec_id").cast("string")).withColumn("seq_id", F.lit("all"))
+    return _with_regions(cascade.cascade(f, V.settings(noise_threshold=0.6), split=8))
+
+
 @query
 def scalar_keyframes(spark: SparkSession, sf: str) -> DataFrame:
     e = V.table(spark, sf, "events").select("event_id", "user_id", "ts", "value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -18,3 +18,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if root.startswith("/"):
         root = f"file://{root}"
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to a new shared folder and reads it back: the lineage ends there and survives lost executors."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,33 +13,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..config import Settings
 from ..functions import imaging
 from ..operators.cascade import Features, Fold
-from ..operators.masking import BLOCK_CHANGE
+from ..operators.masking import RunningMask
 from ..schema import KEYFRAME, SKIPPED
 
 
-class RunningMask:
-    """The adaptive mask of one sequence, frame by frame."""
-
-    def __init__(self, block: int, window: int, threshold: float):
-        self.block, self.threshold = block, threshold
-        self.before: np.ndarray | None = None
-        self.changes: deque = deque(maxlen=window)
-
-    def step(self, frame: np.ndarray) -> list[tuple[int, int, int, int]]:
-        means = imaging.block_means(frame, self.block)
-        if not means.size:
-            return []
-        if self.before is not None and self.before.shape != means.shape:
-            self.before = None
-            self.changes.clear()
-        if self.before is not None:
-            self.changes.append(np.abs(means - self.before).mean(axis=2) > BLOCK_CHANGE)
-        self.before = means
-        if len(self.changes) < 2:
-            return []
-        return imaging.regions_of(np.mean(self.changes, axis=0) > self.threshold, self.block)
-
-
 FRAMES_OUT = "seq_id string, seq_pos long, event_type string, is_keyframe boolean, perceptual_hash string, ssim_score double, visual_reason string, n_changed int, n_masked int"
 
 

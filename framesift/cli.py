@@ -1,4 +1,4 @@
-"""Command line: pictures or decoded video of a directory to keyframes and a manifest."""
+"""Command line: pictures, decoded video or messages of a directory to keyframes and a manifest."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--input", required=True, type=Path)
     p.add_argument("--output", default=None)
     p.add_argument("--config", default=None)
-    p.add_argument("--mode", choices=["image", "video"])
+    p.add_argument("--mode", choices=["image", "video", "stream"])
     p.add_argument("--transcript")
     p.add_argument("--report", help="write an HTML page here")
     p.add_argument("--no-redact", action="store_true")
@@ -48,6 +48,8 @@ def settings_of(args: argparse.Namespace) -> Settings:
         s.video.audio_detection = False
     if args.transcript:
         s.video.transcript_path = args.transcript
+    if args.mode == "stream":
+        s.pipeline.mode = "stream"
     return dc.replace(s)
 
 
@@ -125,6 +127,13 @@ def main(argv: list[str] | None = None) -> int:
     if not args.input.exists():
         raise SystemExit(f"no such path: {args.input}")
     s = settings_of(args)
+    if s.pipeline.mode == "stream":
+        from .streaming import sink
+
+        spark = SparkSession.builder.appName("framesift").getOrCreate()
+        kept, n = sink.run_stream(spark, str(args.input), s, patterns_of(s) if s.redactor.enabled else [])
+        print(f"Done: {kept} keyframes from {n} frames.")
+        return 0
     mode = detect_mode(args.input, args.mode, {f".{x}" for x in s.input.supported_formats})
     spark = SparkSession.builder.appName("framesift").getOrCreate()
     if mode == "video":

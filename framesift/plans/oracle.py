@@ -181,4 +181,8 @@ ORACLE_SQL = {
     "stream_cascade": CASCADE + "SELECT vec_id, is_kf AS is_keyframe, CASE WHEN is_kf THEN 'KEYFRAME' ELSE 'SKIPPED' END AS event_type, round(s, 4) AS ssim_score FROM ca",
     "cascade_split": masked_walk("0", 0.6) + f"SELECT vec_id, is_kf AS is_keyframe, round(s, 4) AS ssim_score, regions AS changed_regions, masks AS adaptive_mask, CAST(before_id AS VARCHAR) AS prev_keyframe_id, {REASON} AS visual_reason FROM ca",
     "cascade_masked": masked_walk("label", 0.6) + f"SELECT vec_id, is_kf AS is_keyframe, round(s, 4) AS ssim_score, regions AS changed_regions, masks AS adaptive_mask, CAST(before_id AS VARCHAR) AS prev_keyframe_id, {REASON} AS visual_reason FROM ca",
+    "stream_messages": masked_walk("label", 0.6)
+    + f"""SELECT vec_id, is_kf AS is_keyframe, round(s, 4) AS ssim_score, regions AS changed_regions, masks AS adaptive_mask, CAST(before_id AS VARCHAR) AS prev_keyframe_id, {REASON} AS visual_reason, false AS late, 'editor' AS app_name,
+ CASE WHEN is_kf THEN CAST(count(*) FILTER (WHERE is_kf) OVER (PARTITION BY label ORDER BY rn) AS INTEGER) END AS keyframe_index, CASE WHEN is_kf THEN CAST(count(*) FILTER (WHERE is_kf) OVER (PARTITION BY label) AS INTEGER) END AS total_keyframes FROM ca""",
+    "picture_decode": f"WITH {PX} SELECT vec_id, 8 AS height, 8 AS width, CAST(NULL AS VARCHAR) AS error, true AS same, round(avg(p), 4) AS mean FROM px GROUP BY vec_id",
 }

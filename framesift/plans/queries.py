@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import pictures
 from ..operators import align, cascade, masking, numbering, pii
 from ..shared import shared_dir
 from ..sources import media
@@ -531,3 +532,36 @@ def stream_cascade(spark: SparkSession, sf: str) -> DataFrame:
     rows = streaming.stream_cascade(f, V.settings())
     rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/rows").select(F.col("seq_pos").alias("vec_id"), "is_keyframe", "event_type", F.round("ssim_score", 4).alias("ssim_score"))
+
+
+def _messages(spark: SparkSession, sf: str) -> DataFrame:
+    """(third, value): a JSON message for each frame, and in which third of its sequence it is."""
+    w = V.by_label()
+    third = F.floor(3 * (F.row_number().over(w) - 1) / F.count("*").over(Window.partitionBy("label"))).cast("int")
+    f = V.frames(spark, sf).withColumn("third", third)
+    fields = {"sequence": "seq_id", "position": "seq_pos", "frame_id": F.col("vec_id").cast("string"), "app_name": F.lit("editor"), "image": F.base64(C.png(F.col("frame")))}
+    return f.select("third", F.to_json(F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()])).alias("value"))
+
+
+@query
+def stream_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames as JSON messages in three runs of a stream, each from the checkpoint of the one before; rows of the manifest that it leaves."""
+    from ..streaming.sink import run_stream
+
+    out = shared_dir(spark, "stream")
+    s = V.settings(noise_threshold=0.6)
+    s.exporter.output_dir = f"{out}/manifest"
+    for third in range(3):
+        _messages(spark, sf).where(F.col("third") == third).select("value").write.mode("append").text(f"{out}/in")
+        run_stream(spark, f"{out}/in", s, glob="*.txt")
+    m = spark.read.parquet(f"{s.exporter.output_dir}/manifest")
+    return _with_regions(m).join(m.select(F.col("seq_pos").alias("vec_id"), "late", "app_name", "keyframe_index", "total_keyframes"), "vec_id")
+
+
+@query
+def picture_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames encoded and decoded in columns."""
+    f = V.frames(spark, sf).select("vec_id", "frame", C.png(F.col("frame")).alias("picture"))
+    d = f.select("vec_id", "frame", pictures.decoded(F.col("picture")).alias("d"))
+    same = F.col("d.frame.data") == F.col("frame.data")
+    return d.select("vec_id", "d.frame.height", "d.frame.width", "d.error", same.alias("same"), F.round(C.channel_means(F.col("d.frame"))[0], 4).alias("mean"))

@@ -9,7 +9,7 @@ from pathlib import Path
 from .config import Settings, load_settings
 
 VERSION = "0.1.0"
-VIDEO = {".mp4", ".mov", ".webm"}
+VIDEO = {".mp4", ".mov", ".webm", ".y4m"}
 
 
 def detect_mode(path: Path, mode: str | None, pictures: set[str]) -> str:
@@ -107,11 +107,12 @@ def run_videos(spark, path: Path, s: Settings, frames=None, make_engine=None) ->
     from .sources import media, sinks
 
     files = [path] if path.is_file() else sorted(f for f in path.iterdir() if f.suffix.lower() in VIDEO)
-    if frames is None:
-        frames = media.video_frames(spark, [str(f) for f in files])
     segments = media.transcripts(spark, s.video.transcript_path) if s.video.transcript_path else None
-    speech = speech_of(spark, files) if segments is None and s.video.audio_detection else None
-    rows = video.process(frames, s, segments, speech, [f.name for f in files])
+    speech = speech_of(spark, files) if s.video.audio_detection else None  # decides where the transcript has no cues
+    if frames is None:
+        rows = video.process_files(spark, [str(f) for f in files], s, segments, speech)
+    else:
+        rows = video.process(frames, s, segments, speech, [f.name for f in files])
     if s.redactor.enabled:
         rows = pii.redact_keyframes(rows.drop("pii_detected"), patterns_of(s), make_engine or pii.easyocr_engine, scope=s.redactor.scope)
     rows = rows.cache()

@@ -30,15 +30,17 @@ def has_speech(points: DataFrame, speech: DataFrame, key: str, time: str, id_col
     return points.join(hit, id_cols, "left").withColumn("in_speech", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def audio_activity(keyframe: Column, transcript: Column | None, in_speech: Column | None, detection: bool = True) -> Column:
-    """A transcript decides if there is one; else the speech found; else silence if detection is on. Keyframes only."""
+def audio_activity(keyframe: Column, transcript: Column | None, in_speech: Column | None, detection: bool = True, has_cues: Column | None = None) -> Column:
+    """A transcript decides if it has cues (has_cues; without that, it is taken to have some); else the speech found; else silence if
+    detection is on. Keyframes only."""
     word = lambda c: F.when(c, "speech").otherwise("silence")
-    if transcript is not None:
-        value = word(F.coalesce(transcript != "", F.lit(False)))
-    elif in_speech is not None:
+    if in_speech is not None:
         value = word(in_speech)
     else:
         value = F.lit("silence") if detection else F.lit(None).cast("string")
+    if transcript is not None:
+        by_transcript = word(F.coalesce(transcript != "", F.lit(False)))
+        value = by_transcript if has_cues is None else F.when(has_cues, by_transcript).otherwise(value)
     return F.when(keyframe, value)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.columns import change_magnitude
+from ..shared import cut
 from . import align, numbering
 from .cascade import cascade, prev_keyframes, to_manifest
 
@@ -14,18 +15,38 @@ from .cascade import cascade, prev_keyframes, to_manifest
 def second_pass(frames: DataFrame, s: Settings) -> DataFrame:
     """Sampled frames, and those between a skipped sample and a keyframe after it. The first pass writes and redacts nothing."""
     sampled = numbering.coarse_sample(frames, "seq_pos", F.col("fps"), s.video.sample_fps)
-    decided = cascade(sampled, s).select("seq_id", "seq_pos", "is_keyframe")
-    gaps = numbering.transitions(decided, "seq_id", "seq_pos", "seq_pos")
+    gaps = gaps_of(sampled, s)
     return sampled.unionByName(numbering.backfill(frames, gaps, "seq_id", "seq_pos"))
 
 
+def gaps_of(sampled: DataFrame, s: Settings) -> DataFrame:
+    decided = cascade(sampled, s).select("seq_id", "seq_pos", "is_keyframe")
+    return numbering.transitions(decided, "seq_id", "seq_pos", "seq_pos")
+
+
 def process(frames: DataFrame, settings: Settings | None = None, segments: DataFrame | None = None, speech: DataFrame | None = None, videos: list[str] | None = None) -> DataFrame:
     """Manifest rows, with seq_id, seq_pos and frame, of frames (seq_id: the video, seq_pos: frame number, fps, duration, frame).
 
     segments: transcript cues, of all videos where they name none; videos: the names of these, if known; speech: (source_video, seg_pos, start, end, text). Keyframes are named step_001 and on
     by video, and their pictures lie in a folder of the video, so that videos don't overwrite each other's."""
     s = settings or Settings()
-    chosen = second_pass(frames, s)
+    return enriched(cut(second_pass(frames, s), "chosen"), s, segments, speech, videos)
+
+
+def process_files(spark: SparkSession, paths: list[str], settings: Settings | None = None, segments: DataFrame | None = None, speech: DataFrame | None = None) -> DataFrame:
+    """The same of video files, of which only the samples and the gaps are decoded, each once."""
+    from ..sources import video_source
+
+    s = settings or Settings()
+    sampled = cut(video_source.read_videos(spark, paths, s.video.sample_fps), "sampled")
+    gaps = cut(gaps_of(sampled, s), "gaps")
+    chosen = sampled.unionByName(cut(video_source.gap_frames(gaps, paths), "filled"))
+    videos = [video_source.name_of(f) for p in paths for f in video_source.listed(p)]
+    return enriched(chosen.select("seq_id", "seq_pos", "fps", "duration", "frame"), s, segments, speech, videos)
+
+
+def enriched(chosen: DataFrame, s: Settings, segments: DataFrame | None, speech: DataFrame | None, videos: list[str] | None) -> DataFrame:
+    """Manifest rows of the chosen frames, with numbers, names, transcripts and speech."""
     info = chosen.select("seq_id", "seq_pos", "fps", "duration", "frame")
     rows = cascade(chosen.drop("fps", "duration"), s).drop("keyframe_index", "total_keyframes", "time_since_prev_keyframe", "video_timestamp", "video_duration", "source_video", "transcript_segment", "audio_activity", "prev_keyframe_id", "prev_keyframe_path")
     rows = rows.join(info, ["seq_id", "seq_pos"]).withColumn("video_timestamp", F.col("seq_pos") / F.col("fps")).withColumn("video_duration", F.col("duration"))
@@ -37,17 +58,19 @@ def process(frames: DataFrame, settings: Settings | None = None, segments: DataF
     rows = rows.withColumn("frame_id", F.when(F.col("is_keyframe"), step).otherwise(F.format_string("frame_%06d", "seq_pos"))).withColumn("asset_path", F.when(F.col("is_keyframe"), path))
     rows = prev_keyframes(rows).withColumn("source_video", F.col("seq_id")).withColumn("video_frame_number", F.col("seq_pos").cast("int")).withColumn("source_format", F.lit("video"))
     rows = rows.withColumn("change_magnitude", F.when(F.col("is_keyframe"), change_magnitude(F.col("ssim_score"), F.col("changed_regions"))))
-    word = spoken = None
+    word = spoken = cued = None
     if segments is not None:
         if "source_video" not in segments.columns:  # one transcript for all
-            of = videos if videos is not None else [r["seq_id"] for r in frames.select("seq_id").distinct().collect()]  # a name a file of the run
+            of = videos if videos is not None else [r["seq_id"] for r in chosen.select("seq_id").distinct().collect()]  # a name a file of the run
             segments = segments.withColumn("source_video", F.explode(F.array(*map(F.lit, of)).cast("array<string>")))
         rows = align.align_transcript(rows, segments, "source_video", "video_timestamp", ["seq_id", "seq_pos"])
         word = F.col("transcript_segment")
         rows = rows.withColumn("transcript_segment", F.when(F.col("is_keyframe"), word))
-    elif speech is not None:
+        rows = rows.join(segments.select("source_video").distinct().withColumn("_cued", F.lit(True)), "source_video", "left")
+        cued = F.coalesce("_cued", F.lit(False))
+    if speech is not None:
         rows = align.has_speech(rows, speech, "source_video", "video_timestamp", ["seq_id", "seq_pos"])
         spoken = F.col("in_speech")
-    activity = align.audio_activity(F.col("is_keyframe"), word, spoken, s.video.audio_detection)
+    activity = align.audio_activity(F.col("is_keyframe"), word, spoken, s.video.audio_detection, cued)
     rows = rows.withColumn("audio_activity", activity)
     return to_manifest(rows, "seq_id", "seq_pos", "frame")

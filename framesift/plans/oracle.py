@@ -185,4 +185,7 @@ ORACLE_SQL = {
     + f"""SELECT vec_id, is_kf AS is_keyframe, round(s, 4) AS ssim_score, regions AS changed_regions, masks AS adaptive_mask, CAST(before_id AS VARCHAR) AS prev_keyframe_id, {REASON} AS visual_reason, false AS late, 'editor' AS app_name,
  CASE WHEN is_kf THEN CAST(count(*) FILTER (WHERE is_kf) OVER (PARTITION BY label ORDER BY rn) AS INTEGER) END AS keyframe_index, CASE WHEN is_kf THEN CAST(count(*) FILTER (WHERE is_kf) OVER (PARTITION BY label) AS INTEGER) END AS total_keyframes FROM ca""",
     "picture_decode": f"WITH {PX} SELECT vec_id, 8 AS height, 8 AS width, CAST(NULL AS VARCHAR) AS error, true AS same, round(avg(p), 4) AS mean FROM px GROUP BY vec_id",
+    "video_scan": f"""WITH {PX}, g AS (SELECT label, rn - 1 AS seq_pos, round(avg(p), 4) AS mean FROM px GROUP BY label, rn), n AS (SELECT label, count(*) AS n FROM e GROUP BY label),
+ r AS (SELECT 'sample' AS part, * FROM g WHERE seq_pos % 3 = 0 UNION ALL SELECT 'range', * FROM g WHERE seq_pos >= 10 AND seq_pos < 20)
+ SELECT part, CAST(label AS VARCHAR) AS label, seq_pos, 8 AS width, 8 AS height, CAST(n AS INTEGER) AS total_frames, round(n / 30.0, 6) AS duration, mean FROM r JOIN n USING (label)""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -565,3 +566,43 @@ def picture_decode(spark: SparkSession, sf: str) -> DataFrame:
     d = f.select("vec_id", "frame", pictures.decoded(F.col("picture")).alias("d"))
     same = F.col("d.frame.data") == F.col("frame.data")
     return d.select("vec_id", "d.frame.height", "d.frame.width", "d.error", same.alias("same"), F.round(C.channel_means(F.col("d.frame"))[0], 4).alias("mean"))
+
+
+def _video_dir(spark: SparkSession, sf: str) -> str:
+    """Uncompressed gray videos, one for each label, in a new shared folder; a task writes a video frame by frame."""
+    from ..sources.video_source import file_system
+
+    out = shared_dir(spark, "videos")
+
+    def run(it):
+        now, file, n = None, None, 0
+        for b in it:
+            for seq, frame in zip(b["seq_id"].to_pylist(), cascade.pixels_of(b), strict=True):
+                if file is None or seq != now:
+                    if file:
+                        file.close()
+                    fs, name = file_system(f"{out}/label_{seq}.y4m")
+                    fs.create_dir(name.rpartition("/")[0], recursive=True)
+                    now, file = seq, fs.open_output_stream(name)
+                    file.write(f"YUV4MPEG2 W{frame.shape[1]} H{frame.shape[0]} F{FPS}:1 Cmono\n".encode())
+                file.write(b"FRAME\n" + frame[..., 0].tobytes())
+                n += 1
+        if file:
+            file.close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    f = V.frames(spark, sf).select("seq_id", "seq_pos", "frame").repartition("seq_id").sortWithinPartitions("seq_id", "seq_pos")
+    f.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return out
+
+
+@query
+def video_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples and a range of frames of video files, with what the files say of themselves."""
+    from ..sources.video_source import read_videos
+
+    folder = _video_dir(spark, sf)
+    sampled = read_videos(spark, [folder], SAMPLE_FPS, 16).withColumn("part", F.lit("sample"))
+    ranged = read_videos(spark, [folder], None, 16).where("seq_pos >= 10 and seq_pos < 20").withColumn("part", F.lit("range"))
+    both = sampled.unionByName(ranged).withColumn("m", C.channel_means(F.col("frame")))
+    return both.select("part", F.regexp_extract("seq_id", "label_(.*)[.]y4m", 1).alias("label"), "seq_pos", "width", "height", "total_frames", F.round("duration", 6).alias("duration"), F.round(F.col("m")[0], 4).alias("mean"))

@@ -67,45 +67,3 @@ def sound_chunks(spark: SparkSession, path: str | list[str], chunk_s: float = 0.
                 yield pd.DataFrame(rows, columns=["source", "chunk", "dbfs", "duration"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "source string, chunk long, dbfs double, duration double")
-
-
-def decode_video(path: str, every: int = 1, start: int = 0, end: int | None = None):
-    """(frame number, seconds, frame) of a file, by PyAV, which must be installed; every: keep each n-th."""
-    try:
-        import av
-    except ImportError as e:
-        raise ImportError("video files need PyAV; or give a table of decoded frames") from e
-    try:
-        box = av.open(path)
-    except Exception as e:
-        raise ValueError(f"Could not open video {path}") from e
-    with box:
-        stream = box.streams.video[0]
-        fps = float(stream.average_rate or 30)
-        for i, f in enumerate(box.decode(stream)):
-            if end is not None and i >= end:
-                return
-            if i >= start and (i - start) % every == 0:
-                yield i, i / fps, f.to_ndarray(format="rgb24")
-
-
-def video_frames(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(seq_id, seq_pos, fps, duration, frame) of video files, each decoded in a task of its own."""
-    from pyspark.sql import types as T
-
-    from ..schema import FRAME
-
-    schema = T.StructType([T.StructField("seq_id", T.StringType()), T.StructField("seq_pos", T.LongType()), T.StructField("fps", T.DoubleType()), T.StructField("duration", T.DoubleType()), T.StructField("frame", FRAME)])
-
-    def run(it):
-        import av
-
-        for pdf in it:
-            for path in pdf["path"]:
-                with av.open(path) as box:
-                    stream = box.streams.video[0]
-                    fps, duration = float(stream.average_rate or 30), float(stream.duration * stream.time_base) if stream.duration else 0.0
-                for i, _, a in decode_video(path):
-                    yield pd.DataFrame({"seq_id": [path.rpartition("/")[2]], "seq_pos": [i], "fps": [fps], "duration": [duration], "frame": [{"height": a.shape[0], "width": a.shape[1], "data": a.tobytes()}]})
-
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths))).mapInPandas(run, schema)

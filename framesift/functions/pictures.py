@@ -147,20 +147,24 @@ def decode(data: bytes | None) -> np.ndarray:
 DECODED = T.StructType([T.StructField("frame", FRAME), T.StructField("error", T.StringType())])
 
 
+def decoded_rows(data: pd.Series) -> pd.DataFrame:
+    frames, errors = [], []
+    for x in data:
+        try:
+            a = decode(x)
+            frames.append({"height": a.shape[0], "width": a.shape[1], "data": a.tobytes()})
+            errors.append(None)
+        except BadPicture as e:
+            frames.append(None)
+            errors.append(str(e))
+    return pd.DataFrame({"frame": pd.Series(frames, dtype=object), "error": pd.Series(errors, dtype=object)})
+
+
 def decoded(data: Column) -> Column:
     """struct(frame, error) of a column of encoded pictures; one of the two is null."""
 
     @F.pandas_udf(DECODED)
     def decoded_(d: pd.Series) -> pd.DataFrame:
-        frames, errors = [], []
-        for x in d:
-            try:
-                a = decode(x)
-                frames.append({"height": a.shape[0], "width": a.shape[1], "data": a.tobytes()})
-                errors.append(None)
-            except BadPicture as e:
-                frames.append(None)
-                errors.append(str(e))
-        return pd.DataFrame({"frame": pd.Series(frames, dtype=object), "error": pd.Series(errors, dtype=object)})
+        return decoded_rows(d)
 
     return decoded_(data)

@@ -55,7 +55,7 @@ def load_patterns(path: str) -> list[Pattern]:
     return [Pattern(**{k: v for k, v in x.items() if k in known}) for x in (yaml.safe_load(p.read_text()) or {}).get("patterns") or []]
 
 
-def _java(p: Pattern) -> str:
+def java_regex(p: Pattern) -> str:
     return f"(?U){p.regex}"
 
 
@@ -71,7 +71,7 @@ def matches(text: Column, p: Pattern) -> Column:
     none = F.array().cast("array<string>")
     if not p.regex:
         return none
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_java(p)), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_regex(p)), F.lit(0))
     gate = _may_match(text, p)
     return found if gate is None else F.when(gate, found).otherwise(none)
 
@@ -95,20 +95,41 @@ SPANS = T.ArrayType(T.StructType([T.StructField("pattern", T.StringType()), T.St
 
 
 def spans(text: Column, patterns: list[Pattern]) -> Column:
-    """All matches with their offsets, pattern by pattern; overlaps of different patterns are kept."""
+    """All matches with their offsets, pattern by pattern; overlaps of different patterns are kept. The pieces between matches give the offsets."""
+    text = F.coalesce(text, F.lit(""))
+
+    def of(p: Pattern) -> Column:
+        parts = F.zip_with(F.split(text, java_regex(p), -1), matches(text, p), lambda piece, match: F.struct(piece.alias("piece"), match.alias("match")))
+
+        def add(acc, x):
+            start = acc["at"] + F.length(x["piece"])
+            end = start + F.length(x["match"])
+            span = F.struct(F.lit(p.name).alias("pattern"), x["match"].alias("matched"), start.alias("start"), end.alias("end"))
+            return F.when(x["match"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["found"], F.array(span)).alias("found")))
+
+        none = F.array().cast(SPANS)
+        found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), add)["found"]
+        gate = _may_match(text, p)
+        return found if gate is None else F.when(gate, found).otherwise(none)
+
+    return F.concat(F.array().cast(SPANS), *[of(p) for p in patterns if p.regex])
+
+
+def spans_function(patterns: list[Pattern]):
+    """The same as a function that can be registered, by Python's regular expressions."""
     compiled = [(p.name, re.compile(p.regex)) for p in patterns if p.regex]
 
     @F.pandas_udf(SPANS)
     def spans_(s: pd.Series) -> pd.Series:
         return pd.Series([[{"pattern": n, "matched": m[0], "start": m.start(), "end": m.end()} for n, r in compiled for m in r.finditer(t or "")] for t in s])
 
-    return spans_(text)
+    return spans_
 
 
 def has_pii(text: Column, patterns: list[Pattern]) -> Column:
     """Null without patterns."""
     text = F.coalesce(text, F.lit(""))
-    gates = [(_may_match(text, p), text.rlike(_java(p))) for p in patterns if p.regex]
+    gates = [(_may_match(text, p), text.rlike(java_regex(p))) for p in patterns if p.regex]
     tests = [test if gate is None else gate & test for gate, test in gates]
     out = tests[0] if tests else F.lit(None).cast("boolean")
     for t in tests[1:]:
@@ -120,7 +141,7 @@ def redact_text(text: Column, patterns: list[Pattern], mark: str = "[REDACTED]")
     out = text
     for p in patterns:
         if p.regex:
-            out = F.regexp_replace(out, _java(p), mark)
+            out = F.regexp_replace(out, java_regex(p), mark)
     gates = [_may_match(text, p) for p in patterns if p.regex]
     if not gates or any(g is None for g in gates) or any(c.isdigit() or c == "@" for c in mark):
         return out

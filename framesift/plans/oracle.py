@@ -188,4 +188,14 @@ ORACLE_SQL = {
     "video_scan": f"""WITH {PX}, g AS (SELECT label, rn - 1 AS seq_pos, round(avg(p), 4) AS mean FROM px GROUP BY label, rn), n AS (SELECT label, count(*) AS n FROM e GROUP BY label),
  r AS (SELECT 'sample' AS part, * FROM g WHERE seq_pos % 3 = 0 UNION ALL SELECT 'range', * FROM g WHERE seq_pos >= 10 AND seq_pos < 20)
  SELECT part, CAST(label AS VARCHAR) AS label, seq_pos, 8 AS width, 8 AS height, CAST(n AS INTEGER) AS total_frames, round(n / 30.0, 6) AS duration, mean FROM r JOIN n USING (label)""",
+    "sql_frames": f"""WITH {HASH}, {PAIRS.format(on="a.rn + 1 = b.rn")}, ch2 AS (SELECT label, ra, count(*) FILTER (WHERE d > 10) AS n FROM (SELECT label, ra, avg(abs(p - q)) AS d FROM pp GROUP BY label, ra, y // {BLOCK}, x // {BLOCK}) GROUP BY ALL),
+ md AS (SELECT label, ra, abs(avg(p) - avg(q)) AS d FROM pp GROUP BY ALL)
+ SELECT cmp.vec_id, CAST(bit_count(xor(a.hv, b.hv)) AS INTEGER) AS distance, a.hv = b.hv AS match_0, bit_count(xor(a.hv, b.hv)) <= 2 AS match_2, round(s, 4) AS ssim_score, CAST(cmp.n AS INTEGER) AS n_changed, {MAG.replace(" n > ", " cmp.n > ")} AS change_magnitude, round(md.d, 4) AS mean_diff,
+ CASE WHEN cmp.n > 0 THEN 4 END AS first_area FROM cmp JOIN h a ON a.label = cmp.label AND a.rn = cmp.ra JOIN h b ON b.vec_id = cmp.vec_id JOIN md ON md.label = cmp.label AND md.ra = cmp.ra""",
+    "sql_transcripts": f"""WITH q AS (SELECT conv_id, turn, "start", "end", text FROM ({CUES.replace("SELECT conv_id,", "SELECT conv_id, turn,")})), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seg_pos FROM q)
+ SELECT conv_id, kind, CAST(seg_pos AS INTEGER) AS seg_pos, "start", "end", text, {" OR ".join(f"regexp_matches(text, {_sql(r)})" for _, r in BUILTIN)} AS has_pii, md5({_redacted('text')}) AS redacted_md5,
+ CAST({" + ".join(f"len(regexp_extract_all(text, {_sql(r)}))" for _, r in BUILTIN)} AS INTEGER) AS n_found FROM f, (VALUES ('srt'), ('vtt')) k(kind)""",
+    "pii_spans": "SELECT doc_id, pattern, matched, start, CAST(start + length(matched) AS INTEGER) AS \"end\" FROM (SELECT *, CAST(list_sum(list_transform(pieces[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda s: length(s))), 0) AS INTEGER) AS start, found[i] AS matched FROM ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS pattern, string_split_regex(text, {_sql(r)}) AS pieces, regexp_extract_all(text, {_sql(r)}) AS found, unnest(range(1, len(found) + 1)) AS i FROM documents" for n, r in BUILTIN)
+    + "))",
 }

@@ -606,3 +606,31 @@ def video_scan(spark: SparkSession, sf: str) -> DataFrame:
     ranged = read_videos(spark, [folder], None, 16).where("seq_pos >= 10 and seq_pos < 20").withColumn("part", F.lit("range"))
     both = sampled.unionByName(ranged).withColumn("m", C.channel_means(F.col("frame")))
     return both.select("part", F.regexp_extract("seq_id", "label_(.*)[.]y4m", 1).alias("label"), "seq_pos", "width", "height", "total_frames", F.round("duration", 6).alias("duration"), F.round(F.col("m")[0], 4).alias("mean"))
+
+
+@query
+def sql_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Frame functions, in SQL alone."""
+    from .. import sql
+
+    sql.register(spark)
+    V.frames(spark, sf).createOrReplaceTempView("framesift_frames")
+    return spark.sql("""
+        WITH pairs AS (SELECT vec_id, frame, lag(frame) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM framesift_frames),
+        scored AS (SELECT vec_id, phash(frame, 2) AS h, phash(prev, 2) AS p, ssim(prev, frame) AS s, block_diff(frame, prev, 2) AS regions, mean_diff(channel_means(frame), channel_means(prev)) AS d FROM pairs WHERE prev IS NOT NULL)
+        SELECT vec_id, frame_hamming(h, p) AS distance, hash_match(h, p, 0) AS match_0, hash_match(h, p, 2) AS match_2, round(s, 4) AS ssim_score, size(regions) AS n_changed, change_magnitude(s, size(regions)) AS change_magnitude,
+          round(d, 4) AS mean_diff, region_area(get(regions, 0)) AS first_area FROM scored""")
+
+
+@query
+def sql_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    """Cues of transcripts by a lateral join, and personal data in them, in SQL alone."""
+    from .. import sql
+
+    sql.register(spark)
+    _subtitles(spark, sf).createOrReplaceTempView("framesift_subtitles")
+    return spark.sql("""
+        SELECT conv_id, kind, seg_pos, start, `end`, text, has_pii(text) AS has_pii, md5(redact_pii(text)) AS redacted_md5, size(find_pii(text)) AS n_found FROM (
+          SELECT conv_id, 'srt' AS kind, t.* FROM framesift_subtitles, LATERAL parse_transcript(srt, false) AS t
+          UNION ALL
+          SELECT conv_id, 'vtt' AS kind, t.* FROM framesift_subtitles, LATERAL parse_transcript('WEBVTT\nKind: captions\n\n' || srt, true) AS t)""")

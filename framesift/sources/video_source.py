@@ -55,7 +55,7 @@ class Meta:
 
     @property
     def total_frames(self) -> int:
-        return int(self.fps * self.duration)
+        return int(round(self.fps * self.duration, 6))
 
     def row(self) -> dict:
         return {"fps": self.fps, "duration": self.duration, "width": self.width, "height": self.height, "total_frames": self.total_frames}

@@ -61,7 +61,7 @@ def test_source_in_queries(spark, tmp_path):
     got = v.where("seq_id = 'a.y4m' and seq_pos between 35 and 44").orderBy("seq_pos").collect()
     assert [(r.seq_pos, r.frame.data[0]) for r in got] == [(i, i) for i in range(35, 45)] and got[0].total_frames == 120 and got[0].duration == 4.0
     plan = v.where("seq_pos >= 35")._jdf.queryExecution().executedPlan().toString()
-    assert "Filter" not in plan.replace("PushedFilters", "")  # taken over by the source
+    assert "Filter " not in plan  # taken over by the source
     half = VS.read_videos(spark, [str(tmp_path)], 2.0).groupBy("seq_id").agg(F.collect_list("seq_pos").alias("p")).orderBy("seq_id").collect()
     assert [sorted(r.p) for r in half] == [[0, 15, 30, 45, 60, 75, 90, 105], [0, 15]]
 

@@ -63,9 +63,12 @@ def patterns_of(s: Settings):
 def run_images(spark, path: Path, s: Settings, report: str | None = None) -> tuple[int, int]:
     """Writes pictures and manifest; keyframes and frames."""
     from .operators import cascade, numbering, pii
-    from .sources import images, sinks
+    from .sources import images, sidecars, sinks
 
-    frames = images.frames_from_dir(spark, str(path), s.input.supported_formats).cache()
+    frames = images.frames_from_dir(spark, str(path), s.input.supported_formats)
+    if any(path.glob("*.json")):
+        frames = sidecars.attach_sidecars(frames, sidecars.sidecars(spark, str(path)))
+    frames = frames.cache()
     rows = cascade.cascade(frames, s)
     if s.redactor.enabled:
         pictures = pii.redact_keyframes(rows.drop("pii_detected").join(frames.select("seq_id", "seq_pos", "frame"), ["seq_id", "seq_pos"]), patterns_of(s), scope=s.redactor.scope)

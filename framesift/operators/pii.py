@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import imaging
+from ..schema import REGION
+from .cascade import pixels_of
 
 
 @dataclass(frozen=True)
@@ -184,6 +188,33 @@ def detect_and_redact(frame: np.ndarray, patterns: list[Pattern], engine: Engine
     return (imaging.blank(frame, hit), True) if hit else (frame, False)
 
 
+OCR_RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("region", REGION), T.StructField("confidence", T.DoubleType())])
+
+
+def ocr_scan(df: DataFrame, keep: list[str], make_engine: Callable[[], Engine] = easyocr_engine, regions: str | None = None, least: float = LEAST_CONFIDENCE) -> DataFrame:
+    """(columns kept, text, region, confidence) of each text found in `frame`, or in the frame's regions, a column of that name, where it has any.
+
+    A task makes one engine. Crops of a batch are read in the order of their size, so that an engine meets like ones together."""
+    out = T.StructType([*(df.schema[c] for c in keep), *OCR_RESULT.fields])
+    schema = to_arrow_schema(out)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engine = None
+        for b in it:
+            engine = engine or make_engine()
+            kept, inside = b.select(keep).to_pylist(), b[regions].to_pylist() if regions else [None] * b.num_rows
+            frames = list(pixels_of(b))
+            crops = [(i, r) for i, f in enumerate(frames) for r in ([tuple(x.values()) for x in inside[i] or []] or [(0, 0, f.shape[1], f.shape[0])])]
+            rows = []
+            for i, r in sorted(crops, key=lambda c: (c[1][3], c[1][2], c[0])):
+                rows += [(i, kept[i] | {"text": t, "region": dict(zip("xywh", box, strict=True)), "confidence": c}) for t, box, c in read_text(frames[i], engine, [r], least)]
+            if rows:
+                yield pa.RecordBatch.from_pylist([r for _, r in sorted(rows, key=lambda r: r[0])], schema)
+
+    columns = [*keep, "frame", *([regions] if regions and regions not in keep else [])]
+    return df.select(*columns).mapInArrow(run, out)
+
+
 def redact_keyframes(df: DataFrame, patterns: list[Pattern], make_engine: Callable[[], Engine] = easyocr_engine, scope: str = "changed") -> DataFrame:
     """df (frame, is_keyframe, changed_regions, ..) with frame redacted and pii_detected on keyframes; other rows pass without OCR.
 
@@ -193,15 +224,17 @@ def redact_keyframes(df: DataFrame, patterns: list[Pattern], make_engine: Callab
     out_type = T.StructType([df.schema["frame"], T.StructField("pii_detected", T.BooleanType())])
 
     @F.pandas_udf(out_type)
-    def run(f: pd.DataFrame, regions: pd.Series) -> pd.DataFrame:
-        engine = make_engine()
-        frames, flags = [], []
-        for h, w, d, r in zip(f["height"], f["width"], f["data"], regions, strict=True):
-            inside = [(x["x"], x["y"], x["w"], x["h"]) for x in r] if scope == "changed" and r is not None else None
-            a, hit = detect_and_redact(imaging.from_bytes(d, h, w), patterns, engine, inside)
-            frames.append({"height": h, "width": w, "data": a.tobytes()})
-            flags.append(hit)
-        return pd.DataFrame({"frame": frames, "pii_detected": flags})
+    def run(it: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.DataFrame]:
+        engine = None  # one for each task that has frames
+        for f, regions in it:
+            frames, flags = [], []
+            for h, w, d, r in zip(f["height"], f["width"], f["data"], regions, strict=True):
+                engine = engine or make_engine()
+                inside = [(x["x"], x["y"], x["w"], x["h"]) for x in r] if scope == "changed" and r is not None else None
+                a, hit = detect_and_redact(imaging.from_bytes(d, h, w), patterns, engine, inside)
+                frames.append({"height": h, "width": w, "data": a.tobytes()})
+                flags.append(hit)
+            yield pd.DataFrame({"frame": pd.Series(frames, dtype=object), "pii_detected": pd.Series(flags, dtype=object)})
 
     kf = df.where("is_keyframe").withColumn("_r", run(F.col("frame"), F.col("changed_regions"))).withColumn("frame", F.col("_r.frame")).withColumn("pii_detected", F.col("_r.pii_detected")).drop("_r")
     return kf.unionByName(df.where("not is_keyframe").withColumn("pii_detected", F.lit(None).cast("boolean")))

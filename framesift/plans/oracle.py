@@ -173,7 +173,7 @@ ORACLE_SQL = {
     "pii_flag": "SELECT doc_id, " + " OR ".join(f"regexp_matches(text, {_sql(r)})" for _, r in BUILTIN) + " AS pii_detected FROM documents",
     "pii_redact_text": f"SELECT doc_id, md5({_redacted('text')}) AS redacted_md5 FROM documents",
     "pii_custom_patterns": "SELECT doc_id, pattern, count(*) AS n FROM (" + _each("documents", "doc_id", "text", [(n, r) for n, r in BUILTIN if n != "ip_address"] + [("license", r"\b(?:MIT|Apache|GPL)\b")]) + ") GROUP BY ALL",
-    "image_scan": f"WITH {PX} SELECT vec_id, 'png' AS source_format, CAST(rn - 1 AS INTEGER) AS seq_pos, round(avg(p), 4) AS mean FROM px WHERE label = 0 GROUP BY vec_id, rn",
+    "image_scan": f"WITH {PX} SELECT vec_id, 'png' AS source_format, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS seq_pos, round(avg(p), 4) AS mean FROM px GROUP BY vec_id",
     "image_scan_all": f"WITH {PX} SELECT label, vec_id, 'png' AS source_format, CAST(rn - 1 AS INTEGER) AS seq_pos, round(avg(p), 4) AS mean FROM px GROUP BY label, vec_id, rn",
     "ocr_redaction": CASCADE.rstrip()
     + """, lf AS (SELECT vec_id, avg(p) FILTER (WHERE x < 4) < 120 AS dark, avg(p) AS m, avg(CASE WHEN x < 4 THEN 0 ELSE p END) AS md FROM px GROUP BY vec_id)
@@ -198,4 +198,14 @@ ORACLE_SQL = {
     "pii_spans": "SELECT doc_id, pattern, matched, start, CAST(start + length(matched) AS INTEGER) AS \"end\" FROM (SELECT *, CAST(list_sum(list_transform(pieces[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda s: length(s))), 0) AS INTEGER) AS start, found[i] AS matched FROM ("
     + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS pattern, string_split_regex(text, {_sql(r)}) AS pieces, regexp_extract_all(text, {_sql(r)}) AS found, unnest(range(1, len(found) + 1)) AS i FROM documents" for n, r in BUILTIN)
     + "))",
+    "metadata_attach": f"""WITH {E} SELECT vec_id, CASE WHEN vec_id % 7 <> 0 THEN 'app' || vec_id % 5 END AS side_app, CAST(NULL AS VARCHAR) AS side_title, CASE WHEN vec_id % 7 <> 0 THEN 1700000000 + vec_id END AS seconds,
+ 'site' || label AS app_name, 'do ' || label AS window_title, CASE WHEN rn BETWEEN 2 AND 21 THEN 'op' || lag(vec_id) OVER (PARTITION BY label ORDER BY rn) END AS action FROM e""",
+    "missing_pictures": masked_walk("label", 0.6)
+    + """SELECT CASE WHEN vec_id % 5 = 0 THEN 'missing' ELSE 'there' END AS what, vec_id FROM ca WHERE is_kf UNION ALL SELECT 'unknown', vec_id FROM ca WHERE vec_id % 11 = 0""",
+    "result_documents": masked_walk("label", 0.6)
+    + f""", m2 AS (SELECT vec_id, list({{'x': CAST(c * 2 AS INTEGER), 'y': CAST(r * 2 AS INTEGER), 'w': 2, 'h': 2}} ORDER BY r, c) AS regions_ FROM mk WHERE noisy GROUP BY vec_id),
+ fd AS (SELECT label, list({{'frame_id': CAST(vec_id AS VARCHAR), 'event_type': CASE WHEN is_kf THEN 'KEYFRAME' ELSE 'SKIPPED' END, 'is_keyframe': is_kf, 'perceptual_hash': {HEX.format('hv')}, 'adaptive_mask': regions_, 'prev_keyframe_id': CAST(before_id AS VARCHAR)}} ORDER BY rn) AS frames FROM ca LEFT JOIN m2 USING (vec_id) GROUP BY label),
+ ru AS (SELECT CAST(label AS VARCHAR) AS task_id, label, grouping(label) AS g, count(*) AS num_frames, count(*) FILTER (WHERE is_kf) AS num_keyframes, round(1 - count(*) FILTER (WHERE is_kf) / count(*), 6) AS skip_rate FROM ca GROUP BY ROLLUP (label))
+ SELECT task_id AS seq_id, CAST(to_json({{'task_id': task_id, 'num_frames': num_frames, 'num_keyframes': num_keyframes, 'skip_rate': skip_rate, 'frames': frames}}) AS VARCHAR) AS document FROM ru JOIN fd USING (label) WHERE g = 0
+ UNION ALL SELECT NULL, CAST(to_json({{'tasks': (SELECT list({{'task_id': task_id, 'num_frames': num_frames, 'num_keyframes': num_keyframes, 'skip_rate': skip_rate}} ORDER BY task_id) FROM ru WHERE g = 0), 'total_frames': num_frames, 'total_keyframes': num_keyframes, 'total_skip_rate': skip_rate}}) AS VARCHAR) FROM ru WHERE g = 1""",
 }

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import pictures
 from ..operators import align, cascade, masking, numbering, pii
-from ..shared import shared_dir
+from ..shared import file_system, shared_dir
 from ..sources import media
 from ..streaming import keyframes as streaming
 from . import virtual as V
@@ -460,45 +460,36 @@ def pii_spans(spark: SparkSession, sf: str) -> DataFrame:
 # pictures, text recognition and frame streams: no SQL counterpart
 
 
-def _picture_dir(spark: SparkSession, sf: str) -> str:
-    """PNG files of the first label's frames, in a new shared folder."""
+def _picture_dir(spark: SparkSession, sf: str, folder: Column) -> str:
+    """PNG files of all frames, in a new shared folder."""
     from ..sources import sinks
 
     out = shared_dir(spark, "pictures")
-    f = V.frames(spark, sf).where("label = 0").select("frame", F.lit(True).alias("is_keyframe"), F.concat(F.lit(out + "/"), F.format_string("frame_%06d.png", "vec_id")).alias("asset_path"))
-    sinks.save_keyframes(f).count()
+    asset = F.concat(F.lit(f"{out}/"), folder, F.format_string("frame_%012d.png", "vec_id"))
+    sinks.save_keyframes(V.frames(spark, sf).select("frame", F.lit(True).alias("is_keyframe"), asset.alias("asset_path"))).agg(F.sum("n_bytes")).collect()
     return out
 
 
 @query
 def image_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Pictures written by the sink and read by the directory source."""
+    """Pictures written by the sink and read by the directory source, all in one directory."""
     from ..sources import images
 
-    f = images.frames_from_dir(spark, _picture_dir(spark, sf)).withColumn("m", C.channel_means(F.col("frame")))
+    f = images.frames_from_dir(spark, _picture_dir(spark, sf, F.lit(""))).withColumn("m", C.channel_means(F.col("frame")))
     return f.select(F.regexp_extract("frame_id", "_0*([0-9]+)$", 1).cast("long").alias("vec_id"), "source_format", F.col("seq_pos").cast("int").alias("seq_pos"), F.round(F.col("m")[0], 4).alias("mean"))
 
 
 @query
 def image_scan_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Pictures of all frames, a directory for each label, written by the sink and read by the directory source."""
-    from functools import reduce
-
-    from ..sources import images, sinks
-
-    out = shared_dir(spark, "pictures")
-    f = V.frames(spark, sf)
-    folder = F.concat(F.lit(f"{out}/label_"), F.coalesce(F.col("label").cast("string"), F.lit("none")), F.lit("/"))
-    asset = F.concat(folder, F.format_string("frame_%012d.png", "vec_id"))
-    sinks.save_keyframes(f.select("frame", F.lit(True).alias("is_keyframe"), asset.alias("asset_path"))).count()
-
-    def scanned(label) -> DataFrame:
-        d = images.frames_from_dir(spark, f"{out}/label_{'none' if label is None else label}")
-        return d.withColumn("label", F.lit(label).cast(f.schema["label"].dataType))
+    """The same with a directory for each label, each a sequence."""
+    from ..sources import images
 
-    labels = [r["label"] for r in f.select("label").distinct().collect()]
-    found = reduce(DataFrame.unionByName, map(scanned, labels)).withColumn("m", C.channel_means(F.col("frame")))
-    return found.select("label", F.regexp_extract("frame_id", "_0*([0-9]+)$", 1).cast("long").alias("vec_id"), "source_format", F.col("seq_pos").cast("int").alias("seq_pos"), F.round(F.col("m")[0], 4).alias("mean"))
+    folder = F.concat(F.lit("label_"), F.coalesce(F.col("label").cast("string"), F.lit("none")), F.lit("/"))
+    f = images.frames_from_dir(spark, _picture_dir(spark, sf, folder), nested=True).withColumn("m", C.channel_means(F.col("frame")))
+    label = F.regexp_extract("seq_id", "label_(-?[0-9]+)$", 1)
+    return f.select(
+        F.when(label != "", label).cast("int").alias("label"), F.regexp_extract("frame_id", "_0*([0-9]+)$", 1).cast("long").alias("vec_id"), "source_format", F.col("seq_pos").cast("int").alias("seq_pos"), F.round(F.col("m")[0], 4).alias("mean")
+    )
 
 
 def fake_engine():
@@ -570,8 +561,6 @@ def picture_decode(spark: SparkSession, sf: str) -> DataFrame:
 
 def _video_dir(spark: SparkSession, sf: str) -> str:
     """Uncompressed gray videos, one for each label, in a new shared folder; a task writes a video frame by frame."""
-    from ..sources.video_source import file_system
-
     out = shared_dir(spark, "videos")
 
     def run(it):
@@ -634,3 +623,69 @@ def sql_transcripts(spark: SparkSession, sf: str) -> DataFrame:
           SELECT conv_id, 'srt' AS kind, t.* FROM framesift_subtitles, LATERAL parse_transcript(srt, false) AS t
           UNION ALL
           SELECT conv_id, 'vtt' AS kind, t.* FROM framesift_subtitles, LATERAL parse_transcript('WEBVTT\nKind: captions\n\n' || srt, true) AS t)""")
+
+
+def _files(df: DataFrame, path: str, content: str) -> None:
+    """Writes each row's text to a file of its own, from the tasks."""
+    def run(it):
+        for b in it:
+            for name, text in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
+                fs, plain = file_system(name)
+                fs.create_dir(plain.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(plain) as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    df.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+@query
+def metadata_attach(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata from JSON files: one beside each frame (every seventh is no JSON), one for each task, whose actions are shifted by a frame."""
+    from ..sources import sidecars
+
+    out = shared_dir(spark, "sidecars")
+    f = V.frames(spark, sf).select("vec_id", "seq_id", "seq_pos", F.format_string("f%012d", "vec_id").alias("frame_id"))
+    side = F.to_json(F.struct(F.concat(F.lit("app"), F.col("vec_id") % 5).alias("app_name"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("vec_id")).alias("timestamp"), (F.col("vec_id") % 3).alias("other")))
+    text = F.when(F.col("vec_id") % 7 == 0, "no json").otherwise(side)
+    _files(f.withColumn("path", F.format_string(f"{out}/frames/%s.json", "frame_id")).withColumn("text", text), "path", "text")
+    action = F.struct((F.row_number().over(V.by_label()) - 1).cast("int").alias("step_index"), F.concat(F.lit("op"), F.col("vec_id")).alias("operation"))
+    actions = V.frames(spark, sf).select("seq_id", action.alias("a")).groupBy("seq_id").agg(F.slice(F.array_sort(F.collect_list("a")), 1, 20).alias("actions"))
+    meta = actions.withColumn("text", F.to_json(F.struct(F.concat(F.lit("site"), F.col("seq_id")).alias("website"), F.concat(F.lit("do "), F.col("seq_id")).alias("confirmed_task"), "actions")))
+    _files(meta.withColumn("path", F.concat(F.lit(f"{out}/tasks/"), F.col("seq_id"), F.lit("/metadata.json"))), "path", "text")
+    beside = sidecars.attach_sidecars(f, sidecars.sidecars(spark, f"{out}/frames")).withColumnsRenamed({"app_name": "side_app", "window_title": "side_title"})
+    both = sidecars.attach_tasks(beside, sidecars.tasks(spark, f"{out}/tasks"))
+    return both.select("vec_id", "side_app", "side_title", F.unix_seconds("timestamp").alias("seconds"), "app_name", "window_title", F.col("action.operation").alias("action"))
+
+
+def _masked_cascade(spark: SparkSession, sf: str, out: str | None = None) -> DataFrame:
+    s = V.settings(noise_threshold=0.6)
+    s.exporter.output_dir = out or s.exporter.output_dir
+    return cascade.cascade(V.frames(spark, sf).withColumn("frame_id", F.col("vec_id").cast("string")), s)
+
+
+@query
+def missing_pictures(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a manifest against the files of its folder: of every fifth keyframe the picture is missing, one file in eleven is of no row."""
+    from ..sources import sidecars, sinks
+
+    out = shared_dir(spark, "pictures")
+    rows = _masked_cascade(spark, sf, out).select("seq_pos", "is_keyframe", "asset_path")
+    pictures_ = rows.where("is_keyframe and seq_pos % 5 <> 0").join(V.frames(spark, sf).select("seq_pos", "frame"), "seq_pos")
+    more = F.concat(F.lit(f"{out}/more/"), F.col("seq_pos"), F.lit(".png"))
+    more = V.frames(spark, sf).where("seq_pos % 11 = 0").select("seq_pos", F.lit(True).alias("is_keyframe"), more.alias("asset_path"), "frame")
+    sinks.save_keyframes(pictures_.unionByName(more)).agg(F.sum("n_bytes")).collect()
+    files = sidecars.listing(spark, out, "*.png")
+    name = lambda c: F.regexp_extract(c, "([0-9]+)[.]png$", 1).cast("long").alias("vec_id")
+    there = sidecars.with_files(rows, files).where("asset_path_exists and asset_path_bytes > 0").select(F.lit("there").alias("what"), F.col("seq_pos").alias("vec_id"))
+    gone = sidecars.missing_files(rows, files).select(F.lit("missing").alias("what"), F.col("seq_pos").alias("vec_id"))
+    return there.unionByName(gone).unionByName(sidecars.unknown_files(files, rows).select(F.lit("unknown").alias("what"), name("path")))
+
+
+@query
+def result_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON of each task and of all."""
+    from ..operators import results
+
+    rows = _masked_cascade(spark, sf).select("seq_id", "seq_pos", "frame_id", "event_type", "is_keyframe", "perceptual_hash", "adaptive_mask", "prev_keyframe_id")
+    return results.task_documents(rows).unionByName(results.summary_document(rows).withColumn("seq_id", F.lit(None).cast("string")))

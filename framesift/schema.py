@@ -9,7 +9,6 @@ KEYFRAME, SKIPPED = "KEYFRAME", "SKIPPED"
 REGION = T.StructType([T.StructField(c, T.IntegerType()) for c in ("x", "y", "w", "h")])
 REGIONS = T.ArrayType(REGION)
 FRAME = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("data", T.BinaryType())])
-OCR_RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("region", REGION), T.StructField("confidence", T.DoubleType())])
 SEGMENT = T.StructType(
     [T.StructField("source_video", T.StringType()), T.StructField("seg_pos", T.IntegerType()), T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType()), T.StructField("text", T.StringType())]
 )

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
+from urllib.parse import quote
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +28,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and its name there; names may hold blanks and percent signs, which are themselves."""
+    if path.startswith("file:") or "://" not in path:
+        return pafs.LocalFileSystem(), os.path.abspath(re.sub("^file:/+", "/", path))
+    return pafs.FileSystem.from_uri(quote(path, safe="/:@?=&"))

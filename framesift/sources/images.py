@@ -53,25 +53,29 @@ def load_frame(spark: SparkSession, source) -> imaging.np.ndarray:
     raise TypeError(f"Unsupported source type: {type(source)}")
 
 
-def frames_from_dir(spark: SparkSession, path: str, formats: list[str] | None = None) -> DataFrame:
-    """(seq_id, seq_pos, frame_id, source_format, frame) of the pictures in a directory, not below it, in the order of their paths.
+def frames_from_dir(spark: SparkSession, path: str, formats: list[str] | None = None, nested: bool = False) -> DataFrame:
+    """(seq_id, seq_pos, frame_id, source_format, frame) of the pictures in a directory, not below it, in the order of their paths. nested: those
+    below it, too, each folder a sequence of its own, whose id is the folder's path below the directory.
 
     A file that can't be decoded fails the run, as it would leave a gap in the sequence."""
     suffixes = "|".join(formats or ["png", "jpg", "jpeg", "bmp", "tiff", "webp"])
-    last = lambda c: F.element_at(F.split(c, "/"), -1)
-    kept = F.lower("_name").rlike(f"\\.({suffixes})$")
-    plain = F.url_decode(F.replace(last(F.col("image.origin")), F.lit("+"), F.lit("%2B")))  # an origin is a URI, in which a plus is itself
-    files = spark.read.format("image").load(path).withColumn("_name", plain).where(kept)
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    plain = bare(F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B"))))  # an origin is a URI, in which a plus is itself
+    name = F.element_at(F.split("_path", "/"), -1)
+    kept = F.lower("_path").rlike(f"\\.({suffixes})$")
+    read = lambda kind: spark.read.format(kind).option("recursiveFileLookup", nested).load(path)
+    files = read("image").withColumn("_path", plain).where(kept)
     # the names alone are ranked; pictures stay in the tasks that read them as long as the names can be broadcast
-    names = spark.read.format("binaryFile").load(path).select(last(F.col("path")).alias("_name")).where(kept)
-    ranked = names.select("_name", (F.row_number().over(Window.orderBy("_name")) - 1).cast("long").alias("seq_pos"))
-    files = files.join(ranked, "_name")
+    names = read("binaryFile").select(bare(F.col("path")).alias("_path")).where(kept).withColumn("_folder", F.regexp_replace("_path", "/[^/]*$", ""))
+    ranked = names.select("_path", "_folder", (F.row_number().over(Window.partitionBy("_folder").orderBy("_path")) - 1).cast("long").alias("seq_pos"))
+    files = files.join(ranked, "_path")
     good = F.when(F.col("image.height") > 0, F.col("image")).otherwise(F.raise_error(F.concat(F.lit("Could not load image from "), F.col("image.origin"))))
+    root = bare(F.lit(path.rstrip("/")))
     return files.select(
-        F.lit(path).alias("seq_id"),
+        (F.ltrim(F.substr("_folder", F.length(root) + 1), F.lit("/")) if nested else F.lit(path)).alias("seq_id"),
         "seq_pos",
-        F.regexp_replace("_name", "\\.[^.]*$", "").alias("frame_id"),
-        F.regexp_extract("_name", "\\.([^.]*)$", 1).alias("source_format"),
+        F.regexp_replace(name, "\\.[^.]*$", "").alias("frame_id"),
+        F.regexp_extract(name, "\\.([^.]*)$", 1).alias("source_format"),
         rgb_of_image(good).alias("frame"),
     )
 

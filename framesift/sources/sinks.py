@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import os
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import imaging
+from ..functions.jpeg import jpeg
 from ..operators.cascade import to_manifest
+from ..shared import file_system
 
 
 def write_manifest(df: DataFrame, path: str, compression: str = "snappy", *extra: str) -> bool:
@@ -23,19 +22,13 @@ def write_manifest(df: DataFrame, path: str, compression: str = "snappy", *extra
 
 
 def encoded(frame, path: str) -> bytes:
-    """The picture in the format of the path's suffix. PNG is written here; JPEG needs Pillow, and is refused without it."""
+    """The picture in the format of the path's suffix, PNG or JPEG."""
     kind = path.rpartition(".")[2].lower()
     if kind == "png":
         return imaging.png(frame)
-    if kind not in ("jpg", "jpeg"):
-        raise ValueError(f"pictures are written as png or jpg, not {kind}")
-    try:
-        from PIL import Image
-    except ImportError as e:
-        raise ImportError("keyframes as jpg need Pillow; or set keyframe_format to png") from e
-    out = io.BytesIO()
-    Image.fromarray(frame).save(out, "JPEG", quality=95)
-    return out.getvalue()
+    if kind in ("jpg", "jpeg"):
+        return jpeg(frame)
+    raise ValueError(f"pictures are written as png or jpg, not {kind}")
 
 
 def save_keyframes(df: DataFrame) -> DataFrame:
@@ -48,7 +41,7 @@ def save_keyframes(df: DataFrame) -> DataFrame:
             done, sizes = [], []
             for path, f in zip(b.column("asset_path").to_pylist(), b.column("frame").to_pylist(), strict=True):
                 data = encoded(imaging.from_bytes(f["data"], f["height"], f["width"]), path)
-                fs, name = pa.fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+                fs, name = file_system(path)
                 fs.create_dir(name.rpartition("/")[0], recursive=True)
                 with fs.open_output_stream(f"{name}.tmp") as out:
                     out.write(data)
@@ -57,6 +50,4 @@ def save_keyframes(df: DataFrame) -> DataFrame:
                 sizes.append(len(data))
             yield pa.RecordBatch.from_pydict({"asset_path": done, "n_bytes": pa.array(sizes, pa.int64())})
 
-    import pyarrow.fs  # noqa: F401
-
     return df.where(F.col("is_keyframe")).select("asset_path", "frame").mapInArrow(run, "asset_path string, n_bytes long")

@@ -26,6 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import FRAME
+from ..shared import file_system
 
 NAME = "framesift_video"
 SUFFIXES = (".mp4", ".mov", ".webm", ".y4m")
@@ -38,10 +39,6 @@ META = "path string, filename string, duration double, fps double, width int, he
 END = 1 << 62
 
 
-def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
-
-
 def name_of(path: str) -> str:
     return path.rstrip("/").rpartition("/")[2]
 

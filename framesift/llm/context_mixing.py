@@ -43,6 +43,8 @@ CLASSES = 64
 BLOCK = 32
 #: Words whose decisions are laid out at a time; documents that are scored together, and their words.
 SLICE = 2000
+#: A part is cut once for so many of the square root of the chunks.
+CUT = 6
 #: Bytes of a beginning that words share.
 HEAD = 8
 #: Classes and words of a row of the merged words.
@@ -388,9 +390,9 @@ def anchors(words: Words, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return x[hit], of[hit], place[hit + ANCHOR], bounds, low
 
 
-def count(rows: DataFrame, parts: int) -> DataFrame:
+def count(rows: DataFrame, parts: int, cuts: int) -> DataFrame:
     """(kind, part, chunk, blob): kind 0: the words of a chunk in a part of their hashes, with classes and training counts; kind 1: its anchors in a
-    part; kind 2: numbers of training texts by length."""
+    part; kind 2: numbers of training texts by length. A part is cut in `cuts` finer ones, whose blobs lie in a row."""
 
     def run(it):
         import zstandard
@@ -408,19 +410,22 @@ def count(rows: DataFrame, parts: int) -> DataFrame:
             n = np.bincount(which[train[words.text]], minlength=len(types))
             types, n = types[n > 0], n[n > 0].astype(np.uint32)
             at, cls = types >> 6, (types & 63).astype(np.uint8)
-            plain, bounds = words.plain, words.bounds(parts)
-            cuts = np.searchsorted(at, bounds)
-            for p in range(parts):
-                if bounds[p + 1] > bounds[p]:
-                    k = slice(cuts[p], cuts[p + 1])
-                    head = np.array([bounds[p + 1] - bounds[p], cuts[p + 1] - cuts[p]], np.int64)
-                    yield _row(0, p, chunk, pack(head.tobytes() + (at[k] - bounds[p]).astype(np.uint32).tobytes() + n[k].tobytes() + cls[k].tobytes() + b" ".join(plain[bounds[p] : bounds[p + 1]])))
-            x, of, place, bounds, low = anchors(words, parts)
-            for p in range(parts):
-                k = slice(bounds[p], bounds[p + 1])
-                if bounds[p + 1] > bounds[p]:
-                    ahead = low[place[k][:, None] + np.arange(AHEAD)]
-                    yield _row(1, p, chunk, pack(x[k].tobytes() + of[k].astype(np.uint32).tobytes() + ahead.tobytes() + train[of[k]].tobytes()))
+            plain, bounds = words.plain, words.bounds(parts * cuts)
+            first = np.searchsorted(at, bounds)
+
+            def spelled(q: int) -> bytes:
+                k = slice(first[q], first[q + 1])
+                head = np.array([bounds[q + 1] - bounds[q], first[q + 1] - first[q]], np.int64)
+                return pack(head.tobytes() + (at[k] - bounds[q]).astype(np.uint32).tobytes() + n[k].tobytes() + cls[k].tobytes() + b" ".join(plain[bounds[q] : bounds[q + 1]]))
+
+            yield from _rows(0, chunk, bounds, cuts, spelled)
+            x, of, place, bounds, low = anchors(words, parts * cuts)
+
+            def met(q: int) -> bytes:
+                k = slice(bounds[q], bounds[q + 1])
+                return pack(x[k].tobytes() + of[k].astype(np.uint32).tobytes() + low[place[k][:, None] + np.arange(AHEAD)].tobytes() + train[of[k]].tobytes())
+
+            yield from _rows(1, chunk, bounds, cuts, met)
             del words, which, types, n, at, cls, plain, x, of, place, low
             released()
         if seen.any():
@@ -433,6 +438,21 @@ def _row(kind: int, part: int, chunk: int, blob: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], ["kind", "part", "chunk", "blob"])
 
 
+def _rows(kind: int, chunk: int, bounds: np.ndarray, cuts: int, blob):
+    """A row for each part that has anything: the lengths of its finer parts' blobs, and these."""
+    for p in range((len(bounds) - 1) // cuts):
+        own = range(p * cuts, (p + 1) * cuts)
+        if bounds[own[-1] + 1] > bounds[own[0]]:
+            blobs = [blob(q) if bounds[q + 1] > bounds[q] else b"" for q in own]
+            yield _row(kind, p, chunk, np.array([len(b) for b in blobs], np.int64).tobytes() + b"".join(blobs))
+
+
+def _finer(blob: bytes, cuts: int, k: int) -> bytes:
+    """The k-th of the blobs that _rows() put in one."""
+    ends = np.cumsum(np.frombuffer(blob, np.int64, cuts)) + 8 * cuts
+    return blob[ends[k - 1] if k else 8 * cuts : ends[k]]
+
+
 def _listing(keys: list[tuple[int, bytes]], times: np.ndarray) -> bytes:
     return np.int64(len(keys)).tobytes() + times.tobytes() + bytes(c for c, _ in keys) + b" ".join([w for _, w in keys])
 
@@ -440,7 +460,40 @@ def _listing(keys: list[tuple[int, bytes]], times: np.ndarray) -> bytes:
 def _listed(blob: bytes) -> tuple[list[tuple[int, bytes]], np.ndarray]:
     """(class, word) and counts that _listing() put down; words hold no blanks."""
     n = int(np.frombuffer(blob, np.int64, 1)[0])
-    return list(zip(blob[8 + 4 * n : 8 + 5 * n], blob[8 + 5 * n :].split(b" "), strict=True)), np.frombuffer(blob, np.uint32, n, 8)
+    return list(zip(blob[8 + 8 * n : 8 + 9 * n], blob[8 + 9 * n :].split(b" "), strict=True)), np.frombuffer(blob, np.int64, n, 8)
+
+
+class Tables:
+    """Counts of decisions in all contexts, in 32 bits. They are handed on before a sum could be more than these hold, and begin anew."""
+
+    ROOM = (1 << 32) - 1
+
+    def __init__(self) -> None:
+        self.counts, self.sum = [np.zeros(2 * SLOTS, np.uint32) for _ in range(CONTEXTS)], 0
+
+    def add(self, slots: list[np.ndarray], bit: np.ndarray, weight: np.ndarray):
+        """weight: whole numbers of any size. Yields rows where the tables are full."""
+        while weight.any():
+            now = weight if int(weight.sum()) <= self.ROOM else np.minimum(weight, self.ROOM // len(weight))
+            if self.sum + int(now.sum()) > self.ROOM:
+                yield from self.rows()
+            self.sum += int(now.sum())
+            w = now.astype(np.uint32)
+            for t, s in zip(self.counts, slots, strict=True):
+                np.add.at(t, 2 * s + bit, w)
+            weight = weight - now
+
+    def rows(self):
+        import zstandard
+
+        pack, task = zstandard.ZstdCompressor(level=1).compress, TaskContext.get()
+        for k, t in enumerate(self.counts):
+            for p in range(SLOTS // PART):
+                x = t[2 * p * PART : 2 * (p + 1) * PART]
+                if x.any():
+                    yield _row(4, k * (SLOTS // PART) + p, task.partitionId() if task else 0, pack(x.tobytes()))
+            t[:] = 0
+        self.sum = 0
 
 
 def recalled(x: np.ndarray, doc: np.ndarray, train: np.ndarray) -> np.ndarray:
@@ -459,10 +512,10 @@ def recalled(x: np.ndarray, doc: np.ndarray, train: np.ndarray) -> np.ndarray:
     return out
 
 
-def merged(code: Code, counted: DataFrame, tasks: int) -> DataFrame:
-    """(kind, part, chunk, blob): kind 0: counts over all chunks of a chunk's words in this part, in their order; kind 1: the chunk's anchors
+def merged(code: Code, counted: DataFrame, tasks: int, cuts: int) -> DataFrame:
+    """(kind, part, chunk, blob): kind 0: counts over all chunks of a chunk's words in this finer part, in their order; kind 1: the chunk's anchors
     that are recalled, and the words after them; kind 2: the part's totals; kind 3: all classes, words and counts of the part; kind 4: counts of
-    them in a part of a predictor's table."""
+    them in a part of a predictor's table. Only one finer part is unpacked at a time."""
 
     def run(it):
         import zstandard
@@ -470,61 +523,71 @@ def merged(code: Code, counted: DataFrame, tasks: int) -> DataFrame:
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         tables = None
         for (part, kind), rows in _keyed(it, 2):
-            got = [unpack(b) for b in rows["blob"]]
-            if kind == 1:
-                size = np.array([len(g) // (13 + 4 * AHEAD) for g in got])
-                x = np.concatenate([np.frombuffer(g, np.uint64, n) for g, n in zip(got, size, strict=True)])
-                doc = np.concatenate([np.frombuffer(g, np.uint32, n, 8 * n) + (np.uint64(c) << np.uint64(32)) for g, n, c in zip(got, size, rows["chunk"], strict=True)])
-                ahead = np.concatenate([np.frombuffer(g, np.uint32, AHEAD * n, 12 * n) for g, n in zip(got, size, strict=True)]).reshape(-1, AHEAD)
-                train = np.concatenate([np.frombuffer(g, bool, n, (12 + 4 * AHEAD) * n) for g, n in zip(got, size, strict=True)])
-                source = recalled(x, doc, train)
-                lo = 0
-                for chunk, n in zip(rows["chunk"], size.tolist(), strict=True):
-                    at = np.flatnonzero(source[lo : lo + n] >= 0)
-                    if len(at):
-                        yield _row(1, part, chunk, pack(at.astype(np.uint32).tobytes() + ahead[source[lo + at]].tobytes()))
-                    lo += n
-                continue
-            heads = [np.frombuffer(g, np.int64, 2) for g in got]
-            words = [g[16 + 9 * int(k) :].split(b" ") for g, (_, k) in zip(got, heads, strict=True)]
-            number: dict[bytes, int] = {}
-            at = [np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws)) for ws in words]
-            plain = list(number)
-            types, n = [], []
-            for g, (_, k), mine in zip(got, heads, at, strict=True):
-                types.append((mine[np.frombuffer(g, np.uint32, k, 16)] << 6) + np.frombuffer(g, np.uint8, k, 16 + 8 * k))
-                n.append(np.frombuffer(g, np.uint32, k, 16 + 4 * k))
-            types, back = np.unique(np.concatenate(types), return_inverse=True)
-            n = np.bincount(back, np.concatenate(n), len(types)).astype(np.int64)
-            total = np.bincount(types >> 6, n, len(plain)).astype(np.int64)
-            for chunk, mine in zip(rows["chunk"], at, strict=True):
-                yield _row(0, part, chunk, pack(total[mine].tobytes()))
-            yield _row(2, part, -1, np.array([total.sum(), (total > 0).sum()]).tobytes())
-            del got, words, at, number, back
-            released()
-            for lo in range(0, len(types), LISTED):
-                keys = [(int(t) & 63, plain[int(t) >> 6]) for t in types[lo : lo + LISTED]]
-                times = np.minimum(n[lo : lo + LISTED], (1 << 32) - 1).astype(np.uint32)
-                yield _row(3, part, lo, pack(_listing(keys, times)))
-                if tables is None:
-                    tables = [np.zeros(2 * SLOTS, np.uint32) for _ in range(CONTEXTS)]
-                words = Spelled(code, keys)
-                met = np.minimum(words.times(times), (1 << 32) - 1).astype(np.uint32)
-                for nodes, _, bit, slots in words.slices():
-                    w = np.repeat(met[nodes], words.n[nodes])
-                    for t, s in zip(tables, slots, strict=True):
-                        np.add.at(t, 2 * s + bit, w)
-        task = TaskContext.get().partitionId()
-        for k, t in enumerate(tables or []):
-            for p in range(SLOTS // PART):
-                x = t[2 * p * PART : 2 * (p + 1) * PART]
-                if x.any():
-                    yield _row(4, k * (SLOTS // PART) + p, task, pack(x.tobytes()))
-
-    rows = counted.where("kind < 2").select("part", "kind", "chunk", "blob").repartition(tasks, "part").sortWithinPartitions("part", "kind", "chunk")
+            for k in range(cuts):
+                fine = part * cuts + k
+                held = [(c, _finer(b, cuts, k)) for c, b in zip(rows["chunk"], rows["blob"], strict=True)]
+                chunks, got = [c for c, b in held if b], [unpack(b) for _, b in held if b]
+                del held
+                if not got:
+                    continue
+                if kind == 1:
+                    yield from _recall(fine, chunks, got, pack)
+                    continue
+                types, n, plain, answers = _sums(chunks, got)
+                del got
+                for chunk, total in answers:
+                    yield _row(0, fine, chunk, pack(total.tobytes()))
+                total = np.bincount(types >> 6, n, len(plain)).astype(np.int64)
+                yield _row(2, fine, -1, np.array([total.sum(), (total > 0).sum()]).tobytes())
+                del answers, total
+                released()
+                for lo in range(0, len(types), LISTED):
+                    keys = [(int(t) & 63, plain[int(t) >> 6]) for t in types[lo : lo + LISTED]]
+                    yield _row(3, fine, lo, pack(_listing(keys, n[lo : lo + LISTED])))
+                    tables = tables or Tables()
+                    words = Spelled(code, keys)
+                    met = words.times(n[lo : lo + LISTED]).astype(np.int64)
+                    for nodes, _, bit, slots in words.slices():
+                        yield from tables.add(slots, bit, np.repeat(met[nodes], words.n[nodes]))
+        if tables:
+            yield from tables.rows()
+
+    rows = counted.where("kind < 2").select("part", "kind", "chunk", "blob").repartitionById(tasks, (F.col("part") % tasks).cast("int")).sortWithinPartitions("part", "kind", "chunk")
     return cut(rows.mapInArrow(run, "kind int, part int, chunk long, blob binary"), "merged")
 
 
+def _recall(part: int, chunks: list[int], got: list[bytes], pack):
+    """Kind 1 of merged(), of a finer part's anchors."""
+    size = np.array([len(g) // (13 + 4 * AHEAD) for g in got])
+    x = np.concatenate([np.frombuffer(g, np.uint64, n) for g, n in zip(got, size, strict=True)])
+    doc = np.concatenate([np.frombuffer(g, np.uint32, n, 8 * n) + (np.uint64(c) << np.uint64(32)) for g, n, c in zip(got, size, chunks, strict=True)])
+    ahead = np.concatenate([np.frombuffer(g, np.uint32, AHEAD * n, 12 * n) for g, n in zip(got, size, strict=True)]).reshape(-1, AHEAD)
+    train = np.concatenate([np.frombuffer(g, bool, n, (12 + 4 * AHEAD) * n) for g, n in zip(got, size, strict=True)])
+    source = recalled(x, doc, train)
+    lo = 0
+    for chunk, n in zip(chunks, size.tolist(), strict=True):
+        at = np.flatnonzero(source[lo : lo + n] >= 0)
+        if len(at):
+            yield _row(1, part, chunk, pack(at.astype(np.uint32).tobytes() + ahead[source[lo + at]].tobytes()))
+        lo += n
+
+
+def _sums(chunks: list[int], got: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], list[tuple[int, np.ndarray]]]:
+    """(class, word) types of a finer part, their counts over all chunks, the words; and for each chunk the counts of its own words, in their order."""
+    heads = [np.frombuffer(g, np.int64, 2) for g in got]
+    number: dict[bytes, int] = {}
+    at, types, n = [], [], []
+    for g, (size, k) in zip(got, heads, strict=True):
+        mine = np.fromiter((number.setdefault(w, len(number)) for w in g[16 + 9 * int(k) :].split(b" ")), np.int64, int(size))
+        at.append(mine)
+        types.append((mine[np.frombuffer(g, np.uint32, k, 16)] << 6) + np.frombuffer(g, np.uint8, k, 16 + 8 * k))
+        n.append(np.frombuffer(g, np.uint32, k, 16 + 4 * k))
+    types, back = np.unique(np.concatenate(types), return_inverse=True)
+    n = np.bincount(back, np.concatenate(n), len(types)).astype(np.int64)
+    total = np.bincount(types >> 6, n, len(number)).astype(np.int64)
+    return types, n, list(number), [(c, total[mine]) for c, mine in zip(chunks, at, strict=True)]
+
+
 def merged_tables(told: DataFrame) -> np.ndarray:
     """uint8 states, contexts x slots: the parts of all tasks added up in a stream; a fixed 2^BITS bytes a context."""
 
@@ -782,11 +845,12 @@ def score(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:
     code = Code(by_byte)
     n_chunks = max(size // CHUNK_BYTES, min(8, size // (3 << 20))) + 1
     parts = 2 * math.isqrt(n_chunks) + 1  # so the blobs of (chunk, part) grow more slowly than the square of the corpus
+    cuts = math.isqrt(n_chunks) // CUT + 1  # and what is unpacked at a time doesn't grow
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks))
     rows = texts.withColumn("chunk", chunk)
-    counted = cut(count(rows.select("chunk", "text", "held_out").repartition(n_chunks, "chunk").sortWithinPartitions("chunk"), parts), "counted")
+    counted = cut(count(rows.select("chunk", "text", "held_out").repartition(n_chunks, "chunk").sortWithinPartitions("chunk"), parts, cuts), "counted")
     lengths = [np.frombuffer(r["blob"], np.int64).reshape(2, -1) for r in counted.where("kind = 2").select("blob").collect()]  # a row a task
-    told = merged(code, counted, max(1, parts // 2))
+    told = merged(code, counted, max(1, parts // 2), cuts)
     drop(counted)
     totals = [np.frombuffer(r["blob"], np.int64) for r in told.where("kind = 2").select("blob").collect()]  # two numbers a part
     ends, seen = sum(lengths, np.zeros((2, len(EDGES)), np.int64))
@@ -814,7 +878,7 @@ def score(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:
             times = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(b, np.int64) for _, b in sorted(blobs, key=lambda x: x[0]))])[types >> 6]
             width = np.fromiter((len(w) + 1 for _, w in keys), np.int64, len(keys))
             log_c, is_known = np.log10(times + 0.1), (times > 0).astype(np.int64)
-            hits, ln_of = foretold(words, matches, parts)
+            hits, ln_of = foretold(words, matches, parts * cuts)
             del words, which, types, times, blobs, matches
             released()
             ln_of += refined(code, tables.value, weights, keys, [w if k not in hits else w[~hits[k]] for k, w in enumerate(ids)])

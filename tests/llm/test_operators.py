@@ -777,3 +777,45 @@ def test_json_names():
     from framesift.llm import registry
 
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11)) and json.dumps(registry.ORACLE_SQL)
+
+
+# 1, counts beyond 32 bits, and parts that are cut
+
+
+def test_counts_do_not_wrap(monkeypatch):
+    import zstandard
+
+    monkeypatch.setattr(context_mixing, "SLOTS", 1 << 15)
+    monkeypatch.setattr(context_mixing, "PART", 1 << 14)
+    rng, tables = np.random.default_rng(3), context_mixing.Tables()
+    want, rows = np.zeros((context_mixing.CONTEXTS, 2 << 15), object), []
+    for size in (5, 1 << 20, 1 << 31, 1 << 33, 1 << 40, 3):
+        slots = [rng.integers(0, 50, 30) for _ in range(context_mixing.CONTEXTS)]
+        bit, weight = rng.integers(0, 2, 30), rng.integers(0, size, 30)
+        rows += list(tables.add(slots, bit, weight)) if size < 1 << 40 else []
+        for t, s in zip(want, slots, strict=True):
+            for i, b, w in zip(s, bit, weight, strict=True) if size < 1 << 40 else ():
+                t[2 * i + b] += int(w)
+    rows += list(tables.rows())
+    got = np.zeros_like(want)
+    for r in rows:
+        part, blob = r["part"][0].as_py(), zstandard.ZstdDecompressor().decompress(r["blob"][0].as_py())
+        k, p = divmod(part, 2)
+        got[k, p * (1 << 15) : (p + 1) * (1 << 15)] += np.frombuffer(blob, np.uint32).astype(object)
+    assert (got == want).all() and want.max() > 1 << 33
+
+
+def test_listings_hold_large_counts():
+    keys, times = [(0, b"a"), (63, b"bc")], np.array([1 << 40, 3])
+    back, n = context_mixing._listed(context_mixing._listing(keys, times))
+    assert back == keys and n.tolist() == times.tolist()
+
+
+def test_cut_parts_change_no_count(spark, docs, scores, monkeypatch):
+    monkeypatch.setattr(context_mixing, "CUT", 1)
+    monkeypatch.setattr(context_mixing, "CHUNK_BYTES", 20_000)
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.n_known, r.held_out)
+    got = sorted(context_mixing.score(spark, docs, common.crc_mod(docs["doc_id"], 10) == 0).collect(), key=key)
+    for a, b in zip(got, sorted(scores, key=key), strict=True):
+        assert key(a) == key(b) and a.base_score == pytest.approx(b.base_score) and a.train_tokens == b.train_tokens
+        assert a.score < 0 and math.isfinite(a.score)  # weights are learned in other steps

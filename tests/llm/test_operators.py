@@ -776,7 +776,7 @@ def test_smoothing():
 def test_json_names():
     from framesift.llm import registry
 
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11)) and json.dumps(registry.ORACLE_SQL)
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14)) and json.dumps(registry.ORACLE_SQL)
 
 
 # 1, counts beyond 32 bits, and parts that are cut

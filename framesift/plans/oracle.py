@@ -56,31 +56,44 @@ w AS (SELECT event_id, user_id, rn, true AS is_keyframe, CAST(NULL AS DOUBLE) AS
  UNION ALL SELECT r.event_id, r.user_id, r.rn, abs(r.value - held) >= 50, held, CASE WHEN abs(r.value - held) >= 50 THEN r.value ELSE held END FROM w JOIN r ON r.user_id = w.user_id AND r.rn = w.rn + 1)
 SELECT event_id, is_keyframe, ref_value FROM w"""
 
-_W = [[(wy + k // 7) * SIDE + wx + k % 7 + 1 for k in range(49)] for wy in (0, 1) for wx in (0, 1)]
-_B = [[(2 * (b // N) + dy) * SIDE + 2 * (b % N) + dx + 1 for dy in (0, 1) for dx in (0, 1)] for b in range(N * N)]
+def _windows(rows: int) -> list[list[int]]:
+    """Places of the pixels of each 7 x 7 window, from 1."""
+    return [[(wy + k // 7) * SIDE + wx + k % 7 + 1 for k in range(49)] for wy in range(rows - 6) for wx in range(SIDE - 6)]
+
+
+def _squares(rows: int) -> list[list[int]]:
+    """Of each 2 x 2 block."""
+    return [[(2 * (b // N) + dy) * SIDE + 2 * (b % N) + dx + 1 for dy in (0, 1) for dx in (0, 1)] for b in range(rows // BLOCK * N)]
+
+
 _MEAN = "list_avg(list_transform(ii, lambda i: {}))"
 _UX, _UY, _XX, _YY, _XY = (_MEAN.format(x) for x in ("kg[i]", "g[i]", "kg[i] * kg[i]", "g[i] * g[i]", "kg[i] * g[i]"))
 _COV = f"49.0 / 48 * ({_XY} - {_UX} * {_UY})"
-_SSIM = f"list_avg(list_transform({_W}, lambda ii: ((2 * {_UX} * {_UY} + 6.5025) * (2 * {_COV} + 58.5225)) / (({_UX} * {_UX} + {_UY} * {_UY} + 6.5025) * (49.0 / 48 * ({_XX} - {_UX} * {_UX}) + 49.0 / 48 * ({_YY} - {_UY} * {_UY}) + 58.5225))))"
+_SSIM = f"list_avg(list_transform(WINDOWS, lambda ii: ((2 * {_UX} * {_UY} + 6.5025) * (2 * {_COV} + 58.5225)) / (({_UX} * {_UX} + {_UY} * {_UY} + 6.5025) * (49.0 / 48 * ({_XX} - {_UX} * {_UX}) + 49.0 / 48 * ({_YY} - {_UY} * {_UY}) + 58.5225))))"
 
 
-def masked_walk(seq: str, threshold: float) -> str:
-    """The cascade on masked frames, compared one after the other with the keyframe that the walk holds."""
-    return f"""WITH RECURSIVE {MASK.replace("avg(ch) OVER w > 0.8", f"avg(ch) OVER w > {threshold}").replace("SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id)", f"SELECT vec_id, {seq} AS label, row_number() OVER (PARTITION BY {seq} ORDER BY vec_id)")},
+def masked_walk(seq: str, threshold: float, rows: int = SIDE, changed: int = 14) -> str:
+    """The cascade on masked frames, compared one after the other with the keyframe that the walk holds. Frames of 16 rows are two frames of
+    a sequence, one above the other, each a tile with a hash and a mean of its own."""
+    ssim = _SSIM.replace("WINDOWS", str(_windows(rows)))
+    gate = "f.hv = w.khv AND list_max(list_transform(range(len(f.mean)), lambda i: abs(f.mean[i + 1] - w.kmean[i + 1]))) < 5"
+    tall = E.replace("e AS (", "e0 AS (") + ", e AS (SELECT a.vec_id, a.label, (a.rn + 1) // 2 AS rn, list_concat(a.embedding, b.embedding) AS embedding FROM e0 a JOIN e0 b ON a.label = b.label AND b.rn = a.rn + 1 WHERE a.rn % 2 = 1)"
+    return f"""WITH RECURSIVE {MASK.replace(E, E if rows == SIDE else tall).replace("avg(ch) OVER w > 0.8", f"avg(ch) OVER w > {threshold}").replace("SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id)", f"SELECT vec_id, {seq} AS label, row_number() OVER (PARTITION BY {seq} ORDER BY vec_id)")},
 mp AS (SELECT px.vec_id, px.label, px.rn, y, x, CASE WHEN noisy THEN 0 ELSE p END AS p FROM px JOIN mk ON mk.vec_id = px.vec_id AND r = y // {BLOCK} AND c = x // {BLOCK}),
 ms AS (SELECT vec_id, string_agg(c * 2 || ':' || r * 2 || ':2:2', ',' ORDER BY r, c) AS masks, CAST(count(*) AS INTEGER) AS n_masked FROM mk WHERE noisy GROUP BY vec_id),
-co AS (SELECT vec_id, y, k, round(sum(p * 2 * cos(pi() * k * (x + 0.5) / {SIDE})), 6) AS d FROM mp, (SELECT unnest([1, 2]) AS k) WHERE y < 2 GROUP BY ALL),
-hs AS (SELECT vec_id, CAST(sum(b * power(2, 3 - (2 * y + k - 1))) AS INTEGER) AS hv FROM (SELECT *, CASE WHEN d > avg(d) OVER (PARTITION BY vec_id) THEN 1 ELSE 0 END AS b FROM co) GROUP BY vec_id),
-fr AS (SELECT vec_id, label, rn, list(p ORDER BY y, x) AS px, list(CAST(trunc(0.2989 * p + 0.5870 * p + 0.1140 * p) AS BIGINT) ORDER BY y, x) AS g, avg(p) AS mean FROM mp GROUP BY ALL),
-fs AS (SELECT fr.*, hv, masks, coalesce(n_masked, 0) AS n_masked FROM fr JOIN hs USING (vec_id) LEFT JOIN ms USING (vec_id)),
+co AS (SELECT vec_id, y // {SIDE} AS tile, y % {SIDE} AS y, k, round(sum(p * 2 * cos(pi() * k * (x + 0.5) / {SIDE})), 6) AS d FROM mp, (SELECT unnest([1, 2]) AS k) WHERE y % {SIDE} < 2 GROUP BY ALL),
+ht AS (SELECT vec_id, tile, CAST(sum(b * power(2, 3 - (2 * y + k - 1))) AS INTEGER) AS hv FROM (SELECT *, CASE WHEN d > avg(d) OVER (PARTITION BY vec_id, tile) THEN 1 ELSE 0 END AS b FROM co) GROUP BY vec_id, tile),
+hs AS (SELECT vec_id, list(hv ORDER BY tile) AS hv, list(mean ORDER BY tile) AS mean FROM ht JOIN (SELECT vec_id, y // {SIDE} AS tile, avg(p) AS mean FROM mp GROUP BY ALL) USING (vec_id, tile) GROUP BY vec_id),
+fr AS (SELECT vec_id, label, rn, list(p ORDER BY y, x) AS px, list(CAST(trunc(0.2989 * p + 0.5870 * p + 0.1140 * p) AS BIGINT) ORDER BY y, x) AS g FROM mp GROUP BY ALL),
+fs AS (SELECT fr.*, hv, mean, masks, coalesce(n_masked, 0) AS n_masked FROM fr JOIN hs USING (vec_id) LEFT JOIN ms USING (vec_id)),
 wk AS (
  SELECT vec_id, label, rn, true AS is_kf, CAST(NULL AS DOUBLE) AS s, CAST(NULL AS VARCHAR) AS regions, CAST(NULL AS BIGINT) AS n, false AS gate, CAST(NULL AS BIGINT) AS before_id, vec_id AS kid, px AS kpx, g AS kg, hv AS khv, mean AS kmean FROM fs WHERE rn = 1
  UNION ALL
  SELECT vec_id, label, rn, kf, s, regions, n, gate, kid, CASE WHEN kf THEN vec_id ELSE kid END, CASE WHEN kf THEN px ELSE kpx END, CASE WHEN kf THEN g ELSE kg END, CASE WHEN kf THEN hv ELSE khv END, CASE WHEN kf THEN mean ELSE kmean END
- FROM (SELECT *, NOT gate AND (s <= 0.25 OR n > 14) AS kf FROM (
-  SELECT f.vec_id, f.label, f.rn, f.px, f.g, f.hv, f.mean, w.kid, w.kpx, w.kg, w.khv, w.kmean, f.hv = w.khv AND abs(f.mean - w.kmean) < 5 AS gate, CASE WHEN f.hv = w.khv AND abs(f.mean - w.kmean) < 5 THEN NULL ELSE {_SSIM} END AS s,
-   list_filter(range({N * N}), lambda b: list_avg(list_transform({_B}[b + 1], lambda i: abs(f.px[i] - w.kpx[i]))) > 10) AS changed,
-   CASE WHEN f.hv = w.khv AND abs(f.mean - w.kmean) < 5 THEN NULL ELSE len(changed) END AS n, CASE WHEN NOT (f.hv = w.khv AND abs(f.mean - w.kmean) < 5) AND len(changed) > 0 THEN list_aggregate(list_transform(changed, lambda b: (b % {N}) * 2 || ':' || (b // {N}) * 2 || ':2:2'), 'string_agg', ',') END AS regions
+ FROM (SELECT *, NOT gate AND (s <= 0.25 OR n > {changed}) AS kf FROM (
+  SELECT f.vec_id, f.label, f.rn, f.px, f.g, f.hv, f.mean, w.kid, w.kpx, w.kg, w.khv, w.kmean, {gate} AS gate, CASE WHEN {gate} THEN NULL ELSE {ssim} END AS s,
+   list_filter(range({rows // BLOCK * N}), lambda b: list_avg(list_transform({_squares(rows)}[b + 1], lambda i: abs(f.px[i] - w.kpx[i]))) > 10) AS changed,
+   CASE WHEN {gate} THEN NULL ELSE len(changed) END AS n, CASE WHEN NOT ({gate}) AND len(changed) > 0 THEN list_aggregate(list_transform(changed, lambda b: (b % {N}) * 2 || ':' || (b // {N}) * 2 || ':2:2'), 'string_agg', ',') END AS regions
   FROM wk w JOIN fs f ON f.label = w.label AND f.rn = w.rn + 1))),
 ca AS (SELECT wk.*, before_id AS before, hv, masks, n_masked FROM wk JOIN fs USING (vec_id)) """
 
@@ -204,8 +217,10 @@ ORACLE_SQL = {
     + """SELECT CASE WHEN vec_id % 5 = 0 THEN 'missing' ELSE 'there' END AS what, vec_id FROM ca WHERE is_kf UNION ALL SELECT 'unknown', vec_id FROM ca WHERE vec_id % 11 = 0""",
     "result_documents": masked_walk("label", 0.6)
     + f""", m2 AS (SELECT vec_id, list({{'x': CAST(c * 2 AS INTEGER), 'y': CAST(r * 2 AS INTEGER), 'w': 2, 'h': 2}} ORDER BY r, c) AS regions_ FROM mk WHERE noisy GROUP BY vec_id),
- fd AS (SELECT label, list({{'frame_id': CAST(vec_id AS VARCHAR), 'event_type': CASE WHEN is_kf THEN 'KEYFRAME' ELSE 'SKIPPED' END, 'is_keyframe': is_kf, 'perceptual_hash': {HEX.format('hv')}, 'adaptive_mask': regions_, 'prev_keyframe_id': CAST(before_id AS VARCHAR)}} ORDER BY rn) AS frames FROM ca LEFT JOIN m2 USING (vec_id) GROUP BY label),
+ fd AS (SELECT label, list({{'frame_id': CAST(vec_id AS VARCHAR), 'event_type': CASE WHEN is_kf THEN 'KEYFRAME' ELSE 'SKIPPED' END, 'is_keyframe': is_kf, 'perceptual_hash': {HEX.format('hv[1]')}, 'adaptive_mask': regions_, 'prev_keyframe_id': CAST(before_id AS VARCHAR)}} ORDER BY rn) AS frames FROM ca LEFT JOIN m2 USING (vec_id) GROUP BY label),
  ru AS (SELECT CAST(label AS VARCHAR) AS task_id, label, grouping(label) AS g, count(*) AS num_frames, count(*) FILTER (WHERE is_kf) AS num_keyframes, round(1 - count(*) FILTER (WHERE is_kf) / count(*), 6) AS skip_rate FROM ca GROUP BY ROLLUP (label))
  SELECT task_id AS seq_id, CAST(to_json({{'task_id': task_id, 'num_frames': num_frames, 'num_keyframes': num_keyframes, 'skip_rate': skip_rate, 'frames': frames}}) AS VARCHAR) AS document FROM ru JOIN fd USING (label) WHERE g = 0
  UNION ALL SELECT NULL, CAST(to_json({{'tasks': (SELECT list({{'task_id': task_id, 'num_frames': num_frames, 'num_keyframes': num_keyframes, 'skip_rate': skip_rate}} ORDER BY task_id) FROM ru WHERE g = 0), 'total_frames': num_frames, 'total_keyframes': num_keyframes, 'total_skip_rate': skip_rate}}) AS VARCHAR) FROM ru WHERE g = 1""",
+    "cascade_tall": masked_walk("label", 0.6, 2 * SIDE, 28)
+    + f"SELECT vec_id, is_kf AS is_keyframe, round(s, 4) AS ssim_score, regions AS changed_regions, masks AS adaptive_mask, CAST(before_id AS VARCHAR) AS prev_keyframe_id, {REASON.replace('16.0', '32.0').replace('14', '28')} AS visual_reason, {HEX.format('hv[1]')} AS perceptual_hash FROM ca",
 }

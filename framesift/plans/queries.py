@@ -265,6 +265,19 @@ def cascade_masked(spark: SparkSession, sf: str) -> DataFrame:
     return _with_regions(cascade.cascade(f, V.settings(noise_threshold=0.6)))
 
 
+@query
+def cascade_tall(spark: SparkSession, sf: str) -> DataFrame:
+    """Tall frames, two of a label's one above the other, whose tiles have hashes of their own."""
+    n = F.row_number().over(V.by_label()) - 1
+    g = V.frames(spark, sf).withColumn("pair", F.floor(n / 2)).groupBy("seq_id", "pair").agg(F.array_sort(F.collect_list(F.struct("vec_id", "frame.data"))).alias("f")).where(F.size("f") == 2)
+    frame = F.struct(F.lit(2 * V.SIDE).alias("height"), F.lit(V.SIDE).alias("width"), F.concat(F.col("f")[0]["data"], F.col("f")[1]["data"]).alias("data"))
+    tall = g.select("seq_id", F.col("f")[0]["vec_id"].alias("seq_pos"), F.col("f")[0]["vec_id"].cast("string").alias("frame_id"), frame.alias("frame"))
+    s = V.settings(noise_threshold=0.6)
+    s.comparator.min_changed_blocks = 28
+    c = cascade.cascade(tall, s)
+    return _with_regions(c).join(c.select(F.col("seq_pos").alias("vec_id"), "perceptual_hash"), "vec_id")
+
+
 @query
 def cascade_split(spark: SparkSession, sf: str) -> DataFrame:
     """All frames as one sequence, dealt over eight tasks."""

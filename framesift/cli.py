@@ -63,26 +63,26 @@ def patterns_of(s: Settings):
 def run_images(spark, path: Path, s: Settings, report: str | None = None) -> tuple[int, int]:
     """Writes pictures and manifest; keyframes and frames."""
     from .operators import cascade, numbering, pii
+    from .shared import cut
     from .sources import images, sidecars, sinks
 
-    frames = images.frames_from_dir(spark, str(path), s.input.supported_formats)
+    frames = pictures = images.frames_from_dir(spark, str(path), s.input.supported_formats)
     if any(path.glob("*.json")):
         frames = sidecars.attach_sidecars(frames, sidecars.sidecars(spark, str(path)))
-    frames = frames.cache()
-    rows = cascade.cascade(frames, s)
+    rows = cut(cascade.cascade(frames, s), "rows")  # without pixels
+    kept = rows.where("is_keyframe").join(pictures.select("seq_id", "seq_pos", "frame"), ["seq_id", "seq_pos"])
     if s.redactor.enabled:
-        pictures = pii.redact_keyframes(rows.drop("pii_detected").join(frames.select("seq_id", "seq_pos", "frame"), ["seq_id", "seq_pos"]), patterns_of(s), scope=s.redactor.scope)
-    else:
-        pictures = rows.join(frames.select("seq_id", "seq_pos", "frame"), ["seq_id", "seq_pos"])
-    pictures = pictures.cache()
+        kept = cut(pii.redact_keyframes(kept.drop("pii_detected"), patterns_of(s), scope=s.redactor.scope), "keyframes")
+        flags = kept.select("seq_id", "seq_pos", "pii_detected")
+        rows = rows.drop("pii_detected").join(flags, ["seq_id", "seq_pos"], "left")
     out = s.exporter.output_dir.rstrip("/")
-    sinks.save_keyframes(pictures).count()
-    sinks.write_manifest(pictures.orderBy("seq_id", "seq_pos"), f"{out}/manifest.parquet", s.exporter.parquet_compression)
+    sinks.save_keyframes(kept).count()
+    sinks.write_manifest(rows.orderBy("seq_id", "seq_pos"), f"{out}/manifest.parquet", s.exporter.parquet_compression)
     if report:
         from .report import render
 
-        Path(report).write_text(render(pictures.drop("frame")))
-    total = numbering.summary(pictures).first()
+        Path(report).write_text(render(rows))
+    total = numbering.summary(rows).first()
     return total.num_keyframes, total.num_frames
 
 

@@ -223,4 +223,10 @@ ORACLE_SQL = {
  UNION ALL SELECT NULL, CAST(to_json({{'tasks': (SELECT list({{'task_id': task_id, 'num_frames': num_frames, 'num_keyframes': num_keyframes, 'skip_rate': skip_rate}} ORDER BY task_id) FROM ru WHERE g = 0), 'total_frames': num_frames, 'total_keyframes': num_keyframes, 'total_skip_rate': skip_rate}}) AS VARCHAR) FROM ru WHERE g = 1""",
     "cascade_tall": masked_walk("label", 0.6, 2 * SIDE, 28)
     + f"SELECT vec_id, is_kf AS is_keyframe, round(s, 4) AS ssim_score, regions AS changed_regions, masks AS adaptive_mask, CAST(before_id AS VARCHAR) AS prev_keyframe_id, {REASON.replace('16.0', '32.0').replace('14', '28')} AS visual_reason, {HEX.format('hv[1]')} AS perceptual_hash FROM ca",
+    "manifest_rows": masked_walk("label", 0.6)
+    + f"""SELECT CAST(vec_id AS VARCHAR) AS frame_id, CAST(NULL AS TIMESTAMP) AS timestamp, CASE WHEN is_kf THEN 'KEYFRAME' ELSE 'SKIPPED' END AS event_type, CAST(NULL AS VARCHAR) AS app_name, CAST(NULL AS VARCHAR) AS window_title,
+ is_kf AS is_keyframe, {HEX.format('hv[1]')} AS perceptual_hash, round(s, 4) AS ssim_score, round(1 - s, 4) AS change_score, round(n / 16.0 * 100, 4) AS changed_pct, regions AS changed_regions, masks AS adaptive_mask, 8 AS frame_width, 8 AS frame_height,
+ CAST(NULL AS VARCHAR) AS source_format, CASE WHEN is_kf THEN './output/' || vec_id || '.png' END AS asset_path, CAST(NULL AS BOOLEAN) AS pii_detected, {REASON} AS visual_reason, CAST(before_id AS VARCHAR) AS prev_keyframe_id, './output/' || before_id || '.png' AS prev_keyframe_path,
+ CAST(NULL AS VARCHAR) AS source_video, CAST(NULL AS DOUBLE) AS video_timestamp, CAST(NULL AS INTEGER) AS video_frame_number, CAST(NULL AS DOUBLE) AS time_since_prev_keyframe, CAST(NULL AS VARCHAR) AS audio_activity, CAST(NULL AS VARCHAR) AS transcript_segment,
+ CAST(NULL AS INTEGER) AS keyframe_index, CAST(NULL AS INTEGER) AS total_keyframes, CAST(NULL AS DOUBLE) AS video_duration, CAST(NULL AS VARCHAR) AS change_magnitude FROM ca""",
 }

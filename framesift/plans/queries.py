@@ -246,12 +246,6 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
     return flat.withColumns({x: F.round(x, 4) for x in ("ssim_score", "change_score", "changed_pct")})
 
 
-@query
-def manifest_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The manifest with its 30 columns as they are written."""
-    return cascade.to_manifest(_cascade(spark, sf))
-
-
 def _with_regions(c: DataFrame) -> DataFrame:
     """The columns of a cascade that masks reach, regions as text."""
     text = lambda a: F.array_join(F.transform(a, lambda r: F.concat_ws(":", r["x"], r["y"], r["w"], r["h"])), ",").alias(a)
@@ -677,6 +671,15 @@ def _masked_cascade(spark: SparkSession, sf: str, out: str | None = None) -> Dat
     return cascade.cascade(V.frames(spark, sf).withColumn("frame_id", F.col("vec_id").cast("string")), s)
 
 
+@query
+def manifest_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The manifest with its 30 columns, masks on; regions as text."""
+    c = _masked_cascade(spark, sf)
+    text = lambda a: F.array_join(F.transform(a, lambda r: F.concat_ws(":", r["x"], r["y"], r["w"], r["h"])), ",")
+    m = cascade.to_manifest(c)
+    return m.withColumns({"changed_regions": text("changed_regions"), "adaptive_mask": text("adaptive_mask")} | {x: F.round(x, 4) for x in ("ssim_score", "change_score", "changed_pct")})
+
+
 @query
 def missing_pictures(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of a manifest against the files of its folder: of every fifth keyframe the picture is missing, one file in eleven is of no row."""

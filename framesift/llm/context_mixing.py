@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -127,8 +128,8 @@ class Spelled:
 
     def __init__(self, code: Code, keys: list[tuple[int, bytes]]):
         text = np.frombuffer(b" ".join([w for _, w in keys]) + b" ", np.uint8)
-        size = np.fromiter((len(w) + 1 for _, w in keys), np.int64, len(keys))
-        cls = np.fromiter((c for c, _ in keys), np.uint8, len(keys))
+        size = np.fromiter(map(len, map(itemgetter(1), keys)), np.int64, len(keys)) + 1
+        cls = np.frombuffer(bytes(map(itemgetter(0), keys)), np.uint8)
         start = np.cumsum(size) - size
         head = np.zeros(len(keys), np.uint64)
         for j in range(HEAD):
@@ -473,14 +474,17 @@ class Tables:
 
     def add(self, slots: list[np.ndarray], bit: np.ndarray, weight: np.ndarray):
         """weight: whole numbers of any size. Yields rows where the tables are full."""
-        while weight.any():
-            now = weight if int(weight.sum()) <= self.ROOM else np.minimum(weight, self.ROOM // len(weight))
-            if self.sum + int(now.sum()) > self.ROOM:
+        while (total := int(weight.sum())) > 0:
+            now = weight if total <= self.ROOM else np.minimum(weight, self.ROOM // len(weight))
+            more = int(now.sum())
+            if self.sum + more > self.ROOM:
                 yield from self.rows()
-            self.sum += int(now.sum())
+            self.sum += more
             w = now.astype(np.uint32)
             for t, s in zip(self.counts, slots, strict=True):
                 np.add.at(t, 2 * s + bit, w)
+            if more == total:
+                return
             weight = weight - now
 
     def rows(self):
@@ -876,7 +880,7 @@ def score(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:
             ids = np.split(which, words.at[1:-1])
             keys = [(c, words.plain[w]) for c, w in zip((types & 63).tolist(), (types >> 6).tolist(), strict=True)]
             times = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(b, np.int64) for _, b in sorted(blobs, key=lambda x: x[0]))])[types >> 6]
-            width = np.fromiter((len(w) + 1 for _, w in keys), np.int64, len(keys))
+            width = np.fromiter(map(len, map(itemgetter(1), keys)), np.int64, len(keys)) + 1
             log_c, is_known = np.log10(times + 0.1), (times > 0).astype(np.int64)
             hits, ln_of = foretold(words, matches, parts * cuts)
             del words, which, types, times, blobs, matches

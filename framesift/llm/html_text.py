@@ -7,8 +7,10 @@ makes lines that count for the ratios but are never kept. No names of classes or
 
 The text-to-tag ratios of the lines, in page order, are smoothed with a Gaussian. A threshold found by two-means on their logarithms
 splits them in two clusters. A container is a content region if its own ratio, all its text by all its tags, and the smoothed ratio
-of one of its lines lie in the upper cluster, or if none has more text; all its lines are kept then, short ones too. Where a page marks its content by `article` or
-`main`, as HTML defines them, the text outside them stands beside the content; containers in them are looked at like all others.
+of one of its lines lie in the upper cluster, or if none has more text; all its lines are kept then, short ones too. A mark of the
+content by `article` or `main`, as HTML defines them, is evidence: it counts as MARKED in the logarithm of each ratio in it, before
+the threshold is found. Text outside it stays if its ratio is that much higher. In it, where all but menus is content, a container
+goes only if its ratio lies below the threshold without marks and below SPARSE.
 
 Null html, or no content: empty text. Broken markup is read as far as the parser goes; an element left open ends with its
 page. Repeated rows: a row each. Null page_id or url: kept null. Empty table: no rows. Other columns are not read.
@@ -37,7 +39,13 @@ SILENT = set("audio button canvas datalist head iframe input noscript object opt
 BESIDE = set("aside dialog footer form header menu nav search".split())
 BESIDE_ROLE = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form status note".split())
 CONTAINER = set("article blockquote body div figure main section td".split())
+#: In `article` and `main`, where quotes, figures and cells are content of what they stand in.
+INNER = set("article div main section".split())
 MARK = set("article main".split())
+#: What `article` and `main` add to the logarithm of a ratio: as much as 55 times the text for each tag.
+MARKED = 4.0
+#: Logarithm of the text for each tag, 5, below which a container in `article` or `main` is a menu in it.
+SPARSE = float(np.log(5))
 TAG_START = set("/!?abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 SPACE = re.compile(r"\s+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -90,7 +98,7 @@ class Lines(HTMLParser):
         mine = effect(tag, attrs, marked)
         self.tags += max(out, mine) != MUTE
         marked = marked or tag in MARK
-        if tag in CONTAINER or mine > out:
+        if tag in (INNER if marked else CONTAINER) or mine > out:
             self.containers += 1
             container = self.containers
         self.stack.append((tag, max(out, mine), container, marked))
@@ -155,16 +163,18 @@ def regions(lines: list[tuple[str, int, int, bool, bool]]) -> set[int]:
     """The containers whose lines are content."""
     size, tags = np.array([len(x[0]) for x in lines], float), np.array([max(1, x[1]) for x in lines], float)
     names, of = np.unique([x[2] for x in lines], return_inverse=True)
+    beside, mark = np.array([x[3] for x in lines], bool), np.array([x[4] for x in lines], bool)
+    content, marked = np.zeros((2, len(names)), bool)
+    content[of[~beside]], marked[of[mark]] = True, True
     own = np.log(np.bincount(of, size) / np.bincount(of, tags))
     line = np.log(smooth(size / tags))
-    least = threshold(line)
-    marked = any(m and not beside for *_, beside, m in lines)
-    content = np.isin(names, [c for _, _, c, beside, m in lines if not beside and m >= marked])
+    least = threshold(line + MARKED * mark)
     top = np.full(len(names), -np.inf)
     np.maximum.at(top, of, line)
-    kept = content & (own >= least) & (top >= least)
-    if content.any():  # the one with the most text is content, whatever the clusters are
-        kept[np.where(content, np.bincount(of, size), -1).argmax()] = True
+    kept = content & np.where(marked, own >= min(threshold(line), SPARSE), (own >= least) & (top >= least))
+    most = content & marked if (content & marked).any() else content
+    if most.any():  # the one with the most text is content, whatever the clusters are
+        kept[np.where(most, np.bincount(of, size), -1).argmax()] = True
     return set(names[kept].tolist())
 
 

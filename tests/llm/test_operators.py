@@ -744,6 +744,35 @@ def test_the_ratio_chooses_regions():
             assert html_text.main_text("<nav><ul>" + "<li><a href=a>Menu</a></li>" * 5 + "</ul></nav>" + outer % html) == want
 
 
+def test_marks_are_evidence_and_the_ratio_decides(monkeypatch):
+    """Beside a marked article stand adverts and comments in containers like its own; what an article holds besides prose stays."""
+    rng = random.Random(12)
+    from conftest import sentence
+
+    changed = 0
+    for _ in range(40):
+        prose = [sentence(rng, rng.randint(30, 90)) for _ in range(rng.randint(2, 6))]
+        inside = [
+            ("<div>See also <a href=a>the first report</a> and <a href=b>the second one</a>, both of the same year.</div>", "See also the first report and the second one, both of the same year."),
+            ("<figure><img src=x><figcaption>A picture of the harbour at dawn</figcaption></figure>", "A picture of the harbour at dawn"),
+            ("<table><tr><td>Length of the bridge</td><td>1200 metres</td></tr></table>", "Length of the bridge\n1200 metres"),
+        ]
+        blocks = [(f"<p>{x}</p>", x) for x in prose] + rng.sample(inside, rng.randint(0, 3))
+        beside = "".join(f"<div>{sentence(rng, rng.randint(5, 25))}</div>" for _ in range(rng.randint(1, 4)))
+        menu = "<nav><ul>" + "<li><a href=a>Menu</a></li>" * rng.randint(3, 9) + "</ul></nav>"
+        page = menu + beside + "<article>" + "".join(h for h, _ in blocks) + "</article>" + beside
+        want = "\n".join(t for _, t in blocks)
+        assert html_text.main_text(page) == want
+        with monkeypatch.context() as m:
+            m.setattr(html_text, "regions", lambda lines: {x[2] for x in lines})
+            changed += html_text.main_text(page) != want
+    assert changed == 40
+    # teasers marked as articles, and the text in a container without a mark: both are judged by their ratios
+    body = " ".join(sentence(rng, 400) for _ in range(3))
+    teasers = "".join("<article>" + "<a href=x><b>go</b></a> " * 3 + "</article>" for _ in range(6))
+    assert body in html_text.main_text(f"<div><p>{body}</p></div>{teasers}")
+
+
 def plain_text(html):
     """All text of a page by a plain reading of its tags, for pages whose blocks are all content."""
     import html as names

@@ -523,3 +523,30 @@ def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int =
     hashed = docs.where(words).select(whole(docs), F.xxhash64("text").alias("hash"), *key(F.col("doc_id")))
     kept = hashed.join(best, by).dropDuplicates(by)
     return kept.select(*parts(docs)).unionByName(docs.where(~words))
+
+
+#: Rows of op9_vertical_jaccard by plain means: all pairs of sets with a common shingle, links by their sizes, components by reach.
+ORACLE_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])) END AS s
+  FROM cut
+), noded AS (
+  SELECT doc_id, len(s) AS n, s, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY s) ELSE doc_id END AS node FROM shingled
+), sets AS (
+  SELECT node, n, unnest(s) AS token FROM noded WHERE doc_id = node AND n > 0
+), links AS MATERIALIZED (
+  SELECT a.node AS a, b.node AS b FROM sets a JOIN sets b ON a.token = b.token AND a.node <> b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT DISTINCT a AS node, a AS other FROM links
+  UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other
+)
+SELECT d.doc_id, d.n AS n_shingles, coalesce(c.component_id, d.node) AS component_id, coalesce(k.n_links, 0) AS n_links
+FROM noded d
+LEFT JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) c USING (node)
+LEFT JOIN (SELECT a AS node, count(*) AS n_links FROM links GROUP BY a) k USING (node)
+"""

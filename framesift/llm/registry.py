@@ -23,6 +23,7 @@ QUERIES = {
     )
 }
 ORACLE_SQL: dict[str, str] = {
+    "op9_vertical_jaccard": jaccard_join.ORACLE_SQL,
     "op11_url_trie": url_rules.ORACLE_SQL,
     "op12_conversation_repair": conversation_repair.ORACLE_SQL,
     "op13_filter_audit": filter_audit.ORACLE_SQL,

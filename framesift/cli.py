@@ -106,7 +106,10 @@ def run_videos(spark, path: Path, s: Settings, frames=None, make_engine=None) ->
     """Keyframes of all videos, each numbered by itself; pictures go to a folder of the video's name, redacted unless that is switched off.
 
     frames: decoded frames, if they don't come from the files; make_engine: text recognition other than easyocr's."""
+    from pyspark.sql import functions as F
+
     from .operators import pii, video
+    from .shared import cut
     from .sources import media, sinks
 
     files = [path] if path.is_file() else sorted(f for f in path.iterdir() if f.suffix.lower() in VIDEO)
@@ -115,10 +118,10 @@ def run_videos(spark, path: Path, s: Settings, frames=None, make_engine=None) ->
     if frames is None:
         rows = video.process_files(spark, [str(f) for f in files], s, segments, speech)
     else:
-        rows = video.process(frames, s, segments, speech, [f.name for f in files])
+        rows = video.process(frames, s, segments, speech)
     if s.redactor.enabled:
         rows = pii.redact_keyframes(rows.drop("pii_detected"), patterns_of(s), make_engine or pii.easyocr_engine, scope=s.redactor.scope)
-    rows = rows.cache()
+    rows = cut(rows.withColumn("frame", F.when(F.col("is_keyframe"), F.col("frame"))), "rows")
     sinks.save_keyframes(rows).count()
     sinks.write_manifest(rows, f"{s.exporter.output_dir.rstrip('/')}/manifest.parquet", s.exporter.parquet_compression)
     return rows.where("is_keyframe").count()

@@ -24,13 +24,13 @@ def gaps_of(sampled: DataFrame, s: Settings) -> DataFrame:
     return numbering.transitions(decided, "seq_id", "seq_pos", "seq_pos")
 
 
-def process(frames: DataFrame, settings: Settings | None = None, segments: DataFrame | None = None, speech: DataFrame | None = None, videos: list[str] | None = None) -> DataFrame:
+def process(frames: DataFrame, settings: Settings | None = None, segments: DataFrame | None = None, speech: DataFrame | None = None) -> DataFrame:
     """Manifest rows, with seq_id, seq_pos and frame, of frames (seq_id: the video, seq_pos: frame number, fps, duration, frame).
 
-    segments: transcript cues, of all videos where they name none; videos: the names of these, if known; speech: (source_video, seg_pos, start, end, text). Keyframes are named step_001 and on
+    segments: transcript cues, of all videos where they name none; speech: (source_video, seg_pos, start, end, text). Keyframes are named step_001 and on
     by video, and their pictures lie in a folder of the video, so that videos don't overwrite each other's."""
     s = settings or Settings()
-    return enriched(cut(second_pass(frames, s), "chosen"), s, segments, speech, videos)
+    return enriched(cut(second_pass(frames, s), "chosen"), s, segments, speech)
 
 
 def process_files(spark: SparkSession, paths: list[str], settings: Settings | None = None, segments: DataFrame | None = None, speech: DataFrame | None = None) -> DataFrame:
@@ -41,11 +41,10 @@ def process_files(spark: SparkSession, paths: list[str], settings: Settings | No
     sampled = cut(video_source.read_videos(spark, paths, s.video.sample_fps), "sampled")
     gaps = cut(gaps_of(sampled, s), "gaps")
     chosen = sampled.unionByName(cut(video_source.gap_frames(gaps, paths), "filled"))
-    videos = [video_source.name_of(f) for p in paths for f in video_source.listed(p)]
-    return enriched(chosen.select("seq_id", "seq_pos", "fps", "duration", "frame"), s, segments, speech, videos)
+    return enriched(chosen.select("seq_id", "seq_pos", "fps", "duration", "frame"), s, segments, speech)
 
 
-def enriched(chosen: DataFrame, s: Settings, segments: DataFrame | None, speech: DataFrame | None, videos: list[str] | None) -> DataFrame:
+def enriched(chosen: DataFrame, s: Settings, segments: DataFrame | None, speech: DataFrame | None) -> DataFrame:
     """Manifest rows of the chosen frames, with numbers, names, transcripts and speech."""
     info = chosen.select("seq_id", "seq_pos", "fps", "duration", "frame")
     rows = cascade(chosen.drop("fps", "duration"), s).drop("keyframe_index", "total_keyframes", "time_since_prev_keyframe", "video_timestamp", "video_duration", "source_video", "transcript_segment", "audio_activity", "prev_keyframe_id", "prev_keyframe_path")
@@ -60,14 +59,16 @@ def enriched(chosen: DataFrame, s: Settings, segments: DataFrame | None, speech:
     rows = rows.withColumn("change_magnitude", F.when(F.col("is_keyframe"), change_magnitude(F.col("ssim_score"), F.col("changed_regions"))))
     word = spoken = cued = None
     if segments is not None:
-        if "source_video" not in segments.columns:  # one transcript for all
-            of = videos if videos is not None else [r["seq_id"] for r in chosen.select("seq_id").distinct().collect()]  # a name a file of the run
-            segments = segments.withColumn("source_video", F.explode(F.array(*map(F.lit, of)).cast("array<string>")))
-        rows = align.align_transcript(rows, segments, "source_video", "video_timestamp", ["seq_id", "seq_pos"])
+        if "source_video" in segments.columns:
+            rows = align.align_transcript(rows, segments, "source_video", "video_timestamp", ["seq_id", "seq_pos"])
+            rows = rows.join(segments.select("source_video").distinct().withColumn("_cued", F.lit(True)), "source_video", "left")
+            cued = F.coalesce("_cued", F.lit(False))
+        else:  # one transcript for all: joined by time alone
+            one = {"_transcript": F.lit(0)}
+            rows = align.align_transcript(rows.withColumns(one), segments.withColumns(one), "_transcript", "video_timestamp", ["seq_id", "seq_pos"])
+            cued = segments.agg((F.count("*") > 0).alias("cued")).scalar()
         word = F.col("transcript_segment")
         rows = rows.withColumn("transcript_segment", F.when(F.col("is_keyframe"), word))
-        rows = rows.join(segments.select("source_video").distinct().withColumn("_cued", F.lit(True)), "source_video", "left")
-        cued = F.coalesce("_cued", F.lit(False))
     if speech is not None:
         rows = align.has_speech(rows, speech, "source_video", "video_timestamp", ["seq_id", "seq_pos"])
         spoken = F.col("in_speech")

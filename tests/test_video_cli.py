@@ -26,6 +26,24 @@ def test_two_passes(spark):
     assert got.where("source_video = 'a.mp4'").count() == 3 + 29
 
 
+def test_one_transcript_for_all_videos(spark):
+    """Joined by time alone; without cues, the speech of each video decides."""
+    s = Settings.of({"masking": {"block_size": 8}, "redactor": {"enabled": False}})
+    f = decoded(spark, "a.mp4", [0] * 45 + [255] * 45).unionByName(decoded(spark, "b.mp4", [9] * 60))
+    seg = spark.createDataFrame([(0, 0.0, 0.5, "first"), (1, 0.0, 3.0, "both")], "seg_pos int, start double, end double, text string")
+    speech = spark.createDataFrame([("a.mp4", 0, 1.4, 1.6, "[speech]")], "source_video string, seg_pos int, start double, end double, text string")
+    for cues, texts, activity in (
+        (seg, ["first | both", "both", "first | both"], ["speech", "speech", "speech"]),
+        (seg.where("start = 1"), [None, None, None], ["silence", "speech", "silence"]),
+    ):
+        got = video.process(f, s, cues, speech)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join Cross" not in plan and got.columns == ["seq_id", "seq_pos", "frame", *[x.name for x in MANIFEST]]
+        kf = sorted((r.source_video, r.frame_id, r.transcript_segment, r.audio_activity) for r in got.where("is_keyframe").collect())
+        assert [k[:2] for k in kf] == [("a.mp4", "step_001"), ("a.mp4", "step_002"), ("b.mp4", "step_001")]
+        assert [k[2] for k in kf] == texts and [k[3] for k in kf] == activity
+
+
 def test_detect_mode(tmp_path):
     (tmp_path / "a.mp4").touch()
     assert cli.detect_mode(tmp_path, None, {".png"}) == "video" and cli.detect_mode(tmp_path / "a.mp4", "image", {".png"}) == "video"

@@ -263,6 +263,11 @@ def _plain(x: Column) -> Column:
     return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
 
 
+def of_kind(k: int):
+    """For F.filter, which passes a function's second argument, even one with a default, the place in the list."""
+    return lambda x: x["kind"] == k
+
+
 def joined(column: str) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(F.col(column), lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -289,5 +294,5 @@ def redact(docs: DataFrame, codes: list[int]) -> DataFrame:
 def op6_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found_ = spans(docs, accepted(docs))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return found_.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))

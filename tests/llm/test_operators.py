@@ -440,6 +440,20 @@ def test_pii_long_runs(spark):
     assert got[3] == "email:0:60003" and got[0] == got[1] == got[4] == ""
 
 
+def test_pii_counts(spark, tmp_path):
+    """Each kind's own number, in the rows of the query."""
+    phone, card = "+1 (499) 555-6503", "4111 1111 1111 1111"
+    texts = [None, "", "none", f"{phone} a@b.co {card}", f"{phone}; 10.0.0.25[ 10.0.0.256", f"10.0.0.25, {card}", f"a@b.c_d@e.f, {phone} é\U0001f600 1.2.3.4.5.6.7.8", "10.0.0.25[1", " ".join(["a@b.co"] * 9)]
+    spark.createDataFrame([*enumerate(texts), (None, texts[3]), (3, texts[3])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = pii.op6_weak_supervision_pii(spark, str(tmp_path))
+    assert [t for c, t in got.dtypes if c.startswith("n_")] == ["bigint"] * 4
+    want = []
+    for i, t in [*enumerate(texts), (None, texts[3]), (3, texts[3])]:
+        base = brute.pii_base(t)
+        want.append((i, *[base.count(f"{kind}:") for kind in pii.KINDS], hashlib.sha256(base.encode()).hexdigest()))
+    assert sorted(map(repr, map(tuple, got.drop("spans").collect()))) == sorted(map(repr, want))
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é a@b.c, 10.0.0.1"), (2, None), (3, "none")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.redact(df, []).collect()}

@@ -44,6 +44,13 @@ def process_files(spark: SparkSession, paths: list[str], settings: Settings | No
     return enriched(chosen.select("seq_id", "seq_pos", "fps", "duration", "frame"), s, segments, speech)
 
 
+def _with_transcript(rows: DataFrame, segments: DataFrame, key: str) -> DataFrame:
+    """Texts are found by times alone and joined to the rows, so that pictures aren't gathered by time."""
+    times = rows.select("seq_id", "seq_pos", *[c for c in (key, "video_timestamp") if c != "seq_id"])
+    words = align.align_transcript(times, segments, key, "video_timestamp", ["seq_id", "seq_pos"], unique=True)
+    return rows.join(words.select("seq_id", "seq_pos", "transcript_segment"), ["seq_id", "seq_pos"], "left")
+
+
 def enriched(chosen: DataFrame, s: Settings, segments: DataFrame | None, speech: DataFrame | None) -> DataFrame:
     """Manifest rows of the chosen frames, with numbers, names, transcripts and speech."""
     info = chosen.select("seq_id", "seq_pos", "fps", "duration", "frame")
@@ -60,12 +67,12 @@ def enriched(chosen: DataFrame, s: Settings, segments: DataFrame | None, speech:
     word = spoken = cued = None
     if segments is not None:
         if "source_video" in segments.columns:
-            rows = align.align_transcript(rows, segments, "source_video", "video_timestamp", ["seq_id", "seq_pos"])
+            rows = _with_transcript(rows, segments, "source_video")
             rows = rows.join(segments.select("source_video").distinct().withColumn("_cued", F.lit(True)), "source_video", "left")
             cued = F.coalesce("_cued", F.lit(False))
         else:  # one transcript for all: joined by time alone
             one = {"_transcript": F.lit(0)}
-            rows = align.align_transcript(rows.withColumns(one), segments.withColumns(one), "_transcript", "video_timestamp", ["seq_id", "seq_pos"])
+            rows = _with_transcript(rows.withColumns(one), segments.withColumns(one), "_transcript")
             cued = segments.agg((F.count("*") > 0).alias("cued")).scalar()
         word = F.col("transcript_segment")
         rows = rows.withColumn("transcript_segment", F.when(F.col("is_keyframe"), word))

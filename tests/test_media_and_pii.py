@@ -1,5 +1,7 @@
 import math
+import random
 import wave
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -82,3 +84,52 @@ def test_frames():
     assert pii.detect_and_redact(a, pii.pattern_set(["ssn"]), engine)[1] is False
     with pytest.raises(ImportError):
         pii.easyocr_engine()
+
+
+def _shuffled(df):
+    """Bytes that the exchanges of df wrote, in Spark's rows."""
+    df.collect()
+
+    def of(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return of(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return of(node.plan())
+        own = node.metrics().apply("dataSize").value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(of(node.children().apply(i)) for i in range(node.children().size()))
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_texts_are_not_shuffled_for_each_point(spark):
+    """Points times segments of one moment, and segments that touch many minutes."""
+    pts = spark.range(300).selectExpr("id", "'v' AS v", "100.0D AS t").repartition(4)
+    seg = spark.range(300).selectExpr("'v' AS v", "id AS seg_pos", "90.0D AS start", "110.0D AS end", "concat('text', id) AS text").repartition(4)
+    got = align.align_transcript(pts, seg, "v", "t", ["id"])
+    assert {r.transcript_segment for r in got.collect()} == {" | ".join(f"text{i}" for i in range(300))} and got.count() == 300
+    assert _shuffled(align.align_transcript(pts, seg, "v", "t", ["id"])) < 300_000  # 90 000 pairs
+    long = seg.withColumn("end", F.lit(1e6))
+    assert _shuffled(align.align_transcript(pts, long, "v", "t", ["id"])) < 300_000
+    assert _shuffled(align.has_speech(pts, long, "v", "t", ["id"])) < 300_000
+
+
+def test_alignment_of_odd_rows(spark):
+    """Repeated and null ids, keys and times, segments of any length, backwards ones among them, against a plain version."""
+    rng = random.Random(3)
+    pick = lambda *a: rng.choice(a)
+    pts = [(pick(None, *range(150)), pick(None, "a", "b", "c"), pick(None, rng.uniform(-500, 5000), float(rng.randrange(0, 4000, 60)))) for _ in range(300)]
+    seg = []
+    for i in range(80):
+        at = float(rng.randrange(-200, 4000, 20))
+        seg.append((pick(None, "a", "b"), pick(i, 7), pick(None, at), at + pick(0.0, 0.5, 60.0, 3600.0, 90000.0, -5.0), pick(None, "", f"w{i}", f"w{i}")))
+    p, s = spark.createDataFrame(pts, "id int, v string, t double").repartition(3), spark.createDataFrame(seg, "v string, seg_pos int, start double, end double, text string").repartition(2)
+    held = defaultdict(list)
+    for i, v, t in pts:
+        for k, pos, lo, hi, w in seg:
+            if i is not None and None not in (v, t, lo) and k == v and lo <= t <= hi:
+                held[i].append((pos, w is not None, w or "", w))
+    want = sorted(repr((i, v, t, " | ".join(x[3] for x in sorted(held[i], key=lambda x: x[:3]) if x[1]) if i in held else None)) for i, v, t in pts)
+    assert sorted(repr(tuple(r)) for r in align.align_transcript(p, s, "v", "t", ["id"]).select("id", "v", "t", "transcript_segment").collect()) == want
+    assert sorted(repr(tuple(r)) for r in align.has_speech(p, s, "v", "t", ["id"]).select("id", "in_speech").collect()) == sorted(repr((i, i in held)) for i, _, _ in pts)
+    assert all(r.transcript_segment is None for r in align.align_transcript(p, s.limit(0), "v", "t", ["id"]).collect())

@@ -14,12 +14,13 @@ def _buckets(points: DataFrame, segments: DataFrame, key: str, time: str, bucket
 
     A bucket is as wide as segments are long on average, bucket_s at least, so there are three rows a segment at most on average. The
     mean is of whole seconds, as a sum of fractions may depend on the order of rows and both sides must see one width."""
-    b = lambda t: F.floor(t / F.col("_width"))
     valid = segments.where("start <= end")
-    width = F.broadcast(valid.agg(F.greatest(F.lit(bucket_s), F.coalesce(F.sum(F.ceil(F.col("end") - F.col("start"))) / F.count("*"), F.lit(0.0))).alias("_width")))
+    mean = F.try_divide(F.sum(F.ceil(F.col("end") - F.col("start"))), F.count("*"))
+    width = valid.agg(F.greatest(F.lit(bucket_s), mean).alias("_width")).scalar()
+    b = lambda t: F.floor(t / width)
     touched = F.explode(F.sequence(b(F.col("start")), b(F.col("end"))))
-    spread = valid.crossJoin(width).withColumn("_bucket", touched).select(F.col(key).alias("_key"), "_bucket", "seg_pos", "start", "end", "text")
-    return points.crossJoin(width).withColumn("_b", b(F.col(time))).drop("_width"), spread
+    spread = valid.withColumn("_bucket", touched).select(F.col(key).alias("_key"), "_bucket", "seg_pos", "start", "end", "text")
+    return points.withColumn("_b", b(F.col(time))), spread
 
 
 def in_intervals(points: DataFrame, segments: DataFrame, key: str, time: str, bucket_s: float = 60.0) -> DataFrame:
